@@ -1,10 +1,20 @@
 """The queries of the training-data operators, and SQL where it can express them."""
 
+from lexigrid.llm.language import op3_language_id
+from lexigrid.llm.lines import OP10_SQL, op10_line_dedup
+from lexigrid.llm.mixing import op8_mix_sources
 from lexigrid.llm.secrets import op1_secret_scan
 from lexigrid.llm.simhash import op2_simhash_dedup
+from lexigrid.llm.tokens import op5_token_output
+from lexigrid.llm.urls import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_language_id": op3_language_id,
+    "op5_token_output": op5_token_output,
+    "op8_mix_sources": op8_mix_sources,
+    "op9_url_filter": op9_url_filter,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLE = {}
+ORACLE = {"op9_url_filter": OP9_SQL, "op10_line_dedup": OP10_SQL}
