@@ -1,10 +1,13 @@
 """The queries of the training-data operators, and SQL where it can express them."""
 
+from lexigrid.llm.decontaminate import op4_decontaminate
+from lexigrid.llm.html import op7_html_extract
 from lexigrid.llm.language import op3_language_id
 from lexigrid.llm.lines import OP10_SQL, op10_line_dedup
 from lexigrid.llm.mixing import op8_mix_sources
 from lexigrid.llm.secrets import op1_secret_scan
 from lexigrid.llm.simhash import op2_simhash_dedup
+from lexigrid.llm.syncmers import op6_syncmers
 from lexigrid.llm.tokens import op5_token_output
 from lexigrid.llm.urls import OP9_SQL, op9_url_filter
 
@@ -12,7 +15,10 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_language_id": op3_language_id,
+    "op4_decontaminate": op4_decontaminate,
     "op5_token_output": op5_token_output,
+    "op6_syncmers": op6_syncmers,
+    "op7_html_extract": op7_html_extract,
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
