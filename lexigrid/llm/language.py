@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -30,7 +31,7 @@ ROUNDS = 2
 UNKNOWN, PSEUDO = 1e-7, 0.05
 #: The posterior is that of a text of at most so many words, so that it stays comparable.
 EVIDENCE = 30
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 UNDETERMINED = "und"
 
 
@@ -73,20 +74,51 @@ def cuts(word: str, index: dict[str, int], longest: int) -> list[list[tuple[int,
     return out
 
 
-def log_likelihoods(word: str, index: dict[str, int], longest: int, probs: np.ndarray) -> np.ndarray:
-    """Log of the sum over all segmentations, one value a language. ``probs``: piece by language."""
-    places = cuts(word, index, longest)
-    n, langs = len(places), probs.shape[1]
-    alpha = [None] * (n + 1)
-    alpha[0] = np.ones(langs)
-    for i, here in enumerate(places):
-        a = alpha[i]
-        if a is None:
-            continue
-        for j, k in here:
-            add = a * (probs[k] if k >= 0 else UNKNOWN)
-            alpha[j] = add if alpha[j] is None else alpha[j] + add
-    return np.log(np.maximum(alpha[n], 1e-300))
+def prefixes(pieces) -> set[str]:
+    """Every beginning of a piece: where a stretch is none, no longer one is a piece."""
+    return {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+
+
+def log_likelihoods(words: list[str], index: dict[str, int], begun: set[str], probs: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations: a row for each word, a column for each language.
+
+    ``probs`` is piece by language; its last row is that of a letter without a piece. The forward steps
+    of all words go together, by start and length, so that each word occurs once in a step.
+    """
+    n = len(words)
+    size = max(map(len, words), default=0) + 1
+    steps: list[list[tuple[list[int], list[int]]]] = [[([], []) for _ in range(size + 1)] for _ in range(size)]
+    get, unknown = index.get, len(probs) - 1
+    for r, word in enumerate(words):
+        marked = START + word
+        end = len(marked)
+        for i in range(end):
+            first = 2 if i == 0 else i + 1
+            row = steps[i]
+            bare = True
+            for j in range(i + 1, end + 1):
+                stretch = marked[i:j]
+                k = get(stretch)
+                if k is not None:
+                    rows, ids = row[j - i]
+                    rows.append(r)
+                    ids.append(k)
+                    if j == first:
+                        bare = False
+                elif stretch not in begun:
+                    break
+            if bare:
+                rows, ids = row[first - i]
+                rows.append(r)
+                ids.append(unknown)
+    alpha = np.zeros((size + 2, n, probs.shape[1]))
+    alpha[0] = 1.0
+    for i, row in enumerate(steps):
+        for length, (rows, ids) in enumerate(row):
+            if rows:
+                alpha[i + length][rows] += alpha[i][rows] * probs[ids]
+    ends = np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=n)
+    return np.log(np.maximum(alpha[ends, np.arange(n)], 1e-300))
 
 
 def expected_counts(words: dict[str, float], index: dict[str, int], longest: int, probs: dict[int, float] | None) -> dict[int, float]:
@@ -164,42 +196,75 @@ def train(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "l
 class Scorer:
     """Predictions for texts; remembers a bounded number of words."""
 
+    #: Words whose forward steps are taken together.
+    TOGETHER = 4000
+
     def __init__(self, learnt, vocab: str = "piece_bpe_32k.model"):
         pieces = vocabulary(vocab)
-        self.index, self.longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
+        self.index, self.begun = {p: i for i, p in enumerate(pieces)}, prefixes(pieces)
         self.langs = [x[0] for x in learnt]
-        self.probs = np.empty((len(pieces), len(learnt)))
+        self.probs = np.full((len(pieces) + 1, len(learnt)), UNKNOWN)
         for c, (_, ids, values, rest) in enumerate(learnt):
-            self.probs[:, c] = rest
+            self.probs[:-1, c] = rest
             self.probs[ids, c] = values
         self.place: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = np.empty((0, len(learnt)))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = words_of(text or "")
-        if not found or not self.langs:
-            return UNDETERMINED, 0.0
+    def learn_words(self, asked: set[str]) -> None:
         if len(self.place) > REMEMBERED:
-            self.place.clear()
-            self.rows.clear()
-        total = np.zeros(len(self.langs))
-        for low in range(0, len(found), 10_000):
-            part = found[low : low + 10_000]
-            for w in set(part):
-                if w not in self.place:
-                    self.place[w] = len(self.rows)
-                    self.rows.append(log_likelihoods(w, self.index, self.longest, self.probs))
-            total += np.sum([self.rows[self.place[w]] for w in part], axis=0)
-        best = int(np.argmax(total))
-        scaled = (total - total[best]) * min(1.0, EVIDENCE / len(found))
-        return self.langs[best], 1.0 / sum(math.exp(max(x, -700.0)) for x in scaled)
+            self.place, self.rows = {}, self.rows[:0]
+        new = sorted(asked.difference(self.place), key=len)
+        parts = [log_likelihoods(new[i : i + self.TOGETHER], self.index, self.begun, self.probs) for i in range(0, len(new), self.TOGETHER)]
+        self.place.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.rows = np.concatenate([self.rows, *parts])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [words_of(t or "") for t in texts]
+        if not self.langs:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        self.learn_words(set().union(*found))
+        place, out = self.place, []
+        for words in found:
+            if not words:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = self.rows[[place[w] for w in words]].sum(axis=0)
+            best = int(np.argmax(total))
+            scaled = (total - total[best]) * min(1.0, EVIDENCE / len(words))
+            out.append((self.langs[best], 1.0 / sum(math.exp(max(x, -700.0)) for x in scaled)))
+        return out
+
+
+#: The last scorer outlives a task in the worker that runs it.
+SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_of(learnt, vocab: str = "piece_bpe_32k.model") -> Scorer:
+    name, value = learnt.value
+    if name not in SCORERS:
+        SCORERS.clear()
+        SCORERS[name] = Scorer(value, vocab)
+    return SCORERS[name]
+
+
+def _parts(column, chars: int = 4_000_000):
+    """A batch's texts in parts of a bounded number of characters, or one text."""
+    part, held = [], 0
+    for t in column:
+        part.append(t.as_py())
+        held += len(part[-1] or "")
+        if held > chars:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def _predict(learnt, vocab: str):
     def predict(batches):
-        scorer = Scorer(learnt.value, vocab)
+        scorer = scorer_of(learnt, vocab)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column("text").to_pylist()]
+            found = [f for part in _parts(batch.column("text")) for f in scorer.predict(part)]
             arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -215,7 +280,7 @@ def identify(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str =
     """
     spark = df.sparkSession
     bound_batches(spark)
-    learnt = spark.sparkContext.broadcast(train(df, doc, text, lang, vocab=vocab, **how))  # languages times the fixed vocabulary at most
+    learnt = spark.sparkContext.broadcast((uuid.uuid4().hex, train(df, doc, text, lang, vocab=vocab, **how)))  # languages times the fixed vocabulary at most
     rows = df.select(F.col(doc).cast("long").alias("doc_id"), held_out(F.col(doc)).alias("held_out"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_predict(learnt, vocab), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
@@ -228,13 +293,13 @@ def known_language(df: DataFrame, doc: str = "doc_id", text: str = "text", lang:
     """The rows of ``df``, all columns, whose text has a language with a score of at least ``least``."""
     spark = df.sparkSession
     bound_batches(spark)
-    learnt = spark.sparkContext.broadcast(train(df, doc, text, lang, **how))
+    learnt = spark.sparkContext.broadcast((uuid.uuid4().hex, train(df, doc, text, lang, **how)))
     at = df.columns.index(text)
 
     def keep(batches):
-        scorer = Scorer(learnt.value)
+        scorer = scorer_of(learnt)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
+            found = [f for part in _parts(batch.column(at)) for f in scorer.predict(part)]
             yield batch.filter(pa.array([f[0] != UNDETERMINED and f[1] >= least for f in found], pa.bool_()))
 
     return df.mapInArrow(keep, df.schema)
