@@ -34,6 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Folders that this process has written, until they are dropped.
+WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
@@ -43,9 +47,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexigrid/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the folders of all cuts after the first ``keep``, for when no DataFrame reads them any more."""
+    jvm = spark.sparkContext._jvm
+    while len(WRITTEN) > keep:
+        where = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep an Arrow batch of whole texts small: at most ``rows`` documents at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

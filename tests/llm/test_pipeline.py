@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lexigrid.llm import decontaminate, mixing, simhash
-from lexigrid.llm.shared import table
+from lexigrid.llm.shared import WRITTEN, cut, drop_cuts, table
 
 
 def test_stages_take_effect(spark, sf):
@@ -40,3 +40,14 @@ def test_run_gives_the_tokens_of_the_mix(spark, sf):
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [2]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_cuts_can_be_dropped(spark):
+    import os
+
+    kept = len(WRITTEN)
+    df = cut(spark.range(5).toDF("id"), "test")
+    where = WRITTEN[-1].removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(where)
+    drop_cuts(spark, kept)
+    assert not os.path.exists(where) and len(WRITTEN) == kept
