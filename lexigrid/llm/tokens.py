@@ -14,10 +14,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ END_ID = 2
 BLOCK = 512
 #: Ids in a segment, about: a segment closes with the document that reaches it.
 SEGMENT = 1 << 20
-#: Words that an encoder remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 48
+#: Words, and parts of words, that an encoder remembers in each of two ages, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 48
 
 
 def dac_encode(ids: np.ndarray) -> list[dict[str, bytes]]:
@@ -72,15 +74,46 @@ def dac_get(levels, i: int) -> int:
     return value
 
 
+def byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes for themselves, the rest from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
+BYTE_CHARS = byte_chars()
+SPACE = BYTE_CHARS[0x20]
+
+
+class Memory(dict):
+    """A bounded dictionary that makes what it lacks; what was not asked for in a while is forgotten."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None) or self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= LONGEST:
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of texts as little-endian uint32 bytes, with a bounded memory of words.
+    """Ids of texts as little-endian uint32 bytes, with a bounded memory of words and their parts.
 
     The byte-level vocabulary never joins a word to the space after it. So a text falls into a first
     word and words with a space before them, each encoded alone, unless a space stands beside other
-    white space or a special token may occur; such a text goes to the library whole.
+    white space or a special token may occur; such a text goes to the library whole. Words of Latin-1
+    characters fall further into the parts that the vocabulary's pattern names.
     """
 
     HARD = re.compile(r" (?:\s|\Z)")
+    PLAIN = re.compile(r" ?[!-~\nÀ-ÖØ-öø-ÿ]+")
+    PARTS = regex.compile(public_tokenizers.PATTERN)
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -88,35 +121,56 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            if self.HARD.search(t) or any(s in t for s in self.special):
-                split.append(None)
-                continue
-            split.append(t.split(" "))
-        for memory, asked, space in ((self.known, {w for words in split if words for w in words[1:]}, " "), (self.first, {words[0] for words in split if words}, "")):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            new = [w for w in asked if w not in memory and len(w) <= LONGEST]
-            memory.update(zip(new, self._library([space + w for w in new])))
-        out: list[bytes] = []
-        for t, words in zip(texts, split):
-            if words is None:
-                out += self._library([t])
-                continue
-            parts = [self.first.get(words[0]), *map(self.known.get, words[1:])]
-            if None in parts:  # long words are encoded in place and not remembered
-                for i in (i for i, p in enumerate(parts) if p is None):
-                    parts[i] = self._library([words[i] if i == 0 else " " + words[i]])[0]
-            out.append(b"".join(parts))
-        return out
+        self.model = self.library.model
+        self.parts = Memory(self._part, REMEMBERED)
+        self.words = Memory(self._word, REMEMBERED)
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """A part's ids straight from the library's model, which sees bytes as BYTE_CHARS."""
+        if part.isascii() and part.replace(" ", "", 1).isalnum():
+            seen = part.replace(" ", SPACE)
+        else:
+            seen = part.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with the space before it."""
+        if word.isalpha() and (word.isascii() or self.PLAIN.fullmatch(word)):
+            return self._part(" " + word)
+        body, last = word[:-1], word[-1:]
+        if last in STOPS and body.isalpha() and (body.isascii() or self.PLAIN.fullmatch(body)):
+            return self.words[body] + self.parts[last]
+        return self._pieces(" " + word)
+
+    def _pieces(self, text: str) -> bytes:
+        if not self.PLAIN.fullmatch(text):
+            return self._library(text)
+        return b"".join([self.words[p[1:]] if p[0] == " " and p[1:].isalpha() else self.parts[p] for p in self.PARTS.findall(text)])
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.HARD.search(text) or any(s in text for s in self.special):
+            return self._library(text)
+        words = text.split(" ")
+        first = words.pop(0)
+        return (self._pieces(first) if first else b"") + b"".join(map(self.words.__getitem__, words))
+
+
+#: What most often ends a word, and is always a part of its own there.
+STOPS = frozenset(".,")
+
+#: Encoders outlive a task in the worker that runs it.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 LEVELS = "array<struct<chunks:binary,marks:binary,ranks:binary>>"
@@ -127,7 +181,7 @@ def _write(path: str):
     level_type = pa.list_(pa.struct([("chunks", pa.binary()), ("marks", pa.binary()), ("ranks", pa.binary())]))
 
     def write(batches):
-        encoder, part, start = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, start = encoder_of(path), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], dtype="<u4").tobytes()
         docs, pieces, held = [], [], 0
 
@@ -137,7 +191,8 @@ def _write(path: str):
             return pa.RecordBatch.from_arrays(arrays, ["part", "start_in_part", "n_tokens", "docs", "counts", "levels"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column("doc").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
+                ids = encoder.encode(text.as_py())
                 docs.append(doc)
                 pieces.append(ids + end)
                 held += len(ids) // 4 + 1
