@@ -57,22 +57,31 @@ def _cost(a: int, b: int, prior: float) -> float:
 
 
 def align_lengths(src: list[int], hyp: list[int]) -> list[tuple[int, int]]:
-    """Links (i, j) of the cheapest alignment; sentences without a counterpart get none."""
+    """Links (i, j) of the cheapest alignment; sentences without a counterpart get none.
+
+    Three rows of costs are held at a time, and one byte a cell for the way back.
+    """
     n, m = len(src), len(hyp)
-    best = [[math.inf] * (m + 1) for _ in range(n + 1)]
-    move: dict[tuple[int, int], tuple[int, int]] = {}
-    best[0][0] = 0.0
+    moves = list(PRIORS.items())
     a, b = [0, *_running(src)], [0, *_running(hyp)]
+    rows: list[list[float]] = []
+    ways = []
     for i in range(n + 1):
+        row, way = [math.inf] * (m + 1), bytearray(m + 1)
+        rows = [*rows[-2:], row]
         for j in range(m + 1):
-            for (di, dj), prior in PRIORS.items():
-                if di <= i and dj <= j and best[i - di][j - dj] < math.inf:
-                    c = best[i - di][j - dj] + _cost(a[i] - a[i - di], b[j] - b[j - dj], prior)
-                    if c < best[i][j]:
-                        best[i][j], move[i, j] = c, (di, dj)
+            if i == j == 0:
+                row[0] = 0.0
+                continue
+            for k, ((di, dj), prior) in enumerate(moves):
+                if di <= i and dj <= j and rows[-1 - di][j - dj] < math.inf:
+                    c = rows[-1 - di][j - dj] + _cost(a[i] - a[i - di], b[j] - b[j - dj], prior)
+                    if c < row[j]:
+                        row[j], way[j] = c, k
+        ways.append(way)
     links, i, j = [], n, m
     while i or j:
-        di, dj = move[i, j]
+        di, dj = moves[ways[i][j]][0]
         links += [(x, y) for x in range(i - di, i) for y in range(j - dj, j)][::-1]
         i, j = i - di, j - dj
     return links[::-1]
