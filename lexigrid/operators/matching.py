@@ -20,7 +20,7 @@ def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def top_per(rows: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
-    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("long"))
 
 
 def in_span(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str = "span_start", end: str = "span_end") -> DataFrame:

@@ -22,12 +22,12 @@ def document_stats(docs: DataFrame, name: str = "filename", text: str = "text")
     return body.select(
         "file",
         T.category(F.regexp_replace("file", r"\.[^./]*\z", "")).alias("disease"),
-        F.length("body").alias("characters"),
-        F.length(F.regexp_replace("body", r"\s", "")).alias("characters_no_spaces"),
-        T.line_count(F.col("body")).alias("lines"),
-        n_sent.alias("sentences"),
-        n_words.alias("words_regex"),
-        F.size(T.tokens(F.col("body"))).alias("tokens_whitespace"),
+        F.length("body").cast("long").alias("characters"),
+        F.length(F.regexp_replace("body", r"\s", "")).cast("long").alias("characters_no_spaces"),
+        T.line_count(F.col("body")).cast("long").alias("lines"),
+        n_sent.cast("long").alias("sentences"),
+        n_words.cast("long").alias("words_regex"),
+        F.size(T.tokens(F.col("body"))).cast("long").alias("tokens_whitespace"),
         F.when(n_sent > 0, F.round(n_words / n_sent, 2)).alias("avg_words_per_sentence"),
     )
 

@@ -71,7 +71,7 @@ def category_sentence_counts(spark, sf):
 
 def _lengths(spark, sf):
     parts = T.id_parts(F.concat_ws("_", "lang", "source", "doc_id"))
-    return S.table(spark, sf, "documents").select(parts[0].alias("category"), parts[1].alias("document_id"), F.length("text").alias("length"))
+    return S.table(spark, sf, "documents").select(parts[0].alias("category"), parts[1].alias("document_id"), F.length("text").cast("long").alias("length"))
 
 
 IDS = "ids AS (SELECT lang || '_' || source AS category, CAST(doc_id AS VARCHAR) AS document_id, length(text) AS length FROM documents)"
