@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.shared import ascii_lower, cut, table
 
+#: Parts that the lines of a repeated key are dealt out to, for a key that a third of all lines have.
+SALTS = 16
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -47,7 +49,9 @@ def keep_bitmaps(df: DataFrame, doc: str = "doc_id", text: str = "text", min_cha
     rows counts as one document; rows without an id count together as one, the smallest.
     """
     rows = cut(line_rows(df, doc, text, min_chars), "lines")
-    dropped = rows.join(repeated_keys(rows, min_docs), ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
+    keys = repeated_keys(rows, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int"))
+    dropped = salted.join(keys, ["h1", "h2", "salt"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
     by_doc = dropped.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("out"), F.first("n_lines").alias("n_lines"))
     before = F.concat(F.array(F.lit(-1)), F.col("out"))
     after = F.concat(F.col("out"), F.array(F.col("n_lines")))
