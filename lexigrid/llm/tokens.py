@@ -31,7 +31,7 @@ BLOCK = 512
 #: Ids in a segment, about: a segment closes with the document that reaches it.
 SEGMENT = 1 << 20
 #: Words, and parts of words, that an encoder remembers in each of two ages, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 
 
 def dac_encode(ids: np.ndarray) -> list[dict[str, bytes]]:
