@@ -1,8 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
-The first pass decides blocks on their own: containers that say what they are, link density, length
-and stop-word density make a block good or bad, and leave short and middling ones open. The second
-pass gives an open block the label of its nearest decided neighbours.
+The first pass decides blocks on their own: containers that say what they are make a block bad; a
+marked article, length, link density and stop-word density have a vote each, and short and middling
+blocks stay open. The second pass gives an open block the label of its nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -34,9 +34,11 @@ STOP_WORDS = frozenset(
     """.split()
 )
 
-#: Characters: below SHORT a block stays open, above LONG its stop words decide.
+#: Characters: below SHORT a block stays open, above LONG it has a vote for its length.
 SHORT, LONG = 70, 200
-STOP_HIGH, STOP_LOW, LINKS_HIGH = 0.32, 0.25, 0.35
+#: From STOP_HIGH on the density is a vote, below STOP_LOW a block without an article round it is weak;
+#: up to LINKS_LOW the few links are a vote, above LINKS_HIGH a block is bad.
+STOP_HIGH, STOP_LOW, LINKS_LOW, LINKS_HIGH = 0.15, 0.08, 0.1, 0.35
 
 #: Elements by what they do to a page's blocks.
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg math canvas select object audio video".split())
@@ -160,29 +162,27 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def first_pass(block: Block, marked: bool) -> str:
-    """good, bad, or open: short or near. ``marked``: the page marks its article."""
-    if block.boiler or (marked and not block.article):
+def first_pass(block: Block) -> str:
+    """good, bad, or open: short, near (one vote) or weak (hardly a stop word)."""
+    if block.boiler:
         return "bad"
     if block.linked > LINKS_HIGH * len(block.text):
         return "bad" if not block.article else "short"
     if block.heading or len(block.text) < SHORT:
         return "short"
-    if block.article:
-        return "good"
     density = stop_density(block.text)
-    if density >= STOP_HIGH and len(block.text) > LONG:
-        return "good"
-    return "near" if density >= STOP_LOW else "bad"
+    if density < STOP_LOW and not block.article:
+        return "weak"
+    votes = block.article + (density >= STOP_HIGH) + (len(block.text) > LONG) + (block.linked <= LINKS_LOW * len(block.text))
+    return "good" if votes >= 2 else "near"
 
 
-def second_pass(blocks: list[Block], marked: bool) -> None:
-    """Open blocks take the label of the nearest decided neighbours, near ones the better of two.
+def second_pass(scope: list[Block], article: bool) -> None:
+    """Open blocks take the label of the nearest decided neighbours, near ones the better of two, weak ones the worse.
 
-    Blocks in containers that name themselves boilerplate are no neighbours, and in a page that marks
-    its article only that one's blocks are; with none decided there, all stay.
+    ``scope`` is the blocks of the article or those outside it, without those in containers that name
+    themselves boilerplate. With none decided, all of an article stay, and the near ones elsewhere.
     """
-    scope = [b for b in blocks if not b.boiler and (b.article or not marked)]
     first = [b.label for b in scope]
     before, last = [], ""
     for label in first:
@@ -196,8 +196,10 @@ def second_pass(blocks: list[Block], marked: bool) -> None:
     for b, label, left, right in zip(scope, first, before, after):
         if label in ("good", "bad"):
             continue
-        if not left and not right:
-            b.label = "good" if marked or label == "near" else "bad"
+        if label == "weak":
+            b.label = "good" if left == right == "good" else "bad"
+        elif not left and not right:
+            b.label = "good" if article or label == "near" else "bad"
         elif b.heading and right:
             b.label = right
         elif not left or not right or left == right:
@@ -207,11 +209,20 @@ def second_pass(blocks: list[Block], marked: bool) -> None:
 
 
 def main_text(page: str | None) -> str:
+    """The good blocks, a line each.
+
+    On a page with weak blocks and none better, the stop words are of other languages than its own
+    or its text is a table: there the density has no say, and long blocks are good.
+    """
     blocks = blocks_of(page or "")
-    marked = any(b.article and not b.boiler for b in blocks)
     for b in blocks:
-        b.label = first_pass(b, marked)
-    second_pass(blocks, marked)
+        b.label = first_pass(b)
+    if not any(b.label in ("good", "near") for b in blocks):
+        for b in blocks:
+            if b.label == "weak":
+                b.label = "good" if len(b.text) > LONG else "short"
+    for article in (True, False):
+        second_pass([b for b in blocks if not b.boiler and b.article == article], article)
     return "\n".join(b.text for b in blocks if b.label == "good")
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -103,6 +104,23 @@ def test_stop_words_decide_unmarked_blocks():
     assert html.main_text(page(f"<div><p>{words}</p></div><div><p>{PROSE}</p></div>")) == PROSE
 
 
+def test_articles_survive_without_their_tags(spark, sf):
+    kept = total = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        marked = [x for x in html.main_text(r["html"]).split("\n") if len(x) >= html.SHORT]
+        bare = html.main_text(re.sub("</?article>", "", r["html"])).split("\n")
+        kept, total = kept + sum(x in bare for x in marked), total + len(marked)
+    assert kept >= 0.95 * total > 100
+
+
+def test_rules_judge_text_outside_the_article():
+    few = "Ware words stand here the crowd of nouns runs over many lines of print before a verb turns up in it"
+    body = f"<article><p>{PROSE}</p></article><div><p>{few}.</p><p>{PROSE} More.</p></div><div class='related'><p>{PROSE}</p></div><div><a href=1>{PROSE}</a></div><p>Short.</p>"
+    assert html.main_text(page(body)) == f"{PROSE}\n{few}.\n{PROSE} More."
+    table = " | ".join(f"cell{'abcdefgh'[i % 8]}" for i in range(60))
+    assert html.main_text(page(f"<h1>Head</h1><p>{table}</p>")) == f"Head\n{table}"
+
+
 def test_html_query_and_edges(spark, sf):
     import re
     from html import unescape
