@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency.
 
 A candidate's value is hashed; over the whole corpus each hash gets its number of distinct
-owners and repositories. A value that many owners carry is an example that was copied around;
-one that stays with a single owner and looks random is taken for live.
+owners. A value that many owners carry is an example that was copied around; one that stays with
+one or two and looks random is taken for live, however many of their documents hold it.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def spans_text(spans) -> str:
 
 
 CAND = "array<struct<kind:string,start:long,end:long,value_hash:string,random:boolean>>"
-SCANNED = f"repo string, owner string, doc bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, cands {CAND}"
+SCANNED = f"owner string, doc bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, cands {CAND}"
 
 
 def _scan(batches):
@@ -87,39 +87,38 @@ def _scan(batches):
             counts.append([sum(k == kind for k, *_ in found) for kind in BASE])
             digests.append(hashlib.sha256(spans_text([x[:3] for x in found if x[0] in BASE]).encode()).hexdigest())
             cands.append([{"kind": k, "start": s, "end": e, "value_hash": hashlib.sha256(v.encode()).hexdigest()[:32], "random": k == "pem" or looks_random(v)} for k, s, e, v in found])
-        arrays = [batch.column(c) for c in ("repo", "owner", "doc")]
+        arrays = [batch.column(c) for c in ("owner", "doc")]
         arrays += [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
         arrays += [pa.array(digests, pa.string()), pa.array(cands, cand_type)]
-        yield pa.RecordBatch.from_arrays(arrays, ["repo", "owner", "doc", "n_assign", "n_access", "n_hex", "base_sha256", "cands"])
+        yield pa.RecordBatch.from_arrays(arrays, ["owner", "doc", "n_assign", "n_access", "n_hex", "base_sha256", "cands"])
 
 
 def ownership(cands: DataFrame) -> DataFrame:
-    """value_hash, n_owners, n_repos: distinct owners and (owner, repository) pairs.
+    """value_hash, n_owners: distinct owners, null as one of them.
 
-    Three aggregations with map-side combine; a value in a third of all rows is one partial row
+    Two aggregations with map-side combine; a value in a third of all rows is one partial row
     a task by the time its own key is shuffled.
     """
-    pairs = cands.groupBy("value_hash", "owner", "repo").agg(F.lit(1).alias("one"))
-    owners = pairs.groupBy("value_hash", "owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
+    owners = cands.groupBy("value_hash", "owner").agg(F.lit(1).alias("one"))
+    return owners.groupBy("value_hash").agg(F.count("*").alias("n_owners"))
 
 
-def scan_secrets(df: DataFrame, doc: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repos: int = 50) -> DataFrame:
+def scan_secrets(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = 2) -> DataFrame:
     """One row for each row of ``df``: counts, the digest of the base spans and all spans.
 
-    A candidate whose value has over ``max_owners`` owners or ``max_repos`` repositories is an
-    example; of the others, those that look random are live. Base spans stay whatever their
+    A candidate whose value has over ``max_owners`` owners is an example, whatever the number of
+    its copies; of the others, those that look random are live. Base spans stay whatever their
     class; spans of the other kinds are added where live.
 
-    Null text counts as empty; null owners and repositories count as one owner or repository
-    each; null or repeated ids keep their rows apart; an empty table gives no rows; other
+    Null text counts as empty; null owners count as one owner; null or
+    repeated ids keep their rows apart; an empty table gives no rows; other
     columns of ``df`` are not read.
     """
     bound_batches(df.sparkSession)
-    picked = df.select(F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    picked = df.select(F.col(owner).cast("string").alias("owner"), F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     scanned = cut(picked.mapInArrow(_scan, SCANNED).withColumn("rid", F.monotonically_increasing_id()), "secrets")
-    flat = scanned.filter(F.size("cands") > 0).select("rid", "repo", "owner", F.explode("cands").alias("c")).select("rid", "repo", "owner", "c.*")
-    judged = flat.join(ownership(flat), "value_hash").withColumn("example", (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos))
+    flat = scanned.filter(F.size("cands") > 0).select("rid", "owner", F.explode("cands").alias("c")).select("rid", "owner", "c.*")
+    judged = flat.join(ownership(flat), "value_hash").withColumn("example", F.col("n_owners") > max_owners)
     judged = judged.withColumn("live", ~F.col("example") & F.col("random"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.concat_ws(":", "kind", "start", "end").alias("label"))
@@ -131,12 +130,12 @@ def scan_secrets(df: DataFrame, doc: str = "doc_id", text: str = "text", repo: s
         F.count_if("live").alias("n_live"),
         F.count_if("example").alias("n_example"),
     )
-    out = scanned.drop("cands", "repo", "owner").join(by_row, "rid", "left")
+    out = scanned.drop("cands", "owner").join(by_row, "rid", "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", blank("spans"), blank("live_spans"), zero("n_live"), zero("n_example"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document stands for a repository and its source for the owner."""
+    """A document's source stands for its owner."""
     return scan_secrets(table(spark, sf_dir, "documents"))

@@ -51,6 +51,13 @@ def test_ownership_separates_copied_from_owned(spark):
     assert got[9]["spans"] == "random:4:32" == got[9]["live_spans"] and got[9]["n_hex"] == 0
 
 
+def test_copies_within_one_owner_stay_live(spark):
+    owned = "Zx81Qw9Lk2Vb7Nm4Tp6Rs3Hd5Fg0"
+    rows = [(i, f"key {owned} end", "me" if i % 3 else "we") for i in range(120)]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r["spans"], r["live_spans"], r["n_live"], r["n_example"]) for r in got} == {("random:4:32", "random:4:32", 1, 0)}
+
+
 def test_secrets_edges(docs, no_docs):
     got = secrets.scan_secrets(docs)
     assert got.count() == len(ROWS) and {r["spans"] for r in got.collect()} == {""}
