@@ -56,13 +56,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 def _fingerprints(batches):
     for batch in batches:
         fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(fps, pa.int64())], ["doc", "fp"])
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(fps, pa.int64())], [*kept, "fp"])
 
 
-def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, fp): one row for each row of ``df``; fp as a signed long."""
+def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
+    """(doc, fp), with ``mark`` (doc, mark, fp): one row for each row of ``df``; fp as a signed long."""
     bound_batches(df.sparkSession)
-    return df.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints, "doc bigint, fp bigint")
+    marks = [F.col(mark).cast("long").alias("mark")] if mark else []
+    rows = df.select(F.col(doc).cast("long").alias("doc"), *marks, F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc bigint, mark bigint, fp bigint" if mark else "doc bigint, fp bigint")
 
 
 def block_masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -185,6 +188,13 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_links, "u bigint, v bigint")
 
 
+def groups(prints: DataFrame, least: list) -> DataFrame:
+    """(fp, label) and the aggregates ``least`` for each fingerprint of ``prints``; ``label`` is the lowest fingerprint that links reach."""
+    distinct = cut(prints.groupBy("fp").agg(*least), "simhash-distinct")
+    found = components(links(distinct.select("fp")).distinct(), "simhash-links")
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach).
 
@@ -193,9 +203,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     one); repeated rows are alike; an empty table gives no rows; other columns are not read.
     """
     prints = cut(fingerprints(df, doc, text), "simhash")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc").alias("least")), "simhash-distinct")
-    found = components(links(distinct.select("fp")).distinct(), "simhash-links")
-    labelled = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    labelled = groups(prints, [F.min("doc").alias("least")])
     lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     per_print = labelled.select("fp", "label").join(lowest, "label").select("fp", "component_id")
     out = prints.join(per_print, "fp")
@@ -203,15 +211,19 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
 
 
 def keep_one(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, whose id is the smallest of its group.
+    """One row of each group of near-duplicates, all columns: the smallest id, then the lowest hash of the text.
 
-    Of repeated rows with one id only one stays; rows without an id stay if their group has none.
+    Rows without an id come after those with one. A row is known by its id and text together, so
+    an id on two texts, or none, ties no groups together; of rows that agree in both one stays.
     """
-    groups = near_duplicates(df, doc, text)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = df.join(keep, F.col(doc).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
-    ids = df.agg(F.count("*").alias("n"), F.count_distinct(doc).alias("d")).first()
-    return kept if ids["n"] == ids["d"] else kept.dropDuplicates([doc])
+    marked = df.withColumn("__id", F.col(doc).cast("long")).withColumn("__mark", F.xxhash64(F.col(text).cast("string")))
+    order = F.struct(F.col("doc").isNull().alias("none"), F.col("doc"), F.col("mark"))
+    labelled = groups(cut(fingerprints(marked, "__id", text, "__mark"), "simhash"), [F.min(order).alias("least")])
+    keep = labelled.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.doc").alias("__kept_id"), F.col("least.mark").alias("__kept_mark"))
+    ids = marked.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
+    rows = marked if ids["n"] == ids["d"] else marked.dropDuplicates(["__id", "__mark"])
+    kept = rows.join(keep, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__mark") == F.col("__kept_mark")), "left_semi")
+    return kept.drop("__id", "__mark")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,13 @@ def test_simhash_edges(spark, docs, no_docs):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 3, 5, 6, 7, 8, None]))
 
 
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    text = lambda k: " ".join(f"{k}word{i * i % 53}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (1, text("c")), (7, text("d")), (7, text("e")), (6, text("e")), (8, text("f")), (8, text("f"))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=lambda r: r[1]) == [(None, text("a")), (None, text("b")), (1, text("c")), (7, text("d")), (6, text("e")), (8, text("f"))]
+
+
 @pytest.mark.parametrize("n", [2, 700, 10**6, 10**9, 10**12])
 def test_blocks_leave_no_pair_out(n):
     masks = simhash.block_masks(n)
