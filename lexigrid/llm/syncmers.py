@@ -4,6 +4,9 @@ A k-mer of K words is kept if the smallest of its hashed inner S-mers is the fir
 That depends on the k-mer and nothing around it, so an unchanged stretch keeps all its anchors
 wherever it stands. The fingerprint is the anchors in order of position, 32 bits each.
 
+Short texts have few k-mers of words, so theirs are of characters, and a text of middling length has both, so that
+an edit that changes the number of words leaves anchors of a kind to compare. What is taken depends on the text alone.
+
 The whole computation is a chain of array steps; each array is used by position against shifted
 copies of itself, so a text costs time in proportion to its words.
 """
@@ -17,6 +20,10 @@ from lexigrid.llm.shared import SPACE_CLASS, table
 
 #: Words in a k-mer and in an inner s-mer.
 K, S = 5, 2
+#: A text of under FEW words has anchors of characters, one of under twice as many has both kinds.
+FEW = 20
+#: A word of over LONG characters counts as its characters; of a text of under TINY characters every trigram is an anchor.
+LONG, TINY = 64, 32
 
 
 def shifted(array: str, by: int, short: int):
@@ -24,30 +31,50 @@ def shifted(array: str, by: int, short: int):
     return F.slice(array, by + 1, F.greatest(F.size(array) - short, F.lit(0)))
 
 
-def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: the anchors (array of int) of column ``text``, in order of position.
+def _fold(h):
+    return F.shiftright(h, 32).cast("int")
+
 
-    A text of fewer than K words, or whose k-mers are all open, has one anchor, the hash of all its
-    words; a text without words has none. The steps are separate projections on purpose: an array
-    that a later step uses twice is computed once.
+def _closed(df: DataFrame, hashes: str, out: str) -> DataFrame:
+    """Put ``out``, the anchors of the array ``hashes`` of units, beside it.
+
+    The steps are separate projections on purpose: an array that a later step uses twice is computed once.
     """
     keep = [F.col(f"`{c}`") for c in df.columns]
-    words = F.filter(F.split(F.col(text), SPACE_CLASS + "+"), lambda w: w != "")
-    df = df.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
     least = lambda a, b: F.least(a, b)
-    df = df.select(*keep, "__h", F.zip_with(shifted("__h", 0, 1), shifted("__h", 1, 1), lambda a, b: F.xxhash64(a, b)).alias("__g"))
-    df = df.select(*keep, "__h", "__g", F.zip_with(shifted("__g", 0, 1), shifted("__g", 1, 1), least).alias("__m2"))
-    df = df.select(*keep, "__h", "__g", F.zip_with(shifted("__m2", 0, 2), shifted("__m2", 2, 2), least).alias("__m4"))
+    df = df.select(*keep, F.zip_with(shifted(hashes, 0, 1), shifted(hashes, 1, 1), lambda a, b: F.xxhash64(a, b)).alias("__g"))
+    df = df.select(*keep, "__g", F.zip_with(shifted("__g", 0, 1), shifted("__g", 1, 1), least).alias("__m2"))
+    df = df.select(*keep, "__g", F.zip_with(shifted("__m2", 0, 2), shifted("__m2", 2, 2), least).alias("__m4"))
     ends = F.arrays_zip(
         F.col("__m4").alias("m"),
         shifted("__g", 0, 3).alias("first"),
         shifted("__g", 3, 3).alias("last"),
         shifted("__g", 2, 3).alias("middle"),
-        shifted("__h", 4, 4).alias("end"),
+        shifted(hashes, 4, 4).alias("end"),
     )
     closed = F.filter(ends, lambda x: (x["m"] == x["first"]) | (x["m"] == x["last"]))
-    fold = lambda h: F.shiftright(h, 32).cast("int")
-    df = df.select(*keep, F.transform(closed, lambda x: fold(F.xxhash64(x["first"], x["middle"], x["end"]))).alias("__a"), fold(F.xxhash64("__h")).alias("__all"), F.size("__h").alias("__n"))
+    return df.select(*keep, F.transform(closed, lambda x: _fold(F.xxhash64(x["first"], x["middle"], x["end"]))).alias(out))
+
+
+def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: the anchors (array of int) of column ``text``, those of words before those of characters, each in order of position.
+
+    A text without anchors has one, the hash of all its words; one without words has none. Characters are
+    those of the words with a space between.
+    """
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    none = F.array().cast("array<bigint>")
+    hashed = lambda units: F.transform(units, lambda u: F.xxhash64(u))
+    characters = lambda c: F.filter(F.split(c, ""), lambda u: u != "")
+    df = df.select(*keep, F.filter(F.split(F.col(text), SPACE_CLASS + "+"), lambda w: w != "").alias("__w"))
+    n = F.size("__w")
+    cut_up = F.flatten(F.transform("__w", lambda w: F.when(F.length(w) > LONG, characters(w)).otherwise(F.array(w))))
+    units = F.when(F.exists("__w", lambda w: F.length(w) > LONG), cut_up).otherwise(F.col("__w"))
+    df = df.select(*keep, F.xxhash64("__w").alias("__all"), n.alias("__n"), F.when(n >= FEW, hashed(units)).otherwise(none).alias("__h"), F.when(n < 2 * FEW, hashed(characters(F.array_join("__w", " ")))).otherwise(none).alias("__c"))
+    df = _closed(_closed(df, "__h", "__words"), "__c", "__characters")
+    trigrams = F.zip_with(F.zip_with(shifted("__c", 0, 2), shifted("__c", 1, 2), lambda a, b: F.xxhash64(a, b)), shifted("__c", 2, 2), lambda a, b: _fold(F.xxhash64(a, b)))
+    small = F.when(F.size("__c") < TINY, trigrams).otherwise(F.col("__characters"))
+    df = df.select(*keep, F.concat("__words", small).alias("__a"), _fold(F.col("__all")).alias("__all"), "__n")
     only = F.when(F.col("__n") > 0, F.array("__all")).otherwise(F.array().cast("array<int>"))
     return df.select(*keep, F.when(F.size("__a") > 0, F.col("__a")).otherwise(only).alias(out))
 

@@ -191,6 +191,16 @@ def test_syncmers_are_closed_and_context_free(spark):
     assert len(got[1]) == len(closed)
 
 
+def test_edited_short_texts_stay_alike(spark):
+    spaceless = "".join(chr(0x4E00 + i * i * 7 % 2003) for i in range(900))
+    sizes = [2, 4, 7, 12, 19, 20, 21, 39, 40, 41]
+    whole = [" ".join(f"{'abcdefgh'[(n + i * i) % 8]}or{i * n % 89}en" for i in range(n)) for n in sizes] + [spaceless]
+    after = ["xq zu " * 400]
+    rows = [(2 * i, t) for i, t in enumerate(whole)] + [(2 * i - 1, after[0]) for i in range(len(whole))]
+    got = {r["doc_id"]: r for r in syncmers.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i]["near_edited"] > 0.1 > got[2 * i]["near_next"] for i in range(len(whole)))
+
+
 def test_syncmer_edges(spark, docs, no_docs):
     got = syncmers.compare_edits(docs).collect()
     assert len(got) == len(ROWS)
