@@ -85,8 +85,9 @@ def land(sizes: list[int], probs: list[float]) -> list[int]:
     return choices[np.lexsort((miscount, np.round(off, 6)))[0]].tolist()
 
 
-def _flight(last: bool, seed: int):
+def _flight(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        last = bool(pdf["last"].iloc[0])
         pdf = pdf.sort_values(["order", "size", "rid"], kind="stable").reset_index(drop=True)
         rng = random.Random(f"{seed} {pdf['order'].iloc[0]} {len(pdf)}")
         sizes, probs = [int(s) for s in pdf["size"]], pdf["p"].tolist()
@@ -118,12 +119,12 @@ def cube_sample(units: DataFrame, seed: int = 42) -> DataFrame:
         largest = per.agg(F.max("n")).first()[0]
         if largest is None:
             break
-        last = largest <= GROUP
-        groups = F.lit(1).cast("long") if last else F.ceil(F.col("n") / GROUP).cast("long")
-        dealt = units.join(per, "sid").withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(rounds)), groups))
-        flown = cut(dealt.groupBy("sid", "bucket").applyInPandas(_flight(last, seed + rounds), "rid long, sid int, size long, order long, p double"), "cube")
+        groups = F.ceil(F.col("n") / GROUP).cast("long")
+        # a source lands in the round that it fits a group, whatever the size of the others
+        dealt = units.join(per, "sid").withColumn("last", F.col("n") <= GROUP).withColumn("bucket", F.pmod(F.xxhash64("order", F.lit(rounds)), groups))
+        flown = cut(dealt.groupBy("sid", "bucket").applyInPandas(_flight(seed + rounds), "rid long, sid int, size long, order long, p double"), "cube")
         decided.append(flown.filter((F.col("p") == 0) | (F.col("p") == 1)).select("rid", "p"))
-        if last:
+        if largest <= GROUP:
             break
         units, rounds = flown.filter((F.col("p") > 0) & (F.col("p") < 1)), rounds + 1
     if not decided:

@@ -205,6 +205,16 @@ def test_mix_in_rounds_is_balanced(spark, monkeypatch):
     assert all(abs(sum(v) - target) <= 3 for (_, target), v in by.items())
 
 
+def test_small_sources_land_well_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 50)
+    rng = random.Random(6)
+    units = [(i, 1 + (i >= 30) + (i >= 60), rng.randrange(1000, 90_000), rng.getrandbits(60), 0.37) for i in range(260)]
+    drawn = dict(mixing.cube_sample(spark.createDataFrame(units, "rid long, sid int, size long, order long, p double")).collect())
+    assert len(drawn) == 260 and set(drawn.values()) <= {0.0, 1.0}
+    for sid in (1, 2):
+        assert abs(sum(size * (drawn[rid] - p) for rid, s, size, _, p in units if s == sid)) < 500
+
+
 def test_mix_edges(spark, docs, no_docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and all(r["taken"] <= 2 * r["size"] for r in got)
