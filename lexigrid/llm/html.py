@@ -3,6 +3,7 @@
 The first pass decides blocks on their own: containers that say what they are make a block bad; a
 marked article, length, link density and stop-word density have a vote each, and short and middling
 blocks stay open. The second pass gives an open block the label of its nearest decided neighbours.
+What a container's class or id says has no say where it would leave a page without any text.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ STOP_HIGH, STOP_LOW, LINKS_LOW, LINKS_HIGH = 0.15, 0.08, 0.1, 0.35
 
 #: Elements by what they do to a page's blocks.
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg math canvas select object audio video".split())
+#: Those that swallow the rest of a page where they are not closed.
+SWALLOWS = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,6 +60,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s>/=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 PARTS = re.compile(r"[A-Za-z]+")
+#: Class names that tell a state of the element, like ``has-sidebar`` or ``comments-open``, and not what it is.
+STATE = re.compile(r"(?:has|have|is|no|not|with|without|show|hide)[-_].*|.*[-_](?:open|opened|closed|on|off|enabled|disabled|allowed|visible|active|count|left|right|layout)", re.IGNORECASE)
 
 
 @dataclass
@@ -64,22 +69,26 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     boiler: bool = False
+    named: bool = False
     article: bool = False
     heading: bool = False
     text: str = ""
     label: str = ""
 
 
-def names_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+    """By its element, or hidden."""
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
         return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    words = {w.lower() for m in NAMES.finditer(attributes) for w in PARTS.findall(m.group(2) or m.group(3) or m.group(4) or "")}
-    if tag in ("body", "html", "main"):
+    return ("hidden" in attributes.lower() or "display" in attributes.lower()) and HIDDEN.search(attributes) is not None
+
+
+def names_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+    """By the words of its class, id and role, apart from those of its state."""
+    if "=" not in attributes or tag in ("body", "html", "main"):
         return False
+    names = [n for m in NAMES.finditer(attributes) for n in (m.group(2) or m.group(3) or m.group(4) or "").split()]
+    words = {w.lower() for n in names if not STATE.fullmatch(n) for w in PARTS.findall(n)}
     return bool(words & STRONG) or (bool(words & WEAK) and not words & CONTENT and not (in_article and words & {"header"}))
 
 
@@ -87,13 +96,13 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks with text in page order, with link characters and what contains them."""
     found: list[Block] = []
     block, stack, link = Block(), [], False
-    boiler = article = 0
+    boiler = named = article = 0
 
     def flush():
         nonlocal block, link
         block.text = " ".join("".join(block.pieces).split())
         if block.text:
-            block.boiler, block.article = boiler > 0, article > 0
+            block.boiler, block.named, block.article = boiler > 0, named > 0, article > 0
             found.append(block)
         block, link = Block(), False
 
@@ -105,10 +114,11 @@ def blocks_of(page: str) -> list[Block]:
                 block.linked += len(" ".join(text.split()))
 
     def leave(to: int):
-        nonlocal boiler, article
+        nonlocal boiler, named, article
         while len(stack) > to:
-            _, b, a = stack.pop()
+            _, b, c, a = stack.pop()
             boiler -= b
+            named -= c
             article -= a
 
     at, n = 0, len(page)
@@ -125,7 +135,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
+                at = end.end() if end else n if tag in SWALLOWS else at
             continue
         if tag == "a":
             link = not closing
@@ -149,10 +159,10 @@ def blocks_of(page: str) -> list[Block]:
             leave(len(stack) - 1)
         if tag == "body":
             leave(0)
-        bad = names_boilerplate(tag, attributes, article > 0)
-        inner = tag in ("article", "main") and not bad
-        boiler, article = boiler + bad, article + inner
-        stack.append((tag, bad, inner))
+        bad, called = is_boilerplate(tag, attributes, article > 0), names_boilerplate(tag, attributes, article > 0)
+        inner = tag in ("article", "main") and not bad and not called
+        boiler, named, article = boiler + bad, named + called, article + inner
+        stack.append((tag, bad, called, inner))
     flush()
     return found
 
@@ -208,24 +218,38 @@ def second_pass(scope: list[Block], article: bool) -> None:
             b.label = "good" if label == "near" else "bad"
 
 
-def main_text(page: str | None) -> str:
-    """The good blocks, a line each.
+def judged(blocks: list[Block], names: bool = True) -> str:
+    """Both passes over a page's blocks; without ``names`` those of named containers stand on their own votes.
 
     On a page with weak blocks and none better, the stop words are of other languages than its own
-    or its text is a table: there the density has no say, and long blocks are good.
+    or its text is a table: there the density has no say, and long blocks are good. On a page with short
+    blocks alone, those with few links are its text if their stop words together say so.
     """
-    blocks = blocks_of(page or "")
     for b in blocks:
-        b.label = first_pass(b)
-    if not any(b.label in ("good", "near") for b in blocks):
-        for b in blocks:
-            if b.label == "weak":
-                b.label = "good" if len(b.text) > LONG else "short"
+        b.label = "bad" if names and b.named else first_pass(b)
+        if b.named and b.label == "short":
+            b.label = "bad"
+    free = [b for b in blocks if not b.boiler and not (names and b.named)]
+    if not any(b.label in ("good", "near") for b in free):
+        weak = [b for b in free if b.label == "weak"]
+        for b in weak:
+            b.label = "good" if len(b.text) > LONG else "short"
+        short = [b for b in [b for b in free if b.article] or free if b.label == "short" and b.linked <= LINKS_HIGH * len(b.text)]
+        if not any(b.label == "good" for b in free) and (weak or stop_density(" ".join(b.text for b in short)) >= STOP_LOW):
+            for b in short:
+                b.label = "good"
     for article in (True, False):
-        second_pass([b for b in blocks if not b.boiler and b.article == article], article)
+        second_pass([b for b in free if b.article == article], article)
     return "\n".join(b.text for b in blocks if b.label == "good")
 
 
+def main_text(page: str | None) -> str:
+    """The good blocks, a line each; where the names of containers leave none, the passes go without them."""
+    blocks = blocks_of(page or "")
+    text = judged(blocks)
+    return text if text or not any(b.named for b in blocks) else judged(blocks, names=False)
+
+
 def _extract(batches):
     for batch in batches:
         texts = [main_text(h) for h in batch.column("html").to_pylist()]

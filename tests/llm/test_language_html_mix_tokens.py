@@ -121,6 +121,40 @@ def test_rules_judge_text_outside_the_article():
     assert html.main_text(page(f"<h1>Head</h1><p>{table}</p>")) == f"Head\n{table}"
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        f'<article class="post comments-open"><p>{PROSE}</p></article>',
+        f'<div class="layout has-sidebar"><article><p>{PROSE}</p></article></div>',
+        f"<video src=x><p>{PROSE}</p>",
+        f"<svg><select><p>{PROSE}</p>",
+        f'<div class="sidebar"><p>{PROSE} {PROSE} {PROSE}</p></div>',
+    ],
+)
+def test_names_and_open_elements_do_not_empty_a_page(source):
+    assert html.main_text(page(source)).startswith(PROSE)
+
+
+def test_named_containers_go_where_there_is_other_text():
+    for name in ("comments", "ad", "cookie-banner", "related posts", "sidebar"):
+        assert html.main_text(page(f'<div><p>{PROSE}</p></div><div class="{name}"><p>{PROSE} Not this.</p></div>')) == PROSE
+
+
+def test_pages_without_article_elements_keep_their_text(sf):
+    """The rules decide each block: the article's own element may be absent."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist()
+    same = empty = 0
+    for source in pages:
+        marked, bare = html.main_text(source), html.main_text(re.sub(r"<(/?)article\b", r"<\1div", source))
+        same += marked == bare
+        empty += bool(marked) and not bare
+    assert same >= 0.95 * len(pages) and empty == 0
+
+
 def test_html_query_and_edges(spark, sf):
     import re
     from html import unescape
