@@ -223,7 +223,7 @@ def judged(blocks: list[Block], names: bool = True) -> str:
 
     On a page with weak blocks and none better, the stop words are of other languages than its own
     or its text is a table: there the density has no say, and long blocks are good. On a page with short
-    blocks alone, those with few links are its text if their stop words together say so.
+    blocks alone, those with few links are its text if a heading or their stop words together say so.
     """
     for b in blocks:
         b.label = "bad" if names and b.named else first_pass(b)
@@ -235,7 +235,7 @@ def judged(blocks: list[Block], names: bool = True) -> str:
         for b in weak:
             b.label = "good" if len(b.text) > LONG else "short"
         short = [b for b in [b for b in free if b.article] or free if b.label == "short" and b.linked <= LINKS_HIGH * len(b.text)]
-        if not any(b.label == "good" for b in free) and (weak or stop_density(" ".join(b.text for b in short)) >= STOP_LOW):
+        if not any(b.label == "good" for b in free) and (weak or any(b.heading for b in short) or stop_density(" ".join(b.text for b in short)) >= STOP_LOW):
             for b in short:
                 b.label = "good"
     for article in (True, False):
