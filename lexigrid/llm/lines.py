@@ -1,21 +1,19 @@
 """Line deduplication over range-partitioned hashes; documents get keep bitmaps, not new texts.
 
-Only DataFrame functions run here. Lines become 128-bit hashes of their keys once, in one pass
-over the texts. The hashes are range-partitioned by hash and document, which also splits a line
-that a third of all documents hold, sorted by document and position, and streamed: each partition
-gives a partial row a key, so that what meets for a key is a few sums. The lines of repeated keys
-then come back as run lengths of kept lines, in order of position, one small row a document.
+Only DataFrame functions run here. Lines become 128-bit hashes of their keys once, in one pass over the
+texts. The hashes are range-partitioned by key and sorted by document and position behind the key, largest document
+first, and each partition is streamed in that order: the first document of a key keeps its lines, those after it
+lose theirs if there are enough of them. A key that many rows have is known beforehand, with its largest document,
+and its rows are ranges of their own. What was dropped comes back as run lengths of kept lines, one small row a document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import ascii_lower, cut, table
+from lexigrid.llm.shared import HOT, ascii_lower, cut, hot_keys, table
 
-#: Parts that the lines of a repeated key are dealt out to, for a key that a third of all lines have.
-SALTS = 16
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -34,11 +32,30 @@ def line_rows(df: DataFrame, doc: str, text: str, min_chars: int) -> DataFrame:
     return rows.select("doc", "text_hash", "n_lines", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
-def repeated_keys(rows: DataFrame, min_docs: int) -> DataFrame:
-    """(h1, h2, keeper): keys that at least ``min_docs`` documents hold, and the largest of those."""
-    streamed = rows.select("h1", "h2", "doc", "pos").repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", F.col("doc").desc(), "pos")
-    held = streamed.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("first_pos"))
-    return held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+def frequent_keys(rows: DataFrame) -> DataFrame:
+    """(h1, h2, shards, hot_docs, hot_keeper) of the fewer than HOT keys that over one row in HOT has."""
+    total = rows.count()
+    hot = hot_keys(rows, ["h1", "h2"], total, F.max("doc").alias("hot_keeper")).withColumn("shards", F.ceil(F.col("times") / max(1, total // HOT)))
+    held = rows.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
+    return hot.join(held.groupBy("h1", "h2").agg(F.count("*").alias("hot_docs")), ["h1", "h2"]).select("h1", "h2", "shards", "hot_docs", "hot_keeper")
+
+
+def dropped_lines(rows: DataFrame, frequent: DataFrame, min_docs: int) -> DataFrame:
+    """The rows of keys that at least ``min_docs`` documents hold, but those of the largest of the documents.
+
+    One range exchange by key (and shard, for a frequent key) and one sort by (key, document from the largest, position) carry
+    all of it: ``turn`` numbers a key's documents in that order, so the first occurrences have turn 1.
+    """
+    known = rows.join(F.broadcast(frequent), ["h1", "h2"], "left")
+    shard = F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc", "pos"), F.col("shards"))).cast("int")
+    ranged = known.withColumn("shard", shard).repartitionByRange("h1", "h2", "shard")
+    stream = Window.partitionBy("h1", "h2", "shard").orderBy(F.col("doc").desc_nulls_last(), "pos")
+    key = stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fresh = F.when((F.row_number().over(stream) == 1) | ~F.col("doc").eqNullSafe(F.lag("doc").over(stream)), 1).otherwise(0)
+    streamed = ranged.withColumn("fresh", fresh).withColumn("turn", F.sum("fresh").over(stream)).withColumn("n_docs", F.sum("fresh").over(key))
+    rare = (F.col("n_docs") >= min_docs) & (F.col("turn") > 1)
+    often = (F.col("hot_docs") >= min_docs) & ~F.col("doc").eqNullSafe(F.col("hot_keeper"))
+    return streamed.filter(F.when(F.col("shards").isNull(), rare).otherwise(often)).select("doc", "text_hash", "n_lines", "pos")
 
 
 def keep_bitmaps(df: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -49,9 +66,7 @@ def keep_bitmaps(df: DataFrame, doc: str = "doc_id", text: str = "text", min_cha
     rows counts as one document; rows without an id count together as one, the smallest.
     """
     rows = cut(line_rows(df, doc, text, min_chars), "lines")
-    keys = repeated_keys(rows, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int"))
-    dropped = salted.join(keys, ["h1", "h2", "salt"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
+    dropped = dropped_lines(rows, cut(frequent_keys(rows), "lines-frequent"), min_docs)
     by_doc = dropped.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("out"), F.first("n_lines").alias("n_lines"))
     before = F.concat(F.array(F.lit(-1)), F.col("out"))
     after = F.concat(F.col("out"), F.array(F.col("n_lines")))

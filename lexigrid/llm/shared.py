@@ -25,15 +25,45 @@ def ascii_lower(column):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary one is set.
+    Only where the session names none and all runs in one process (tests) a temporary one is set; with
+    executors elsewhere it would be another folder for each.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: A key with over one part in HOT of all rows is hot, so that there are fewer than HOT such keys at any size.
+HOT = 512
+
+
+def join_spread(big: DataFrame, per_key: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
+    """Inner join with a table of one row a key, whose ``times`` says how many rows of ``big`` have it.
+
+    Keys that ``total`` / HOT rows or more have are fewer than HOT and go to the rows of ``big`` by broadcast, where those
+    stand; all others meet in a shuffle, in which no key is large. ``big`` is read twice.
+    """
+    limit = max(1, total // HOT)
+    hot = F.broadcast(per_key.filter(F.col(times) > limit))
+    cold = big.join(F.broadcast(per_key.filter(F.col(times) > limit).select(*keys)), keys, "left_anti").join(per_key.filter(F.col(times) <= limit), keys)
+    return big.join(hot, keys).unionByName(cold)
+
+
+def hot_keys(rows: DataFrame, keys: list[str], total: int, *aggregates) -> DataFrame:
+    """(keys, times, aggregates) of the keys that over ``total`` / HOT rows have, fewer than HOT.
+
+    Rows are counted by 65,536 slots of the key's hash first, so that only the keys of crowded slots are counted on their own.
+    """
+    limit, slot = max(1, total // HOT), F.pmod(F.xxhash64(*keys), F.lit(1 << 16))
+    crowded = rows.groupBy(slot.alias("__slot")).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select("__slot")
+    seen = rows.withColumn("__slot", slot).join(F.broadcast(crowded), "__slot", "left_semi")
+    return seen.groupBy(*keys).agg(F.count("*").alias("times"), *aggregates).filter(F.col("times") > limit)
+
+
 #: Folders that this process has written, until they are dropped.
 WRITTEN: list[str] = []
 

@@ -107,6 +107,26 @@ def test_line_plan_has_no_python(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_line_plan_streams_sorted_ranges(spark, sf):
+    """One range exchange by key and one sort behind it by document and position; the windows need no other."""
+    rows = lines.line_rows(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", 20)
+    plan = lines.dropped_lines(rows, lines.frequent_keys(rows), 3)._jdf.queryExecution().executedPlan().toString().split("RepartitionByExpression")[0]
+    node = [x for x in plan.split("\n") if re.search(r"(Window|Sort|Exchange) ", x) and "BroadcastExchange" not in x]
+    first = next(i for i, x in enumerate(node) if "Exchange rangepartitioning(h1" in x)
+    assert re.search(r"Sort \[h1#\S+ ASC NULLS FIRST, h2#\S+ ASC NULLS FIRST, shard#\S+ ASC NULLS FIRST, doc#\S+ DESC NULLS LAST, pos", node[first - 1])
+    assert first >= 3 and all("Window [" in x for x in node[: first - 1])
+
+
+def test_frequent_keys_are_split(spark):
+    """A line that two thirds of all rows hold is dealt out to shards and loses nothing."""
+    rows = [(i, f"{LINE}\nown line number {i} of a document") for i in range(3000)] + [(i, LINE) for i in range(3000, 6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    frequent = lines.frequent_keys(lines.line_rows(df, "doc_id", "text", 20)).collect()
+    assert [(r["hot_docs"], r["hot_keeper"]) for r in frequent] == [(6000, 5999)] and frequent[0]["shards"] > 100
+    got = lines.apply_bitmaps(df, lines.keep_bitmaps(df))
+    assert got.filter("n_dropped = 1").count() == 5999 and got.filter("n_dropped = 0").first()["doc_id"] == 5999
+
+
 @pytest.mark.parametrize("url, host, path", [
     (None, "", ""), ("", "", ""), ("no scheme/x", "", ""), ("http://A.Com", "a.com", ""), ("http://a.com?x=/y", "a.com", ""),
     ("http://É.com/Ä?b#c", "É.com", "/Ä"), ("a://b://c/d", "b:", "//c/d"), ("http://#x", "", ""),
