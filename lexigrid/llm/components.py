@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import cut
+from lexigrid.llm.shared import cut, join_spread
 
 
-def _lowest(pairs: DataFrame) -> DataFrame:
-    """u, v with the lowest neighbour m of u, u itself included. The minimum combines map-side."""
-    m = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return pairs.join(m, "u")
+def _lowest(pairs: DataFrame, total: int) -> DataFrame:
+    """u, v with the lowest neighbour m of u, u itself included. The minimum combines map-side, and the hub of a star
+    is met by broadcast."""
+    m = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("times"))
+    return join_spread(pairs, m, ["u"], "times", total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _lowest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _lowest(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    met = _lowest(down).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    met = _lowest(down, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = down.groupBy("u").agg(F.min("v").alias("v"))
     return met.unionByName(own).filter("u <> v")
 
@@ -40,4 +41,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if check["n"] == 0 or (check["n"], check["h"]) == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         seen = (check["n"], check["h"])
-        edges = cut(_small_star(_large_star(edges).distinct()).distinct(), name)
+        large = cut(_large_star(edges, check["n"]).distinct(), name)
+        edges = cut(_small_star(large, check["n"]).distinct(), name)

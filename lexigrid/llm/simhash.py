@@ -1,11 +1,12 @@
-"""SimHash near-duplicates: pivot distance tables discard pairs, the rest is verified bit by bit.
-
-Fingerprints are made distinct first, so that copies cost one row. Equal blocks of bits bring
-together every two fingerprints within the radius (pigeonhole: with ``radius`` differing bits
-and more blocks than that, the others agree). Within such a bucket a table of Hamming distances
-to fixed reference fingerprints discards pairs whose coordinates differ by over the radius (the
-triangle inequality), and the survivors are compared exactly. A bucket of any size is dealt out
-as tiles of bounded size, and a tile passes on a spanning forest of its links, not its pairs.
+"""SimHash near-duplicates: pivot distance tables choose pairs and discard them, the rest is verified bit by bit.
+
+Fingerprints are made distinct first, so that copies cost one row, and each gets its row of the pivot table once: its Hamming
+distances to fixed reference fingerprints. Equal blocks of bits bring together every two fingerprints within the
+radius (pigeonhole: with ``radius`` differing bits and more blocks than that, the others agree). A bucket is
+ordered by the pivot table: only fingerprints within the radius of each other on the first pivot make a pair (the triangle
+inequality), a pair is discarded where any other coordinate differs by more, and the survivors are compared exactly. A bucket that is too
+large is split by blocks of the bits that it does not have in common yet, as often as it takes, which loses no pair.
+What a bucket passes on is a spanning forest of its links, not its pairs.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm.components import components
-from lexigrid.llm.shared import ASCII_LOWER, bound_batches, cut, table
+from lexigrid.llm.shared import ASCII_LOWER, HOT, bound_batches, cut, free_name, join_spread, table
 
 RADIUS = 4
 #: Reference fingerprints: hashes of their own number, the same for every corpus.
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i) for i in range(24)], dtype=np.uint64)
-#: A bucket of over this many fingerprints is dealt out as tiles of two chunks of half the size.
-TILE = 2048
+#: A bucket of over this many fingerprints is split. As they are distinct, one whose fingerprints have all but 11 bits in common never is.
+MOST = 2048
+#: Blocks that a split makes of the bits left: two fingerprints within the radius agree on two of six.
+SPLIT = 6
 #: Shingles whose bits are summed at once.
 PART = 1 << 15
 
@@ -91,28 +94,42 @@ def _signed(x: int) -> int:
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Hamming distances of every fingerprint to every pivot, a row for each pivot."""
-    return np.stack([np.bitwise_count(fps ^ p) for p in PIVOTS]).astype(np.int8)
+    """Hamming distances of every fingerprint to every pivot, a row for each fingerprint."""
+    return np.stack([np.bitwise_count(fps ^ p) for p in PIVOTS], axis=1).astype(np.uint8)
 
 
-def linked(run: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def _tabulate(batches):
+    for batch in batches:
+        fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(PIVOTS)), len(fps), [None, pa.py_buffer(pivot_table(fps).tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), rows.cast(pa.binary())], ["fp", "pivots"])
+
+
+def _coordinates(column) -> np.ndarray:
+    fixed = column.cast(pa.binary(len(PIVOTS)))
+    data = np.frombuffer(fixed.buffers()[1], dtype=np.uint8) if len(fixed) else np.empty(0, dtype=np.uint8)
+    return data.reshape(-1, len(PIVOTS))[fixed.offset : fixed.offset + len(fixed)]
+
+
+def linked(run: np.ndarray, fps: np.ndarray, coordinates: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (child, root) of the links within each run of equal ``run`` values.
 
-    Fingerprints stand in runs; the k-th round compares each with the k-th after it.
+    A run is in order of its first pivot coordinate, so those that can be in reach of a fingerprint there stand next
+    after it; the k-th round takes each with the k-th after it.
     """
     n = len(fps)
     label = np.arange(n)
     none = np.empty(0, dtype=np.int64)
     if n < 2:
         return none, none
-    coordinates = pivot_table(fps)
-    ends = np.searchsorted(run, run, side="right")
-    left = ends - np.arange(n)
+    place = run.astype(np.int64) * 256 + coordinates[:, 0]
+    left = np.searchsorted(place, place + radius, side="right") - np.arange(n)
+    others = np.ascontiguousarray(coordinates.T[1:]).astype(np.int16)
     held_a, held_b, held = [], [], 0
     at, k = np.flatnonzero(left > 1), 1
     while at.size:
         a, b = at, at + k
-        for row in coordinates:
+        for row in others:
             ok = np.abs(row[a] - row[b]) <= radius
             a, b = a[ok], b[ok]
         ok = np.bitwise_count(fps[a] ^ fps[b]) <= radius
@@ -148,51 +165,91 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _links(batches):
-    """Sorted (bucket, fp) batches to forest edges; a run that a batch breaks off is held over."""
-    held_key, held_fp = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    """Batches sorted by (bucket, pivots) to forest edges; a bucket that a batch breaks off is held over."""
+    held = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty((0, len(PIVOTS)), dtype=np.uint8))
 
-    def done(key, fps):
+    def done(key, fps, coordinates):
         run = np.zeros(len(key), dtype=np.int64)
         run[1:] = np.cumsum(key[1:] != key[:-1])
-        child, root = linked(run, fps)
+        child, root = linked(run, fps, coordinates)
         return pa.RecordBatch.from_arrays([pa.array(fps[child].view(np.int64)), pa.array(fps[root].view(np.int64))], ["u", "v"])
 
     for batch in batches:
-        key = np.concatenate([held_key, batch.column("bucket").to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([held_fp, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
+        new = (batch.column("bucket").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), _coordinates(batch.column("pivots")))
+        held = tuple(np.concatenate(x) for x in zip(held, new))
+        key = held[0]
         if not len(key):
             continue
         at = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
         if at:
-            yield done(key[:at], fps[:at])
-        held_key, held_fp = key[at:], fps[at:]
-    if len(held_key):
-        yield done(held_key, held_fp)
+            yield done(*(x[:at] for x in held))
+            held = tuple(x[at:] for x in held)
+    if len(held[0]):
+        yield done(*held)
+
+
+def split_masks(left: int) -> list[int]:
+    """The bits to keep, for each way to choose two of the SPLIT blocks of the bits ``left``."""
+    bits = [1 << k for k in range(64) if left >> k & 1]
+    edges = [round(len(bits) * i / SPLIT) for i in range(SPLIT + 1)]
+    blocks = [sum(bits[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+    return [sum(kept) for kept in combinations(blocks, SPLIT - RADIUS)]
 
 
-def links(fps: DataFrame) -> DataFrame:
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = a * np.uint64(0x9E3779B97F4A7C15) + b
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
+
+
+def _split(batches):
+    """Each row of a crowded bucket to its buckets of the next level."""
+    for batch in batches:
+        bucket, fps, left = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("bucket", "fp", "left"))
+        for one in np.unique(left):
+            rows = np.flatnonzero(left == one)
+            for j, kept in enumerate(split_masks(int(one))):
+                key = _mixed(_mixed(bucket[rows], fps[rows] & np.uint64(kept)), np.full(len(rows), j, dtype=np.uint64)).view(np.int64)
+                rest = np.full(len(rows), _signed(int(one) & ~kept), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("fp").take(pa.array(rows)), batch.column("pivots").take(pa.array(rows)), pa.array(rest)], ["bucket", "fp", "pivots", "left"])
+
+
+def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fps(fp)`` that connect all those within RADIUS.
 
-    The edges span the same components as all links do. A bucket key is a 64-bit hash of table
-    and kept bits (and tile); should two meet, a run only holds more fingerprints to compare.
+    The edges span the same components as all links do. A bucket key is a 64-bit hash of table and kept bits; should
+    two meet, a run only holds more fingerprints to compare. Buckets of over ``most`` are split again and again.
     """
     masks = block_masks(fps.count())
-    rows = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])).alias("bucket"))
-    size = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = cut(rows.join(size, "bucket"), "simhash-buckets")
-    chunks = F.ceil(F.col("size") / (TILE // 2)).cast("long")
-    mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks"))
-    hot = rows.filter(F.col("size") > TILE).withColumn("chunks", chunks).withColumn("mine", mine)
-    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.xxhash64(F.col("bucket"), F.least(F.col("mine"), j), F.greatest(F.col("mine"), j)))
-    dealt = rows.filter(F.col("size") <= TILE).select("bucket", "fp").unionByName(hot.select(F.explode(tiles).alias("bucket"), "fp"))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_links, "u bigint, v bigint")
+    tabled = cut(fps.mapInArrow(_tabulate, "fp bigint, pivots binary"), "simhash-pivots")
+    every = (1 << 64) - 1
+    homes = F.array(*[F.struct(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("bucket"), F.lit(_signed(every & ~m)).alias("left")) for t, m in enumerate(masks)])
+    rows = tabled.select("fp", "pivots", F.explode(homes).alias("home")).select("home.bucket", "fp", "pivots", "home.left")
+    shape, edges, level = "bucket bigint, fp bigint, pivots binary, left bigint", None, 0
+    while True:
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
+        crowded = cut(sizes.filter(F.col("size") > most), "simhash-crowded")
+        told = crowded.agg(F.count("*").alias("n"), F.sum("size").alias("rows")).first()
+        calm = rows
+        if told["n"]:
+            top = F.broadcast(crowded.filter(F.col("size") > told["rows"] // HOT).select("bucket"))
+            calm = rows.join(top, "bucket", "left_anti").join(crowded.select("bucket"), "bucket", "left_anti")
+        found = calm.repartition("bucket").sortWithinPartitions("bucket", "pivots").mapInArrow(_links, "u bigint, v bigint")
+        edges = found if edges is None else edges.unionByName(found)
+        if not told["n"]:
+            return edges
+        level += 1
+        rows = cut(join_spread(rows, crowded, ["bucket"], "size", told["rows"]).select("bucket", "fp", "pivots", "left").mapInArrow(_split, shape), f"simhash-level-{level}")
 
 
 def groups(prints: DataFrame, least: list) -> DataFrame:
-    """(fp, label) and the aggregates ``least`` for each fingerprint of ``prints``; ``label`` is the lowest fingerprint that links reach."""
-    distinct = cut(prints.groupBy("fp").agg(*least), "simhash-distinct")
+    """(fp, label, times) and the aggregates ``least`` for each fingerprint of ``prints``; ``label`` is the lowest fingerprint that links reach."""
+    distinct = cut(prints.groupBy("fp").agg(F.count("*").alias("times"), *least), "simhash-distinct")
     found = components(links(distinct.select("fp")).distinct(), "simhash-links")
-    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return cut(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "simhash-labels")
 
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,9 +261,10 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     """
     prints = cut(fingerprints(df, doc, text), "simhash")
     labelled = groups(prints, [F.min("doc").alias("least")])
-    lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    per_print = labelled.select("fp", "label").join(lowest, "label").select("fp", "component_id")
-    out = prints.join(per_print, "fp")
+    told = labelled.agg(F.count("*").alias("fps"), F.coalesce(F.sum("times"), F.lit(0)).alias("rows")).first()
+    lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    per_print = join_spread(labelled.select("fp", "label", "times"), lowest, ["label"], "fps", told["fps"]).select("fp", "component_id", "times")
+    out = join_spread(prints, cut(per_print, "simhash-found"), ["fp"], "times", told["rows"])
     return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -216,14 +274,15 @@ def keep_one(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     Rows without an id come after those with one. A row is known by its id and text together, so
     an id on two texts, or none, ties no groups together; of rows that agree in both one stays.
     """
-    marked = df.withColumn("__id", F.col(doc).cast("long")).withColumn("__mark", F.xxhash64(F.col(text).cast("string")))
+    own_id, own_mark, kept_id, kept_mark = (free_name(df, c) for c in ("id_of_row", "mark_of_row", "id_kept", "mark_kept"))
+    marked = df.withColumn(own_id, F.col(doc).cast("long")).withColumn(own_mark, F.xxhash64(F.col(text).cast("string")))
     order = F.struct(F.col("doc").isNull().alias("none"), F.col("doc"), F.col("mark"))
-    labelled = groups(cut(fingerprints(marked, "__id", text, "__mark"), "simhash"), [F.min(order).alias("least")])
-    keep = labelled.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.doc").alias("__kept_id"), F.col("least.mark").alias("__kept_mark"))
-    ids = marked.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("d")).first()
-    rows = marked if ids["n"] == ids["d"] else marked.dropDuplicates(["__id", "__mark"])
-    kept = rows.join(keep, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__mark") == F.col("__kept_mark")), "left_semi")
-    return kept.drop("__id", "__mark")
+    labelled = groups(cut(fingerprints(marked, own_id, text, own_mark), "simhash"), [F.min(order).alias("least")])
+    keep = labelled.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.doc").alias(kept_id), F.col("least.mark").alias(kept_mark))
+    ids = marked.agg(F.count("*").alias("n"), F.count_distinct(own_id).alias("d")).first()
+    rows = marked if ids["n"] == ids["d"] else marked.dropDuplicates([own_id, own_mark])
+    kept = rows.join(keep, F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_mark) == F.col(kept_mark)), "left_semi")
+    return kept.drop(own_id, own_mark)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

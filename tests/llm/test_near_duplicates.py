@@ -60,6 +60,12 @@ def test_simhash_edges(spark, docs, no_docs):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 3, 5, 6, 7, 8, None]))
 
 
+def test_keep_one_takes_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b c", 5, 6, 7), (2, "a b c", 5, 6, 7)], "doc_id long, text string, id_of_row int, mark_of_row int, id_kept int")
+    kept = simhash.keep_one(rows)
+    assert kept.columns == rows.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c", 5, 6, 7)]
+
+
 def test_keep_one_keeps_one_row_of_each_group(spark):
     text = lambda k: " ".join(f"{k}word{i * i % 53}" for i in range(60))
     rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (1, text("c")), (7, text("d")), (7, text("e")), (6, text("e")), (8, text("f")), (8, text("f"))]
@@ -76,17 +82,44 @@ def test_blocks_leave_no_pair_out(n):
         assert any(m & flips == 0 for m in masks)
 
 
-def test_hot_bucket_keeps_every_link(spark, monkeypatch):
+@pytest.mark.parametrize("n", [6, 7, 20, 38, 51])
+def test_splits_leave_no_pair_out(n):
+    rng = np.random.default_rng(n)
+    bits = [int(b) for b in rng.choice(64, n, replace=False)]
+    masks = simhash.split_masks(sum(1 << b for b in bits))
+    assert len(masks) == 15 and all(m and m & ~sum(1 << b for b in bits) == 0 for m in masks)
+    for _ in range(300):
+        flips = sum(1 << int(b) for b in rng.choice(bits, 4, replace=False))
+        assert any(m & flips == 0 for m in masks)
+
+
+def test_pivots_choose_pairs_of_a_run():
+    """Links within runs equal all pairs compared bit by bit; runs are in order of their pivot rows."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    fps = np.unique(np.concatenate([b ^ np.array([sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(60)], dtype=np.uint64) for b in base]))
+    run, table = rng.integers(0, 3, len(fps)), simhash.pivot_table(fps)
+    order = np.lexsort((*table.T[::-1], run))
+    run, fps, table = run[order], fps[order], table[order]
+    child, root = simhash.linked(run, fps, table)
+    label = np.arange(len(fps))
+    label[child] = root
+    for r in range(3):
+        inside = np.flatnonzero(run == r)
+        want = brute_components([(int(i), int(fps[i])) for i in inside])
+        assert [want[list(inside).index(i)] for i in label[inside]] == want and len(set(want)) == len(set(label[inside]))
+
+
+def test_hot_bucket_keeps_every_link(spark):
     rng = np.random.default_rng(5)
     base = 0x0123456789ABCDEF
     fps = {base}
-    while len(fps) < 400:  # a dense group, dealt out as tiles
+    while len(fps) < 400:  # a dense group, whose buckets are split
         fps.add(base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False)))
     fps |= {int(x) for x in rng.integers(0, 2**63, 200)}
     rows = [(i, fp) for i, fp in enumerate(sorted(fps))]
-    monkeypatch.setattr(simhash, "TILE", 64)
     df = spark.createDataFrame([(simhash._signed(fp),) for _, fp in rows], "fp long")
-    found = components(simhash.links(df)).collect()
+    found = components(simhash.links(df, most=64)).collect()
     number = {simhash._signed(fp): i for i, fp in rows}
     label = {number[r["node"]]: r["label"] for r in found}
     groups = {}
