@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import bound_batches, cut, table
+from lexigrid.llm.shared import bound_batches, cut, join_spread, table
 
 #: The order of kinds among spans with the same start.
 KINDS = ("assign", "access", "hex", "vendor", "pem", "random")
@@ -29,7 +29,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: Published prefixes of vendor keys and the frame of PEM private keys.
 VENDOR = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+")
 VENDOR_HINTS = ("gh", "xox", "sk_live_", "AIza", "eyJ")
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----")
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 #: Words that only documentation puts into a credential.
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|dummy|sample|your[_-]|xxxx|12345678", re.IGNORECASE)
@@ -94,13 +94,13 @@ def _scan(batches):
 
 
 def ownership(cands: DataFrame) -> DataFrame:
-    """value_hash, n_owners: distinct owners, null as one of them.
+    """value_hash, n_owners, times: distinct owners, null as one of them, and rows.
 
     Two aggregations with map-side combine; a value in a third of all rows is one partial row
     a task by the time its own key is shuffled.
     """
-    owners = cands.groupBy("value_hash", "owner").agg(F.lit(1).alias("one"))
-    return owners.groupBy("value_hash").agg(F.count("*").alias("n_owners"))
+    owners = cands.groupBy("value_hash", "owner").agg(F.count("*").alias("times"))
+    return owners.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("times").alias("times"))
 
 
 def scan_secrets(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = 2) -> DataFrame:
@@ -118,7 +118,8 @@ def scan_secrets(df: DataFrame, doc: str = "doc_id", text: str = "text", owner:
     picked = df.select(F.col(owner).cast("string").alias("owner"), F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     scanned = cut(picked.mapInArrow(_scan, SCANNED).withColumn("rid", F.monotonically_increasing_id()), "secrets")
     flat = scanned.filter(F.size("cands") > 0).select("rid", "owner", F.explode("cands").alias("c")).select("rid", "owner", "c.*")
-    judged = flat.join(ownership(flat), "value_hash").withColumn("example", F.col("n_owners") > max_owners)
+    owned = cut(ownership(flat), "secret-owners")
+    judged = join_spread(flat, owned, ["value_hash"], "times", owned.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]).withColumn("example", F.col("n_owners") > max_owners)
     judged = judged.withColumn("live", ~F.col("example") & F.col("random"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.concat_ws(":", "kind", "start", "end").alias("label"))
