@@ -8,20 +8,20 @@ words. The probabilities are learnt by expectation-maximisation from the forward
 from __future__ import annotations
 
 import math
-import re
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrid.llm.shared import bound_batches, table
 
-#: A word is a run of letters; longer runs are taken in parts of so many letters.
-LETTERS = re.compile(r"[^\W\d_]{1,32}")
+#: A word is a run of letters, in learning and in prediction; longer runs are taken in parts of so many letters.
+LETTERS = regex.compile(r"\p{L}{1,32}")
 #: Stands before a word in the vocabulary.
 START = "▁"
 #: Of each language at most so many labelled documents are learnt from: those with the lowest hash.
@@ -172,25 +172,56 @@ def held_out(doc):
     return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sample_of(labelled: DataFrame, train_docs: int) -> DataFrame:
+    """The rows of ``labelled(doc, text, lang)`` of each language whose ids have the lowest hashes, ``train_docs`` ids at most.
+
+    A language's share of the range of hashes that should hold four times as many ids is ranked and no more, so
+    ranking is bounded at any size; only where that holds too few is the whole language ranked.
+    """
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not counts:
+        return labelled
+    hashed, wide = F.xxhash64("doc"), lambda n: min(2**63 - 1, -(2**63) + 2**64 * 4 * train_docs // n)
+
+    def ranked(limits: dict) -> dict:
+        limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang"))
+        ids = labelled.select("lang", "doc", hashed.alias("h")).filter(F.col("h") <= limit).distinct()
+        places = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc"))).filter(F.col("place") <= train_docs)
+        return {r["lang"]: (r["n"], r["most"]) for r in places.groupBy("lang").agg(F.count("*").alias("n"), F.max("h").alias("most")).collect()}
+
+    found = ranked({lang: wide(n) for lang, n in counts.items()})
+    short = {lang: 2**63 - 1 for lang, n in counts.items() if found.get(lang, (0, 0))[0] < train_docs < n}
+    if short:
+        found |= ranked(short)
+    limit = F.element_at(F.create_map(*[F.lit(x) for lang, (_, most) in found.items() for x in (lang, most)]), F.col("lang"))
+    return labelled.filter(hashed <= limit)
+
+
+def _count_words(batches):
+    """(lang, word, times) of each batch of a bounded number of characters."""
+    for batch in batches:
+        langs, at = batch.column("lang").to_pylist(), 0
+        for part in _parts(batch.column("text")):
+            found: dict[str, Counter] = defaultdict(Counter)
+            for lang, text in zip(langs[at : at + len(part)], part):
+                found[lang].update(words_of(text))
+            at += len(part)
+            rows = [(lang, w, n) for lang, words in found.items() for w, n in words.items()]
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["lang", "word", "times"])
+
+
 def train(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, vocab: str = "piece_bpe_32k.model"):
     """[(lang, pieces, probabilities, rest)] learnt from labelled rows that are not held out.
 
-    The sample is bounded by ``train_docs`` a language; which rows it has depends on their ids
-    alone. Ranking keeps at most that many rows a task and language before any shuffle.
+    The sample is bounded by ``train_docs`` ids a language; which rows it has depends on their ids alone.
     """
     labelled = df.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc")))
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc")
-    ids = labelled.select("lang", "doc").withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= train_docs)
-    limits = {r["lang"]: r["most"] for r in ids.groupBy("lang").agg(F.max(F.xxhash64("doc")).alias("most")).collect()}  # a row a language
-    if not limits:
-        return []
-    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang"))
-    sample = labelled.filter(F.xxhash64("doc") <= limit)
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,32}"), F.lit(0))).alias("word")
-    words = sample.select("lang", word).groupBy("lang", "word").agg(F.count("*").alias("times"))
+    sample = sample_of(labelled, train_docs)
+    words = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, times bigint").groupBy("lang", "word").agg(F.sum("times").alias("times")).repartition(32, "lang")
     learnt = words.groupBy("lang").applyInPandas(_learn(vocab, rounds), "lang string, pieces array<int>, probs array<double>, rest double")
-    return [(r["lang"], r["pieces"], r["probs"], r["rest"]) for r in learnt.orderBy("lang").collect()]  # a row a language
+    return sorted((r["lang"], r["pieces"], r["probs"], r["rest"]) for r in learnt.collect())  # a row a language
 
 
 class Scorer:

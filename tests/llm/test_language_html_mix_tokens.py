@@ -66,6 +66,49 @@ def test_language_query_on_held_out_rows(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_predictions_against_enumeration(spark):
+    """Languages and scores equal those of summing every segmentation of every word, letter by letter."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat on the mat", "en"), ("der hund im haus", "de"), ("le chat est la", "fr"), ("the house of man", "en"), ("das haus und er", "de"), ("la rue et le ciel", "fr")] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = language.train(df)
+    index = {p: i for i, p in enumerate(language.vocabulary())}
+    marked = language.START
+
+    def summed(word, probs, rest):
+        whole, total = marked + word, {0: 1.0}
+        for i in range(len(whole)):
+            for j in range(i + 1, len(whole) + 1) if i in total else ():
+                k = index.get(whole[i:j])
+                single = j == (2 if i == 0 else i + 1)
+                p = probs.get(k, rest) if k is not None else language.UNKNOWN if single else 0.0
+                if p:
+                    total[j] = total.get(j, 0.0) + total[i] * p
+        return total[len(whole)]
+
+    tables = [(lang, dict(zip(ids, values)), rest) for lang, ids, values, rest in learnt]
+    for r in language.identify(df).collect():
+        words = re.findall("[a-z]+", rows[r["doc_id"]][1])
+        logs = np.array([sum(np.log(summed(w, probs, rest)) for w in words) for _, probs, rest in tables])
+        assert r["lang_pred"] == tables[int(np.argmax(logs))][0] == rows[r["doc_id"]][2]
+        assert r["score"] == pytest.approx(1 / np.exp(logs - logs.max()).sum())
+
+
+@pytest.mark.parametrize("text", ["\u00b2\u00bd", "\u216b 12", "\u2460 _ \u0301", "\u200b", " "])
+def test_what_is_no_letter_has_no_language(spark, text):
+    df = spark.createDataFrame([(1, "some text", "en"), (2, text, "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df).collect()}
+    assert got == {1: "en", 2: "und"}
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    rows = [(i, "a b", "en") for i in range(3000)] + [(7, "a b", "en")] * 2000 + [(i, "x", "de") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc long, text string, lang string")
+    got = language.sample_of(df, 100)
+    assert got.filter("lang = 'de'").count() == 5 and got.filter("lang = 'en'").select("doc").distinct().count() == 100
+    least = sorted(r[0] for r in df.filter("lang = 'en'").selectExpr("xxhash64(doc)").distinct().collect())[:100]
+    assert sorted(r[0] for r in got.filter("lang = 'en'").selectExpr("xxhash64(doc)").distinct().collect()) == least
+
+
 def test_language_edges(spark, docs, no_docs):
     got = {r["doc_id"]: r for r in language.identify(docs).collect()}
     assert len(got) == len({r[0] for r in ROWS}) and {got[d]["lang_pred"] for d in (3, 4, 6)} == {"und"}
