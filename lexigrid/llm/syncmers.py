@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import SPACE_CLASS, table
+from lexigrid.llm.shared import SPACE_CLASS, free_name, table
 
 #: Words in a k-mer and in an inner s-mer.
 K, S = 5, 2
@@ -91,49 +91,57 @@ def likeness(a: str, b: str):
     return F.when(sizes == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(left, right)) / sizes)
 
 
-def range_buckets(df: DataFrame, key: str, parts: int):
-    """A column with the number of the range that ``key`` falls in, -1 for null; ``parts`` ranges at most.
+def in_order(key: str, tie: str):
+    """Text that sorts like ``key`` from the largest down, null last, then ``tie`` (both long) from the lowest up."""
+    low = F.lit(-(2**63))
+    digits = lambda c: F.lpad(F.hex(c.bitwiseXOR(low)), 16, "0")
+    down = F.coalesce(digits(F.bitwise_not(F.col(key).cast("long"))), F.lit("G"))
+    return F.concat(down, digits(F.coalesce(F.col(tie).cast("long"), F.lit(0))))
 
-    The bounds are quantiles; two levels of them keep the look-up at the root of their number.
-    """
-    found = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = sorted(set(found))
-    if not bounds:
-        return F.when(F.col(key).isNull(), -1).otherwise(F.lit(0))
-    step = max(1, round(len(bounds) ** 0.5))
-    runs = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    value = F.col(key).cast("double")
-    below = lambda array: F.size(F.filter(array, lambda b: b < value))
-    coarse = below(F.array(*[F.lit(r[-1]) for r in runs]))
-    fine = F.get(F.array(*[F.array(*map(F.lit, r)) for r in runs]), coarse)
-    return F.when(F.col(key).isNull(), -1).otherwise(coarse * step + F.coalesce(below(fine), F.lit(0)))
+
+def range_starts(order: DataFrame, parts: int) -> list[str]:
+    """Where each of at most ``parts`` ranges of the one column of ``order`` begins, apart from the first; a text a range comes to the driver."""
+    name = order.columns[0]
+    ranged = order.repartitionByRange(parts, name).groupBy(F.spark_partition_id()).agg(F.min(name).alias("least"))
+    return sorted(r["least"] for r in ranged.collect())[1:]
+
+
+def range_of(value, starts: list[str]):
+    """The number of ``starts`` that are not above ``value``. A first look at some of them leaves few to look at."""
+    if not starts:
+        return F.lit(0)
+    step = max(1, round(len(starts) ** 0.5))
+    whole = lambda texts: F.split(F.lit(",".join(texts)), ",")
+    reached = lambda array: F.size(F.filter(array, lambda x: x <= value))
+    coarse = reached(whole(starts[step - 1 :: step]))
+    return coarse * step + reached(F.slice(whole(starts), coarse * step + 1, step))
 
 
 def with_next(df: DataFrame, key: str, tie: str, columns: list[str], parts: int) -> DataFrame:
     """Add ``next_<c>`` of the next row in descending order of ``key`` (ties by ``tie``, null last); the last row's next is the first.
 
-    Rows are bucketed by range of the key. The largest key of each bucket is also sent, as a halo,
-    to the bucket above, whose last row it follows, and the largest of all to the lowest bucket. So each row is
-    shuffled once and no task sees more than a range. What comes to the driver is a key a bucket.
+    Rows are dealt out by range of that order, so one key with many rows has many ranges. The first row of a range is also sent, as a
+    halo, to the range before, whose last row it follows, and the first of all to the last range. So each row is
+    shuffled once, straight to its range, and no task sees more than one. What comes to the driver is a row a range.
     """
-    df = df.withColumn("__bucket", range_buckets(df, key, parts).cast("int"))
-    tops = sorted((r["__bucket"], r["top"]) for r in df.groupBy("__bucket").agg(F.max(key).alias("top")).collect())
-    if not tops:
-        return df.select(*[F.col(f"`{c}`") for c in df.columns if c != "__bucket"], *[F.col(f"`{c}`").alias(f"next_{c}") for c in columns])
-    halo: dict = {}
-    for (_, top), (above, _) in zip(tops, tops[1:]):
-        halo.setdefault(top, []).append(above)
-    halo.setdefault(tops[-1][1], []).append(tops[0][0])
-    none = F.array().cast("array<int>")
-    known = {k: v for k, v in halo.items() if k is not None}
-    targets = F.coalesce(F.element_at(F.create_map(*[x for k, v in known.items() for x in (F.lit(k).cast("long"), F.array(*[F.lit(b) for b in v]))]), F.col(key).cast("long")), none) if known else none
-    if None in halo:
-        targets = F.when(F.col(key).isNull(), F.array(*[F.lit(b) for b in halo[None]])).otherwise(targets)
-    places = F.concat(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("halo"))), F.transform(targets, lambda t: F.struct(t.alias("b"), F.lit(1).alias("halo"))))
-    rows = df.withColumn("__place", F.explode(places)).withColumn("__b", F.col("__place.b")).withColumn("__halo", F.col("__place.halo"))
-    order = Window.partitionBy("__b").orderBy("__halo", F.col(key).desc_nulls_last(), F.col(tie))
-    rows = rows.select("*", *[F.lead(F.col(f"`{c}`")).over(order).alias(f"next_{c}") for c in columns])
-    return rows.filter("__halo = 0").drop("__place", "__b", "__halo", "__bucket")
+    order, place, first, goal, halo = (free_name(df, c) for c in ("in_order", "range_no", "range_first", "halo_for", "is_halo"))
+    rows = df.withColumn(order, in_order(key, tie))
+    starts = range_starts(rows.select(order), parts)
+    rows = rows.withColumn(place, range_of(F.col(order), starts).cast("int"))
+    tops = sorted((r[place], r["top"]) for r in rows.groupBy(place).agg(F.min(order).alias("top")).collect())
+    before = [tops[-1][0], *(p for p, _ in tops[:-1])] if tops else []
+    listed = df.sparkSession.range(1).select(F.explode(F.split(F.lit(",".join(f"{top}:{b}" for (_, top), b in zip(tops, before))), ",")).alias(first))
+    targets = F.broadcast(listed.select(F.substring_index(first, ":", 1).alias(first), F.substring_index(first, ":", -1).try_cast("int").alias(goal)).filter(F.col(goal).isNotNull()))  # a row a range
+    found = rows.join(targets, F.col(order) == F.col(first), "left")
+    both = F.array_compact(F.array(F.struct(F.col(place).alias("at"), F.lit(0).alias("halo")), F.when(F.col(goal).isNotNull(), F.struct(F.col(goal).alias("at"), F.lit(1).alias("halo")))))
+    dealt = found.select(*[F.col(f"`{c}`") for c in df.columns], order, F.explode(both).alias(first)).withColumn(place, F.col(f"{first}.at")).withColumn(halo, F.col(f"{first}.halo")).drop(first)
+    window = Window.partitionBy(place).orderBy(halo, order)
+    dealt = dealt.repartitionById(len(starts) + 1, F.col(place))
+    return dealt.select("*", *[F.lead(F.col(f"`{c}`")).over(window).alias(f"next_{c}") for c in columns]).filter(F.col(halo) == 0).drop(place, halo, order)
+
+
+#: Bytes of text in a range, about.
+RANGE = 32 << 20
 
 
 def compare_edits(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,10 +152,9 @@ def compare_edits(df: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     other. Rows with one id follow one another by hash of the text; rows without an id come last; a
     table of one row is its own next; an empty table gives no rows; other columns are not read.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    parts = 1 + (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // RANGE
     rows = with_anchors(rows, "text", "anchors").withColumn("tie", F.xxhash64("text"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = with_next(rows, "doc_id", "tie", ["text", "anchors"], parts)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")

@@ -209,6 +209,68 @@ def test_syncmer_query(spark, sf):
         assert by_text.setdefault(t, got[d]["fingerprint"]) == got[d]["fingerprint"]
 
 
+def brute_anchors(text):
+    """The anchors by the rule, one k-mer after the other."""
+    import re
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chain(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else signed(p).to_bytes(8, "little", signed=True), seed)
+        return seed
+
+    short = lambda x: x >> 32
+
+    def closed(units):
+        h = [chain(u) for u in units]
+        out = []
+        for i in range(len(h) - 4):
+            inner = [chain(h[j], h[j + 1]) for j in range(i, i + 4)]
+            if signed(min(inner, key=signed)) in (signed(inner[0]), signed(inner[3])):
+                out.append(short(chain(inner[0], inner[2], h[i + 4])))
+        return out
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    n, found = len(words), []
+    if n >= 20:
+        found += closed([u for w in words for u in (list(w) if len(w) > 64 else [w])])
+    if n < 40:
+        letters = list(" ".join(words))
+        h = [chain(u) for u in letters]
+        found += closed(letters) if len(letters) >= 32 else [short(chain(chain(h[i], h[i + 1]), h[i + 2])) for i in range(len(h) - 2)]
+    return found or ([short(chain(*words))] if words else [])
+
+
+def brute_likeness(a, b):
+    a, b = set(a), set(b)
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_syncmer_query_against_brute_force(spark, sf):
+    rows = sorted(((d, t or "") for d, t, _, _ in documents(spark, sf)), key=lambda r: -r[0])
+    got = {r["doc_id"]: r for r in QUERIES["op6_syncmers"](spark, sf).collect()}
+    anchors = {d: brute_anchors(t) for d, t in rows}
+    hexed = lambda found: "".join(f"{x:08x}" for x in found)
+    for (d, t), (after, following) in zip(rows, rows[1:] + rows[:1]):
+        third = len(t) // 3
+        edited = brute_anchors(t[: len(t) - third] + following[:third])
+        assert (got[d]["fingerprint"], got[d]["edited_fingerprint"]) == (hexed(anchors[d]), hexed(edited))
+        assert got[d]["near_edited"] == pytest.approx(brute_likeness(anchors[d], edited))
+        assert got[d]["near_next"] == pytest.approx(brute_likeness(anchors[d], anchors[after]))
+
+
+def test_one_id_of_most_rows_has_many_ranges(spark):
+    df = spark.createDataFrame([(None, i * 7919 % 9973, i) for i in range(3000)] + [(i, 0, -i) for i in range(500)], "k long, tie long, v long")
+    starts = syncmers.range_starts(df.select(syncmers.in_order("k", "tie").alias("o")), 16)
+    sizes = [r["count"] for r in df.groupBy(syncmers.range_of(syncmers.in_order("k", "tie"), starts).alias("p")).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 900
+    got = {r["v"]: r["next_v"] for r in syncmers.with_next(df, "k", "tie", ["v"], 16).collect()}
+    order = sorted(df.collect(), key=lambda r: (r["k"] is None, -(r["k"] or 0), r["tie"]))
+    assert got == {a["v"]: b["v"] for a, b in zip(order, order[1:] + order[:1])}
+
+
 def test_syncmers_are_closed_and_context_free(spark):
     words = [f"w{i * i % 31}" for i in range(60)]
     texts = [(1, " ".join(words)), (2, " ".join(["other", "start"] + words)), (3, "a b"), (4, ""), (5, "a\tb")]
@@ -248,7 +310,7 @@ def test_syncmer_plan_has_no_python(spark, sf):
     import re
 
     plan = QUERIES["op6_syncmers"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
 
 
 @pytest.mark.parametrize("keys", [[], [None], [None, None, 3], [5, 5, 5], list(range(50)), [1, 1000, 10**15, -7, None, 2]])
