@@ -3,34 +3,40 @@
 Texts are sequences of words (runs of letters and digits, lower-cased). A document is contaminated
 by an item of m words if some stretch of it is within floor((1 - similarity) * m) word edits.
 
-The q-gram lemma names the places worth a window: with k edits an item keeps m - q + 1 - k * q of its
-q-grams, on diagonals at most 2 k apart. That many hits must fall together, which loses nothing.
-Item-sized windows at those diagonals and the items are then embedded: a CGK walk repeats or moves
-past a word by a random bit of step and word, so few edits become few differing places. In each of
-REPEATS walks the words at SAMPLED random steps are the LSH key. Windows that share a key with their
-item are verified by the exact edit distance against the stretch around them.
+A CGK walk over a sequence repeats or moves past a word by a random bit of step and word, so few edits become few
+differing places. In each of REPEATS walks the words at SAMPLED random steps are the LSH key. Items of about one length are
+a class, whose sampled steps spread over that length; the index holds the keys of a class's items for each walk. In a
+document the same walks start from every place, and windows that share a key with an item are candidates. A place
+is left out only where no item can match: where its own word is in no item, or too few words of the window are (each
+other word costs an edit). Candidates are verified by the exact edit distance against the stretch around them.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import bound_batches, table
+from lexigrid.llm.shared import bound_batches, cut, table
 
 WORD = re.compile(r"[^\W_]+")
 SIMILARITY = 0.8
-#: Items of fewer words have no five-word shingle and match nothing.
+REPEATS, SAMPLED = 32, 3
+#: A class holds items whose lengths differ by less than this factor.
+CLASS = 1.15
+#: The random bits of a walk: for so many steps (then again) and so many words, which share bits beyond that.
+STEPS, SLOTS = 128, 4096
+#: Places whose walks go together.
+TOGETHER = 60_000
+#: Items of fewer words may not differ by an edit; one of a single word must be all that a text has.
 LEAST_WORDS = 5
-REPEATS, SAMPLED = 48, 2
-#: Words in the q-grams of the lemma, at most; fewer for items that so many edits would cut up.
-LONGEST_GRAM = 4
-#: Characters of items that one broadcast block holds; larger benchmarks take several passes.
+#: Characters of items that one broadcast block holds; larger benchmarks take several passes, one after the other.
 BLOCK_CHARS = 20_000_000
 
 
@@ -42,175 +48,169 @@ def edits_allowed(m: int, similarity: float = SIMILARITY) -> int:
     return math.floor((1 - similarity) * m + 1e-9)
 
 
-def best_match(item: list, stretch: list) -> tuple[int, int, int]:
-    """(edits, start, end) of the part of ``stretch`` nearest to ``item``; the earliest, then shortest."""
-    row = [(0, j, j) for j in range(len(stretch) + 1)]
+def best_match(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
+    """(edits, start, end) of the part of ``stretch`` nearest to ``item``; the earliest, then shortest.
+
+    A cell is edits times ``one`` plus start, so a row is a few array steps: an insertion carries the least cell so far on.
+    """
+    n = len(stretch)
+    one = n + 1
+    ramp = np.arange(n + 1, dtype=np.int64) * one
+    row = np.arange(n + 1, dtype=np.int64)
     for i, word in enumerate(item, 1):
-        last, row = row, [(i, 0, 0)]
-        for j, other in enumerate(stretch, 1):
-            d, s, _ = last[j - 1]
-            a = (d + (word != other), s)
-            d, s, _ = last[j]
-            b = (d + 1, s)
-            d, s, _ = row[j - 1]
-            c = (d + 1, s)
-            d, s = min(a, b, c)
-            row.append((d, s, j))
-    return min(row, key=lambda x: (x[0], x[1], x[2]))
-
-
-def _bits(step: int, words: np.ndarray, walks: np.ndarray) -> np.ndarray:
-    """The random bit of each (walk, step, word): a 64-bit mix, the same everywhere."""
-    with np.errstate(over="ignore"):
-        x = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + walks * np.uint64(0xD6E8FEB86659FD93) + np.uint64((step + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return ((x >> np.uint64(47)) & np.uint64(1)).astype(np.int64)
-
-
-def lsh_keys(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(n, REPEATS, SAMPLED) words at the sampled steps of each walk over padded word ids ``rows``."""
-    n = len(rows)
-    walks = np.arange(REPEATS, dtype=np.uint64)[None, :]
-    share = np.random.default_rng(42).random((REPEATS, SAMPLED))
-    at = (share[None] * (1.8 * lengths)[:, None, None]).astype(np.int64)
-    out = np.zeros((n, REPEATS, SAMPLED), dtype=np.int64)
-    place = np.zeros((n, REPEATS), dtype=np.int64)
-    index, last = np.arange(n)[:, None], lengths[:, None]
-    for step in range(int(at.max()) + 1 if n else 0):
-        word = np.where(place < last, rows[index, np.minimum(place, rows.shape[1] - 1)], -1)
-        hit = at == step
-        if hit.any():
-            out[hit] = np.broadcast_to(word[:, :, None], out.shape)[hit]
-        place += np.where(word >= 0, _bits(step, np.maximum(word, 0), walks), 0)
+        here = row + one
+        here[1:] = np.minimum(here[1:], row[:-1] + one * (stretch != word))
+        here[0] = i * one
+        row = np.minimum.accumulate(here - ramp) + ramp
+    end = int(np.argmin(row))
+    return int(row[end]) // one, int(row[end]) % one, end
+
+
+def random_bits() -> np.ndarray:
+    """The bit of each walk, step and word; the same everywhere."""
+    return np.random.default_rng(42).integers(0, 2, size=(REPEATS, STEPS, SLOTS), dtype=np.uint8)
+
+
+def sampled_steps(length: int) -> np.ndarray:
+    """(REPEATS, SAMPLED) distinct steps of the walks over windows of about ``length`` words, which take about twice as many."""
+    share = np.sort(np.random.default_rng(43).random((REPEATS, SAMPLED)), axis=1)
+    return (share * (1.8 * length - SAMPLED)).astype(np.int64) + np.arange(SAMPLED)
+
+
+def walk(ids: np.ndarray, slots: np.ndarray, starts: np.ndarray, bits: np.ndarray, steps: list[int]) -> dict[int, np.ndarray]:
+    """The words at ``steps`` of one walk (whose bits these are) from each of ``starts``; ``ids`` ends in enough zeros."""
+    place, wanted, out = starts.copy(), set(steps), {}
+    for step in range(max(steps) + 1):
+        if step in wanted:
+            out[step] = ids[place]
+        place += bits[step % STEPS][slots[place]]
     return out
 
 
+def key_of(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of the sampled words, and whether all are known (0 is a word of no item, or none)."""
+    key, known = np.zeros(len(words[0]), dtype=np.uint64), np.ones(len(words[0]), dtype=bool)
+    for w in words:
+        key = (key + w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        known &= w > 0
+    return key ^ (key >> np.uint64(32)), known
+
+
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], similarity: float = SIMILARITY):
-        pairs = [(i, w) for i, t in items if len(w := words_of(t)) >= LEAST_WORDS]
-        self.ids, self.words = [p[0] for p in pairs], [p[1] for p in pairs]
+        pairs = [(i, w) for i, t in items if (w := words_of(t))]
+        self.ids = [p[0] for p in pairs]
         self.number: dict[str, int] = {}
-        for ws in self.words:
+        for _, ws in pairs:
             for w in ws:
                 self.number.setdefault(w, len(self.number) + 1)
+        self.words = [np.array([self.number[w] for w in ws], dtype=np.int64) for _, ws in pairs]
+        self.bags = [frozenset(w.tolist()) for w in self.words]
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.edits = np.array([edits_allowed(len(w), similarity) for w in self.words], dtype=np.int64)
-        self.rows = np.zeros((len(pairs), int(self.sizes.max()) if len(pairs) else 1), dtype=np.int64)
+        self.short: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
+        members = defaultdict(list)
         for r, ws in enumerate(self.words):
-            self.rows[r, : len(ws)] = [self.number[w] for w in ws]
-        self.q = np.minimum(LONGEST_GRAM, self.sizes // (self.edits + 1)) if len(pairs) else self.sizes
-        self.least = self.sizes - self.q + 1 - self.edits * self.q
-        self.keys = np.concatenate([lsh_keys(self.rows[i : i + 2000], self.sizes[i : i + 2000]) for i in range(0, len(pairs), 2000)]) if pairs else None
-        self.grams = {int(q): self._grams(int(q)) for q in np.unique(self.q)}
-
-    @staticmethod
-    def code(ids: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """A number for the q-gram at each place, and whether all its words are known.
-
-        Equal q-grams have equal numbers; that others may too costs a verification at most.
-        """
-        n = max(0, len(ids) - q + 1)
-        out, known = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
-        words = ids.astype(np.uint64)
-        for k in range(q):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
-            known &= ids[k : k + n] > 0
-        return out, known
-
-    def _grams(self, q: int):
-        codes, items, places = [], [], []
-        for r in np.flatnonzero(self.q == q):
-            c, _ = self.code(self.rows[r, : self.sizes[r]], q)
-            codes.append(c)
-            items.append(np.full(len(c), r))
-            places.append(np.arange(len(c)))
-        codes, items, places = np.concatenate(codes), np.concatenate(items), np.concatenate(places)
-        order = np.argsort(codes, kind="stable")
-        codes = codes[order]
-        distinct, first = np.unique(codes, return_index=True)
-        return distinct, np.append(first, len(codes)), items[order], places[order]
-
-    def diagonals(self, ids: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (text, item, start) whose q-gram hits reach the lemma's number within 2 k starts."""
-        found = []
-        for q, (distinct, first, items, places) in self.grams.items():
-            code, known = self.code(ids, q)
-            at = np.flatnonzero(known)
-            slot = np.minimum(np.searchsorted(distinct, code[at]), len(distinct) - 1)
-            same = distinct[slot] == code[at]
-            at, slot = at[same], slot[same]
-            times = first[slot + 1] - first[slot]
-            if not times.sum():
-                continue
-            source = np.repeat(first[slot] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            item, start, text = items[source], np.repeat(at, times) - places[source], np.repeat(text_of[at], times)
-            order = np.lexsort((start, item, text))
-            item, start, text = item[order], start[order], text[order]
-            i = np.arange(len(item))
-            j = i + self.least[item] - 1
-            ok = j < len(item)
-            i, j = i[ok], j[ok]
-            ok = (item[i] == item[j]) & (text[i] == text[j]) & (start[j] - start[i] <= 2 * self.edits[item[i]])
-            if not ok.any():
-                continue
-            cover = np.zeros(len(item) + 1, dtype=np.int64)
-            np.add.at(cover, i[ok], 1)
-            np.add.at(cover, j[ok] + 1, -1)
-            inside = np.cumsum(cover[:-1]) > 0
-            found.append(np.unique(np.stack([text[inside], item[inside], start[inside]]), axis=1))
+            if len(ws) < LEAST_WORDS:
+                self.short[len(ws)][tuple(ws.tolist())].append(r)
+            else:
+                members[int(math.log(len(ws) / LEAST_WORDS) / math.log(CLASS) + 1e-9)].append(r)
+        self.bits = random_bits() if members else None
+        self.classes = [self._class(np.array(rows)) for _, rows in sorted(members.items())]
+        self.pad = 1 + max((int(c["steps"].max()) for c in self.classes), default=0) + int(self.sizes.max(initial=0)) * 2
+
+    def _class(self, rows: np.ndarray) -> dict:
+        length = int(self.sizes[rows].min())
+        steps = sampled_steps(length)
+        pad = int(steps.max()) + 1
+        begins = np.cumsum(np.concatenate([[0], self.sizes[rows][:-1] + pad]))
+        ids = np.concatenate([np.concatenate([self.words[r], np.zeros(pad, dtype=np.int64)]) for r in rows])
+        index, maybe = [], np.zeros((REPEATS, 1 << 16), dtype=bool)
+        for r in range(REPEATS):
+            found = walk(ids, ids % SLOTS, begins, self.bits[r], steps[r].tolist())
+            key, known = key_of([found[int(t)] for t in steps[r]])
+            order = np.argsort(key[known], kind="stable")
+            keys, first = np.unique(key[known][order], return_index=True)
+            maybe[r, keys & np.uint64(0xFFFF)] = True
+            index.append((keys, np.append(first, known.sum()), rows[known][order]))
+        return {"steps": steps, "index": index, "maybe": maybe, "least": int((self.sizes - self.edits)[rows].min()), "span": int((self.sizes + self.edits)[rows].max())}
+
+    def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (item, start) whose windows share a key. ``ids`` ends in ``pad`` zeros."""
+        n = len(ids) - self.pad
+        if n <= 0 or not self.classes:
+            return (np.empty(0, dtype=np.int64),) * 2
+        held = np.concatenate([[0], np.cumsum(ids > 0)])
+        begins = np.flatnonzero(ids[:n] > 0)
+        able = [held[np.minimum(begins + c["span"], len(ids))] - held[begins] >= c["least"] for c in self.classes]
+        some = np.any(able, axis=0)
+        begins, able = begins[some], [a[some] for a in able]
+        slots, found = ids % SLOTS, []
+        for low in range(0, len(begins), TOGETHER):
+            starts = begins[low : low + TOGETHER]
+            mine = [(c, np.flatnonzero(a[low : low + TOGETHER])) for c, a in zip(self.classes, able)]
+            mine = [(c, rows) for c, rows in mine if len(rows)]
+            for r in range(REPEATS):
+                words = walk(ids, slots, starts, self.bits[r], sorted({int(t) for c, _ in mine for t in c["steps"][r]}))
+                for c, rows in mine:
+                    key, known = key_of([words[int(t)][rows] for t in c["steps"][r]])
+                    met = np.flatnonzero(known & c["maybe"][r][key & np.uint64(0xFFFF)])
+                    keys, first, items = c["index"][r]
+                    if not len(met) or not len(keys):
+                        continue
+                    slot = np.minimum(np.searchsorted(keys, key[met]), len(keys) - 1)
+                    same = keys[slot] == key[met]
+                    met, slot = met[same], slot[same]
+                    times = first[slot + 1] - first[slot]
+                    if not times.sum():
+                        continue
+                    source = np.repeat(first[slot] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                    found.append(np.stack([items[source], np.repeat(starts[rows[met]], times)]))
         if not found:
-            return (np.empty(0, dtype=np.int64),) * 3
-        return tuple(np.concatenate(found, axis=1))
-
-    def search(self, texts: list[str | None], exhaustive: bool = False) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, edits) of the best match of each contaminated text and item.
+            return (np.empty(0, dtype=np.int64),) * 2
+        return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
-        ``exhaustive`` leaves out the LSH and verifies every diagonal, for measuring recall.
-        """
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, start, end, edits) of the best match of each contaminated text and item."""
         if not self.ids:
             return []
         get = self.number.get
         numbers = [[get(w, 0) for w in words_of(t)] for t in texts]
         sizes = np.array([len(x) for x in numbers], dtype=np.int64)
-        gap = LONGEST_GRAM  # unknown words between texts, so that no q-gram spans two
-        begins = np.concatenate([[0], np.cumsum(sizes + gap)[:-1]]) if len(sizes) else sizes
-        ids = np.zeros(int((sizes + gap).sum()), dtype=np.int64)
-        text_of = np.zeros(len(ids), dtype=np.int64)
-        for t, (b, x) in enumerate(zip(begins, numbers)):
+        begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(sizes) else sizes  # a word of no item between texts
+        ids = np.zeros(int((sizes + 1).sum()) + self.pad, dtype=np.int64)
+        for b, x in zip(begins, numbers):
             ids[b : b + len(x)] = x
-            text_of[b : b + len(x) + gap] = t
-        text, item, start = self.diagonals(ids, text_of)
-        out = []
-        for low in range(0, len(text), 4000):
-            part = slice(low, low + 4000)
-            t, r, s = text[part], item[part], start[part]
-            if not exhaustive:
-                step = np.arange(self.rows.shape[1])[None, :]
-                place = s[:, None] + step
-                inside = (step < self.sizes[r][:, None]) & (place >= begins[t][:, None]) & (place < (begins + sizes)[t][:, None])
-                windows = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], 0)
-                met = (lsh_keys(windows, self.sizes[r]) == self.keys[r]).all(axis=2).any(axis=1)
-                t, r, s = t[met], r[met], s[met]
-            out.append(np.stack([t, r, s]))
-        if not out:
-            return []
-        t, r, s = np.concatenate(out, axis=1)
-        order = np.lexsort((s, r, t))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+        def matched(text: int, item: int, edits: int, first: int, last: int) -> None:
+            match = (edits, first - int(begins[text]), last - int(begins[text]))
+            best[text, item] = min(best.get((text, item), match), match)
+
+        for size, listed in self.short.items():
+            starts = {run[0] for run in listed}
+            for at in np.flatnonzero(np.isin(ids, list(starts))).tolist():
+                for item in listed.get(tuple(ids[at : at + size].tolist()), ()):
+                    text = int(np.searchsorted(begins, at, side="right")) - 1
+                    if size > 1 or sizes[text] == 1:
+                        matched(text, item, 0, at, at + size)
         done: dict[tuple[int, int], int] = {}
-        for a, b, c in zip(t[order].tolist(), r[order].tolist(), s[order].tolist()):
-            k, m, begin = int(self.edits[b]), int(self.sizes[b]), int(begins[a])
-            low, high = max(begin, c - k), min(begin + int(sizes[a]), c + m + 2 * k)
-            if done.get((a, b), -1) >= high:
+        items, starts = self.candidates(ids)
+        for item, at in zip(items.tolist(), starts.tolist()):
+            text = int(np.searchsorted(begins, at, side="right")) - 1
+            k, m, begin = int(self.edits[item]), int(self.sizes[item]), int(begins[text])
+            low, high = max(begin, at - k), min(begin + int(sizes[text]), at + m + 2 * k)
+            if done.get((text, item), -1) >= high:
+                continue
+            stretch, own = ids[low:high], self.bags[item]
+            if sum(w in own for w in stretch.tolist()) < m - k:  # each other word of the item costs an edit
                 continue
-            done[a, b] = high
-            edits, first, last = best_match(self.rows[b, :m].tolist(), ids[low:high].tolist())
+            done[text, item] = high
+            edits, first, last = best_match(self.words[item], stretch)
             if edits <= k:
-                match = (edits, low + first - begin, low + last - begin)
-                best[a, b] = min(best.get((a, b), match), match)
+                matched(text, item, edits, low + first, low + last)
         return [(a, b, first, last, edits) for (a, b), (edits, first, last) in sorted(best.items())]
 
 
@@ -222,12 +222,26 @@ def item_blocks(bench: DataFrame, item: str = "item_id", text: str = "text", blo
     return [picked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) for b in range(n)]
 
 
-def _items(block: DataFrame):
-    return block.sparkSession.sparkContext.broadcast(sorted((r["item"] if r["item"] is not None else -1, r["text"]) for r in block.collect()))  # one bounded block
+def _listed(block: DataFrame):
+    """One bounded block, known by a name of its own."""
+    rows = sorted((r["item"] if r["item"] is not None else -1, r["text"]) for r in block.collect())
+    return block.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+
+
+#: The last block outlives a task in the worker that runs it.
+PREPARED: dict[tuple[str, float], Items] = {}
 
 
-def _chunks(batch, column, words: int = 400_000):
-    """Slices of a batch with a bounded number of characters, or one text."""
+def prepared(listed, similarity: float) -> Items:
+    name, rows = listed.value
+    if (name, similarity) not in PREPARED:
+        PREPARED.clear()
+        PREPARED[name, similarity] = Items(rows, similarity)
+    return PREPARED[name, similarity]
+
+
+def _chunks(column, words: int = 400_000):
+    """Slices of a batch's texts with a bounded number of characters, or one text."""
     texts, low, held = column.to_pylist(), 0, 0
     for i, t in enumerate(texts):
         held += len(t or "")
@@ -238,50 +252,64 @@ def _chunks(batch, column, words: int = 400_000):
         yield low, texts[low:]
 
 
+def _passes(df: DataFrame, bench: DataFrame, item: str, item_text: str, one_pass, gather: bool) -> DataFrame:
+    """``one_pass(rows, listed)`` for each block. Of several, each is written before the next is broadcast, so one is held at a time.
+
+    ``gather`` unions what the passes find in ``df``; otherwise each pass takes what the last has left.
+    """
+    blocks, out = item_blocks(bench, item, item_text), None
+    for block in blocks:
+        listed = _listed(block)
+        part = one_pass(df if gather or out is None else out, listed)
+        if len(blocks) > 1:
+            part = cut(part, "leaks")
+            listed.unpersist()
+        out = part if out is None or not gather else out.unionByName(part)
+    return out
+
+
 def find_leaks(df: DataFrame, bench: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, start, end (words), edits, similarity: a row for each contaminated document and item.
 
-    Null and empty texts hold nothing; items under LEAST_WORDS words match nothing; a null item id
-    is given as -1; repeated documents or items give a row each; either table may be empty;
-    other columns are not read.
+    Null and empty texts hold nothing; items without words match nothing, those of under LEAST_WORDS words match as they
+    are, and one of a single word only a text that is that word; a null item id is given as -1; repeated documents or items give a
+    row each; either table may be empty; other columns are not read.
     """
     bound_batches(df.sparkSession)
     rows = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = None
-    for block in item_blocks(bench, item, item_text):
-        listed = _items(block)
 
-        def find(batches, listed=listed):
-            items = Items(listed.value, similarity)
+    def one_pass(rows, listed):
+        def find(batches):
+            items = prepared(listed, similarity)
             for batch in batches:
                 docs = batch.column("doc_id").to_pylist()
-                for low, texts in _chunks(batch, batch.column("text")):
+                for low, texts in _chunks(batch.column("text")):
                     hits = items.search(texts)
                     columns = [[docs[low + a] for a, *_ in hits], [items.ids[b] for _, b, *_ in hits], [h[2] for h in hits], [h[3] for h in hits], [h[4] for h in hits]]
                     arrays = [pa.array(c, pa.int64()) for c in columns]
                     arrays.append(pa.array([1 - h[4] / int(items.sizes[h[1]]) for h in hits], pa.float64()))
                     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "start", "end", "edits", "similarity"])
 
-        part = rows.mapInArrow(find, "doc_id bigint, item_id bigint, start bigint, end bigint, edits bigint, similarity double")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return rows.mapInArrow(find, "doc_id bigint, item_id bigint, start bigint, end bigint, edits bigint, similarity double")
+
+    return _passes(rows, bench, item, item_text, one_pass, gather=True)
 
 
 def drop_contaminated(df: DataFrame, bench: DataFrame, text: str = "text", similarity: float = SIMILARITY, item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that hold no item. Rows are judged where they are read."""
     bound_batches(df.sparkSession)
-    at = df.columns.index(text)
-    for block in item_blocks(bench, item, item_text):
-        listed = _items(block)
+    at, schema = df.columns.index(text), df.schema
 
-        def keep(batches, listed=listed):
-            items = Items(listed.value, similarity)
+    def one_pass(rows, listed):
+        def keep(batches):
+            items = prepared(listed, similarity)
             for batch in batches:
-                leaked = {low + hit[0] for low, texts in _chunks(batch, batch.column(at)) for hit in items.search(texts)}
+                leaked = {low + hit[0] for low, texts in _chunks(batch.column(at)) for hit in items.search(texts)}
                 yield batch.filter(pa.array([i not in leaked for i in range(batch.num_rows)], pa.bool_()))
 
-        df = df.mapInArrow(keep, df.schema)
-    return df
+        return rows.mapInArrow(keep, schema)
+
+    return _passes(df, bench, item, item_text, one_pass, gather=False)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

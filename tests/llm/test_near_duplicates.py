@@ -183,6 +183,48 @@ def test_decontamination_edges(spark, docs, no_docs):
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 3
 
 
+def test_short_items_match_as_they_are(spark):
+    items = [(1, "alpha beta gamma delta"), (2, "alpha beta"), (3, "omega"), (4, "kappa lambda mu nu xi")]
+    texts = [(1, "x alpha, beta GAMMA delta y"), (2, "alpha beta gamma other delta"), (3, "omega"), (4, "the omega point"), (5, "kappa lambda mu nu"), (6, "q kappa lambda mu nu q")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["edits"]) for r in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(1, 1, 1, 5, 0), (1, 2, 1, 3, 0), (2, 2, 0, 2, 0), (3, 3, 0, 1, 0), (5, 4, 0, 4, 1), (6, 4, 1, 5, 1)]
+
+
+def test_the_index_alone_finds_items_at_the_limit_of_edits(spark, sf):
+    """Recall of the LSH where each item has as many edits as are allowed; the best match is that of a cell-by-cell table."""
+    rng = np.random.default_rng(11)
+    items = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    index = decontaminate.Items(items)
+    found = total = 0
+    for n in range(300):
+        number = n % len(items)
+        words = decontaminate.words_of(items[number][1])
+        for _ in range(decontaminate.edits_allowed(len(words))):
+            at, kind = int(rng.integers(0, len(words))), rng.integers(0, 3)
+            words[at : at + (kind != 1)] = [] if kind == 2 else [f"new{rng.integers(0, 50)}"]
+        found += any(index.ids[h[1]] == items[number][0] for h in index.search(["before it " + " ".join(words) + " after it"]))
+        total += 1
+    assert found >= 0.95 * total
+
+
+def brute_best(item, stretch):
+    row = [(0, j, j) for j in range(len(stretch) + 1)]
+    for i, word in enumerate(item, 1):
+        last, row = row, [(i, 0, 0)]
+        for j, other in enumerate(stretch, 1):
+            a, b, c = last[j - 1], last[j], row[j - 1]
+            row.append((*min((a[0] + (word != other), a[1]), (b[0] + 1, b[1]), (c[0] + 1, c[1])), j))
+    return min(row)
+
+
+def test_best_match_is_exact():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        item, stretch = rng.integers(0, 4, rng.integers(1, 9)), rng.integers(0, 4, rng.integers(0, 14))
+        assert decontaminate.best_match(item, stretch) == brute_best(item.tolist(), stretch.tolist())
+
+
 def test_blocks_of_a_large_benchmark_find_the_same(spark, sf, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     rows = lambda: sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
