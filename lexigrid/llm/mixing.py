@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import cut, table, word_count
+from lexigrid.llm.shared import cut, free_name, table, word_count
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -159,16 +159,17 @@ def mix(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "s
 
 def mixed_rows(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The rows of ``df``, all columns, each as often as the mix takes it."""
-    plan = mix(df, doc, text, source, **how).filter("copies > 0").select(F.col("doc_id").alias("__mix_doc"), F.col("text_hash").alias("__mix_hash"), F.col("copies").alias("__mix_copies"))
+    mix_doc, mix_hash, mix_copies, mix_turn, row_hash, row_turn, copy = (free_name(df, c) for c in ("mix_doc", "mix_hash", "mix_copies", "mix_turn", "row_hash", "row_turn", "mix_copy"))
+    plan = mix(df, doc, text, source, **how).filter("copies > 0").select(F.col("doc_id").alias(mix_doc), F.col("text_hash").alias(mix_hash), F.col("copies").alias(mix_copies))
     ids = df.agg(F.count("*").alias("n"), F.count_distinct(doc).alias("d")).first()
-    rows = df.withColumn("__row_hash", F.xxhash64(F.col(text).cast("string")))
-    same = F.col(doc).cast("long").eqNullSafe(F.col("__mix_doc")) & (F.col("__row_hash") == F.col("__mix_hash"))
+    rows = df.withColumn(row_hash, F.xxhash64(F.col(text).cast("string")))
+    same = F.col(doc).cast("long").eqNullSafe(F.col(mix_doc)) & (F.col(row_hash) == F.col(mix_hash))
     if ids["n"] != ids["d"]:
-        plan = plan.withColumn("__mix_turn", F.row_number().over(Window.partitionBy("__mix_doc", "__mix_hash").orderBy("__mix_copies")))
-        rows = rows.withColumn("__row_turn", F.row_number().over(Window.partitionBy(doc, "__row_hash").orderBy(F.col(source))))
-        same = same & (F.col("__row_turn") == F.col("__mix_turn"))
+        plan = plan.withColumn(mix_turn, F.row_number().over(Window.partitionBy(mix_doc, mix_hash).orderBy(mix_copies)))
+        rows = rows.withColumn(row_turn, F.row_number().over(Window.partitionBy(doc, row_hash).orderBy(F.col(source))))
+        same = same & (F.col(row_turn) == F.col(mix_turn))
     met = rows.join(plan, same)
-    return met.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies").cast("int"))).alias("__mix_copy")).drop("__mix_copy")
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array_repeat(F.lit(1), F.col(mix_copies).cast("int"))).alias(copy)).drop(copy)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,12 +89,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the folders of all cuts after the first ``keep``, for when no DataFrame reads them any more."""
+def drop_cuts(spark: SparkSession, keep: int = 0, last: int = 0) -> None:
+    """Delete the folders of all cuts after the first ``keep`` and before the ``last``, for when no DataFrame reads them any more."""
     jvm = spark.sparkContext._jvm
-    while len(WRITTEN) > keep:
-        where = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+    stop = len(WRITTEN) - last
+    for path in WRITTEN[keep:stop]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del WRITTEN[keep:stop]
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -346,3 +346,14 @@ def test_token_edges(docs, no_docs):
     assert ordered[0]["doc_id"] is None and [r["doc_id"] for r in ordered[1:]] == sorted(r["doc_id"] for r in ordered[1:])
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(ordered, ordered[1:]))
     assert tokens.token_output(no_docs).count() == 0
+
+
+def test_mixed_rows_take_columns_of_any_name(spark):
+    rows = [(i, f"word {i} " * (i % 5 + 1), "ab"[i % 2], 1, 2, 3, 4, 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row_hash int, mix_doc int, mix_copies int, mix_copy int, row_turn int")
+    got = mixing.mixed_rows(df)
+    assert got.columns == df.columns and {tuple(r)[3:] for r in got.collect()} == {(1, 2, 3, 4, 5)}
+    taken = {r["doc_id"]: r["copies"] for r in mixing.mix(df).collect()}
+    from collections import Counter
+
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter({d: n for d, n in taken.items() if n})
