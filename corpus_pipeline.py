@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexigrid.llm.decontaminate import drop_contaminated
 from lexigrid.llm.language import known_language
 from lexigrid.llm.mixing import mixed_rows
-from lexigrid.llm.shared import cut, table
+from lexigrid.llm.shared import WRITTEN, cut, drop_cuts, table
 from lexigrid.llm.simhash import keep_one
 from lexigrid.llm.tokens import token_output
 
@@ -50,10 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's rows are written as Parquet and read again as the next one's documents."""
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's rows are written as Parquet and read again as the next one's documents.
+
+    What a stage has written on its way is deleted as soon as its rows are.
+    """
+    docs, before = table(spark, sf_dir, "documents"), len(WRITTEN)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage-{k}")
+            drop_cuts(spark, before, last=1)
     return docs
