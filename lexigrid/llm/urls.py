@@ -9,10 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from lexigrid.llm.shared import ASCII_LOWER, bound_batches, table
 from pyspark.sql import functions as F
 
-#: Fixed values. One strict term rejects.
-STRICT = ("adult", "casino", "casinos", "escort", "escorts", "gambling", "hentai", "malware", "phishing", "porn", "porno", "sex", "spam", "viagra", "warez", "xxx")
-#: Fixed values. SOFT_HITS distinct soft terms reject.
-SOFT = ("ads", "adserver", "bet", "bets", "betting", "bonus", "cheap", "click", "crack", "dating", "deal", "deals", "discount", "doubleclick", "free", "jackpot", "keygen", "loan", "loans", "lottery", "nude", "nudes", "pharmacy", "pill", "pills", "poker", "popup", "promo", "replica", "serial", "slots", "torrent", "track", "tracker", "tracking", "win", "winner")
+#: Terms of English, German, French and Spanish urls. One strict term rejects: it names what no clean page is about.
+STRICT = tuple("""
+    adult bordel bordell burdel camgirl camgirls casino casinos cialis desnudas enculer erotik erotica erotico erotique escort escorts
+    fetish ficken gambling gangbang gluecksspiel hardcore hentai hookup huren kasino malware milf nackt nsfw nudist nutten phishing porn
+    porno pornographie pornografia pornos puta putas ransomware salope sex sexe sexo sexshop spam spyware striptease swinger viagra warez
+    xnxx xvideos xxx
+""".split())
+#: Fixed values. Each soft term may stand in a clean url; SOFT_HITS distinct ones reject.
+SOFT = tuple("""
+    abnehmen ads adserver affiliate apuesta apuestas bet bets betting billig bingo bitcoin bonus cheap cheats click clickbait clic clics
+    coupon coupons crack cracked credito dating deal deals descuento descuentos discount doubleclick flirt forex free gagner ganar gewinn
+    gewinnspiel gratis gratuit gutschein hack jackpot kaufen keygen kostenlos kredit loan loans loteria loterie lotterie lottery mortgage
+    nude nudes offer offers ofertas oferta payday pharmacy pharmacie farmacia pill pills poker popup prestamo prestamos promo promocion
+    promos rabais rabatt regalo replica rencontre rencontres roulette ruleta scam serial singles slot slots teens torrent torrents track
+    tracker tracking verdienen wetten win winner winners
+""".split())
 SOFT_HITS = 2
 
 #: (verdict, host, path), as the query's contract states them.

@@ -42,6 +42,33 @@ def test_run_gives_the_tokens_of_the_mix(spark, sf):
         at += len(ids)
 
 
+def test_rows_without_ids_pass_through_all_stages(spark, sf, tmp_path):
+    """Different texts without an id stay apart; copies among them, and of a row with an id, go; cuts do not stay behind."""
+    whole = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    bench = table(spark, sf, "benchmark")
+    long = [r for r in whole if r[1] and 300 < len(r[1]) < 3000]
+    from collections import Counter
+
+    found = simhash.near_duplicates(table(spark, sf, "documents")).collect()
+    sizes = Counter(r["component_id"] for r in found)
+    alone = {r["doc_id"] for r in found if sizes[r["component_id"]] == 1} - {r["doc_id"] for r in decontaminate.find_leaks(table(spark, sf, "documents"), bench).collect()}
+    spare = [r for r in long if r[0] in alone][:6]
+    rows = [r for r in whole if r[0] not in {x[0] for x in spare}]
+    rows += [(None, *r[1:]) for r in spare] + [(None, *spare[0][1:]), (None, bench.first()["text"] + " " + spare[1][1][:200], "en", "x", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = len(WRITTEN)
+    docs = table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+    assert sorted(r["text"] for r in docs.filter("doc_id IS NULL").collect()) == sorted(r[1] for r in spare)
+    drop_cuts(spark, before)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.filter("doc_id IS NULL").count() > 0
+    names = [w.rsplit("/", 1)[1].rsplit("-", 1)[0] for w in WRITTEN[before:]]
+    assert names == ["stage-3", "tokens"]
+
+
 def test_cuts_can_be_dropped(spark):
     import os
 
