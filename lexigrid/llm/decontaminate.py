@@ -7,7 +7,7 @@ A CGK walk over a sequence repeats or moves past a word by a random bit of step
 differing places. In each of REPEATS walks the words at SAMPLED random steps are the LSH key. Items of about one length are
 a class, whose sampled steps spread over that length; the index holds the keys of a class's items for each walk. In a
 document the same walks start from every place, and windows that share a key with an item are candidates. A place
-is left out only where no item can match: where its own word is in no item, or too few words of the window are (each
+is left out for a class only where none of its items can match: where its own word is in none, or too few words of the window are (each
 other word costs an edit). Candidates are verified by the exact edit distance against the stretch around them.
 """
 
@@ -27,7 +27,9 @@ from lexigrid.llm.shared import bound_batches, cut, table
 
 WORD = re.compile(r"[^\W_]+")
 SIMILARITY = 0.8
-REPEATS, SAMPLED = 32, 3
+REPEATS, SAMPLED = 40, 3
+#: Sampled steps reach so many times the length of a window; the walk takes about twice as many to its end.
+REACH = 1.4
 #: A class holds items whose lengths differ by less than this factor.
 CLASS = 1.15
 #: The random bits of a walk: for so many steps (then again) and so many words, which share bits beyond that.
@@ -66,6 +68,26 @@ def best_match(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]) // one, int(row[end]) % one, end
 
 
+def least_edits(items: list[np.ndarray], stretches: list[np.ndarray]) -> np.ndarray:
+    """The edits of ``best_match`` for each pair, taken together row by row; the longest items come first."""
+    sizes = np.array([len(x) for x in items])
+    width = max(map(len, stretches)) + 1
+    words, held = np.zeros((int(sizes[0]), len(items)), dtype=np.int32), np.full((len(items), width - 1), -1, dtype=np.int32)
+    for r, (item, stretch) in enumerate(zip(items, stretches)):
+        words[: len(item), r], held[r, : len(stretch)] = item, stretch
+    ramp = np.arange(width, dtype=np.int32)
+    rows = np.zeros((len(items), width), dtype=np.int32)
+    for i in range(1, int(sizes[0]) + 1):
+        n = int(np.searchsorted(-sizes, -i, side="right"))  # items that have a word i
+        last = rows[:n]
+        here = last + 1
+        np.minimum(here[:, 1:], last[:, :-1] + (held[:n] != words[i - 1, :n, None]), out=here[:, 1:])
+        here -= ramp
+        np.minimum.accumulate(here, axis=1, out=rows[:n])
+        rows[:n] += ramp
+    return rows.min(axis=1)
+
+
 def random_bits() -> np.ndarray:
     """The bit of each walk, step and word; the same everywhere."""
     return np.random.default_rng(42).integers(0, 2, size=(REPEATS, STEPS, SLOTS), dtype=np.uint8)
@@ -74,16 +96,19 @@ def random_bits() -> np.ndarray:
 def sampled_steps(length: int) -> np.ndarray:
     """(REPEATS, SAMPLED) distinct steps of the walks over windows of about ``length`` words, which take about twice as many."""
     share = np.sort(np.random.default_rng(43).random((REPEATS, SAMPLED)), axis=1)
-    return (share * (1.8 * length - SAMPLED)).astype(np.int64) + np.arange(SAMPLED)
+    return (share * (REACH * length - SAMPLED)).astype(np.int64) + np.arange(SAMPLED)
 
 
 def walk(ids: np.ndarray, slots: np.ndarray, starts: np.ndarray, bits: np.ndarray, steps: list[int]) -> dict[int, np.ndarray]:
     """The words at ``steps`` of one walk (whose bits these are) from each of ``starts``; ``ids`` ends in enough zeros."""
     place, wanted, out = starts.copy(), set(steps), {}
+    slot, move = np.empty(len(place), dtype=slots.dtype), np.empty(len(place), dtype=bits.dtype)
     for step in range(max(steps) + 1):
         if step in wanted:
             out[step] = ids[place]
-        place += bits[step % STEPS][slots[place]]
+        np.take(slots, place, out=slot, mode="clip")
+        np.take(bits[step % STEPS], slot, out=move, mode="clip")
+        np.add(place, move, out=place)
     return out
 
 
@@ -107,7 +132,6 @@ class Items:
             for w in ws:
                 self.number.setdefault(w, len(self.number) + 1)
         self.words = [np.array([self.number[w] for w in ws], dtype=np.int64) for _, ws in pairs]
-        self.bags = [frozenset(w.tolist()) for w in self.words]
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.edits = np.array([edits_allowed(len(w), similarity) for w in self.words], dtype=np.int64)
         self.short: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -119,7 +143,7 @@ class Items:
                 members[int(math.log(len(ws) / LEAST_WORDS) / math.log(CLASS) + 1e-9)].append(r)
         self.bits = random_bits() if members else None
         self.classes = [self._class(np.array(rows)) for _, rows in sorted(members.items())]
-        self.pad = 1 + max((int(c["steps"].max()) for c in self.classes), default=0) + int(self.sizes.max(initial=0)) * 2
+        self.pad = 1 + max((max(int(c["steps"].max()), c["span"]) for c in self.classes), default=LEAST_WORDS)
 
     def _class(self, rows: np.ndarray) -> dict:
         length = int(self.sizes[rows].min())
@@ -129,25 +153,30 @@ class Items:
         ids = np.concatenate([np.concatenate([self.words[r], np.zeros(pad, dtype=np.int64)]) for r in rows])
         index, maybe = [], np.zeros((REPEATS, 1 << 16), dtype=bool)
         for r in range(REPEATS):
-            found = walk(ids, ids % SLOTS, begins, self.bits[r], steps[r].tolist())
+            found = walk(ids, (ids % SLOTS).astype(np.int16), begins.astype(np.int32), self.bits[r], steps[r].tolist())
             key, known = key_of([found[int(t)] for t in steps[r]])
             order = np.argsort(key[known], kind="stable")
             keys, first = np.unique(key[known][order], return_index=True)
             maybe[r, keys & np.uint64(0xFFFF)] = True
             index.append((keys, np.append(first, known.sum()), rows[known][order]))
-        return {"steps": steps, "index": index, "maybe": maybe, "least": int((self.sizes - self.edits)[rows].min()), "span": int((self.sizes + self.edits)[rows].max())}
+        member = np.zeros(len(self.number) + 1, dtype=np.int8)
+        member[np.concatenate([self.words[r] for r in rows])] = 1
+        return {"steps": steps, "index": index, "maybe": maybe, "member": member, "least": int((self.sizes - self.edits)[rows].min()), "span": int((self.sizes + self.edits)[rows].max())}
 
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (item, start) whose windows share a key. ``ids`` ends in ``pad`` zeros."""
         n = len(ids) - self.pad
         if n <= 0 or not self.classes:
             return (np.empty(0, dtype=np.int64),) * 2
-        held = np.concatenate([[0], np.cumsum(ids > 0)])
-        begins = np.flatnonzero(ids[:n] > 0)
-        able = [held[np.minimum(begins + c["span"], len(ids))] - held[begins] >= c["least"] for c in self.classes]
-        some = np.any(able, axis=0)
-        begins, able = begins[some], [a[some] for a in able]
-        slots, found = ids % SLOTS, []
+        able = []
+        for c in self.classes:
+            inside = c["member"][ids]
+            held = np.cumsum(inside, dtype=np.int32)
+            ends = held[c["span"] - 1 : c["span"] - 1 + n]  # pad is longer than any span
+            able.append((inside[:n] > 0) & (ends - held[:n] + 1 >= c["least"]))
+        begins = np.flatnonzero(np.any(able, axis=0)).astype(np.int32)
+        able = [a[begins] for a in able]
+        slots, found = (ids % SLOTS).astype(np.int16), []
         for low in range(0, len(begins), TOGETHER):
             starts = begins[low : low + TOGETHER]
             mine = [(c, np.flatnonzero(a[low : low + TOGETHER])) for c, a in zip(self.classes, able)]
@@ -180,7 +209,7 @@ class Items:
         numbers = [[get(w, 0) for w in words_of(t)] for t in texts]
         sizes = np.array([len(x) for x in numbers], dtype=np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(sizes) else sizes  # a word of no item between texts
-        ids = np.zeros(int((sizes + 1).sum()) + self.pad, dtype=np.int64)
+        ids = np.zeros(int((sizes + 1).sum()) + self.pad, dtype=np.int32)
         for b, x in zip(begins, numbers):
             ids[b : b + len(x)] = x
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -196,21 +225,21 @@ class Items:
                     text = int(np.searchsorted(begins, at, side="right")) - 1
                     if size > 1 or sizes[text] == 1:
                         matched(text, item, 0, at, at + size)
-        done: dict[tuple[int, int], int] = {}
         items, starts = self.candidates(ids)
-        for item, at in zip(items.tolist(), starts.tolist()):
-            text = int(np.searchsorted(begins, at, side="right")) - 1
-            k, m, begin = int(self.edits[item]), int(self.sizes[item]), int(begins[text])
-            low, high = max(begin, at - k), min(begin + int(sizes[text]), at + m + 2 * k)
-            if done.get((text, item), -1) >= high:
-                continue
-            stretch, own = ids[low:high], self.bags[item]
-            if sum(w in own for w in stretch.tolist()) < m - k:  # each other word of the item costs an edit
-                continue
-            done[text, item] = high
-            edits, first, last = best_match(self.words[item], stretch)
-            if edits <= k:
-                matched(text, item, edits, low + first, low + last)
+        of_text = np.searchsorted(begins, starts, side="right") - 1
+        k, m = self.edits[items], self.sizes[items]
+        low, high = np.maximum(begins[of_text], starts - k), np.minimum((begins + sizes)[of_text], starts + m + 2 * k)
+        fresh = np.ones(len(items), dtype=bool)  # of stretches one after the other that end alike, the first is the longest
+        fresh[1:] = (items[1:] != items[:-1]) | (of_text[1:] != of_text[:-1]) | (high[1:] != high[:-1])
+        order = np.flatnonzero(fresh)
+        order = order[np.argsort(-m[order], kind="stable")]
+        for part in (order[i : i + 2000] for i in range(0, len(order), 2000)):
+            stretches = [ids[a:b] for a, b in zip(low[part], high[part])]
+            edits = least_edits([self.words[i] for i in items[part]], stretches)
+            for at in np.flatnonzero(edits <= k[part]).tolist():
+                row = part[at]
+                found, first, last = best_match(self.words[items[row]], stretches[at])
+                matched(int(of_text[row]), int(items[row]), found, int(low[row]) + first, int(low[row]) + last)
         return [(a, b, first, last, edits) for (a, b), (edits, first, last) in sorted(best.items())]
 
 
