@@ -140,8 +140,8 @@ def with_next(df: DataFrame, key: str, tie: str, columns: list[str], parts: int)
     return dealt.select("*", *[F.lead(F.col(f"`{c}`")).over(window).alias(f"next_{c}") for c in columns]).filter(F.col(halo) == 0).drop(place, halo, order)
 
 
-#: Bytes of text in a range, about.
-RANGE = 32 << 20
+#: Bytes of text in a range, about, and the most ranges, whose starts the driver knows; beyond those the ranges grow.
+RANGE, RANGES = 8 << 20, 1 << 16
 
 
 def compare_edits(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,7 +153,7 @@ def compare_edits(df: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     table of one row is its own next; an empty table gives no rows; other columns are not read.
     """
     rows = df.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    parts = 1 + (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // RANGE
+    parts = min(RANGES, 1 + (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // RANGE)
     rows = with_anchors(rows, "text", "anchors").withColumn("tie", F.xxhash64("text"))
     rows = with_next(rows, "doc_id", "tie", ["text", "anchors"], parts)
     n = F.length("text")
