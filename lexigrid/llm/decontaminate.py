@@ -27,7 +27,7 @@ from lexigrid.llm.shared import bound_batches, cut, table
 
 WORD = re.compile(r"[^\W_]+")
 SIMILARITY = 0.8
-REPEATS, SAMPLED = 40, 3
+REPEATS, SAMPLED = 28, 3
 #: Sampled steps reach so many times the length of a window; the walk takes about twice as many to its end.
 REACH = 1.4
 #: A class holds items whose lengths differ by less than this factor.
