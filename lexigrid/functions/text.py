@@ -109,18 +109,40 @@ def pieces(c: Column, pattern: str | Column) -> tuple[Column, Column]:
     return F.split(c, regex, -1), F.regexp_extract_all(c, regex, F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(lengths: Column, block: int = 64) -> Column:
+    """Sums of an array up to and with each element. Blocks are summed apart, so that long arrays are not copied over and over."""
+
+    def fold(values, step):
+        return F.aggregate(values, F.expr("cast(array() as array<int>)"), lambda out, x: F.array_append(out, F.coalesce(F.get(out, F.size(out) - 1), F.lit(0)) + step(x)))
+
+    def joined(blocks):
+        before = fold(blocks, lambda b: F.get(b, F.size(b) - 1))
+        shifted = F.concat(F.array(F.lit(0)), before)
+        return F.flatten(F.zip_with(blocks, shifted, lambda b, at: F.transform(F.coalesce(b, F.expr("cast(array() as array<int>)")), lambda x: x + at)))
+
+    def summed(values):
+        numbers = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
+        blocks = F.transform(numbers, lambda k: fold(F.slice(values, k * block + 1, F.lit(block)), lambda x: x))
+        return F.when(F.size(values) == 0, F.expr("cast(array() as array<int>)")).otherwise(let(blocks, joined))
+
+    return let(lengths, summed)
+
+
 def match_spans(c: Column, pattern: str | Column) -> Column:
     """array<struct<start,end,text>> of all matches that do not overlap, in code points."""
     gaps, found = pieces(c, pattern)
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,text:string>>))")
+    pairs = F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: x["m"].isNotNull())
 
-    def step(state, x):
-        start = state["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"))).alias("out"))
+    def placed(ps):
+        ends = running(F.transform(ps, lambda x: F.length(x["g"]) + F.length(x["m"])))
+        return F.zip_with(ends, ps, lambda e, x: F.struct((e - F.length(x["m"])).alias("start"), e.alias("end"), x["m"].alias("text")))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x: x["m"].isNotNull())
-    return F.aggregate(pairs, empty, step, lambda s: s["out"])
+    return let(pairs, placed)
 
 
 def mentions(c: Column, phrase: Column) -> Column:
@@ -128,12 +150,15 @@ def mentions(c: Column, phrase: Column) -> Column:
     return match_spans(c, F.concat(F.lit(r"(?iU)\b\Q"), phrase, F.lit(r"\E\b")))
 
 
+def stretches(c: Column, pattern: str) -> Column:
+    """Lengths of the stretches of a text that end with their break; the last one may have none."""
+    gaps, found = pieces(c, pattern)
+    return F.filter(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))), lambda n: n > 0)
+
+
 def break_spans(c: Column, pattern: str = SPAN_BREAK) -> Column:
     """array<struct<start,end>>: stretches that end with their break; the last one may have none."""
-    ends = F.transform(match_spans(c, pattern), lambda m: m["end"])
-    ends = F.array_compact(F.concat(ends, F.array(F.when((F.length(c) > 0) & (F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) < F.length(c)), F.length(c)))))
-    starts = F.concat(F.array(F.lit(0)), ends)
-    return F.transform(F.filter(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda s: s["end"].isNotNull()), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return let(stretches(c, pattern), lambda ns: F.zip_with(running(ns), ns, lambda e, n: F.struct((e - n).alias("start"), e.alias("end"))))
 
 
 def replace_known(c: Column, known: dict[str, str], template: str = "{expansion}") -> Column:
@@ -170,17 +195,14 @@ def annotate_known(c: Column, known: dict[str, str]) -> Column:
 
 def chunks(c: Column, most: int) -> Column:
     """array<struct<start,end>>: sentences packed greedily up to ``most`` characters; a longer one stands alone."""
-    spans = break_spans(c, CHUNK_BREAK)
-    empty = F.expr("named_struct('start', -1, 'end', -1, 'out', cast(array() as array<struct<start:int,end:int>>))")
+    empty = F.expr("named_struct('start', 0, 'end', 0, 'out', cast(array() as array<struct<start:int,end:int>>))")
+    closed = lambda s: F.array_append(s["out"], F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    def step(s, x):
-        held = s["start"] >= 0
-        close = held & (x["end"] - s["start"] > most)
-        out = F.when(close, F.array_append(s["out"], F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(s["out"])
-        return F.struct(F.when(held & ~close, s["start"]).otherwise(x["start"]).alias("start"), x["end"].alias("end"), out.alias("out"))
+    def step(s, n):
+        close = (s["end"] > s["start"]) & (s["end"] + n - s["start"] > most)
+        return F.struct(F.when(close, s["end"]).otherwise(s["start"]).alias("start"), (s["end"] + n).alias("end"), F.when(close, closed(s)).otherwise(s["out"]).alias("out"))
 
-    last = lambda s: F.when(s["start"] >= 0, F.array_append(s["out"], F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(s["out"])
-    return F.aggregate(spans, empty, step, last)
+    return F.aggregate(stretches(c, CHUNK_BREAK), empty, step, lambda s: F.when(s["end"] > s["start"], closed(s)).otherwise(s["out"]))
 
 
 def cells(line: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lexigrid.functions import text as T
 from lexigrid.functions.vocab import MAX_CONTEXT, NEVER_SPLIT
 
 LINES = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
@@ -129,34 +130,36 @@ def align_documents(pairs: DataFrame, doc: str = "filename", source: str = "sour
     return rows.mapInPandas(run, BEAD)
 
 
-def context_window(text: str, start1: int, end1: int, start2: int, end2: int, most: int = MAX_CONTEXT) -> str:
-    """The sentences from the first mention to the last, grown by whole sentences on either side while they fit."""
-    low, high = min(start1, start2), max(end1, end2)
-    ends = [m.end() for m in re.finditer(r"(?<=[.!?])\s+|\n+", text)]
-    bounds = [0, *ends] + ([len(text)] if not ends or ends[-1] < len(text) else [])
-    begin, end = low, high
-    for s, e in zip(bounds, bounds[1:]):
-        if s <= low < e:
-            begin = s
-        if s < high <= e:
-            end = e
-    grown = True
-    while grown and end - begin < most:
-        grown = False
-        for s, e in zip(bounds, bounds[1:]):
-            if e == begin and s < e and end - s <= most:
-                begin, grown = s, True
-            elif s == end and s < e and e - begin <= most:
-                end, grown = e, True
-    return text[begin:end].strip()
-
-
-def context(text: str, s1: str, e1: str, s2: str, e2: str, most: int = MAX_CONTEXT) -> Column:
-    @pandas_udf("string")
-    def window(t: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([context_window(x, *map(int, y), most) for x, *y in zip(t, a, b, c, d)], dtype=object)
-
-    return window(text, s1, e1, s2, e2)
+def context_bounds(spans: Column, low: Column, high: Column, most: int = MAX_CONTEXT) -> Column:
+    """struct<start,end> of the context of two mentions that reach from ``low`` to ``high``, given the spans of a text's sentences.
+
+    It begins with the sentence that ``low`` is in and ends with the one of ``high``. While it is shorter than ``most`` it
+    takes, as far as each whole sentence leaves it within ``most``: the one before it, then those after it, then those before it.
+    """
+    first = lambda found, c, other: F.coalesce(F.get(found, F.lit(0))[c], other)
+    start = first(F.filter(spans, lambda s: (s["start"] <= low) & (low < s["end"])), "start", low)
+    end = first(F.filter(spans, lambda s: (s["start"] < high) & (high <= s["end"])), "end", high)
+
+    def grown(w):
+        one = first(F.filter(spans, lambda s: (s["end"] == w["start"]) & (w["end"] - s["start"] <= most)), "start", w["start"])
+        right = T.let(one, lambda b: F.struct(b.alias("start"), F.greatest(w["end"], F.array_max(F.transform(F.filter(spans, lambda s: (s["start"] >= w["end"]) & (s["end"] - b <= most)), lambda s: s["end"]))).alias("end")))
+        return T.let(right, lambda r: F.struct(F.least(r["start"], F.array_min(F.transform(F.filter(spans, lambda s: (s["end"] <= r["start"]) & (r["end"] - s["start"] <= most)), lambda s: s["start"]))).alias("start"), r["end"].alias("end")))
+
+    return T.let(F.struct(start.alias("start"), end.alias("end")), lambda w: F.when(w["end"] - w["start"] < most, grown(w)).otherwise(w))
+
+
+def contexts(pairs: DataFrame, texts: DataFrame, doc: str = "doc_id", most: int = MAX_CONTEXT) -> DataFrame:
+    """``pairs`` with ``context``, the stripped context of each row's two mentions (s_start, s_end, o_start, o_end) in ``texts(doc, body)``.
+
+    A text goes to no pair: pairs get the spans of its sentences, and the distinct windows of a document are cut out of it together.
+    """
+    spans = texts.select(doc, T.break_spans(F.col("body")).alias("__spans"))
+    bounds = context_bounds(F.col("__spans"), F.least("s_start", "o_start").cast("int"), F.greatest("s_end", "o_end").cast("int"), most)
+    placed = pairs.join(spans, doc).withColumn("__window", bounds).drop("__spans")
+    windows = placed.select(doc, "__window").distinct().groupBy(doc).agg(F.collect_list("__window").alias("__windows"))
+    cut = lambda w: F.struct(w.alias("window"), T.strip(F.substring(F.col("body"), w["start"] + 1, w["end"] - w["start"])).alias("context"))
+    found = texts.join(windows, doc).select(doc, F.explode(F.transform("__windows", cut)).alias("w")).select(doc, F.col("w.window").alias("__window"), F.col("w.context").alias("context"))
+    return placed.join(found, [doc, "__window"]).drop("__window")
 
 
 def split_sentences(text: str | Column) -> Column:

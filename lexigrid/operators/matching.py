@@ -23,9 +23,16 @@ def top_per(rows: DataFrame, keys: list[str], order: list, n: int, rank: str = "
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("long"))
 
 
+#: Characters in a bin of a document, by which spans and the points in them meet.
+BIN = 1024
+
+
 def in_span(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str = "span_start", end: str = "span_end") -> DataFrame:
-    """Each point with every half-open span of its group that holds it."""
-    return points.join(spans, by).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
+    """Each point with every half-open span of its group that holds it. Both meet by bins of the document, not all with all."""
+    bin_of = lambda c: F.floor(F.col(c) / BIN)
+    binned = spans.filter(F.col(start) < F.col(end)).withColumn("__bin", F.explode(F.sequence(bin_of(start), F.floor((F.col(end) - 1) / BIN))))
+    met = points.withColumn("__bin", bin_of(at)).join(binned, [*by, "__bin"])
+    return met.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__bin")
 
 
 def outside(rows: DataFrame, held: DataFrame, row_id: str) -> DataFrame:
@@ -111,17 +118,19 @@ def band_pairs(entities: DataFrame, doc: str, relations: DataFrame, max_distance
 
     ``entities(doc, ent, label, start, end)`` join ``relations(seq, relation, subject_label,
     object_label)`` on the subject's label first, so the self-join has the document and the object's label for
-    keys. Starts are binned by reach: each subject meets the bins around it and no others.
+    keys. An object stands in the bins that it covers and a subject in those within reach of it; a pair counts in the first bin that both have.
     """
-    longest = entities.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
-    width = max_distance + longest + 1
-    bin_of = lambda c: F.floor(F.col(c) / width)
+    width = max_distance + 1
+    bin_of = lambda c: F.floor(c / width)
+    bins = lambda lo, hi: F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("bin")
     subjects = entities.join(F.broadcast(relations), F.col("label") == F.col("subject_label"))
-    subjects = subjects.select(F.col(doc), F.col("ent").alias("s_ent"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), "seq", "relation", F.col("object_label").alias("o_label"), F.explode(F.sequence(bin_of("start") - 1, bin_of("start") + 1)).alias("bin"))
-    objects = entities.select(F.col(doc), F.col("ent").alias("o_ent"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("label").alias("o_label"), bin_of("start").alias("bin"))
-    met = subjects.join(objects, [doc, "o_label", "bin"]).filter(F.col("s_ent") != F.col("o_ent"))
+    from_, to = bin_of(F.col("start") - max_distance), bin_of(F.col("end") + max_distance)
+    subjects = subjects.select(F.col(doc), F.col("ent").alias("s_ent"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), "seq", "relation", F.col("object_label").alias("o_label"), from_.alias("s_bin"), bins(from_, to))
+    own = bin_of(F.col("start"))
+    objects = entities.select(F.col(doc), F.col("ent").alias("o_ent"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("label").alias("o_label"), own.alias("o_bin"), bins(own, bin_of(F.col("end"))))
+    met = subjects.join(objects, [doc, "o_label", "bin"]).filter((F.col("s_ent") != F.col("o_ent")) & (F.col("bin") == F.greatest("s_bin", "o_bin")))
     apart = T.gap(F.col("s_start"), F.col("s_end"), F.col("o_start"), F.col("o_end"))
-    return met.withColumn("gap", apart).filter(F.col("gap") <= max_distance).drop("bin", "o_label")
+    return met.withColumn("gap", apart).filter(F.col("gap") <= max_distance).drop("bin", "o_label", "s_bin", "o_bin")
 
 
 def best_relation(scored: DataFrame, doc: str, threshold: float) -> DataFrame:
@@ -130,23 +139,49 @@ def best_relation(scored: DataFrame, doc: str, threshold: float) -> DataFrame:
     return first_per(scored.filter(F.col("score") >= threshold), keys, [F.col("score").desc(), "s_ent", "o_ent", "seq"])
 
 
-def top_candidates(queries: DataFrame, kb: DataFrame, k: int, threshold: float, by: list[str] | None = None, digits: int | None = None) -> DataFrame:
+#: Vectors of one side in a cell of the comparison.
+CELL = 4096
+
+
+def top_candidates(queries: DataFrame, kb: DataFrame, k: int, threshold: float, by: list[str] | None = None, digits: int | None = None, cell: int = CELL) -> DataFrame:
     """The k nearest names of each query by cosine, ranked, that reach the threshold.
 
-    ``queries(q, vec[, by])`` and ``kb(cui, name, vec[, by])``. With ``by`` the join is on the type; without, the
-    knowledge base is dealt out by a salt and every query meets every part, so no side has to fit in one task.
-    Each part keeps its own k best before the parts meet.
+    ``queries(q, vec[, by])`` and ``kb(cui, name, vec[, by])``. Both sides are dealt out by hash into blocks of about ``cell`` vectors, as
+    many as their numbers ask for; each pair of blocks (of one type, with ``by``) is a task's cell: one product of two matrices, of which
+    each query keeps its k best before the cells meet. No side and no type has to fit in one task.
     """
-    right = kb.select(F.col("cui"), F.col("name"), F.col("vec").alias("kb_vec"), *(by or []))
-    salts = 8
-    right = right.withColumn("__salt", F.pmod(F.xxhash64("cui", "name"), F.lit(salts)))
-    left = queries.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    met = left.join(right, [*(by or []), "__salt"])
-    score = T.cosine(F.col("vec"), F.col("kb_vec"))
-    scored = met.select("q", *(by or []), "__salt", "cui", "name", (F.round(score, digits) if digits is not None else score).alias("score"))
-    order = [F.col("score").desc(), "name", "cui"]
-    local = top_per(scored, ["q", *(by or []), "__salt"], order, k, "__r").drop("__r", "__salt")
-    return top_per(local, ["q", *(by or [])], order, k).filter(F.col("score") >= threshold)
+    by = by or []
+    blocks = lambda df: max(1, -(-df.count() // cell))
+    n_left, n_right = blocks(queries), blocks(kb)
+    places = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    home = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.select("q", F.col("vec").cast("array<double>").alias("vec"), *by).withColumn("__a", home(F.to_json(F.struct("q")), n_left)).withColumn("__b", places(n_right))
+    right = kb.select("cui", "name", F.col("vec").cast("array<double>").alias("vec"), *by).withColumn("__b", home(F.concat_ws("|", "cui", "name"), n_right)).withColumn("__a", places(n_left))
+    keys = [*by, "__a", "__b"]
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"q {kinds['q']}", "cui string", "name string", "score double"])
+
+    def cells(a, b):
+        import numpy as np
+        import pandas as pd
+
+        columns = [*by, "q", "cui", "name", "score"]
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=columns)
+        b = b.sort_values(["name", "cui"], kind="stable").reset_index(drop=True)
+        scores = np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T
+        if digits is not None:
+            scores = np.floor(np.abs(scores) * 10**digits + 0.5) / 10**digits * np.sign(scores)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(a)), best.shape[1])
+        out = a.iloc[rows][[*by, "q"]].reset_index(drop=True)
+        picked = best.ravel()
+        out["cui"], out["name"], out["score"] = b["cui"].to_numpy()[picked], b["name"].to_numpy()[picked], scores[rows, picked]
+        return out[columns]
+
+    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cells, schema)
+    ranked = top_per(local.filter(F.col("score") >= threshold), ["q", *by], [F.col("score").desc(), "name", "cui"], k)
+    return ranked.select("q", *by, "cui", "name", "score", "rank")
 
 
 def wide_candidates(ranked: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -138,25 +138,28 @@ def translated_entities(entities: DataFrame, translator: B.Translator, known: di
     return expanded.join(once, "expanded_text", "left").select(*entities.columns, "expanded_text", "translated_text")
 
 
-def extracted_relations(entities: DataFrame, texts: DataFrame, scorer: B.PairScorer, lang: str = "en", threshold: float = 0.5, max_distance: int = V.MAX_DISTANCE) -> DataFrame:
+def extracted_relations(entities: DataFrame, texts: DataFrame, scorer: B.PairScorer, lang: str | None = "en", threshold: float = 0.5, max_distance: int = V.MAX_DISTANCE, detector: B.LanguageDetector | None = None) -> DataFrame:
     """Q11: the best relation of each ordered pair of spans.
 
-    ``entities(doc_id, ent, start, end, label, text)`` and ``texts(doc_id, text)``. A premise is made after the candidates
-    are known; output labels are those of the first entity on a span.
+    ``entities(doc_id, ent, start, end, label, text)`` and ``texts(doc_id, text)``. Hypotheses are in ``lang``, or, with a
+    detector, in the language that it finds in each text. Output labels are those of the first entity on a span.
     """
     spark = entities.sparkSession
-    table = matching.relation_table(spark, V.RELATIONS, V.TEMPLATES.get(lang, V.TEMPLATES["en"]))
-    pairs = matching.band_pairs(entities.select("doc_id", "ent", "label", "start", "end"), "doc_id", table, max_distance)
-    words = table.select("seq", "head", "middle", "tail").distinct()
+    docs = texts.select("doc_id", F.col("text").alias("body"))
+    docs = docs.withColumn("lang", F.lit(lang) if detector is None else B.detect_language(F.col("body"), detector))
+    tables = {one: matching.relation_table(spark, V.RELATIONS, words).select("seq", "head", "middle", "tail").distinct().withColumn("lang", F.lit(one)) for one, words in V.TEMPLATES.items()}
+    pairs = matching.band_pairs(entities.select("doc_id", "ent", "label", "start", "end"), "doc_id", matching.relation_table(spark, V.RELATIONS), max_distance).drop("head", "middle", "tail")
     first = matching.first_per(entities, ["doc_id", "start", "end"], ["ent"])
     side = lambda p: first.select("doc_id", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("text").alias(f"{p}_text"), F.col("label").alias(f"{p}_label"))
     own = lambda p: entities.select("doc_id", F.col("ent").alias(f"{p}_ent"), F.col("text").alias(f"{p}_own"))
-    full = pairs.join(F.broadcast(words), "seq").join(own("s"), ["doc_id", "s_ent"]).join(own("o"), ["doc_id", "o_ent"]).join(texts.select("doc_id", F.col("text").alias("body")), "doc_id")
-    premise = alignment.context("body", "s_start", "s_end", "o_start", "o_end")
-    scored = full.withColumn("score", B.entail(premise, matching.hypothesis(F.col("s_own"), F.col("o_own")), scorer)).drop("body")
+    words = F.broadcast(metrics.unioned(list(tables.values())))  # the relations times the languages
+    worded = F.when(F.col("lang").isin(*V.TEMPLATES), F.col("lang")).otherwise("en")
+    full = pairs.join(own("s"), ["doc_id", "s_ent"]).join(own("o"), ["doc_id", "o_ent"]).join(docs.select("doc_id", F.col("lang").alias("doc_lang"), worded.alias("lang")), "doc_id").join(words, ["seq", "lang"])
+    placed = alignment.contexts(full, docs)
+    scored = placed.withColumn("score", B.entail(F.col("context"), matching.hypothesis(F.col("s_own"), F.col("o_own")), scorer)).drop("context")
     best = matching.best_relation(scored, "doc_id", threshold)
     out = best.join(side("s"), ["doc_id", "s_start", "s_end"]).join(side("o"), ["doc_id", "o_start", "o_end"])
-    return out.select("doc_id", F.col("s_text").alias("subject_text"), F.col("s_label").alias("subject_label"), F.col("s_start").alias("subject_start"), F.col("s_end").alias("subject_end"), "relation", F.col("o_text").alias("object_text"), F.col("o_label").alias("object_label"), F.col("o_start").alias("object_start"), F.col("o_end").alias("object_end"), F.round("score", 4).alias("score"), F.lit(lang).alias("lang"))
+    return out.select("doc_id", F.col("s_text").alias("subject_text"), F.col("s_label").alias("subject_label"), F.col("s_start").alias("subject_start"), F.col("s_end").alias("subject_end"), "relation", F.col("o_text").alias("object_text"), F.col("o_label").alias("object_label"), F.col("o_start").alias("object_start"), F.col("o_end").alias("object_end"), F.round("score", 4).alias("score"), F.col("doc_lang").alias("lang"))
 
 
 def resolved_triples(relations: DataFrame, linked: DataFrame) -> DataFrame:
@@ -167,33 +170,41 @@ def resolved_triples(relations: DataFrame, linked: DataFrame) -> DataFrame:
     return met.select("doc_id", "s_cui", "relation", "o_cui").distinct()
 
 
-def relation_texts(relations: DataFrame, linked: DataFrame) -> DataFrame:
+def shown_text(df: DataFrame):
+    """The translation where there is one, else the text itself, stripped."""
+    return T.preferred(F.col("translated"), F.col("text")) if "translated" in df.columns else T.strip(F.col("text"))
+
+
+def spanned_relations(relations: DataFrame, linked: DataFrame, by: list[str]) -> DataFrame:
+    """Relations with the concepts and texts (s_cui, o_cui, s_text, o_text) of both spans among the entities of their ``by``; of repeated spans the last counts."""
+    last = lambda c, value: F.max_by(value, F.when(F.coalesce(value, F.lit("")) != "", F.col("id"))).alias(c)
+    spans = linked.groupBy(*by, "start", "end").agg(last("cui", F.col("cui")), last("text", shown_text(linked)))
+    side = lambda p: spans.select(*by, *[F.col(c).alias(f"{p}_{c}") for c in ("start", "end", "cui", "text")])
+    return relations.join(side("s"), [*by, "s_start", "s_end"], "left").join(side("o"), [*by, "o_start", "o_end"], "left")
+
+
+def relation_texts(relations: DataFrame, linked: DataFrame, by: tuple = ("doc_id",)) -> DataFrame:
     """(doc_id, id, rel_text): ``subject [relation] object`` where no part is blank."""
-    spans = matching.last_per_span(linked, ["doc_id", "start", "end"], "text", "id")
-    side = lambda p: spans.select("doc_id", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), T.strip(F.col("text")).alias(f"{p}_text"))
-    met = relations.join(side("s"), ["doc_id", "s_start", "s_end"]).join(side("o"), ["doc_id", "o_start", "o_end"])
-    met = met.filter((F.col("s_text") != "") & (F.col("o_text") != "") & (T.strip(F.col("relation")) != ""))
-    return met.select("doc_id", "id", F.concat("s_text", F.lit(" ["), "relation", F.lit("] "), "o_text").alias("rel_text"))
+    met = spanned_relations(relations, linked, list(by))
+    met = met.filter((F.coalesce("s_text", F.lit("")) != "") & (F.coalesce("o_text", F.lit("")) != "") & (T.strip(F.col("relation")) != ""))
+    return met.select("doc_id", "id", F.concat("s_text", F.lit(" ["), T.strip(F.col("relation")), F.lit("] "), "o_text").alias("rel_text"))
 
 
 def entity_matches(src: DataFrame, hyp: DataFrame, scope: list[str], enforce_label: bool = False) -> DataFrame:
     """Q12: src and hyp entities by concept, then by text; the label is no part of the key unless asked for."""
     def keyed(df):
         label = F.lower(T.strip(F.col("label"))) if enforce_label else F.lit("")
-        body = T.preferred(F.col("translated"), F.col("text")) if "translated" in df.columns else T.strip(F.col("text"))
+        body = shown_text(df)
         text = F.when(body != "", F.concat(label, F.lit("|text:"), F.lower(body)))
         return df.select(*scope, "id", F.when(F.coalesce("cui", F.lit("")) != "", F.concat(label, F.lit("|cui:"), "cui")).alias("by_cui"), text.alias("by_text"))
 
     return matching.match_cascade(keyed(src), keyed(hyp), scope, [("CUI", "by_cui"), ("text", "by_text")])
 
 
-def relation_matches(src: DataFrame, hyp: DataFrame, src_linked: DataFrame, hyp_linked: DataFrame, scope: list[str]) -> DataFrame:
+def relation_matches(src: DataFrame, hyp: DataFrame, src_linked: DataFrame, hyp_linked: DataFrame, scope: list[str], by: tuple = ("doc_id",)) -> DataFrame:
     """Q12: relations by the concepts of both arguments, then by their texts; the relation is part of each key."""
     def keyed(rel, linked):
-        last = lambda c: F.max_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("id"))).alias(c)
-        spans = linked.groupBy("doc_id", "start", "end").agg(last("cui"), last("text"))
-        side = lambda p: spans.select("doc_id", *[F.col(c).alias(f"{p}_{c}") for c in ("start", "end", "cui", "text")])
-        rows = rel.join(side("s"), ["doc_id", "s_start", "s_end"], "left").join(side("o"), ["doc_id", "o_start", "o_end"], "left")
+        rows = spanned_relations(rel, linked, list(by))
         name = F.lower(T.strip(F.col("relation")))
         both = lambda a, b, kind: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws("|", name, F.concat(F.lit(kind), a), F.concat(F.lit(kind), b)))
         return rows.select(*scope, "id", both(F.col("s_cui"), F.col("o_cui"), "cui:").alias("by_cui"), both(F.lower(F.col("s_text")), F.lower(F.col("o_text")), "text:").alias("by_text"))
@@ -249,21 +260,92 @@ def sentence_scores(beads: DataFrame, scorer: B.SimilarityScorer, encoder: B.Enc
     )
 
 
-def translation_scores(pairs: DataFrame, scorer: B.SimilarityScorer, encoder: B.Encoder, src_linked: DataFrame | None = None, hyp_linked: DataFrame | None = None) -> DataFrame:
-    """Q14: a row for each (filename, source, hypothesis) with document, sentence and concept scores."""
+def text_cover(src: DataFrame, hyp: DataFrame, scorer: B.SimilarityScorer, threshold: float = V.MATCH_THRESHOLD) -> DataFrame:
+    """(doc_id, precision, recall, f1) of texts whose best score against the other side's reaches the threshold.
+
+    ``src`` and ``hyp`` are (doc_id, text) with repeats; each distinct pair of a document's texts is scored once. Documents
+    with texts on one side alone have no row.
+    """
+    counted = lambda df, name, n: df.filter("text <> ''").groupBy("doc_id", F.col("text").alias(name)).agg(F.count("*").alias(n))
+    pairs = counted(src, "s", "n_s").join(counted(hyp, "h", "n_h"), "doc_id").withColumn("score", B.similarity(F.col("h"), F.col("s"), scorer)["f1"])
+
+    def share(name, n):
+        best = pairs.groupBy("doc_id", name, n).agg(F.max("score").alias("best"))
+        return best.groupBy("doc_id").agg((F.sum(F.when(F.col("best") >= threshold, F.col(n)).otherwise(0)) / F.sum(n)).alias("share"))
+
+    met = share("h", "n_h").withColumnRenamed("share", "precision").join(share("s", "n_s").withColumnRenamed("share", "recall"), "doc_id")
+    return met.withColumn("f1", metrics.ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def concept_scores(src: DataFrame, hyp: DataFrame, scorer: B.SimilarityScorer, src_relations: DataFrame | None = None, hyp_relations: DataFrame | None = None, threshold: float = V.MATCH_THRESHOLD) -> DataFrame:
+    """Q14, concepts: the kg_* columns and the unrounded kg_f1 of each document that has entities on both sides.
+
+    Entities by concept and by text, relations by concepts and by text. Relation columns are null unless both
+    sides have relations; text columns are null unless both sides have texts.
+    """
+    r5 = lambda c: F.round(c, 5)
+    three = ("precision", "recall", "f1")
+
+    def overlapped(found, prefix, sizes):
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        return [*[r5(zero(found[k])).alias(f"{prefix}_{k}") for k in three], count(found["tp"] + found["fn"]).alias(f"kg_n_src_{sizes}"), count(found["tp"] + found["fp"]).alias(f"kg_n_hyp_{sizes}")]
+
+    def covered(a, b, prefix):
+        return text_cover(a, b, scorer, threshold).select("doc_id", *[r5(F.col(k)).alias(f"{prefix}_{k}") for k in three])
+
+    both = lambda a, b: a.select("doc_id").distinct().join(b.select("doc_id"), "doc_id", "left_semi")
+    docs = both(src, hyp)
+    found = cui_scores(src, hyp)
+    out = docs.join(found, "doc_id", "left").select("doc_id", F.coalesce(found["f1"], F.lit(0.0)).alias("kg_f1"), *overlapped(found, "kg_entity", "entities"))
+    shown = lambda df: df.select("doc_id", F.coalesce(shown_text(df), F.lit("")).alias("text"))
+    out = out.join(covered(shown(src), shown(hyp), "kg_embed"), "doc_id", "left")
+    if src_relations is None or hyp_relations is None:
+        return out
+    triples = metrics.overlap(resolved_triples(src_relations, src), resolved_triples(hyp_relations, hyp), ["s_cui", "relation", "o_cui"], ["doc_id"])
+    related = both(src_relations, hyp_relations).join(triples, "doc_id", "left").select("doc_id", *overlapped(triples, "kg_rel", "relations"))
+    told = lambda rel, ents: relation_texts(rel, ents).select("doc_id", F.col("rel_text").alias("text"))
+    return out.join(related, "doc_id", "left").join(covered(told(src_relations, src), told(hyp_relations, hyp), "kg_rel_embed"), "doc_id", "left")
+
+
+def translation_scores(pairs: DataFrame, scorer: B.SimilarityScorer, encoder: B.Encoder, src_linked: DataFrame | None = None, hyp_linked: DataFrame | None = None, src_relations: DataFrame | None = None, hyp_relations: DataFrame | None = None, threshold: float = V.MATCH_THRESHOLD, alpha: float = 0.5) -> DataFrame:
+    """Q14: a row for each (filename, source, hypothesis) with document, sentence and concept scores.
+
+    Entities and relations are by ``doc_id``, the file's name. Those that an aligned bead holds count; in a
+    document without beads all do. Without linked entities of both sides the concept columns are null.
+    """
+    from lexigrid.plans import composites
+
     whole = pairs.withColumn("bs", B.similarity(F.col("hypothesis"), F.col("source"), scorer)).withColumn("labse", T.cosine(B.encode(F.col("source"), encoder), B.encode(F.col("hypothesis"), encoder)))
     r5 = lambda c: F.round(c, 5)
     n = lambda c: F.size(alignment.split_sentences(c))
-    docs = whole.select("filename", r5("bs.p").alias("doc_bs_precision"), r5("bs.r").alias("doc_bs_recall"), r5("bs.f1").alias("doc_bs_f1"), F.col("bs.f1").alias("raw_f1"), r5("labse").alias("doc_labse"), n("source").alias("n_src_sentences"), n("hypothesis").alias("n_hyp_sentences"))
-    out = docs.join(sentence_scores(alignment.align_documents(pairs), scorer, encoder), "filename", "left")
+    docs = whole.select("filename", r5("bs.p").alias("doc_bs_precision"), r5("bs.r").alias("doc_bs_recall"), r5("bs.f1").alias("doc_bs_f1"), F.col("bs.f1").alias("raw_f1"), r5("labse").alias("doc_labse"), n("source").alias("n_src"), n("hypothesis").alias("n_hyp"))
+    beads = alignment.align_documents(pairs)
+    out = docs.join(sentence_scores(beads, scorer, encoder), "filename", "left")
+    counted = lambda c: F.when(F.col("n_aligned_sentences").isNotNull(), F.col(c))
+    out = out.withColumn("n_src_sentences", counted("n_src")).withColumn("n_hyp_sentences", counted("n_hyp"))
     if src_linked is not None and hyp_linked is not None:
-        raw = cui_scores(src_linked, hyp_linked).select(F.col("doc_id").alias("filename"), F.col("f1").alias("raw_kg_f1"))
-        kg = cui_overlap(src_linked, hyp_linked).withColumnRenamed("doc_id", "filename")
-        out = out.join(kg, "filename", "left").join(raw, "filename", "left").withColumn("kg_bertscore_f1", combined_score(F.coalesce("raw_kg_f1", F.lit(0.0)), F.col("raw_f1")))
+        by_doc = beads.withColumnRenamed("filename", "doc_id")
+        ents = [composites.scored_rows(by_doc, rows, side) for side, rows in (("src", src_linked), ("hyp", hyp_linked))]
+        rels = [None if rows is None else composites.scored_rows(by_doc, rows, side) for side, rows in (("src", src_relations), ("hyp", hyp_relations))]
+        known = src_linked.select("doc_id").distinct().join(hyp_linked.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "filename").withColumn("known", F.lit(True))
+        out = out.join(known, "filename", "left").join(concept_scores(*ents, scorer, *rels, threshold).withColumnRenamed("doc_id", "filename"), "filename", "left")
+        unheld = lambda c, value: F.when(F.col("known"), F.coalesce(c, F.lit(value)))
+        for c in ("kg_entity_precision", "kg_entity_recall", "kg_entity_f1"):
+            out = out.withColumn(c, unheld(c, 0.0))
+        for c in ("kg_n_src_entities", "kg_n_hyp_entities"):
+            out = out.withColumn(c, unheld(c, 0))
+        out = out.withColumn("kg_bertscore_f1", F.when(F.col("known"), combined_score(F.coalesce("kg_f1", F.lit(0.0)), F.col("raw_f1"), alpha)))
     empty = [c for c in V.EVAL_COLUMNS if c not in out.columns and c != "file"]
     return out.select(F.col("filename").alias("file"), *[F.col(c) if c not in empty else F.lit(None).cast("double").alias(c) for c in V.EVAL_COLUMNS if c != "file"])
 
 
+def documents_with_triples(triples: DataFrame, relations: DataFrame) -> DataFrame:
+    """(with_triples, documents): how many documents with relations have a resolved triple."""
+    has = triples.select("doc_id").distinct().withColumn("has", F.lit(1))
+    return relations.select("doc_id").distinct().join(has, "doc_id", "left").agg(F.count("has").alias("with_triples"), F.count("*").alias("documents"))
+
+
 def pair_stats(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Q15: by document and over all; pairs with both sides blank go first."""
     src, hyp = T.strip(F.col("source")), T.strip(F.col("hypothesis"))

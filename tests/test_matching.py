@@ -93,6 +93,8 @@ def test_top_candidates_are_exact(spark):
     for q, v in queries:
         want = sorted((-round(sum(a * b for a, b in zip(v, w)), 4), n, c) for c, n, w in kb)[:3]
         assert [(r["name"], r["cui"]) for r in sorted((r for r in got if r["q"] == q), key=lambda r: r["rank"])] == [(n, c) for _, n, c in want]
+    small = matching.top_candidates(spark.createDataFrame(queries, "q int, vec array<double>"), spark.createDataFrame(kb, "cui string, name string, vec array<double>"), 3, -9.0, digits=4, cell=3)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, got))
 
 
 def test_overlap_of_empty_and_equal_sets(spark):
@@ -143,11 +145,21 @@ def test_beads_cover_spans(spark):
     assert [(r["bead_idx"], r["source"], r["hyp_start"]) for r in rows] == [(0, "One two three.", 0), (1, "Four five six.", 14)]
 
 
-def test_context_grows_by_sentences():
+def test_context_grows_by_sentences(spark):
     text = "Aaa bbb. Ccc ddd. Eee fff. Ggg hhh."
-    assert alignment.context_window(text, 9, 12, 13, 16, 10) == "Ccc ddd."
-    assert alignment.context_window(text, 9, 12, 13, 16, 20) in ("Aaa bbb. Ccc ddd.", "Ccc ddd. Eee fff.")
-    assert alignment.context_window(text, 0, 3, 31, 34, 5) == text
+
+    def context(s1, e1, s2, e2, most, body=text):
+        pairs = spark.createDataFrame([(1, s1, e1, s2, e2)], "doc_id int, s_start int, s_end int, o_start int, o_end int")
+        return alignment.contexts(pairs, spark.createDataFrame([(1, body)], "doc_id int, body string"), most=most).first()["context"]
+
+    assert context(9, 12, 13, 16, 10) == "Ccc ddd."
+    assert context(13, 16, 9, 12, 20) == "Aaa bbb. Ccc ddd."
+    assert context(9, 12, 13, 16, 27) == "Aaa bbb. Ccc ddd. Eee fff."
+    assert context(18, 21, 22, 25, 18) == "Ccc ddd. Eee fff."
+    assert context(0, 3, 4, 7, 27) == "Aaa bbb. Ccc ddd. Eee fff."
+    assert context(0, 3, 31, 34, 5) == text
+    assert context(27, 30, 31, 34, 1000) == text
+    assert context(2, 3, 4, 5, 512, "no break at all") == "no break at all"
 
 
 # pipelines with offline backends
