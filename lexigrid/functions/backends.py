@@ -61,6 +61,15 @@ class HashedNgrams:
         return out / np.where(norms > 0, norms, 1)
 
 
+class LetterCounts:
+    """Unit vectors of how often each of a to z stands in a text."""
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        counts = np.array([[(t or "").lower().count(chr(97 + k)) for k in range(26)] for t in texts], dtype=np.float64).reshape(-1, 26)
+        norms = np.linalg.norm(counts, axis=1, keepdims=True)
+        return counts / np.where(norms > 0, norms, 1)
+
+
 class TokenEntailment:
     """Share of the hypothesis's words that the premise has."""
 
@@ -142,23 +151,63 @@ def similarity(candidate: Column, reference: Column, scorer: SimilarityScorer) -
     return run(candidate, reference)
 
 
+def each_or_blank(translator: Translator, texts: list[str]) -> list[str]:
+    """Translations of a batch; where the service fails or gives another number of them, each text goes alone and a failing one is blank."""
+    try:
+        out = translator.translate(texts)
+        if len(out) == len(texts):
+            return list(out)
+    except Exception:  # the remote service's own errors
+        pass
+    if len(texts) == 1:
+        return [""]
+    return [t for one in texts for t in each_or_blank(translator, [one])]
+
+
 def translate(text: Column, translator: Translator, batch: int = 64) -> Column:
-    """A batch that fails gives empty strings, not a failed job."""
+    """Texts in batches; a failing text is an empty string, not a failed job."""
 
     @pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        out: list[str] = []
-        for i in range(0, len(texts), batch):
-            part = list(texts[i : i + batch])
-            try:
-                out += translator.translate(part)
-            except Exception:  # the remote service's own errors
-                out += [""] * len(part)
-        return pd.Series(out, dtype=object)
+        return pd.Series([t for i in range(0, len(texts), batch) for t in each_or_blank(translator, list(texts[i : i + batch]))], dtype=object)
 
     return run(text)
 
 
+def batch_request(texts: list[str], source: str, target: str) -> str:
+    """The prompt that asks a language model for a batch: numbered texts, and one JSON object back."""
+    import json
+
+    listed = json.dumps({"texts": texts}, ensure_ascii=False)
+    return f'Translate each text from {source} to {target}. Answer with JSON alone, {{"translations": [...]}}, one for each text in the same order.\n{listed}'
+
+
+def batch_answer(answer: str, n: int) -> list[str]:
+    """The translations of a model's answer; an error where it is no such JSON or has not ``n`` of them."""
+    import json
+
+    found = json.loads(answer[answer.index("{") : answer.rindex("}") + 1])["translations"]
+    if not isinstance(found, list) or len(found) != n:
+        raise ValueError(f"{n} translations were asked for")
+    return [str(t).strip() for t in found]
+
+
+class PromptedTranslator:
+    """Translation by a language model that ``ask`` reaches: a prompt in, its answer out. None is reached unless it is passed in."""
+
+    def __init__(self, ask, source: str = "Bulgarian", target: str = "English"):
+        self.ask, self.source, self.target = ask, source, target
+
+    def translate(self, texts: list[str]) -> list[str]:
+        return batch_answer(self.ask(batch_request(texts, self.source, self.target)), len(texts))
+
+
+def mean_pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Means of token vectors (text, token, dimension) over the tokens that the mask keeps."""
+    kept = mask[:, :, None].astype(states.dtype)
+    return (states * kept).sum(axis=1) / np.maximum(kept.sum(axis=1), 1e-9)
+
+
 def detect_language(text: Column, detector: LanguageDetector) -> Column:
     @pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

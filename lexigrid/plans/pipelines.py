@@ -116,7 +116,7 @@ def knowledge_base(concepts: DataFrame, types: DataFrame, labels: DataFrame, voc
     return typed.join(named, "cui").select("label", "cui", "name")
 
 
-def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: int = V.TOP_K, threshold: float = V.LINK_THRESHOLD, by_type: bool = True, known: dict[str, str] | None = None, translator: B.Translator | None = None) -> DataFrame:
+def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: int = V.TOP_K, threshold: float = V.LINK_THRESHOLD, by_type: bool = True, known: dict[str, str] | None = None, translator: B.Translator | None = None, digits: int | None = None) -> DataFrame:
     """Q9: entities with their ranked candidates. Each distinct text is expanded, translated and encoded once."""
     asked = entities.select("text", F.col("entity_label").alias("label")).distinct().withColumn("asked", T.replace_known(F.col("text"), known or {}))
     if translator is not None:
@@ -125,7 +125,7 @@ def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: i
     queries = asked.join(vectors, "asked").withColumn("q", F.struct("text", "label"))
     names = kb.join(asked.select("label").distinct(), "label", "left_semi") if by_type else kb.select("cui", "name").distinct()
     names = names.join(names.select("name").distinct().withColumn("vec", B.encode(F.col("name"), encoder)), "name")
-    ranked = matching.top_candidates(queries.select("q", "label", "vec"), names, k, threshold, ["label"] if by_type else None)
+    ranked = matching.top_candidates(queries.select("q", "label", "vec"), names, k, threshold, ["label"] if by_type else None, digits)
     lists = ranked.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "cui", "name", "score"))).alias("candidates"))
     lists = lists.select(F.col("q.text").alias("text"), F.col("q.label").alias("entity_label"), "candidates")
     return entities.join(lists, ["text", "entity_label"], "left")
@@ -138,6 +138,11 @@ def translated_entities(entities: DataFrame, translator: B.Translator, known: di
     return expanded.join(once, "expanded_text", "left").select(*entities.columns, "expanded_text", "translated_text")
 
 
+def translated_documents(docs: DataFrame, translator: B.Translator, text: str = "text") -> DataFrame:
+    """Whole documents, one call each; (all columns, translation). Those that fail are left out."""
+    return docs.withColumn("translation", B.translate(F.col(text), translator, batch=1)).filter("translation <> ''")
+
+
 def extracted_relations(entities: DataFrame, texts: DataFrame, scorer: B.PairScorer, lang: str | None = "en", threshold: float = 0.5, max_distance: int = V.MAX_DISTANCE, detector: B.LanguageDetector | None = None) -> DataFrame:
     """Q11: the best relation of each ordered pair of spans.
 

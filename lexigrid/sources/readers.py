@@ -36,6 +36,42 @@ def texts(spark: SparkSession, root: str, extensions=("txt", "text", "md"), limi
     return named.select("filename", F.coalesce(utf8, F.decode("content", "ISO-8859-1")).alias("text"))
 
 
+def table_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+    """(filename, text): the files that match in one folder, not below it; an error where there are none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
+    rows = files.select(F.element_at(F.split(_relative(folder), "/"), -1).alias("filename"), F.decode("content", "UTF-8").alias("text"))
+    if rows.select("filename").isEmpty():
+        raise FileNotFoundError(f"no {pattern} files in {folder}")
+    return rows
+
+
+def ner_runs(spark: SparkSession, root: str, prefix: str = "gliner_") -> DataFrame:
+    """All runs below ``root``: a folder whose name has the prefix is a run, named by its folder; an error where there is none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tsv").load(root).select(_relative(root).alias("path"))
+    found = files.select("path", F.substring_index("path", "/", 1).alias("run")).filter(F.col("run").startswith(prefix) & F.col("path").contains("/"))
+    runs = found.groupBy("run").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("run").collect()  # a row a run folder
+    if not runs:
+        raise FileNotFoundError(f"No {prefix}* folders found in {root}")
+    from lexigrid.plans.pipelines import combined_runs
+
+    base = root.rstrip("/")
+    parts = []
+    for r in runs:
+        split = {linked: [f"{base}/{p}" for p in r["paths"] if ("umls" in p.rsplit("/", 1)[-1].lower()) == linked] for linked in (False, True)}
+        there = [ner_run(spark, paths, r["run"], linked) for linked, paths in split.items() if paths]
+        plain = next((f for f, (linked, paths) in zip(there, [x for x in split.items() if x[1]]) if not linked), there[0].limit(0))
+        with_concepts = next((f for f, (linked, paths) in zip(there, [x for x in split.items() if x[1]]) if linked), there[0].limit(0))
+        parts.append((plain, with_concepts))
+    return combined_runs(parts)
+
+
+def dataset(spark: SparkSession, path: str, text: str = "text", key: str = "id") -> DataFrame:
+    """(id, text, category_diagnosis, document_id, length) of a local dataset in Parquet or JSON lines, with ids like ``a_b_7``."""
+    rows = spark.read.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else spark.read.parquet(path)
+    category, number = T.id_parts(F.col(key))
+    return rows.select(F.col(key).alias("id"), F.col(text).alias("text"), category.alias("category_diagnosis"), number.alias("document_id"), F.length(text).alias("length"))
+
+
 def tsv(spark: SparkSession, path, schema: str | None = None, header: bool = True) -> DataFrame:
     """A tab-separated table, all strings, with quoted tabs, quotes and line breaks; missing values are ''."""
     reader = spark.read.option("sep", "\t").option("header", header).option("quote", '"').option("escape", '"').option("multiLine", "true").option("emptyValue", "").option("nullValue", "\x00")
@@ -56,6 +92,26 @@ def entities(spark: SparkSession, path) -> DataFrame:
     return rows.withColumn("entity_kind", kind).withColumn("start_span", F.col("start_span").cast("int")).withColumn("end_span", F.col("end_span").cast("int"))
 
 
+def keyed_rows(spark: SparkSession, path) -> DataFrame:
+    """Entity-linking or relation rows as they are, all columns as text; the file name is stripped, and a blank one stays."""
+    df = tsv(spark, path)
+    return df.withColumn("filename", T.strip(F.col("filename")))
+
+
+def linked_rows(spark: SparkSession, path) -> DataFrame:
+    """Entity-linking rows as (doc_id, id, start, end, label, text, translated, cui), in order of the file's rows."""
+    df = keyed_rows(spark, path).withColumn("id", F.monotonically_increasing_id())
+    or_blank = lambda c: F.col(c) if c in df.columns else F.lit("")
+    return df.select(F.col("filename").alias("doc_id"), "id", T.span_number(F.col("start_span")).alias("start"), T.span_number(F.col("end_span")).alias("end"), F.col("entity_label").alias("label"), "text", or_blank("translated_text").alias("translated"), T.strip(or_blank("umls_cui_1")).alias("cui"))
+
+
+def relation_rows(spark: SparkSession, path) -> DataFrame:
+    """Relation rows as (doc_id, id, relation, s_start, s_end, o_start, o_end), in order of the file's rows."""
+    df = keyed_rows(spark, path).withColumn("id", F.monotonically_increasing_id())
+    span = lambda c: T.span_number(F.col(c))
+    return df.select(F.col("filename").alias("doc_id"), "id", "relation", span("subject_start").alias("s_start"), span("subject_end").alias("s_end"), span("object_start").alias("o_start"), span("object_end").alias("o_end"))
+
+
 def ner_run(spark: SparkSession, path, model: str, linked: bool = False) -> DataFrame:
     """One folder's files as (document_id, language, model, entity_type, text, start_index, end_index, umls_cui)."""
     df = with_missing(tsv(spark, path).withColumn("__path", F.col("_metadata.file_path")))
@@ -129,6 +185,32 @@ def abbreviations(spark: SparkSession, path) -> DataFrame:
     return rows.groupBy("abbreviation").agg(F.max_by("expansion", "line_no").alias("expansion"))
 
 
+def abbreviation_table(spark: SparkSession, path) -> DataFrame:
+    """(abbreviation, bg, en) of a tab-separated file with a comment or none before its rows; rows with fewer fields go."""
+    lines = numbered_lines(spark.read.text(path, wholetext=True), "value").filter(~F.col("line").startswith("#"))
+    parts = F.split("line", "\t")
+    rows = lines.filter(F.size(parts) >= 3).select(*[T.strip(F.get(parts, F.lit(i))).alias(c) for i, c in enumerate(("abbreviation", "bg", "en"))])
+    return rows.filter("abbreviation <> ''")
+
+
+def label_paths(options: list[str]) -> dict[str, list[str]]:
+    """``label=path,path`` options as paths by lower-case label; an error without the sign."""
+    found: dict[str, list[str]] = {}
+    for option in options:
+        label, sign, paths = option.partition("=")
+        if not sign:
+            raise ValueError(f"expected label=path, got {option!r}")
+        found.setdefault(label.strip().lower(), []).extend(p.strip() for p in paths.split(",") if p.strip())
+    return found
+
+
+def typed_candidates(spark: SparkSession, options: list[str]) -> DataFrame:
+    """(cui, name, label) of the candidate files that the options name."""
+    from lexigrid.operators.metrics import unioned
+
+    return unioned([candidates(spark, paths, label) for label, paths in label_paths(options).items()])
+
+
 def sentence_pairs(spark: SparkSession, path) -> DataFrame:
     """(filename, bead_idx, source, hypothesis) in order of the file's rows."""
     name = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/"), -1)

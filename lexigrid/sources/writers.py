@@ -30,10 +30,50 @@ def write_summary(summary: DataFrame, documents: DataFrame, key: str, path: str)
     one.unionByName(many).write.mode("overwrite").json(path)
 
 
-def write_cached(df: DataFrame, path: str) -> DataFrame:
-    """Parquet in place of an object cache: written, then read back."""
-    df.write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def write_object(summary: DataFrame, documents: DataFrame, key: str, path: str) -> None:
+    """One JSON object {"summary": ..., "documents": {key: ...}} as lines of text: a line a document, in one file, in order of key."""
+    keep = {"ignoreNullFields": "false"}
+    head = summary.select(F.lit(0).alias("part"), F.lit("").alias("at"), F.concat(F.lit('{"summary": '), F.to_json(F.struct("*"), keep), F.lit(', "documents": {')).alias("line"))
+    body = documents.select(F.lit(1).alias("part"), F.col(key).cast("string").alias("at"), F.concat(F.to_json(F.array(F.col(key).cast("string"))), F.lit(": "), F.to_json(F.struct("*"), keep)).alias("line"))
+    body = body.withColumn("line", F.regexp_replace("line", r'^\[("(?:[^"\\]|\\.)*")\]', "$1"))
+    first = body.agg(F.min("at").alias("least"))
+    body = body.join(F.broadcast(first), F.lit(True)).select("part", "at", F.when(F.col("at") == F.col("least"), F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"))
+    tail = head.select(F.lit(2).alias("part"), F.lit("").alias("at"), F.lit("}}").alias("line"))
+    head.unionByName(body).unionByName(tail).orderBy("part", "at").coalesce(1).select("line").write.mode("overwrite").text(path)
+
+
+def label_name(label: str) -> str:
+    """A label as part of a file name."""
+    return label.replace(" ", "_").replace("/", "_")
+
+
+def write_knowledge_base(kb: DataFrame, path: str) -> None:
+    """``kb(label, cui, name)`` as a folder for each label, and ``kb_all`` with the distinct names of all; each in order of concept, then name."""
+    named = kb.select(F.translate("label", " /", "__").alias("label"), "cui", "name")
+    by_label = named.repartitionByRange("label", "cui", "name").sortWithinPartitions("label", "cui", "name")
+    by_label.write.mode("overwrite").option("sep", "\t").option("header", False).option("quote", '"').option("escape", '"').partitionBy("label").csv(f"{path}/labels")
+    kb.select("cui", "name").distinct().orderBy("cui", "name").write.mode("overwrite").option("sep", "\t").option("header", False).option("quote", '"').option("escape", '"').csv(f"{path}/kb_all")
+
+
+def write_cached(df: DataFrame, path: str, keys: tuple = ("encoder", "text"), by: list[str] | None = None) -> DataFrame:
+    """Parquet in place of an object cache: rows whose keys it lacks are added, and all are read back.
+
+    A vector belongs to its encoder and text, so the keys are both where a frame has them. ``by`` makes a folder for each value, such as
+    the entity type.
+    """
+    there = [k for k in (*keys, *(by or [])) if k in df.columns]
+    spark = df.sparkSession
+    try:
+        known = spark.read.parquet(path)
+    except Exception as missing:  # nothing is cached yet
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        new = df.dropDuplicates(there) if there else df
+    else:
+        new = df.dropDuplicates(there).join(known.select(*there).distinct(), there, "left_anti") if there else df
+    writer = new.write.mode("append")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return spark.read.parquet(path)
 
 
 def missing_from_cache(texts: DataFrame, cache: DataFrame, key: str = "text") -> DataFrame:
@@ -46,3 +86,12 @@ def report(summary: DataFrame, title: str) -> str:
     rows = summary.collect()
     lines = [f"# {title}", "", "| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def corpus_report(summary: DataFrame, vocabulary: int, categories: DataFrame, title: str = "Corpus statistics") -> str:
+    """A markdown report: the corpus as a whole, then each metric's summary, then how both were counted."""
+    listed = categories.orderBy("disease").collect()
+    whole = [("Documents", sum(r["documents"] for r in listed)), ("Categories", len(listed)), ("Vocabulary", vocabulary), ("Sentences", sum(r["sentences"] or 0 for r in listed))]
+    lines = [f"# {title}", "", "| Corpus | Value |", "|---|---|", *[f"| {k} | {v} |" for k, v in whole], "", report(summary, "Documents").removeprefix("# Documents\n\n"), "## Notes", ""]
+    lines += ["- Words are runs of letters, digits and underscores, joined by hyphens or apostrophes.", "- Sentences end at a full stop, question or exclamation mark before a capital or a digit.", "- Deviations are of the whole population; quartiles are interpolated."]
+    return "\n".join(lines) + "\n"

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,40 @@ def test_failed_translation_gives_blanks(spark):
     assert got["translated_text"] == "" and got["expanded_text"] == "a"
 
 
+def test_a_failed_batch_goes_text_by_text(spark):
+    class Fussy:
+        def translate(self, texts):
+            if "bad" in texts:
+                raise OSError("refused")
+            return [t.upper() for t in texts if t != "lost"]
+
+    rows = spark.createDataFrame([(t,) for t in ("a", "bad", "lost", "b")], "text string").coalesce(1)
+    got = {r["text"]: r["translated_text"] for r in pipelines.translated_entities(rows, Fussy()).collect()}
+    assert got == {"a": "A", "bad": "", "lost": "", "b": "B"}
+    docs = pipelines.translated_documents(rows, Fussy()).collect()
+    assert sorted(r["translation"] for r in docs) == ["A", "B"]
+
+
+def test_prompted_translation():
+    import json
+
+    asked = []
+
+    def ask(prompt):
+        asked.append(prompt)
+        texts = json.loads(prompt.splitlines()[-1])["texts"]
+        return "Sure: " + json.dumps({"translations": [t + "!" for t in texts[:2]]})
+
+    model = B.PromptedTranslator(ask)
+    assert B.each_or_blank(model, ["x", "y"]) == ["x!", "y!"] and len(asked) == 1
+    assert B.each_or_blank(model, ["x", "y", "z"]) == ["x!", "y!", "z!"] and len(asked) == 5
+
+
+def test_mean_pooling_skips_padding():
+    states = np.array([[[1.0, 3.0], [3.0, 5.0], [100.0, 100.0]], [[1.0, 1.0]] * 3])
+    assert np.allclose(B.mean_pooled(states, np.array([[1, 1, 0], [0, 0, 0]])), [[2, 4], [0, 0]])
+
+
 @pytest.mark.parametrize("text, want", [("Пациентът е приет", "bg"), ("The patient", "en"), ("", "en")])
 def test_language_detector(text, want):
     assert B.CyrillicShare().detect(text) == want

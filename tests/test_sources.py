@@ -103,3 +103,77 @@ def test_cache_and_report(spark, tmp_path):
     cache = writers.write_cached(texts.filter("text = 'a'").withColumn("vec", F.array(F.lit(1.0))), str(tmp_path / "cache"))
     assert [r["text"] for r in writers.missing_from_cache(texts, cache).collect()] == ["b"]
     assert "| a | 1 |" in writers.report(spark.createDataFrame([("a", 1, None)], "metric string, n int, x string"), "T")
+
+
+def test_flat_table_folder(spark, tmp_path):
+    (tmp_path / "below").mkdir()
+    for name, body in (("a.txt", "| x |"), ("b.md", "no"), ("below/c.txt", "no")):
+        (tmp_path / name).write_text(body)
+    assert [tuple(r) for r in readers.table_files(spark, str(tmp_path)).collect()] == [("a.txt", "| x |")]
+    with pytest.raises(FileNotFoundError):
+        readers.table_files(spark, str(tmp_path), "*.csv")
+
+
+def test_run_folders(spark, tmp_path):
+    head = "filename\tentity_label\tstart_span\tend_span\ttext"
+    for run, name, cui in (("gliner_a", "predictions_en_ner.tsv", ""), ("gliner_a", "predictions_en_umls.tsv", "\tC1"), ("gliner_a", "predictions_bg_ner.tsv", ""), ("gliner_b", "predictions_bg_ner.tsv", ""), ("other", "predictions_en_ner.tsv", "")):
+        (tmp_path / run).mkdir(exist_ok=True)
+        (tmp_path / run / name).write_text(head + ("\tumls_cui_1" if cui else "") + "\n" + f"case_1.txt\tdisease\t0\t3\tflu{cui}\n")
+    rows = readers.ner_runs(spark, str(tmp_path)).collect()
+    assert sorted((r["model"], r["language"], r["umls_cui"]) for r in rows) == [("gliner_a", "bg", None), ("gliner_a", "en", "C1"), ("gliner_b", "bg", None)]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x.tsv").write_text(head)
+    with pytest.raises(FileNotFoundError, match=r"No gliner_\* folders found"):
+        readers.ner_runs(spark, str(tmp_path / "empty"))
+
+
+def test_linked_and_relation_files(spark, tmp_path):
+    (tmp_path / "el.tsv").write_text("filename\tentity_label\tstart_span\tend_span\ttext\ttranslated_text\tumls_cui_1\n a.txt \td\t007\t9\tx\t\t C1 \n\td\t1\t2\ty\tz\t\n")
+    rows = readers.linked_rows(spark, str(tmp_path / "el.tsv")).orderBy("id").collect()
+    assert [(r["doc_id"], r["start"], r["text"], r["translated"], r["cui"]) for r in rows] == [("a.txt", 7, "x", "", "C1"), ("", 1, "y", "z", "")]
+    (tmp_path / "re.tsv").write_text("filename\tsubject_start\tsubject_end\trelation\tobject_start\tobject_end\na.txt\t1\t2\thas\t3\t4\n")
+    row = readers.relation_rows(spark, str(tmp_path / "re.tsv")).first()
+    assert tuple(row)[2:] == ("has", 1, 2, 3, 4)
+
+
+def test_dataset_options_and_abbreviation_table(spark, tmp_path):
+    spark.createDataFrame([("a_b_7", "text")], "id string, text string").write.parquet(str(tmp_path / "d"))
+    assert tuple(readers.dataset(spark, str(tmp_path / "d")).first()) == ("a_b_7", "text", "a_b", "7", 4)
+    assert readers.label_paths(["Drug Name=x, y", "drug name=z"]) == {"drug name": ["x", "y", "z"]}
+    with pytest.raises(ValueError):
+        readers.label_paths(["no sign"])
+    (tmp_path / "c.tsv").write_text("C1\tone\nC2\ttwo\n")
+    assert sorted(map(tuple, readers.typed_candidates(spark, [f"Disease={tmp_path}/c.tsv"]).collect())) == [("C1", "one", "disease"), ("C2", "two", "disease")]
+    (tmp_path / "abbr.tsv").write_text("# head\nАН\tналягане\tpressure\nshort\n")
+    assert [tuple(r) for r in readers.abbreviation_table(spark, str(tmp_path / "abbr.tsv")).collect()] == [("АН", "налягане", "pressure")]
+
+
+def test_knowledge_base_folders(spark, tmp_path):
+    kb = spark.createDataFrame([("drug name", "C2", "b"), ("drug name", "C1", "z"), ("drug name", "C1", "a"), ("x/y", "C1", "a")], "label string, cui string, name string")
+    writers.write_knowledge_base(kb, str(tmp_path))
+    files = sorted(tmp_path.glob("labels/label=drug_name/*.csv"))
+    assert "".join(f.read_text() for f in files) == "C1\ta\nC1\tz\nC2\tb\n" and list(tmp_path.glob("labels/label=x_y/*.csv"))
+    assert "".join(f.read_text() for f in sorted(tmp_path.glob("kb_all/*.csv"))) == "C1\ta\nC1\tz\nC2\tb\n"
+
+
+def test_one_json_object(spark, tmp_path):
+    import json
+
+    documents = spark.createDataFrame([("b.txt", 1.5, None), ('a "q"\\.txt', 2.0, 1)], "file string, score double, n int")
+    writers.write_object(spark.createDataFrame([(2, 1.75)], "n_documents int, mean double"), documents, "file", str(tmp_path / "o"))
+    found = json.loads("".join(f.read_text() for f in sorted((tmp_path / "o").glob("*.txt"))))
+    assert found["summary"] == {"n_documents": 2, "mean": 1.75}
+    assert found["documents"] == {"b.txt": {"file": "b.txt", "score": 1.5, "n": None}, 'a "q"\\.txt': {"file": 'a "q"\\.txt', "score": 2.0, "n": 1}}
+
+
+def test_cache_does_not_repeat_rows(spark, tmp_path):
+    rows = lambda *names: spark.createDataFrame([(n, "e1", "drug") for n in names], "text string, encoder string, label string")
+    writers.write_cached(rows("a", "b", "b"), str(tmp_path / "c"), by=["label"])
+    assert writers.write_cached(rows("b", "c"), str(tmp_path / "c"), by=["label"]).count() == 3
+    assert writers.write_cached(rows("b").withColumn("encoder", F.lit("e2")), str(tmp_path / "c"), by=["label"]).count() == 4
+
+
+def test_corpus_report_has_both_tables(spark):
+    summary = spark.createDataFrame([("words", 2.0)], "metric string, mean double")
+    text = writers.corpus_report(summary, 9, spark.createDataFrame([("flu", 2, 5)], "disease string, documents long, sentences long"))
+    assert "| Documents | 2 |" in text and "| words | 2.0 |" in text and "## Notes" in text
