@@ -129,7 +129,7 @@ def bead_entities(entities: DataFrame, beads: DataFrame, text: str) -> DataFrame
     return found.withColumn("bead_idx", F.coalesce("bead_idx", F.lit(-1))).drop("id")
 
 
-def entity_match_rows(beads: DataFrame, src: DataFrame, hyp: DataFrame, encoder: B.Encoder, threshold: float = V.MATCH_THRESHOLD, same_label: bool = False, suffix: str | None = None) -> DataFrame:
+def entity_match_rows(beads: DataFrame, src: DataFrame, hyp: DataFrame, encoder: B.Encoder, threshold: float = V.MATCH_THRESHOLD, same_label: bool = False, suffix: str | None = None, digits: int | None = None) -> DataFrame:
     """Q13: the 15 columns of the match file.
 
     ``beads(filename, bead_idx, source, hypothesis)``; ``src`` and ``hyp`` have (filename, ent, entity_label, start_span, end_span, text
@@ -140,7 +140,7 @@ def entity_match_rows(beads: DataFrame, src: DataFrame, hyp: DataFrame, encoder:
     shown = lambda df: df if "translated_text" in df.columns else df.withColumn("translated_text", F.lit(""))
     a, b = bead_entities(named_rows(files, shown(src)), beads, "source"), bead_entities(named_rows(files, shown(hyp), suffix=suffix), beads, "hypothesis")
     keyed = lambda df, row: df.select("filename", "bead_idx", F.col("ent").alias(row), F.col("entity_label").alias("label"), T.preferred(F.col("translated_text"), F.col("text")).alias("text"))
-    pairs = P.cross_lingual_matches(keyed(a, "i"), keyed(b, "j"), encoder, threshold, same_label)
+    pairs = P.cross_lingual_matches(keyed(a, "i"), keyed(b, "j"), encoder, threshold, same_label, digits)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     columns = ("entity_label", "start_span", "end_span", "text")
     scope = ["filename", "bead_idx"]

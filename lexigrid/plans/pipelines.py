@@ -217,7 +217,7 @@ def relation_matches(src: DataFrame, hyp: DataFrame, src_linked: DataFrame, hyp_
     return matching.match_cascade(keyed(src, src_linked), keyed(hyp, hyp_linked), scope, [("CUI", "by_cui"), ("text", "by_text")])
 
 
-def cross_lingual_matches(src: DataFrame, hyp: DataFrame, encoder: B.Encoder, threshold: float = V.MATCH_THRESHOLD, same_label: bool = False) -> DataFrame:
+def cross_lingual_matches(src: DataFrame, hyp: DataFrame, encoder: B.Encoder, threshold: float = V.MATCH_THRESHOLD, same_label: bool = False, digits: int | None = None) -> DataFrame:
     """Q13: greedy one-to-one matches inside each (filename, bead_idx); what finds none stands alone.
 
     Rows have filename, bead_idx (null for those that no bead holds, which form a group of their
@@ -231,7 +231,8 @@ def cross_lingual_matches(src: DataFrame, hyp: DataFrame, encoder: B.Encoder, th
     met = a.join(b, scope)
     if same_label:
         met = met.filter("la = lb")
-    scored = met.withColumn("score", T.cosine(F.col("va"), F.col("vb"))).filter(F.col("score") >= threshold).select(*scope, "i", "j", "score")
+    score = T.cosine(F.col("va"), F.col("vb"))
+    scored = met.withColumn("score", score if digits is None else F.round(score, digits)).filter(F.col("score") >= threshold).select(*scope, "i", "j", "score")
     return matching.with_singletons(matching.greedy_pairs(scored, scope), src, hyp, scope)
 
 

@@ -8,6 +8,7 @@ from lexigrid.functions import backends as B
 from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
 from lexigrid.operators import alignment, matching, metrics
+from lexigrid.plans import composites as C
 from lexigrid.plans import pipelines as P
 from lexigrid.plans import standins as S
 from lexigrid.sources import readers
@@ -378,15 +379,16 @@ def kb_allowed_cuis(spark, sf):
 
 
 def _vectors(spark, sf):
+    """Queries are the ids that 50 divides; every row is a name."""
     e = S.table(spark, sf, "embeddings")
-    queries = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec"), "label")
-    kb = e.filter("vec_id % 10 <> 0").select(F.concat(F.lit("C"), "vec_id").alias("cui"), F.concat(F.lit("name "), F.col("vec_id") % 50).alias("name"), F.col("embedding").alias("vec"), "label")
+    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec"), "label")
+    kb = e.select(F.concat(F.lit("C"), "vec_id").alias("cui"), F.concat(F.lit("name "), F.col("vec_id") % 50).alias("name"), F.col("embedding").alias("vec"), "label")
     return queries, kb
 
 
 def _topk_sql(by: str) -> str:
     return f"""scored AS (SELECT a.vec_id AS q, {'a.label,' if by else ''} 'C' || b.vec_id AS cui, 'name ' || (b.vec_id % 50) AS name, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS score
-  FROM embeddings a JOIN embeddings b ON a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0 {'AND a.label = b.label' if by else ''}),
+  FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 {'AND a.label = b.label' if by else ''}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q {', label' if by else ''} ORDER BY score DESC, name, cui) AS rank FROM scored)"""
 
 
@@ -403,7 +405,7 @@ def topk_linking_by_type(spark, sf):
 
 
 @query(f"WITH {_topk_sql('label')}, kept AS (SELECT * FROM ranked WHERE rank <= 2 AND score >= 0.2) SELECT e.vec_id AS q, " + ", ".join(
-    f"coalesce(max(CASE WHEN rank = {n} THEN cui END), '') AS umls_cui_{n}, coalesce(max(CASE WHEN rank = {n} THEN name END), '') AS umls_name_{n}, coalesce(max(CASE WHEN rank = {n} THEN printf('%.4f', score) END), '') AS score_{n}" for n in (1, 2)) + " FROM embeddings e LEFT JOIN kept ON kept.q = e.vec_id WHERE e.vec_id % 10 = 0 GROUP BY e.vec_id")
+    f"coalesce(max(CASE WHEN rank = {n} THEN cui END), '') AS umls_cui_{n}, coalesce(max(CASE WHEN rank = {n} THEN name END), '') AS umls_name_{n}, coalesce(max(CASE WHEN rank = {n} THEN printf('%.4f', score) END), '') AS score_{n}" for n in (1, 2)) + " FROM embeddings e LEFT JOIN kept ON kept.q = e.vec_id WHERE e.vec_id % 50 = 0 GROUP BY e.vec_id")
 def topk_wide(spark, sf):
     queries, kb = _vectors(spark, sf)
     return matching.wide_candidates(matching.top_candidates(queries, kb, 2, 0.2, ["label"], digits=4), queries, 2)
@@ -460,17 +462,17 @@ def relation_texts(spark, sf):
     return P.relation_texts(S.relations(spark, sf, "gold"), S.linked(spark, sf, "gold"))
 
 
-def _cascade_sql(a: str, b: str) -> str:
-    """Two passes over (doc_id, id, by_cui, by_text)."""
+def _cascade_sql(a: str, b: str, out: str = "") -> str:
+    """Two passes over (doc_id, id, by_cui, by_text), as the rows of the query or, with a name for it, as one more table."""
     def one(n: int, key: str, src: str, hyp: str, kind: str) -> str:
         rank = lambda t: f"(SELECT doc_id, id, {key} AS k, row_number() OVER (PARTITION BY doc_id, {key} ORDER BY id) AS rn FROM {t} WHERE {key} IS NOT NULL)"
-        return f"""k{n} AS (SELECT DISTINCT x.doc_id, x.{key} AS k FROM {src} x JOIN {hyp} y ON x.doc_id = y.doc_id AND x.{key} = y.{key}),
-m{n} AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, x.id AS src_id, y.id AS hyp_id, '{kind}' AS match_type FROM {rank(src)} x FULL JOIN {rank(hyp)} y ON x.doc_id = y.doc_id AND x.k = y.k AND x.rn = y.rn
-  WHERE (coalesce(x.doc_id, y.doc_id), coalesce(x.k, y.k)) IN (SELECT doc_id, k FROM k{n})),
-a{n} AS (SELECT * FROM {src} WHERE id NOT IN (SELECT src_id FROM m{n} WHERE src_id IS NOT NULL)), b{n} AS (SELECT * FROM {hyp} WHERE id NOT IN (SELECT hyp_id FROM m{n} WHERE hyp_id IS NOT NULL))"""
+        return f"""{out}k{n} AS (SELECT DISTINCT x.doc_id, x.{key} AS k FROM {src} x JOIN {hyp} y ON x.doc_id = y.doc_id AND x.{key} = y.{key}),
+{out}m{n} AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, x.id AS src_id, y.id AS hyp_id, '{kind}' AS match_type FROM {rank(src)} x FULL JOIN {rank(hyp)} y ON x.doc_id = y.doc_id AND x.k = y.k AND x.rn = y.rn
+  WHERE (coalesce(x.doc_id, y.doc_id), coalesce(x.k, y.k)) IN (SELECT doc_id, k FROM {out}k{n})),
+{out}a{n} AS (SELECT * FROM {src} WHERE id NOT IN (SELECT src_id FROM {out}m{n} WHERE src_id IS NOT NULL)), {out}b{n} AS (SELECT * FROM {hyp} WHERE id NOT IN (SELECT hyp_id FROM {out}m{n} WHERE hyp_id IS NOT NULL))"""
 
-    return f"""{one(1, 'by_cui', a, b, 'CUI')}, {one(2, 'by_text', 'a1', 'b1', 'text')}
-SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT doc_id, id, NULL, 'none' FROM a2 UNION ALL SELECT doc_id, NULL, id, 'none' FROM b2"""
+    rows = f"SELECT * FROM {out}m1 UNION ALL SELECT * FROM {out}m2 UNION ALL SELECT doc_id, id, NULL, 'none' FROM {out}a2 UNION ALL SELECT doc_id, NULL, id, 'none' FROM {out}b2"
+    return f"{one(1, 'by_cui', a, b, 'CUI')}, {one(2, 'by_text', out + 'a1', out + 'b1', 'text')}" + (f", {out} AS ({rows})" if out else f"\n{rows}")
 
 
 @query(f"WITH {RELS}, a0 AS (SELECT doc_id, id, '|cui:' || cui AS by_cui, '|text:' || lower(text) AS by_text FROM s), b0 AS (SELECT doc_id, id, '|cui:' || cui AS by_cui, '|text:' || lower(text) AS by_text FROM h), {_cascade_sql('a0', 'b0')}")
@@ -488,48 +490,213 @@ def relation_match_cascade(spark, sf):
     return P.relation_matches(S.relations(spark, sf, "gold"), S.relations(spark, sf, "pred"), S.linked(spark, sf, "gold"), S.linked(spark, sf, "pred"), ["doc_id"])
 
 
-@query(f"WITH {RELS}, {S.beads_sql()} SELECT s.doc_id, s.id FROM s WHERE NOT EXISTS (SELECT 1 FROM beads b WHERE b.doc_id = s.doc_id AND b.bead_idx % 2 = 0 AND s.start >= b.span_start AND s.start < b.span_end)")
+#: The beads of documents as sentence alignment would give them, with gaps between.
+GAPPED = f"{S.beads_sql()}, gapped AS (SELECT doc_id, bead_idx, substr(bead_text, 1, 300) AS bead_text, span_start, least(span_end, span_start + 300) AS span_end FROM beads)"
+
+
+@query(f"WITH {RELS}, {GAPPED} SELECT s.doc_id, s.id FROM s WHERE NOT EXISTS (SELECT 1 FROM gapped b WHERE b.doc_id = s.doc_id AND s.start >= b.span_start AND s.start < b.span_end)")
 def unaligned_entities(spark, sf):
-    ents, beads = S.linked(spark, sf, "gold"), S.beads(spark, sf).drop("bead_text").filter("bead_idx % 2 = 0")
-    return matching.outside(ents, matching.in_span(ents, beads, ["doc_id"], "start"), "id").select("doc_id", "id")
+    ents, beads = S.linked(spark, sf, "gold"), S.aligned_beads(spark, sf)
+    return matching.outside(ents, C.held_rows(beads, ents, "src"), "id").select("doc_id", "id")
+
+
+# document alignment
+
+
+def _held_sql(t: str, inside: str) -> str:
+    return f"{t}_in AS (SELECT x.*, b.bead_idx FROM {t} x JOIN gapped b ON b.doc_id = x.doc_id AND {inside})"
+
+
+ENTITY_IN = "x.start >= b.span_start AND x.start < b.span_end"
+RELATION_IN = "x.s_start >= b.span_start AND x.s_start < b.span_end AND x.o_start >= b.span_start AND x.o_start < b.span_end"
+HELD = ", ".join(_held_sql(t, ENTITY_IN) for t in ("s", "h"))
+HELD_RELATIONS = ", ".join(_held_sql(t, RELATION_IN) for t in ("sr", "hr"))
+BOTH = "both_docs AS (SELECT DISTINCT doc_id FROM s INTERSECT SELECT DISTINCT doc_id FROM h)"
+ENTITY_KEYS = ", ".join(f"{n} AS (SELECT doc_id || '#' || bead_idx AS doc_id, id, '|cui:' || cui AS by_cui, '|text:' || lower(text) AS by_text FROM {t}_in WHERE doc_id IN (SELECT doc_id FROM both_docs))" for n, t in (("a0", "s"), ("b0", "h")))
+PARTED = "CAST(split_part(doc_id, '#', 1) AS BIGINT) AS doc_id, CAST(nullif(split_part(doc_id, '#', 2), '') AS BIGINT) AS bead_idx, src_id, hyp_id, match_type"
+
+
+def _alone_sql(t: str, columns: str) -> str:
+    return f"SELECT doc_id, NULL, {columns}, 'none' FROM {t} WHERE id NOT IN (SELECT id FROM {t}_in) AND doc_id IN (SELECT doc_id FROM both_docs)"
+
+
+@query(f"""WITH {RELS}, {GAPPED}, {HELD}, {BOTH}, {ENTITY_KEYS}, {_cascade_sql('a0', 'b0', 'inside')},
+met AS (SELECT {PARTED} FROM inside UNION ALL {_alone_sql('s', 'id, NULL')} UNION ALL {_alone_sql('h', 'NULL, id')})
+SELECT met.doc_id, met.bead_idx, length(g.bead_text) AS n_src, length(g.bead_text) AS n_hyp, match_type, src_id, s.cui AS src_cui, s.text AS src_text, hyp_id, h.cui AS hyp_cui, h.text AS hyp_text
+FROM met LEFT JOIN gapped g ON g.doc_id = met.doc_id AND g.bead_idx = met.bead_idx LEFT JOIN s ON s.id = met.src_id LEFT JOIN h ON h.id = met.hyp_id""")
+def document_alignment_entities(spark, sf):
+    rows = C.aligned_entities(S.aligned_beads(spark, sf), S.linked(spark, sf, "gold"), S.linked(spark, sf, "pred"))
+    return rows.select("doc_id", "bead_idx", F.length("bead_src").alias("n_src"), F.length("bead_hyp").alias("n_hyp"), "match_type", "src_id", "src_cui", "src_text", "hyp_id", "hyp_cui", "hyp_text")
+
+
+def _relation_keys_sql(name: str, rel: str, ent: str, inside: bool) -> str:
+    scope, rows = ("r.doc_id || '#' || r.bead_idx", f"{rel}_in r") if inside else ("CAST(r.doc_id AS VARCHAR)", f"(SELECT * FROM {rel} WHERE id NOT IN (SELECT id FROM {rel}_in)) r")
+    return f"""{name} AS (SELECT {scope} AS doc_id, r.id, CASE WHEN a.cui IS NOT NULL AND b.cui IS NOT NULL THEN r.relation || '|cui:' || a.cui || '|cui:' || b.cui END AS by_cui, r.relation || '|text:' || lower(a.text) || '|text:' || lower(b.text) AS by_text
+FROM {rows} LEFT JOIN {ent} a ON a.doc_id = r.doc_id AND a.start = r.s_start LEFT JOIN {ent} b ON b.doc_id = r.doc_id AND b.start = r.o_start WHERE r.doc_id IN (SELECT doc_id FROM both_docs))"""
+
+
+def _sides_sql(rel: str, ent: str, p: str) -> str:
+    return f"LEFT JOIN {rel} ON {rel}.id = met.{p}_id LEFT JOIN {ent} {p}_s ON {p}_s.doc_id = {rel}.doc_id AND {p}_s.start = {rel}.s_start LEFT JOIN {ent} {p}_o ON {p}_o.doc_id = {rel}.doc_id AND {p}_o.start = {rel}.o_start"
+
+
+@query(f"""WITH {RELS}, {GAPPED}, {HELD_RELATIONS}, {BOTH}, {_relation_keys_sql('a0', 'sr', 's', True)}, {_relation_keys_sql('b0', 'hr', 'h', True)}, {_relation_keys_sql('c0', 'sr', 's', False)}, {_relation_keys_sql('d0', 'hr', 'h', False)},
+{_cascade_sql('a0', 'b0', 'inside')}, {_cascade_sql('c0', 'd0', 'outer')}, met AS (SELECT {PARTED} FROM inside UNION ALL SELECT {PARTED} FROM outer)
+SELECT met.doc_id, met.bead_idx, match_type AS subject_match_type, match_type AS object_match_type, CASE match_type WHEN 'none' THEN 'none' ELSE 'text' END AS relation_match_type,
+  src_id, sr.relation AS src_relation, src_s.cui AS src_subject_cui, src_o.cui AS src_object_cui, hyp_id, hr.relation AS hyp_relation, hyp_s.cui AS hyp_subject_cui, hyp_o.cui AS hyp_object_cui, hyp_s.text AS hyp_subject_text, hyp_o.text AS hyp_object_text
+FROM met {_sides_sql('sr', 's', 'src')} {_sides_sql('hr', 'h', 'hyp')}""".replace("outer", "around"))
+def document_alignment_relations(spark, sf):
+    rows = C.aligned_relations(S.aligned_beads(spark, sf), S.relations(spark, sf, "gold"), S.relations(spark, sf, "pred"), S.linked(spark, sf, "gold"), S.linked(spark, sf, "pred"))
+    columns = [f"{p}_{c}" for p in ("src", "hyp") for c in ("id", "relation", "subject_cui", "object_cui")]
+    return rows.select("doc_id", "bead_idx", "subject_match_type", "object_match_type", "relation_match_type", *columns, "hyp_subject_text", "hyp_object_text")
 
 
-# greedy matching: vectors of a label, even numbers against odd
+def _sets_sql(name: str, rows: str, keys: str, docs: str) -> str:
+    """Rounded scores and sizes of distinct key sets, for the documents of ``docs``."""
+    return f"""{name} AS (SELECT doc_id, tp, n_src, n_hyp, CASE WHEN n_hyp > 0 THEN tp / n_hyp ELSE 0.0 END AS p, CASE WHEN n_src > 0 THEN tp / n_src ELSE 0.0 END AS r FROM (
+  SELECT d.doc_id, CAST(coalesce(sum(x * y), 0) AS BIGINT) AS tp, CAST(coalesce(sum(x), 0) AS BIGINT) AS n_src, CAST(coalesce(sum(y), 0) AS BIGINT) AS n_hyp FROM {docs} d LEFT JOIN (
+  SELECT doc_id, {keys}, max(x) AS x, max(y) AS y FROM {rows} GROUP BY doc_id, {keys}) k ON k.doc_id = d.doc_id GROUP BY d.doc_id))"""
+
+
+def _cover_sql(name: str, src: str, hyp: str, key: str) -> str:
+    """Shares of rows whose key the other side has, for documents with rows on both sides."""
+    share = lambda a, b: f"(SELECT x.doc_id, avg(CASE WHEN (x.doc_id, x.{key}) IN (SELECT doc_id, {key} FROM {b}) THEN 1.0 ELSE 0.0 END) AS v FROM {a} x GROUP BY x.doc_id)"
+    return f"{name} AS (SELECT h.doc_id, h.v AS p, s.v AS r FROM {share(hyp, src)} h JOIN {share(src, hyp)} s ON s.doc_id = h.doc_id)"
+
+
+def _three_sql(t: str, prefix: str) -> str:
+    f1 = f"CASE WHEN {t}.p + {t}.r > 0 THEN 2 * {t}.p * {t}.r / ({t}.p + {t}.r) ELSE {t}.p + {t}.r END"
+    return f"round({t}.p, 5) AS {prefix}_precision, round({t}.r, 5) AS {prefix}_recall, round({f1}, 5) AS {prefix}_f1"
+
+
+def _told_sql(name: str, rel: str, ent: str) -> str:
+    """Triples by concept and, as words in any order, by text."""
+    return f"""{name} AS (SELECT r.doc_id, a.cui AS s_cui, r.relation, b.cui AS o_cui, r.relation || ' ' || least(a.text, b.text) || ' ' || greatest(a.text, b.text) AS words
+FROM {rel}_in r JOIN {ent}_in a ON a.doc_id = r.doc_id AND a.start = r.s_start JOIN {ent}_in b ON b.doc_id = r.doc_id AND b.start = r.o_start)"""
+
+
+@query(f"""WITH {RELS}, {GAPPED}, {HELD}, {HELD_RELATIONS}, known AS (SELECT DISTINCT doc_id FROM s_in INTERSECT SELECT DISTINCT doc_id FROM h_in), related AS (SELECT DISTINCT doc_id FROM sr_in INTERSECT SELECT DISTINCT doc_id FROM hr_in),
+cuis AS (SELECT doc_id, cui, 1 AS x, 0 AS y FROM s_in WHERE cui IS NOT NULL UNION ALL SELECT doc_id, cui, 0, 1 FROM h_in WHERE cui IS NOT NULL), {_told_sql('st', 'sr', 's')}, {_told_sql('ht', 'hr', 'h')},
+triples AS (SELECT doc_id, s_cui, relation, o_cui, 1 AS x, 0 AS y FROM st WHERE s_cui IS NOT NULL AND o_cui IS NOT NULL UNION ALL SELECT doc_id, s_cui, relation, o_cui, 0, 1 FROM ht WHERE s_cui IS NOT NULL AND o_cui IS NOT NULL),
+{_sets_sql('e', 'cuis', 'cui', 'known')}, {_sets_sql('t', 'triples', 's_cui, relation, o_cui', 'related')}, {_cover_sql('em', 's_in', 'h_in', 'text')}, {_cover_sql('re', 'st', 'ht', 'words')}
+SELECT e.doc_id, {_three_sql('e', 'kg_entity')}, e.n_src AS kg_n_src_entities, e.n_hyp AS kg_n_hyp_entities, {_three_sql('t', 'kg_rel')}, t.n_src AS kg_n_src_relations, t.n_hyp AS kg_n_hyp_relations, {_three_sql('em', 'kg_embed')}, {_three_sql('re', 'kg_rel_embed')}
+FROM e LEFT JOIN t ON t.doc_id = e.doc_id LEFT JOIN em ON em.doc_id = e.doc_id LEFT JOIN re ON re.doc_id = e.doc_id""")
+def concept_scores(spark, sf):
+    """The 17 concept columns but the combined one, on what the beads hold; texts are compared by their words."""
+    beads = S.aligned_beads(spark, sf)
+    ents = [C.scored_rows(beads, S.linked(spark, sf, which), side) for which, side in (("gold", "src"), ("pred", "hyp"))]
+    rels = [C.scored_rows(beads, S.relations(spark, sf, which), side) for which, side in (("gold", "src"), ("pred", "hyp"))]
+    return P.concept_scores(*ents, B.TokenOverlap(), *rels).drop("kg_f1")
+
+
+@query(f"WITH {RELS}, t AS (SELECT DISTINCT r.doc_id FROM sr r JOIN s a ON a.doc_id = r.doc_id AND a.start = r.s_start AND a.cui IS NOT NULL JOIN s b ON b.doc_id = r.doc_id AND b.start = r.o_start AND b.cui IS NOT NULL) SELECT (SELECT count(*) FROM t) AS with_triples, (SELECT count(DISTINCT doc_id) FROM sr) AS documents")
+def documents_with_triples(spark, sf):
+    relations = S.relations(spark, sf, "gold")
+    return P.documents_with_triples(P.resolved_triples(relations, S.linked(spark, sf, "gold")), relations)
+
+
+# greedy matching: the mentions of a bead, gold against pred, the nearer the better
 
 
 def _candidates(spark, sf, same=False):
-    e = S.table(spark, sf, "embeddings").withColumn("g", F.col("vec_id") % 25)
-    a = e.filter("vec_id % 2 = 0").select("g", F.col("vec_id").alias("i"), F.col("embedding").alias("va"), F.col("label").alias("la"))
-    b = e.filter("vec_id % 2 = 1").select(((F.col("vec_id") - 1) % 25).alias("g"), F.col("vec_id").alias("j"), F.col("embedding").alias("vb"), F.col("label").alias("lb"))
-    met = a.join(b, "g")
+    beads = S.beads(spark, sf).drop("bead_text")
+    held = lambda side: matching.in_span(S.mentions(spark, sf, side), beads, ["doc_id"], "start")
+    a = held("gold").select("doc_id", "bead_idx", F.col("ent").alias("i"), F.col("label").alias("la"))
+    b = held("pred").select("doc_id", "bead_idx", F.col("ent").alias("j"), F.col("label").alias("lb"))
+    met = a.join(b, ["doc_id", "bead_idx"])
     met = met.filter("la = lb") if same else met
-    return a, b, met.withColumn("score", F.round(T.cosine(F.col("va"), F.col("vb")), 4)).filter("score >= 0.1").select("g", "i", "j", "score")
+    return a, b, met.withColumn("score", F.round(10 / (10 + F.abs(F.col("i") - F.col("j"))), 4)).filter("score >= 0.25").select("doc_id", "bead_idx", "i", "j", "score")
+
 
+def _greedy_from(candidates: str, scope: str = "doc_id, bead_idx") -> str:
+    """Tables k (numbered candidates), w (the walk over them) and pairs, over ``c(scope, i, j, score)``."""
+    first, rest = scope.split(", ")
+    return f"""{candidates},
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {scope} ORDER BY score DESC, i DESC, j DESC) AS n FROM c),
+w AS (SELECT {scope}, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS mi, CAST([] AS BIGINT[]) AS mj, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT {scope} FROM k)
+  UNION ALL SELECT k.{first}, k.{rest}, k.n, CASE WHEN ok THEN list_append(mi, k.i) ELSE mi END, CASE WHEN ok THEN list_append(mj, k.j) ELSE mj END, CASE WHEN ok THEN k.i END, CASE WHEN ok THEN k.j END, CASE WHEN ok THEN k.score END
+  FROM w JOIN k ON k.{first} = w.{first} AND k.{rest} = w.{rest} AND k.n = w.n + 1, LATERAL (SELECT NOT list_contains(w.mi, k.i) AND NOT list_contains(w.mj, k.j) AS ok) t),
+pairs AS (SELECT {scope}, i, j, score FROM w WHERE i IS NOT NULL)"""
 
-def _greedy_sql(same: bool) -> str:
-    return f"""RECURSIVE a AS (SELECT vec_id % 25 AS g, vec_id AS i, embedding AS v, label FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT (vec_id - 1) % 25 AS g, vec_id AS j, embedding AS v, label FROM embeddings WHERE vec_id % 2 = 1),
-c AS (SELECT a.g, i, j, round(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 4) AS score FROM a JOIN b ON a.g = b.g {'AND a.label = b.label' if same else ''}),
-k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, i DESC, j DESC) AS n FROM c WHERE score >= 0.1),
-w AS (SELECT g, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS mi, CAST([] AS BIGINT[]) AS mj, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT g FROM k)
-  UNION ALL SELECT k.g, k.n, CASE WHEN ok THEN list_append(mi, k.i) ELSE mi END, CASE WHEN ok THEN list_append(mj, k.j) ELSE mj END, CASE WHEN ok THEN k.i END, CASE WHEN ok THEN k.j END, CASE WHEN ok THEN k.score END
-  FROM w JOIN k ON k.g = w.g AND k.n = w.n + 1, LATERAL (SELECT NOT list_contains(w.mi, k.i) AND NOT list_contains(w.mj, k.j) AS ok) t),
-pairs AS (SELECT g, i, j, score FROM w WHERE i IS NOT NULL)"""
 
+def _near_sql(same: bool) -> str:
+    held = ", ".join(f"{n} AS (SELECT x.doc_id, b.bead_idx, x.ent AS {k}, x.label FROM {t} x JOIN beads b ON b.doc_id = x.doc_id AND {ENTITY_IN})" for n, k, t in (("a", "i", "g"), ("b", "j", "p")))
+    return f"""{SIDES}, {S.beads_sql()}, {held},
+c AS (SELECT * FROM (SELECT a.doc_id, a.bead_idx, i, j, round(10 / (10 + abs(i - j)), 4) AS score FROM a JOIN b ON a.doc_id = b.doc_id AND a.bead_idx = b.bead_idx {'AND a.label = b.label' if same else ''}) WHERE score >= 0.25)"""
 
-@query(f"WITH {_greedy_sql(False)} SELECT g, i, j, score FROM pairs")
+
+@query(f"WITH RECURSIVE {_greedy_from(_near_sql(False))} SELECT doc_id, bead_idx, i, j, score FROM pairs")
 def greedy_matches(spark, sf):
-    return matching.greedy_pairs(_candidates(spark, sf)[2], ["g"])
+    return matching.greedy_pairs(_candidates(spark, sf)[2], ["doc_id", "bead_idx"])
 
 
-@query(f"WITH {_greedy_sql(True)} SELECT g, i, j, score FROM pairs")
+@query(f"WITH RECURSIVE {_greedy_from(_near_sql(True))} SELECT doc_id, bead_idx, i, j, score FROM pairs")
 def greedy_matches_same_label(spark, sf):
-    return matching.greedy_pairs(_candidates(spark, sf, True)[2], ["g"])
+    return matching.greedy_pairs(_candidates(spark, sf, True)[2], ["doc_id", "bead_idx"])
 
 
-@query(f"WITH {_greedy_sql(True)} SELECT (SELECT count(*) FROM pairs) AS matched, (SELECT count(*) FROM a) - (SELECT count(*) FROM pairs) AS unmatched_src, (SELECT count(*) FROM b) - (SELECT count(*) FROM pairs) AS unmatched_hyp")
+@query(f"WITH RECURSIVE {_greedy_from(_near_sql(True))} SELECT (SELECT count(*) FROM pairs) AS matched, (SELECT count(*) FROM a) - (SELECT count(*) FROM pairs) AS unmatched_src, (SELECT count(*) FROM b) - (SELECT count(*) FROM pairs) AS unmatched_hyp")
 def match_counters(spark, sf):
     a, b, c = _candidates(spark, sf, True)
-    return P.match_counts(matching.with_singletons(matching.greedy_pairs(c, ["g"]), a, b, ["g"]))
+    scope = ["doc_id", "bead_idx"]
+    return P.match_counts(matching.with_singletons(matching.greedy_pairs(c, scope), a, b, scope))
+
+
+# cross-lingual matching: vectors of letters
+
+
+def _letters_sql(c: str) -> str:
+    return f"list_transform(range(97, 123), lambda k: CAST(length({c}) - length(replace({c}, chr(CAST(k AS INTEGER)), '')) AS DOUBLE))"
+
+
+#: Distinct words with their unit vectors of letters.
+LETTERS = f"""words AS (SELECT DISTINCT text FROM g UNION SELECT DISTINCT text FROM p), counted AS (SELECT text, {_letters_sql('text')} AS v FROM words),
+vectors AS (SELECT text, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM counted WHERE list_dot_product(v, v) > 0),
+alike AS (SELECT x.text AS s, y.text AS h, list_dot_product(x.v, y.v) AS score FROM vectors x, vectors y WHERE round(list_dot_product(x.v, y.v), 6) >= 0.85)"""
+
+
+def _cross_sql(held: str, label: str) -> str:
+    return f"""{SIDES}, {S.beads_sql()}, {LETTERS}, {held},
+c AS (SELECT a.doc_id, a.bead_idx, i, j, round(score, 6) AS score FROM a JOIN b ON a.doc_id = b.doc_id AND a.bead_idx = b.bead_idx {label} JOIN alike ON alike.s = a.text AND alike.h = b.text)"""
+
+
+HELD_SIDES = ", ".join(f"{n} AS (SELECT x.doc_id, b.bead_idx, x.ent AS {k}, x.label, x.text FROM {t} x JOIN beads b ON b.doc_id = x.doc_id AND {ENTITY_IN})" for n, k, t in (("a", "i", "g"), ("b", "j", "p")))
+
+
+@query(f"""WITH RECURSIVE {_greedy_from(_cross_sql(HELD_SIDES, 'AND a.label = b.label'))}
+SELECT CAST(doc_id AS VARCHAR) AS filename, bead_idx, i, j, round(score, 4) AS score FROM pairs
+UNION ALL SELECT CAST(doc_id AS VARCHAR), bead_idx, i, NULL, 0.0 FROM a WHERE (doc_id, bead_idx, i) NOT IN (SELECT doc_id, bead_idx, i FROM pairs)
+UNION ALL SELECT CAST(doc_id AS VARCHAR), bead_idx, NULL, j, 0.0 FROM b WHERE (doc_id, bead_idx, j) NOT IN (SELECT doc_id, bead_idx, j FROM pairs)""")
+def cross_lingual_matching(spark, sf):
+    beads = S.beads(spark, sf).drop("bead_text")
+    def side(name, row):
+        held = matching.in_span(S.mentions(spark, sf, name), beads, ["doc_id"], "start")
+        return held.select(F.col("doc_id").cast("string").alias("filename"), "bead_idx", F.col("ent").alias(row), "label", "text")
+    rows = P.cross_lingual_matches(side("gold", "i"), side("pred", "j"), B.LetterCounts(), same_label=True, digits=6)
+    return rows.withColumn("score", F.round("score", 4))
+
+
+def _nearest_sql(n: str, row: str, t: str) -> str:
+    return f"""{n} AS (SELECT x.doc_id, coalesce(m.bead_idx, -1) AS bead_idx, x.ent AS {row}, x.label, x.text, x.start, x."end" FROM {t} x LEFT JOIN (
+  SELECT x.doc_id, x.ent, o.bead_idx, row_number() OVER (PARTITION BY x.doc_id, x.ent ORDER BY abs(o.o - x.start), o.bead_idx) AS n FROM {t} x JOIN off o ON o.doc_id = x.doc_id AND contains(o.bead_text, x.text)) m ON m.doc_id = x.doc_id AND m.ent = x.ent AND m.n = 1)"""
+
+
+NEAREST = f"off AS (SELECT *, coalesce(sum(length(bead_text)) OVER (PARTITION BY doc_id ORDER BY bead_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM beads), {_nearest_sql('a', 'i', 'g')}, {_nearest_sql('b', 'j', 'p')}"
+
+
+@query(f"""WITH RECURSIVE {_greedy_from(_cross_sql(NEAREST, ''))},
+met AS (SELECT doc_id, bead_idx, i, j, score FROM pairs UNION ALL SELECT doc_id, bead_idx, i, NULL, 0.0 FROM a WHERE (doc_id, bead_idx, i) NOT IN (SELECT doc_id, bead_idx, i FROM pairs)
+  UNION ALL SELECT doc_id, bead_idx, NULL, j, 0.0 FROM b WHERE (doc_id, bead_idx, j) NOT IN (SELECT doc_id, bead_idx, j FROM pairs))
+SELECT 'doc_' || met.doc_id || '.txt' AS filename, CASE WHEN met.bead_idx > 0 THEN CAST(met.bead_idx AS VARCHAR) ELSE '' END AS bead_idx, coalesce(t.bead_text, '') AS bead_src, coalesce(t.bead_text, '') AS bead_hyp,
+  coalesce(a.label, '') AS src_entity_label, coalesce(CAST(a.start AS VARCHAR), '') AS src_start_span, coalesce(CAST(a."end" AS VARCHAR), '') AS src_end_span, coalesce(a.text, '') AS src_text,
+  coalesce(b.label, '') AS hyp_entity_label, coalesce(CAST(b.start AS VARCHAR), '') AS hyp_start_span, coalesce(CAST(b."end" AS VARCHAR), '') AS hyp_end_span, coalesce(b.text, '') AS hyp_text, '' AS hyp_translated_text,
+  CASE WHEN met.i IS NOT NULL AND met.j IS NOT NULL THEN printf('%.4f', met.score) ELSE '' END AS sapbert_similarity, CASE WHEN met.i IS NOT NULL AND met.j IS NOT NULL THEN 'sapbert' ELSE 'none' END AS match_type
+FROM met LEFT JOIN a ON a.doc_id = met.doc_id AND a.bead_idx = met.bead_idx AND a.i = met.i LEFT JOIN b ON b.doc_id = met.doc_id AND b.bead_idx = met.bead_idx AND b.j = met.j LEFT JOIN beads t ON t.doc_id = met.doc_id AND t.bead_idx = met.bead_idx""")
+def entity_match_rows(spark, sf):
+    """The match file of every document; predictions carry names without an extension."""
+    name = lambda end: F.concat(F.lit("doc_"), "doc_id", F.lit(end)).alias("filename")
+    beads = S.beads(spark, sf).select(name(".txt"), "bead_idx", F.col("bead_text").alias("source"), F.col("bead_text").alias("hypothesis"))
+    side = lambda which, end: S.mentions(spark, sf, which).select(name(end), "ent", F.col("label").alias("entity_label"), F.col("start").cast("string").alias("start_span"), F.col("end").cast("string").alias("end_span"), "text")
+    return C.entity_match_rows(beads, side("gold", ".txt"), side("pred", ""), B.LetterCounts(), digits=6)
 
 
 # relations
@@ -563,9 +730,9 @@ def relation_hypotheses(spark, sf):
     return _filled(spark, sf).select("doc_id", "s_ent", "o_ent", "relation", "hypothesis")
 
 
-@query(f"WITH {CAND}, sc AS (SELECT *, (length(relation) * 7 + gap) % 5 / 5.0 AS score FROM cand WHERE gap >= 0) SELECT doc_id, s_ent, o_ent, relation, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s_ent, o_ent ORDER BY score DESC, seq) AS n FROM sc WHERE score >= 0.4) WHERE n = 1")
+@query(f"WITH {CAND}, sc AS (SELECT *, (length(relation) * 7 + abs(gap)) % 5 / 5.0 AS score FROM cand) SELECT doc_id, s_ent, o_ent, relation, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s_ent, o_ent ORDER BY score DESC, seq) AS n FROM sc WHERE score >= 0.4) WHERE n = 1")
 def relation_argmax(spark, sf):
-    scored = _pairs(spark, sf)[2].filter("gap >= 0").withColumn("score", ((F.length("relation") * 7 + F.col("gap")) % 5) / 5.0)
+    scored = _pairs(spark, sf)[2].withColumn("score", ((F.length("relation") * 7 + F.abs("gap")) % 5) / 5.0)
     return matching.best_relation(scored, "doc_id", 0.4).select("doc_id", "s_ent", "o_ent", "relation", "score")
 
 
@@ -603,7 +770,14 @@ def gale_church_beads(spark, sf):
     return alignment.align_documents(S.pairs(spark, sf).withColumn("filename", F.concat_ws("#", "filename", "bead_idx")))
 
 
-@query()
+ASKED = [row[:2] for row in S.LEXICON if row[1]]
+
+
+@query(r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM t),
+o AS (SELECT doc_id, w, i, CAST(coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS pos FROM x),
+lex AS (SELECT * FROM (VALUES """ + ", ".join(f"('{t}', '{label}', '{'literal' if label in V.LITERAL_LABELS else V.DEFAULT_KIND}')" for t, label in ASKED) + """) AS l(token, label, kind))
+SELECT CAST(doc_id AS VARCHAR) AS filename, label AS entity_label, pos AS start_span, CAST(pos + length(w) AS INTEGER) AS end_span, w AS text, kind AS entity_kind FROM o JOIN lex ON lower(o.w) = token WHERE i % 2 = 0""")
 def ner_lexicon_entities(spark, sf):
     docs = S.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("filename"), "text")
     return P.found_entities(docs, B.Lexicon({row[0]: row[1] for row in S.LEXICON if row[1]}))
@@ -619,20 +793,15 @@ def cui_overlap_prf(spark, sf):
 
 
 @query(f"""WITH {RELS}, g0 AS (SELECT DISTINCT doc_id, cui FROM s WHERE cui IS NOT NULL), p0 AS (SELECT DISTINCT doc_id, cui FROM h WHERE cui IS NOT NULL), {_prf_sql('cui', 'doc_id')}
-SELECT doc_id, round(0.5 * f1 + 0.5 * 0.75, 5) AS kg_bertscore_f1 FROM f""")
+SELECT doc_id, round(0.5 * f1 + 0.5 * recall, 5) AS kg_bertscore_f1 FROM f""")
 def kg_bertscore(spark, sf):
-    return P.cui_scores(S.linked(spark, sf, "gold"), S.linked(spark, sf, "pred")).select("doc_id", P.combined_score(F.col("f1"), F.lit(0.75)).alias("kg_bertscore_f1"))
+    return P.cui_scores(S.linked(spark, sf, "gold"), S.linked(spark, sf, "pred")).select("doc_id", P.combined_score(F.col("f1"), F.col("recall")).alias("kg_bertscore_f1"))
 
 
-@query("""WITH p AS (SELECT a.vec_id % 25 AS g, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND a.vec_id % 25 = (b.vec_id - 1) % 25),
-pr AS (SELECT g, avg(CASE WHEN m >= 0.25 THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT g, j, max(score) AS m FROM p GROUP BY g, j) GROUP BY g), re AS (SELECT g, avg(CASE WHEN m >= 0.25 THEN 1.0 ELSE 0.0 END) AS r FROM (SELECT g, i, max(score) AS m FROM p GROUP BY g, i) GROUP BY g)
-SELECT g, round(p, 5) AS precision, round(r, 5) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 5) AS f1 FROM pr JOIN re USING (g)""")
+@query(f"""WITH {_near_sql(False)}, pr AS (SELECT doc_id, avg(CASE WHEN m >= 0.5 THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT doc_id, bead_idx, j, max(score) AS m FROM c GROUP BY doc_id, bead_idx, j) GROUP BY doc_id), re AS (SELECT doc_id, avg(CASE WHEN m >= 0.5 THEN 1.0 ELSE 0.0 END) AS r FROM (SELECT doc_id, bead_idx, i, max(score) AS m FROM c GROUP BY doc_id, bead_idx, i) GROUP BY doc_id)
+SELECT doc_id, round(p, 5) AS precision, round(r, 5) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 5) AS f1 FROM pr JOIN re USING (doc_id)""")
 def embed_overlap_prf(spark, sf):
-    e = S.table(spark, sf, "embeddings")
-    a = e.filter("vec_id % 2 = 0").select((F.col("vec_id") % 25).alias("g"), F.col("vec_id").alias("i"), F.col("embedding").alias("va"))
-    b = e.filter("vec_id % 2 = 1").select(((F.col("vec_id") - 1) % 25).alias("g"), F.col("vec_id").alias("j"), F.col("embedding").alias("vb"))
-    scores = a.join(b, "g").select("g", "i", "j", F.round(T.cosine(F.col("va"), F.col("vb")), 4).alias("score"))
-    return metrics.covered_share(scores, ["i"], ["j"], ["g"], 0.25)
+    return metrics.covered_share(_candidates(spark, sf)[2], ["bead_idx", "i"], ["bead_idx", "j"], ["doc_id"], 0.5)
 
 
 @query("SELECT round(avg(length(text)), 5) AS chars, round(avg(CASE WHEN length(text) > 2000 THEN length(text) END), 5) AS long_chars, CAST(NULL AS DOUBLE) AS nothing FROM documents")
@@ -643,8 +812,9 @@ def doc_metric_means(spark, sf):
 
 @query()
 def translation_evaluation(spark, sf):
-    pairs = S.pairs(spark, sf).withColumn("filename", F.concat_ws("#", "filename", "bead_idx"))
-    return P.translation_scores(pairs, B.TokenOverlap(), B.HashedNgrams())
+    """All 31 columns; entities and relations of the sources and the hypotheses are linked by the lexicon."""
+    ents = [S.pair_linked(spark, sf, side) for side in ("gold", "pred")]
+    return P.translation_scores(S.pair_rows(spark, sf), B.TokenOverlap(), B.HashedNgrams(), *ents, *map(S.neighbours, ents))
 
 
 @query("""WITH n AS (SELECT 'doc' || doc_id || '.txt' AS f, text FROM documents),
@@ -671,24 +841,27 @@ def span_normalised(spark, sf):
     return S.table(spark, sf, "part").select("p_partkey", T.span_text(v).alias("span"))
 
 
-@query()
+#: Labels of parts, by their size: a type's knowledge base is the parts of its label.
+KB_LABELS = sorted({row[1] for row in S.LEXICON if row[1]})
+
+
+@query(f"""WITH {S.mentions_sql('gold', 'g')}, p AS (SELECT 1 AS text WHERE false), asked AS (SELECT DISTINCT text, label FROM g),
+kb AS (SELECT 'C' || p_partkey AS cui, p_name || ' ' || p_brand AS name, list_extract([{', '.join(repr(x) for x in KB_LABELS)}], CAST(p_size % {len(KB_LABELS)} AS INTEGER) + 1) AS label FROM part),
+q AS (SELECT text, label, {_letters_sql('text')} AS v FROM asked), n AS (SELECT cui, name, label, {_letters_sql('lower(name)')} AS v FROM kb),
+scored AS (SELECT q.text, q.label, cui, name, round(list_dot_product(q.v, n.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(n.v, n.v)), 4) AS score FROM q JOIN n ON n.label = q.label),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY text, label ORDER BY score DESC, name, cui) AS rank FROM scored WHERE score >= 0.3)
+SELECT g.doc_id, g.ent, g.text, g.label AS entity_label, r.rank, r.cui, r.name, r.score FROM g LEFT JOIN ranked r ON r.text = g.text AND r.label = g.label AND r.rank <= 5""")
 def entity_linking(spark, sf):
-    """Distinct mention texts against part names, both encoded by the offline encoder."""
+    """Mentions against the part names of their label, both encoded by their letters; a row a candidate."""
     ents = S.mentions(spark, sf, "gold").withColumnRenamed("label", "entity_label")
-    kb = S.table(spark, sf, "part").select(F.concat(F.lit("C"), "p_partkey").alias("cui"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
-    return P.linked_entities(ents, kb, B.HashedNgrams(), threshold=0.1, by_type=False)
+    label = F.element_at(F.array(*map(F.lit, KB_LABELS)), (F.col("p_size") % len(KB_LABELS) + 1).cast("int"))
+    kb = S.table(spark, sf, "part").select(F.concat(F.lit("C"), "p_partkey").alias("cui"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), label.alias("label"))
+    linked = P.linked_entities(ents, kb, B.LetterCounts(), threshold=0.3, digits=4)
+    return linked.select("doc_id", "ent", "text", "entity_label", F.explode_outer("candidates").alias("c")).select("doc_id", "ent", "text", "entity_label", "c.rank", "c.cui", "c.name", "c.score")
 
 
-@query()
+@query(f"""WITH {S.mentions_sql('gold', 'g')}, x AS (SELECT doc_id, ent, text, CASE text WHEN 'thnt' THEN 'of the' ELSE text END AS expanded_text FROM g)
+SELECT doc_id, ent, text, expanded_text, CASE expanded_text WHEN 'thon' THEN 'disease' WHEN 'of the' THEN 'symptom' ELSE expanded_text END AS translated_text FROM x""")
 def entity_translation(spark, sf):
     ents = S.mentions(spark, sf, "gold").select("doc_id", "ent", "text")
     return P.translated_entities(ents, B.Dictionary({"thon": "disease", "of the": "symptom"}), {"thnt": "of the"})
-
-
-@query()
-def cross_lingual_matching(spark, sf):
-    beads = S.beads(spark, sf).drop("bead_text")
-    def side(name, row):
-        held = matching.in_span(S.mentions(spark, sf, name), beads, ["doc_id"], "start")
-        return held.select(F.col("doc_id").cast("string").alias("filename"), "bead_idx", F.col("ent").alias(row), "label", "text")
-    return P.cross_lingual_matches(side("gold", "i"), side("pred", "j"), B.HashedNgrams(), same_label=True)

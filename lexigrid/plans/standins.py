@@ -7,7 +7,7 @@ embeddings are the encoded names. Whole tables are used throughout.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: (token, label in the gold annotation, label in the prediction); None where a side has no such entity.
@@ -31,18 +31,20 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
 NOTES = "notes AS (SELECT lang || '_' || source || '_' || doc_id AS stem, coalesce(text, '') AS text, doc_id FROM documents)"
 
 
-def mentions(spark: SparkSession, sf: str, side: str) -> DataFrame:
-    """(doc_id, ent, start, end, text, label): tokens of the lexicon, with offsets; ``side`` is gold or pred."""
+def found_tokens(rows: DataFrame, key: str, text: str, side: str) -> DataFrame:
+    """(key, start, end, text, label): tokens of the lexicon in a text, with offsets; ``side`` is gold or pred."""
     column = 1 if side == "gold" else 2
     known = {row[0]: row[column] for row in LEXICON if row[column]}
     labels = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    tokens = F.split("text", " ", -1)
-    n = F.size(tokens)
-    d = table(spark, sf, "documents").filter("text IS NOT NULL")
     # running starts: the lengths before each token and a space for each
-    starts = F.aggregate(tokens, F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,text:string>>))"), lambda s, t: F.struct((s["at"] + F.length(t) + 1).alias("at"), F.when(t.isin(*known), F.array_append(s["out"], F.struct(s["at"].alias("start"), t.alias("text")))).otherwise(s["out"]).alias("out")), lambda s: s["out"])
-    rows = d.select("doc_id", F.posexplode(starts).alias("pos", "m"))
-    return rows.select("doc_id", F.col("m.start").cast("long").alias("start"), (F.col("m.start") + F.length("m.text")).cast("long").alias("end"), F.col("m.text").alias("text"), F.element_at(labels, F.col("m.text")).alias("label")).withColumn("ent", F.col("start"))
+    starts = F.aggregate(F.split(text, " ", -1), F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,text:string>>))"), lambda s, t: F.struct((s["at"] + F.length(t) + 1).alias("at"), F.when(t.isin(*known), F.array_append(s["out"], F.struct(s["at"].alias("start"), t.alias("text")))).otherwise(s["out"]).alias("out")), lambda s: s["out"])
+    found = rows.filter(F.col(text).isNotNull()).select(key, F.explode(starts).alias("m"))
+    return found.select(key, F.col("m.start").cast("long").alias("start"), (F.col("m.start") + F.length("m.text")).cast("long").alias("end"), F.col("m.text").alias("text"), F.element_at(labels, F.col("m.text")).alias("label"))
+
+
+def mentions(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    """(doc_id, ent, start, end, text, label): tokens of the lexicon in documents."""
+    return found_tokens(table(spark, sf, "documents"), "doc_id", "text", side).withColumn("ent", F.col("start"))
 
 
 def mentions_sql(side: str, name: str) -> str:
@@ -82,11 +84,40 @@ def beads_sql(size: int = 400) -> str:
   FROM (SELECT doc_id, text, unnest(range(0, CAST((length(text) - 1) // {size} + 1 AS BIGINT))) AS b FROM documents WHERE length(text) > 0))"""
 
 
+def aligned_beads(spark: SparkSession, sf: str) -> DataFrame:
+    """Beads as sentence alignment gives them, over the first 300 of every 400 characters of a document, alike on both sides."""
+    rows = beads(spark, sf).withColumn("end", F.least("span_end", F.col("span_start") + 300))
+    text = F.substring("bead_text", 1, 300)
+    return rows.select("doc_id", "bead_idx", text.alias("source"), text.alias("hypothesis"), F.col("span_start").alias("src_start"), F.col("end").alias("src_end"), F.col("span_start").alias("hyp_start"), F.col("end").alias("hyp_end"))
+
+
+def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(filename, source, hypothesis): each sentence pair as a document pair of its own."""
+    return pairs(spark, sf).select(F.concat_ws("#", "filename", "bead_idx").alias("filename"), "source", "hypothesis")
+
+
+def concept():
+    """A concept that two lexicon words may share; none for words whose length three divides."""
+    return F.when(F.length("text") % 3 != 0, F.concat(F.lit("C"), F.ascii(F.substring(F.col("text"), -1, 1)).cast("string")))
+
+
+def pair_linked(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    """Linked entities of the document pairs: of the sources (gold) or the hypotheses (pred)."""
+    m = found_tokens(pair_rows(spark, sf), "filename", "source" if side == "gold" else "hypothesis", side).withColumnRenamed("filename", "doc_id")
+    return m.select("doc_id", F.col("start").alias("id"), "start", "end", "text", "label", concept().alias("cui"))
+
+
+def neighbours(linked: DataFrame) -> DataFrame:
+    """(doc_id, id, relation, s_start, s_end, o_start, o_end): each entity with the next one of its document."""
+    order = Window.partitionBy("doc_id").orderBy("start")
+    m = linked.withColumn("o_start", F.lead("start").over(order)).withColumn("o_end", F.lead("end").over(order)).filter("o_start IS NOT NULL")
+    return m.select("doc_id", "id", F.concat(F.lit("rel_"), F.length("text").cast("string")).alias("relation"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), "o_start", "o_end")
+
+
 def linked(spark: SparkSession, sf: str, side: str) -> DataFrame:
     """Mentions with an id, a concept that two lexicon words may share, and a text to compare."""
     m = mentions(spark, sf, side)
-    cui = F.when(F.length("text") % 3 != 0, F.concat(F.lit("C"), F.ascii(F.substring(F.col("text"), -1, 1)).cast("string")))
-    return m.select("doc_id", (F.col("doc_id") * 10_000_000 + F.col("start")).alias("id"), "start", "end", "text", "label", cui.alias("cui"))
+    return m.select("doc_id", (F.col("doc_id") * 10_000_000 + F.col("start")).alias("id"), "start", "end", "text", "label", concept().alias("cui"))
 
 
 def linked_sql(side: str, name: str) -> str:
@@ -96,12 +127,8 @@ def linked_sql(side: str, name: str) -> str:
 
 
 def relations(spark: SparkSession, sf: str, side: str) -> DataFrame:
-    """(doc_id, id, relation, s_start, s_end, o_start, o_end): each mention with the next one of its document."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("doc_id").orderBy("start")
-    m = mentions(spark, sf, side).withColumn("o_start", F.lead("start").over(order)).withColumn("o_end", F.lead("end").over(order)).filter("o_start IS NOT NULL")
-    return m.select("doc_id", (F.col("doc_id") * 10_000_000 + F.col("start")).alias("id"), F.concat(F.lit("rel_"), F.length("text").cast("string")).alias("relation"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), "o_start", "o_end")
+    """Relations of each mention with the next one of its document."""
+    return neighbours(linked(spark, sf, side))
 
 
 def relations_sql(side: str, name: str, source: str) -> str:
