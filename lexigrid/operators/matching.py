@@ -49,15 +49,22 @@ def bead_offsets(beads: DataFrame, doc: str, index: str, text: str, out: str) ->
 def nearest_bead(entities: DataFrame, beads: DataFrame, doc: str, entity_id: str, text: str, start: str, bead_text: str, index: str, offset: str) -> DataFrame:
     """Every entity with non-blank text and the bead that holds its text, the nearest by offset; null where none does.
 
-    The document is the equi-key, so no pair of an entity and a foreign bead is ever made. The
-    first bead wins ties and stands in where the entity's start is no number.
+    The document is the equi-key, and each distinct text of a document is looked up in its beads once. Beads and entities of a text are then
+    put in order of place together: the nearest is the last bead before or the first after, so a frequent text costs a sort and not
+    all pairs. The first bead wins ties and stands in where the entity's start is no number.
     """
     mine = entities.filter(T.strip(F.col(text)) != "")
-    there = beads.select(F.col(doc).alias("__doc"), F.col(bead_text).alias("__text"), F.col(index).alias("__bead"), F.col(offset).alias("__at"))
-    at = F.coalesce(F.col(start).try_cast("int"), F.lit(-1))
-    met = mine.join(there, (F.col(doc) == F.col("__doc")) & F.contains("__text", T.strip(F.col(text))))
-    away = F.when(at >= 0, F.abs(F.col("__at") - at)).otherwise(F.lit(0))
-    best = met.groupBy(entity_id).agg(F.min_by("__bead", F.struct(away, "__bead")).alias("bead_idx"))
+    keyed = mine.select(entity_id, F.col(doc).alias("__doc"), T.strip(F.col(text)).alias("__what"), F.greatest(F.coalesce(F.col(start).try_cast("int"), F.lit(-1)), F.lit(-1)).alias("__pos"))
+    there = beads.select(F.col(doc).alias("__doc"), F.col(bead_text).alias("__text"), F.col(index).alias("__bead"), F.col(offset).alias("__pos"))
+    held = keyed.select("__doc", "__what").distinct().join(there, "__doc").filter(F.contains("__text", "__what")).groupBy("__doc", "__what", "__pos").agg(F.min("__bead").alias("__bead"))
+    both = held.withColumn("__kind", F.lit(0)).unionByName(keyed.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    place = F.when(F.col("__kind") == 0, F.struct(F.col("__pos").alias("at"), F.col("__bead").alias("bead")))
+    group = Window.partitionBy("__doc", "__what")
+    before = F.last(place, ignorenulls=True).over(group.orderBy("__pos", "__kind"))
+    after = F.last(place, ignorenulls=True).over(group.orderBy(F.col("__pos").desc(), F.col("__kind").desc()))
+    near = both.withColumn("__before", before).withColumn("__after", after).filter("__kind = 1")
+    further = F.col("__before").isNull() | (F.col("__after.at") - F.col("__pos") < F.col("__pos") - F.col("__before.at"))
+    best = near.select(entity_id, F.when(further, F.col("__after.bead")).otherwise(F.col("__before.bead")).alias("bead_idx"))
     return mine.join(best, entity_id, "left")
 
 

@@ -21,18 +21,21 @@ def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 def summary(df: DataFrame, metrics: list[str], digits: int = 2) -> DataFrame:
     """A row for each metric: count, mean, median, min, max, population std, quartiles by interpolation.
 
-    One pass: all metrics are aggregated side by side and unpivoted after.
+    Values are counted first, map-side, so that what meets for a metric is its distinct values and not a value a row.
     """
-    def of(m: str) -> Column:
-        c = F.col(m).cast("double")
-        rounded = lambda x: F.round(x, digits)
-        quantile = lambda q: rounded(F.percentile(c, q))
-        return F.struct(
-            F.lit(m).alias("metric"), F.count(c).alias("count"), rounded(F.avg(c)).alias("mean"), quantile(0.5).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"),
-            rounded(F.stddev_pop(c)).alias("std"), quantile(0.25).alias("p25"), quantile(0.75).alias("p75"),
-        )
-
-    return df.agg(F.array(*[of(m) for m in metrics]).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    counted = df.select(F.explode(values).alias("v")).select("v.*").groupBy("metric", "value").agg(F.count("*").alias("n"))
+    rounded = lambda x: F.round(x, digits)
+    n = F.when(F.col("value").isNull(), 0).otherwise(F.col("n"))
+    total, mean = F.sum(n), F.sum(F.col("value") * n) / F.nullif(F.sum(n), F.lit(0))
+    quantile = lambda q: rounded(F.percentile("value", q, F.col("n")))
+    spread = F.sqrt(F.greatest(F.sum(F.col("value") * F.col("value") * n) / F.nullif(F.sum(n), F.lit(0)) - mean * mean, F.lit(0.0)))
+    found = counted.groupBy("metric").agg(
+        total.cast("long").alias("count"), rounded(mean).alias("mean"), quantile(0.5).alias("median"), F.min("value").alias("min"), F.max("value").alias("max"),
+        rounded(spread).alias("std"), quantile(0.25).alias("p25"), quantile(0.75).alias("p75"),
+    )
+    named = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
+    return named.join(found, "metric", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
 
 
 def overlap(gold: DataFrame, pred: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
