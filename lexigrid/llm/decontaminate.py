@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import bound_batches, cut, table
+from lexigrid.llm.shared import bound_batches, cut, resident, table
 
 WORD = re.compile(r"[^\W_]+")
 SIMILARITY = 0.8
@@ -257,16 +257,9 @@ def _listed(block: DataFrame):
     return block.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
 
-#: The last block outlives a task in the worker that runs it.
-PREPARED: dict[tuple[str, float], Items] = {}
-
-
 def prepared(listed, similarity: float) -> Items:
     name, rows = listed.value
-    if (name, similarity) not in PREPARED:
-        PREPARED.clear()
-        PREPARED[name, similarity] = Items(rows, similarity)
-    return PREPARED[name, similarity]
+    return resident(("items", name, similarity), lambda: Items(rows, similarity))
 
 
 def _chunks(column, words: int = 400_000):

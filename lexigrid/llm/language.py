@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import bound_batches, table
+from lexigrid.llm.shared import bound_batches, resident, table
 
 #: A word is a run of letters, in learning and in prediction; longer runs are taken in parts of so many letters.
 LETTERS = regex.compile(r"\p{L}{1,32}")
@@ -266,16 +266,9 @@ class Scorer:
         return out
 
 
-#: The last scorer outlives a task in the worker that runs it.
-SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(learnt, vocab: str = "piece_bpe_32k.model") -> Scorer:
     name, value = learnt.value
-    if name not in SCORERS:
-        SCORERS.clear()
-        SCORERS[name] = Scorer(value, vocab)
-    return SCORERS[name]
+    return resident(("language", name, vocab), lambda: Scorer(value, vocab))
 
 
 def _parts(column, chars: int = 4_000_000):

@@ -107,6 +107,18 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: What the operator of the last task prepared in this worker.
+RESIDENT: dict = {}
+
+
+def resident(name, make):
+    """``make()`` once for each name; it outlives a task in the worker that runs it, until another name is asked for."""
+    if name not in RESIDENT:
+        RESIDENT.clear()
+        RESIDENT[name] = make()
+    return RESIDENT[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

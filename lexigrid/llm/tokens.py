@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import bound_batches, cut, table
+from lexigrid.llm.shared import bound_batches, cut, resident, table
 
 END_ID = 2
 BLOCK = 512
@@ -163,14 +163,8 @@ class Encoder:
 #: What most often ends a word, and is always a part of its own there.
 STOPS = frozenset(".,")
 
-#: Encoders outlive a task in the worker that runs it.
-ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 LEVELS = "array<struct<chunks:binary,marks:binary,ranks:binary>>"
