@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import bound_batches, resident, table
+from lexigrid.llm.shared import RESIDENT, bound_batches, resident, table
 
 #: A word is a run of letters, in learning and in prediction; longer runs are taken in parts of so many letters.
 LETTERS = regex.compile(r"\p{L}{1,32}")
@@ -31,7 +31,7 @@ ROUNDS = 2
 UNKNOWN, PSEUDO = 1e-7, 0.05
 #: The posterior is that of a text of at most so many words, so that it stays comparable.
 EVIDENCE = 30
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 UNDETERMINED = "und"
 
 
@@ -152,6 +152,7 @@ def _learn(model: str, rounds: int):
     def learn(pdf):
         import pandas as pd
 
+        RESIDENT.clear()  # what an earlier task left in this worker
         pieces = vocabulary(model)
         index, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
         words = dict(zip(pdf["word"], pdf["times"].astype(float)))
@@ -271,7 +272,7 @@ def scorer_of(learnt, vocab: str = "piece_bpe_32k.model") -> Scorer:
     return resident(("language", name, vocab), lambda: Scorer(value, vocab))
 
 
-def _parts(column, chars: int = 4_000_000):
+def _parts(column, chars: int = 1_000_000):
     """A batch's texts in parts of a bounded number of characters, or one text."""
     part, held = [], 0
     for t in column:
