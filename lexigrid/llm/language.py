@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import RESIDENT, bound_batches, resident, table
+from lexigrid.llm.shared import bound_batches, release, resident, table
 
 #: A word is a run of letters, in learning and in prediction; longer runs are taken in parts of so many letters.
 LETTERS = regex.compile(r"\p{L}{1,32}")
@@ -152,7 +152,7 @@ def _learn(model: str, rounds: int):
     def learn(pdf):
         import pandas as pd
 
-        RESIDENT.clear()  # what an earlier task left in this worker
+        release()
         pieces = vocabulary(model)
         index, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
         words = dict(zip(pdf["word"], pdf["times"].astype(float)))

@@ -119,6 +119,11 @@ def resident(name, make):
     return RESIDENT[name]
 
 
+def release() -> None:
+    """Forget what an earlier task prepared in this worker."""
+    RESIDENT.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
