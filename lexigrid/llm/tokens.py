@@ -31,7 +31,7 @@ BLOCK = 512
 #: Ids in a segment, about: a segment closes with the document that reaches it.
 SEGMENT = 1 << 20
 #: Words, and parts of words, that an encoder remembers in each of two ages, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 400_000, 48
 
 
 def dac_encode(ids: np.ndarray) -> list[dict[str, bytes]]:
@@ -93,7 +93,9 @@ class Memory(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.old.pop(key, None) or self.make(key)
+        value = self.old.pop(key, None) if self.old else None
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -121,7 +123,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.parts = Memory(self._part, REMEMBERED)
         self.words = Memory(self._word, REMEMBERED)
 
@@ -134,15 +136,17 @@ class Encoder:
             seen = part.replace(" ", SPACE)
         else:
             seen = part.encode().decode("latin-1").translate(BYTE_CHARS)
-        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(seen)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of a word with the space before it."""
-        if word.isalpha() and (word.isascii() or self.PLAIN.fullmatch(word)):
-            return self._part(" " + word)
+        if word.isascii() and word.isalpha():
+            return array("I", [t.id for t in self.tokenize(SPACE + word)]).tobytes()
         body, last = word[:-1], word[-1:]
         if last in STOPS and body.isalpha() and (body.isascii() or self.PLAIN.fullmatch(body)):
             return self.words[body] + self.parts[last]
+        if word.isalpha() and self.PLAIN.fullmatch(word):
+            return array("I", [t.id for t in self.tokenize(SPACE + word.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
         return self._pieces(" " + word)
 
     def _pieces(self, text: str) -> bytes:
