@@ -113,7 +113,6 @@ class Encoder:
     characters fall further into the parts that the vocabulary's pattern names.
     """
 
-    HARD = re.compile(r" (?:\s|\Z)")
     PLAIN = re.compile(r" ?[!-~\nÀ-ÖØ-öø-ÿ]+")
     PARTS = regex.compile(public_tokenizers.PATTERN)
 
@@ -138,8 +137,10 @@ class Encoder:
             seen = part.encode().decode("latin-1").translate(BYTE_CHARS)
         return array("I", [t.id for t in self.tokenize(seen)]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word with the space before it."""
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word with the space before it; None where that space stands beside other white space or ends the text."""
+        if not word or word[0].isspace():
+            return None
         if word.isascii() and word.isalpha():
             return array("I", [t.id for t in self.tokenize(SPACE + word)]).tobytes()
         body, last = word[:-1], word[-1:]
@@ -157,11 +158,14 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.HARD.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return self._library(text)
         words = text.split(" ")
         first = words.pop(0)
-        return (self._pieces(first) if first else b"") + b"".join(map(self.words.__getitem__, words))
+        try:
+            return (self._pieces(first) if first else b"") + b"".join(map(self.words.__getitem__, words))
+        except TypeError:  # a word without ids of its own
+            return self._library(text)
 
 
 #: What most often ends a word, and is always a part of its own there.
