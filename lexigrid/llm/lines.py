@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import HOT, ascii_lower, cut, hot_keys, table
+from lexigrid.llm.shared import ascii_lower, cut, hot_keys, join_found, key_limit, table
 
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -32,21 +32,23 @@ def line_rows(df: DataFrame, doc: str, text: str, min_chars: int) -> DataFrame:
     return rows.select("doc", "text_hash", "n_lines", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
-def frequent_keys(rows: DataFrame) -> DataFrame:
-    """(h1, h2, shards, hot_docs, hot_keeper) of the fewer than HOT keys that over one row in HOT has."""
-    total = rows.count()
-    hot = hot_keys(rows, ["h1", "h2"], total, F.max("doc").alias("hot_keeper")).withColumn("shards", F.ceil(F.col("times") / max(1, total // HOT)))
-    held = rows.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
-    return hot.join(held.groupBy("h1", "h2").agg(F.count("*").alias("hot_docs")), ["h1", "h2"]).select("h1", "h2", "shards", "hot_docs", "hot_keeper")
+def frequent_keys(rows: DataFrame, total: int) -> DataFrame:
+    """(h1, h2, times, shards, hot_docs, hot_keeper) of the hot keys: over one row in HOT, or over what a task can hold."""
+    hot = hot_keys(rows, ["h1", "h2"], total, F.max("doc").alias("hot_keeper")).withColumn("shards", F.ceil(F.col("times") / key_limit(total)))
+    hot = cut(hot, "lines-hot")
+    flagged = join_found(rows, hot.select("h1", "h2", "times", F.lit(True).alias("hot")), ["h1", "h2"], "times", total)
+    held = flagged.filter("hot").groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
+    return hot.join(held.groupBy("h1", "h2").agg(F.count("*").alias("hot_docs")), ["h1", "h2"]).select("h1", "h2", "times", "shards", "hot_docs", "hot_keeper")
 
 
-def dropped_lines(rows: DataFrame, frequent: DataFrame, min_docs: int) -> DataFrame:
+def dropped_lines(rows: DataFrame, frequent: DataFrame, min_docs: int, total: int) -> DataFrame:
     """The rows of keys that at least ``min_docs`` documents hold, but those of the largest of the documents.
 
     One range exchange by key (and shard, for a frequent key) and one sort by (key, document from the largest, position) carry
-    all of it: ``turn`` numbers a key's documents in that order, so the first occurrences have turn 1.
+    all of it: ``turn`` numbers a key's documents in that order, so the first occurrences have turn 1. A group of the windows
+    has one key's rows, or one shard's of a frequent key: ``key_limit`` rows or a few more.
     """
-    known = rows.join(F.broadcast(frequent), ["h1", "h2"], "left")
+    known = join_found(rows, frequent, ["h1", "h2"], "times", total)
     shard = F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc", "pos"), F.col("shards"))).cast("int")
     ranged = known.withColumn("shard", shard).repartitionByRange("h1", "h2", "shard")
     stream = Window.partitionBy("h1", "h2", "shard").orderBy(F.col("doc").desc_nulls_last(), "pos")
@@ -66,7 +68,8 @@ def keep_bitmaps(df: DataFrame, doc: str = "doc_id", text: str = "text", min_cha
     rows counts as one document; rows without an id count together as one, the smallest.
     """
     rows = cut(line_rows(df, doc, text, min_chars), "lines")
-    dropped = dropped_lines(rows, cut(frequent_keys(rows), "lines-frequent"), min_docs)
+    total = rows.count()
+    dropped = dropped_lines(rows, cut(frequent_keys(rows, total), "lines-frequent"), min_docs, total)
     by_doc = dropped.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("out"), F.first("n_lines").alias("n_lines"))
     before = F.concat(F.array(F.lit(-1)), F.col("out"))
     after = F.concat(F.col("out"), F.array(F.col("n_lines")))

@@ -45,33 +45,60 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: A key with over one part in HOT of all rows is hot, so that there are fewer than HOT such keys at any size.
-HOT = 512
+#: A key is hot with over one part in HOT of all rows, and in any case with over TASK_ROWS, which one task can hold and spill.
+HOT, TASK_ROWS = 512, 1_000_000
+#: Keys' hashes fall into so many slots; what is broadcast about hot keys has a row a slot at most.
+SLOTS = 1 << 16
+#: A table of hot keys up to this many rows, which is counted, may be broadcast itself.
+BROADCAST_ROWS = 100_000
 
 
-def join_spread(big: DataFrame, per_key: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
-    """Inner join with a table of one row a key, whose ``times`` says how many rows of ``big`` have it.
+def key_limit(total: int) -> int:
+    """Rows from which on a key is hot: it never exceeds TASK_ROWS, however many rows there are."""
+    return max(1, min(total // HOT, TASK_ROWS))
 
-    Keys that ``total`` / HOT rows or more have are fewer than HOT and go to the rows of ``big`` by broadcast, where those
-    stand; all others meet in a shuffle, in which no key is large. ``big`` is read twice.
+
+def key_slot(keys: list[str]):
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+
+
+def join_spread(big: DataFrame, per_key: DataFrame, keys: list[str], times: str, total: int, how: str = "inner", hint: str | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """Join with a table of one row a key. ``times`` of it, or of ``hot``, says how many rows of ``big`` a key has.
+
+    The rows of a hot key are dealt out to as many salts as it needs for each to stay below the limit. A row of ``big`` learns
+    the number of salts from its key's slot, a table of at most SLOTS rows; a row of ``per_key`` is repeated once a
+    salt of its slot. All rows then meet in one shuffle, in which no key is large. ``how`` is inner, left, left_anti or left_semi.
+    Rows of ``big`` are dealt by their number, so it has to be a scan of files and what follows without a shuffle: then
+    a task that runs again deals as before.
     """
-    limit = max(1, total // HOT)
-    hot = F.broadcast(per_key.filter(F.col(times) > limit))
-    cold = big.join(F.broadcast(per_key.filter(F.col(times) > limit).select(*keys)), keys, "left_anti").join(per_key.filter(F.col(times) <= limit), keys)
-    return big.join(hot, keys).unionByName(cold)
+    limit, slot, salts, salt = key_limit(total), free_name(big, "__slot"), free_name(big, "__salts"), free_name(big, "__salt")
+    crowded = (per_key if hot is None else hot).filter(F.col(times) > limit)
+    hot = F.broadcast(crowded.groupBy(key_slot(keys).alias(slot)).agg(F.ceil(F.max(times) / limit).cast("int").alias(salts)))
+    dealt = big.withColumn(slot, key_slot(keys)).join(hot, slot, "left")
+    dealt = dealt.withColumn(salt, F.when(F.col(salts).isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col(salts))).cast("int")).drop(slot, salts)
+    copies = per_key.withColumn(slot, key_slot(keys)).join(hot, slot, "left")
+    copies = copies.withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))).drop(slot, salts)
+    return dealt.join(copies.hint(hint) if hint else copies, [*keys, salt], how).drop(salt)
 
 
 def hot_keys(rows: DataFrame, keys: list[str], total: int, *aggregates) -> DataFrame:
-    """(keys, times, aggregates) of the keys that over ``total`` / HOT rows have, fewer than HOT.
+    """(keys, times, aggregates) of the hot keys.
 
-    Rows are counted by 65,536 slots of the key's hash first, so that only the keys of crowded slots are counted on their own.
+    Rows are counted by slots first, so that only the keys of crowded slots are counted on their own.
     """
-    limit, slot = max(1, total // HOT), F.pmod(F.xxhash64(*keys), F.lit(1 << 16))
+    limit, slot = key_limit(total), key_slot(keys)
     crowded = rows.groupBy(slot.alias("__slot")).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select("__slot")
     seen = rows.withColumn("__slot", slot).join(F.broadcast(crowded), "__slot", "left_semi")
     return seen.groupBy(*keys).agg(F.count("*").alias("times"), *aggregates).filter(F.col("times") > limit)
 
 
+def join_found(big: DataFrame, found: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
+    """Left join with a written table of hot keys: by broadcast while it has few rows, else spread like any other."""
+    if found.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(found.drop(times)), keys, "left")
+    return join_spread(big, found, keys, times, total, "left").drop(times)
+
+
 #: Folders that this process has written, until they are dropped.
 WRITTEN: list[str] = []
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm.components import components
-from lexigrid.llm.shared import ASCII_LOWER, HOT, bound_batches, cut, free_name, join_spread, table
+from lexigrid.llm.shared import ASCII_LOWER, bound_batches, cut, free_name, join_spread, table
 
 RADIUS = 4
 #: Reference fingerprints: hashes of their own number, the same for every corpus.
@@ -235,8 +235,7 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
         told = crowded.agg(F.count("*").alias("n"), F.sum("size").alias("rows")).first()
         calm = rows
         if told["n"]:
-            top = F.broadcast(crowded.filter(F.col("size") > told["rows"] // HOT).select("bucket"))
-            calm = rows.join(top, "bucket", "left_anti").join(crowded.select("bucket"), "bucket", "left_anti")
+            calm = join_spread(rows, crowded, ["bucket"], "size", told["rows"], "left_anti")
         found = calm.repartition("bucket").sortWithinPartitions("bucket", "pivots").mapInArrow(_links, "u bigint, v bigint")
         edges = found if edges is None else edges.unionByName(found)
         if not told["n"]:
