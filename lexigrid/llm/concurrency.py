@@ -92,9 +92,8 @@ def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
     changed = (pdf["n_started"] != pdf["n_ended"]).to_numpy() | (pdf["c_started"] != pdf["c_ended"]).to_numpy()
     at, n_open, c_open = at[changed], n_open[changed], c_open[changed]
     high = np.maximum.accumulate(n_open) if len(n_open) else n_open
-    next_at = pd.array(np.append(at[1:], 0), dtype="Int64")
-    if len(next_at):
-        next_at[-1] = pd.NA
+    next_at = pd.array(np.roll(at, -1), dtype="Int64")
+    next_at[-1:] = pd.NA
     return pd.DataFrame({"group": pdf["group"].iloc[0], "range": pdf["range"].iloc[0], "from_s": at, "next_s": next_at, "n_open": n_open, "open_cents": c_open, "high": high})
 
 
