@@ -1,7 +1,7 @@
 """Secret scan with corpus-wide ownership frequency.
 
-A candidate's value is hashed; over the whole corpus each hash gets its number of distinct
-owners. A value that many owners carry is an example that was copied around; one that stays with
+A candidate's value is hashed; over the whole corpus each hash gets its numbers of distinct
+owners and repositories. A value that many owners carry is an example that was copied around; one that stays with
 one or two and looks random is taken for live, however many of their documents hold it.
 """
 
@@ -75,39 +75,41 @@ def spans_text(spans) -> str:
 
 
 CAND = "array<struct<kind:string,start:long,end:long,value_hash:string,random:boolean>>"
-SCANNED = f"owner string, doc bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, cands {CAND}"
+SCANNED = f"owner string, repo string, doc bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, cands {CAND}"
 
 
 def _scan(batches):
     cand_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value_hash", pa.string()), ("random", pa.bool_())]))
     for batch in batches:
         counts, digests, cands = [], [], []
-        for text in batch.column("text").to_pylist():
-            found = candidates(text or "")
+        for text in batch.column("text"):
+            found = candidates(text.as_py() or "")
             counts.append([sum(k == kind for k, *_ in found) for kind in BASE])
             digests.append(hashlib.sha256(spans_text([x[:3] for x in found if x[0] in BASE]).encode()).hexdigest())
             cands.append([{"kind": k, "start": s, "end": e, "value_hash": hashlib.sha256(v.encode()).hexdigest()[:32], "random": k == "pem" or looks_random(v)} for k, s, e, v in found])
-        arrays = [batch.column(c) for c in ("owner", "doc")]
+        arrays = [batch.column(c) for c in ("owner", "repo", "doc")]
         arrays += [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
         arrays += [pa.array(digests, pa.string()), pa.array(cands, cand_type)]
-        yield pa.RecordBatch.from_arrays(arrays, ["owner", "doc", "n_assign", "n_access", "n_hex", "base_sha256", "cands"])
+        yield pa.RecordBatch.from_arrays(arrays, ["owner", "repo", "doc", "n_assign", "n_access", "n_hex", "base_sha256", "cands"])
 
 
 def ownership(cands: DataFrame) -> DataFrame:
-    """value_hash, n_owners, times: distinct owners, null as one of them, and rows.
+    """value_hash, n_owners, n_repos, times: distinct owners and distinct repositories, null as one of either, and rows.
 
-    Two aggregations with map-side combine; a value in a third of all rows is one partial row
-    a task by the time its own key is shuffled.
+    A repository is told by its owner and its own name, as two owners may use one name. Three aggregations with map-side combine, from
+    repositories to owners to values; a value in a third of all rows is one partial row a task by the time its own key is shuffled.
     """
-    owners = cands.groupBy("value_hash", "owner").agg(F.count("*").alias("times"))
-    return owners.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("times").alias("times"))
+    repos = cands.groupBy("value_hash", "owner", "repo").agg(F.count("*").alias("times"))
+    owners = repos.groupBy("value_hash", "owner").agg(F.count("*").alias("n_repos"), F.sum("times").alias("times"))
+    return owners.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("n_repos").alias("n_repos"), F.sum("times").alias("times"))
 
 
-def scan_secrets(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = 2) -> DataFrame:
+def scan_secrets(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = 2, repository: str | None = None, max_repositories: int = 2) -> DataFrame:
     """One row for each row of ``df``: counts, the digest of the base spans and all spans.
 
-    A candidate whose value has over ``max_owners`` owners is an example, whatever the number of
-    its copies; of the others, those that look random are live. Base spans stay whatever their
+    A candidate whose value has over ``max_owners`` owners in over ``max_repositories`` repositories is an example, whatever the
+    number of its copies: in a single repository that many own it is no more than one credential. Of the others, those that
+    look random are live, however many repositories of one owner hold them. Without a ``repository`` column each owner is one. Base spans stay whatever their
     class; spans of the other kinds are added where live.
 
     Null text counts as empty; null owners count as one owner; null or
@@ -115,11 +117,11 @@ def scan_secrets(df: DataFrame, doc: str = "doc_id", text: str = "text", owner:
     columns of ``df`` are not read.
     """
     bound_batches(df.sparkSession)
-    picked = df.select(F.col(owner).cast("string").alias("owner"), F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    picked = df.select(F.col(owner).cast("string").alias("owner"), F.col(repository or owner).cast("string").alias("repo"), F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     scanned = cut(picked.mapInArrow(_scan, SCANNED).withColumn("rid", F.monotonically_increasing_id()), "secrets")
-    flat = scanned.filter(F.size("cands") > 0).select("rid", "owner", F.explode("cands").alias("c")).select("rid", "owner", "c.*")
+    flat = scanned.filter(F.size("cands") > 0).select("rid", "owner", "repo", F.explode("cands").alias("c")).select("rid", "owner", "repo", "c.*")
     owned = cut(ownership(flat), "secret-owners")
-    judged = join_spread(flat, owned, ["value_hash"], "times", owned.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]).withColumn("example", F.col("n_owners") > max_owners)
+    judged = join_spread(flat, owned, ["value_hash"], "times", owned.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]).withColumn("example", (F.col("n_owners") > max_owners) & (F.col("n_repos") > max_repositories))
     judged = judged.withColumn("live", ~F.col("example") & F.col("random"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.concat_ws(":", "kind", "start", "end").alias("label"))
@@ -131,7 +133,7 @@ def scan_secrets(df: DataFrame, doc: str = "doc_id", text: str = "text", owner:
         F.count_if("live").alias("n_live"),
         F.count_if("example").alias("n_example"),
     )
-    out = scanned.drop("cands", "owner").join(by_row, "rid", "left")
+    out = scanned.drop("cands", "owner", "repo").join(by_row, "rid", "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", blank("spans"), blank("live_spans"), zero("n_live"), zero("n_example"))
