@@ -174,28 +174,31 @@ def held_out(doc):
 
 
 def sample_of(labelled: DataFrame, train_docs: int) -> DataFrame:
-    """The rows of ``labelled(doc, text, lang)`` of each language whose ids have the lowest hashes, ``train_docs`` ids at most.
+    """Of ``labelled(doc, text, lang)`` at most ``train_docs`` rows a language: those of the lowest hashes of id and text together.
 
-    A language's share of the range of hashes that should hold four times as many ids is ranked and no more, so
-    ranking is bounded at any size; only where that holds too few is the whole language ranked.
+    Rows that agree in id, text and language count as one, and an id on many texts as as many rows. A language's share of the range
+    of hashes that should hold four times as many rows is ranked and no more; where repeated rows leave too few in it, a range sixteen
+    times as wide is, which then holds at most some sixty times ``train_docs`` distinct ones.
     """
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return labelled
-    hashed, wide = F.xxhash64("doc"), lambda n: min(2**63 - 1, -(2**63) + 2**64 * 4 * train_docs // n)
+    hashed = labelled.withColumn("__h", F.xxhash64("doc", "text"))
+    most, share, found = {}, {lang: 4 * train_docs / n for lang, n in counts.items()}, {}
+    short = list(counts)
 
-    def ranked(limits: dict) -> dict:
-        limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang"))
-        ids = labelled.select("lang", "doc", hashed.alias("h")).filter(F.col("h") <= limit).distinct()
-        places = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc"))).filter(F.col("place") <= train_docs)
-        return {r["lang"]: (r["n"], r["most"]) for r in places.groupBy("lang").agg(F.count("*").alias("n"), F.max("h").alias("most")).collect()}
+    def below(limits: dict):
+        return F.col("__h") <= F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("lang"))
 
-    found = ranked({lang: wide(n) for lang, n in counts.items()})
-    short = {lang: 2**63 - 1 for lang, n in counts.items() if found.get(lang, (0, 0))[0] < train_docs < n}
-    if short:
-        found |= ranked(short)
-    limit = F.element_at(F.create_map(*[F.lit(x) for lang, (_, most) in found.items() for x in (lang, most)]), F.col("lang"))
-    return labelled.filter(hashed <= limit)
+    while short:
+        limits = {lang: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, share[lang]))) for lang in short}
+        rows = hashed.select("lang", "__h").filter(below(limits)).distinct()
+        places = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("__h"))).filter(F.col("place") <= train_docs)
+        found = {r["lang"]: (r["n"], r["most"]) for r in places.groupBy("lang").agg(F.count("*").alias("n"), F.max("__h").alias("most")).collect()}
+        most |= {lang: top for lang, (n, top) in found.items()}
+        short = [lang for lang in short if found.get(lang, (0, 0))[0] < train_docs and share[lang] < 1]
+        share |= {lang: share[lang] * 16 for lang in short}
+    return hashed.filter(below(most)).dropDuplicates(["lang", "__h"]).drop("__h")
 
 
 def _count_words(batches):
@@ -215,10 +218,11 @@ def _count_words(batches):
 def train(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, vocab: str = "piece_bpe_32k.model"):
     """[(lang, pieces, probabilities, rest)] learnt from labelled rows that are not held out.
 
-    The sample is bounded by ``train_docs`` ids a language; which rows it has depends on their ids alone.
+    The sample is bounded by ``train_docs`` distinct rows a language; which it has depends on their ids and texts alone. Rows without an
+    id, which can be neither held out nor not, teach nothing.
     """
     labelled = df.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc")))
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc").isNotNull() & ~held_out(F.col("doc")))
     sample = sample_of(labelled, train_docs)
     words = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, times bigint").groupBy("lang", "word").agg(F.sum("times").alias("times")).repartition(32, "lang")
     learnt = words.groupBy("lang").applyInPandas(_learn(vocab, rounds), "lang string, pieces array<int>, probs array<double>, rest double")
