@@ -40,21 +40,27 @@ SHORT, LONG = 70, 200
 #: From STOP_HIGH on the density is a vote, below STOP_LOW a block without an article round it is weak;
 #: up to LINKS_LOW the few links are a vote, above LINKS_HIGH a block is bad.
 STOP_HIGH, STOP_LOW, LINKS_LOW, LINKS_HIGH = 0.15, 0.08, 0.1, 0.35
+#: A block with at least so large a part in a link that goes round whole blocks is the card of another page.
+CARD = 0.9
 
 #: Elements by what they do to a page's blocks.
-RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg math canvas select object audio video".split())
+RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template canvas select object audio video annotation annotation-xml desc metadata".split())
 #: Those that swallow the rest of a page where they are not closed.
 SWALLOWS = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+FORMULA = frozenset("math semantics mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mpadded mphantom menclose merror mtable mtr mtd".split())
+DRAWING = frozenset("svg g defs symbol use path circle ellipse rect line polyline polygon text tspan textpath marker mask pattern clippath lineargradient radialgradient stop filter image".split())
+INLINE = FORMULA | DRAWING | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form head header hgroup html label button legend li main menu nav ol option p section summary table tbody td tfoot th thead tr ul search".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
 BOILER_TAGS = frozenset("aside button dialog footer form head label menu nav option search fieldset".split())
-#: Words of class, id and role that name boilerplate wherever they stand, and those that a container of the article itself may bear.
+#: Words of class, id and role that name boilerplate, those that a container of the article itself may bear, and those
+#: that say nothing about what a container holds.
 STRONG = frozenset("ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus discussion footer gdpr menu menus modal nav navbar navigation newsletter pager pagination popup promo promotion promoted related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar".split())
 WEAK = frozenset("alert aside copyright disclaimer foot header legal login masthead notice notices overlay recommendations recommended search side teaser toc topbar widget widgets".split())
 CONTENT = frozenset("article body content entry main post story text".split())
+NEUTRAL = frozenset("area bar block body bottom box btn button buttons card cards col column container content count counter cta first footer form global grid group head header heading holder id inline inner item items js last layer left link links list main meta module more page panel part position post posts primary right row section site slot small sticky sub tab tabs text thread title top unit user view widget wrap wrapper zone".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)""", re.DOTALL)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
@@ -70,6 +76,8 @@ class Block:
     linked: int = 0
     boiler: bool = False
     named: bool = False
+    doubted: bool = False
+    card: bool = False
     article: bool = False
     heading: bool = False
     text: str = ""
@@ -83,43 +91,58 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return ("hidden" in attributes.lower() or "display" in attributes.lower()) and HIDDEN.search(attributes) is not None
 
 
-def names_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """By the words of its class, id and role, apart from those of its state."""
+def names_boilerplate(tag: str, attributes: str, in_article: bool) -> str:
+    """By the words of its class, id and role, apart from those of its state: "yes", "no", or "doubt" inside an article.
+
+    There a name is a verdict only if it says nothing else: ``comment-list`` and ``share`` do, while ``recipe-menu`` or
+    ``related-work`` name a part of the article, and so does ``discussion``.
+    """
     if "=" not in attributes or tag in ("body", "html", "main"):
-        return False
+        return "no"
     names = [n for m in NAMES.finditer(attributes) for n in (m.group(2) or m.group(3) or m.group(4) or "").split()]
     words = {w.lower() for n in names if not STATE.fullmatch(n) for w in PARTS.findall(n)}
-    return bool(words & STRONG) or (bool(words & WEAK) and not words & CONTENT and not (in_article and words & {"header"}))
+    strong = words & STRONG
+    if not strong and not (words & WEAK and not words & CONTENT and not (in_article and words & {"header"})):
+        return "no"
+    if not in_article:
+        return "yes"
+    plain = any(p and set(p) <= STRONG | WEAK | NEUTRAL and set(p) & (STRONG | WEAK) for n in names if not STATE.fullmatch(n) for p in [[w.lower() for w in PARTS.findall(n)]])
+    return "yes" if plain and strong != {"discussion"} else "doubt"
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text in page order, with link characters and what contains them."""
     found: list[Block] = []
-    block, stack, link = Block(), [], False
-    boiler = named = article = 0
+    block, stack, link = Block(), [], -1
+    boiler = named = article = doubted = 0
 
     def flush():
-        nonlocal block, link
+        nonlocal block
+        across = link >= 0  # a link round whole blocks
         block.text = " ".join("".join(block.pieces).split())
         if block.text:
-            block.boiler, block.named, block.article = boiler > 0, named > 0, article > 0
+            block.boiler, block.named, block.article, block.doubted = boiler > 0, named > 0, article > 0, doubted > 0
+            block.card = (block.card or across) and block.linked >= CARD * len(block.text)
             found.append(block)
-        block, link = Block(), False
+        block = Block(card=across)
 
     def add(raw: str):
         if raw:
             text = entities.unescape(raw)
             block.pieces.append(text)
-            if link:
+            if link >= 0:
                 block.linked += len(" ".join(text.split()))
 
     def leave(to: int):
-        nonlocal boiler, named, article
+        nonlocal boiler, named, article, doubted, link
         while len(stack) > to:
-            _, b, c, a = stack.pop()
+            _, b, c, a, d = stack.pop()
             boiler -= b
             named -= c
             article -= a
+            doubted -= d
+        if len(stack) < link:  # a link ends with what it was opened in, closed or not
+            link = -1
 
     at, n = 0, len(page)
     while at < n:
@@ -138,7 +161,7 @@ def blocks_of(page: str) -> list[Block]:
                 at = end.end() if end else n if tag in SWALLOWS else at
             continue
         if tag == "a":
-            link = not closing
+            link = -1 if closing else len(stack)
             continue
         if tag in INLINE:
             if tag in ("br", "wbr", "img"):
@@ -160,9 +183,10 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "body":
             leave(0)
         bad, called = is_boilerplate(tag, attributes, article > 0), names_boilerplate(tag, attributes, article > 0)
-        inner = tag in ("article", "main") and not bad and not called
-        boiler, named, article = boiler + bad, named + called, article + inner
-        stack.append((tag, bad, called, inner))
+        inner = tag in ("article", "main") and not bad and called != "yes"
+        row = (bad, called == "yes", inner, called == "doubt")
+        boiler, named, article, doubted = (x + y for x, y in zip((boiler, named, article, doubted), row))
+        stack.append((tag, *row))
     flush()
     return found
 
@@ -174,17 +198,17 @@ def stop_density(text: str) -> float:
 
 def first_pass(block: Block) -> str:
     """good, bad, or open: short, near (one vote) or weak (hardly a stop word)."""
-    if block.boiler:
+    if block.boiler or block.card:
         return "bad"
     if block.linked > LINKS_HIGH * len(block.text):
         return "bad" if not block.article else "short"
     if block.heading or len(block.text) < SHORT:
-        return "short"
+        return "bad" if block.doubted else "short"
     density = stop_density(block.text)
     if density < STOP_LOW and not block.article:
         return "weak"
-    votes = block.article + (density >= STOP_HIGH) + (len(block.text) > LONG) + (block.linked <= LINKS_LOW * len(block.text))
-    return "good" if votes >= 2 else "near"
+    votes = block.article - block.doubted + (density >= STOP_HIGH) + (len(block.text) > LONG) + (block.linked <= LINKS_LOW * len(block.text))
+    return "good" if votes >= 2 else "bad" if block.doubted else "near"
 
 
 def second_pass(scope: list[Block], article: bool) -> None:
@@ -252,7 +276,7 @@ def main_text(page: str | None) -> str:
 
 def _extract(batches):
     for batch in batches:
-        texts = [main_text(h) for h in batch.column("html").to_pylist()]
+        texts = [main_text(h.as_py()) for h in batch.column("html")]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
