@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import ascii_lower, cut, hot_keys, join_found, key_limit, table
+from lexigrid.llm.shared import ascii_lower, by_ranges, cut, hot_keys, join_found, key_limit, table
+
+#: Lines of a range at most, on average: a corpus of more lines has more ranges than the session's shuffles.
+RANGE_ROWS = 4_000_000
 
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -50,7 +53,7 @@ def dropped_lines(rows: DataFrame, frequent: DataFrame, min_docs: int, total: in
     """
     known = join_found(rows, frequent, ["h1", "h2"], "times", total)
     shard = F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc", "pos"), F.col("shards"))).cast("int")
-    ranged = known.withColumn("shard", shard).repartitionByRange("h1", "h2", "shard")
+    ranged = by_ranges(known.withColumn("shard", shard), ["h1", "h2", "shard"], total, RANGE_ROWS)
     stream = Window.partitionBy("h1", "h2", "shard").orderBy(F.col("doc").desc_nulls_last(), "pos")
     key = stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fresh = F.when((F.row_number().over(stream) == 1) | ~F.col("doc").eqNullSafe(F.lag("doc").over(stream)), 1).otherwise(0)

@@ -99,6 +99,14 @@ def join_found(big: DataFrame, found: DataFrame, keys: list[str], times: str, to
     return join_spread(big, found, keys, times, total, "left").drop(times)
 
 
+def by_ranges(rows: DataFrame, keys: list[str], total: int, most: int) -> DataFrame:
+    """Range partitions by the keys: as many as the session's shuffles have, more where they would hold over ``most`` rows on average."""
+    n = -(-total // most)
+    if n <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows.repartitionByRange(*keys)
+    return rows.repartitionByRange(n, *keys)
+
+
 #: Folders that this process has written, until they are dropped.
 WRITTEN: list[str] = []
 
@@ -126,12 +134,22 @@ def drop_cuts(spark: SparkSession, keep: int = 0, last: int = 0) -> None:
     del WRITTEN[keep:stop]
 
 
+#: Bytes of an Arrow batch on its way to a Python worker; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep an Arrow batch of whole texts small: at most ``rows`` documents at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Keep an Arrow batch of whole texts small: at most BATCH_BYTES and ``rows`` documents at a time.
+
+    Spark has these bounds for a session alone, so they stay as they are set here unless they were lower before.
+    """
+    key, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    now = spark.conf.get(size, None)
+    if now is not None and not (now.rstrip("bB").isdigit() and 0 < int(now.rstrip("bB")) <= BATCH_BYTES):
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 #: What the operator of the last task prepared in this worker.

@@ -58,7 +58,7 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+        fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
         kept = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(fps, pa.int64())], [*kept, "fp"])
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import bound_batches, cut, resident, table
+from lexigrid.llm.shared import bound_batches, by_ranges, cut, resident, table
 
 END_ID = 2
 BLOCK = 512
@@ -218,11 +218,15 @@ def _read(batches):
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+#: Rows of a range at most, on average.
+RANGE_ROWS = 250_000
+
+
 def write_tokens(df: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """The written segments of ``df``, in ascending order of id, then of a hash of the text, then text."""
     bound_batches(df.sparkSession)
     rows = df.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc", "hash").sortWithinPartitions("doc", "hash", "text").select("doc", "text")
+    ordered = by_ranges(rows, ["doc", "hash"], rows.count(), RANGE_ROWS).sortWithinPartitions("doc", "hash", "text").select("doc", "text")
     return cut(ordered.mapInArrow(_write(public_tokenizers.path(tokenizer)), SEGMENTS), "tokens")
 
 

@@ -101,12 +101,20 @@ def test_what_is_no_letter_has_no_language(spark, text):
 
 
 def test_the_sample_is_bounded_whatever_repeats(spark):
-    rows = [(i, "a b", "en") for i in range(3000)] + [(7, "a b", "en")] * 2000 + [(i, "x", "de") for i in range(5)]
+    rows = [(i, "a b", "en") for i in range(3000)] + [(7, "a b", "en")] * 5000 + [(i, "x", "de") for i in range(5)]
+    rows += [(8, f"text {i}", "fr") for i in range(3000)] + [(None, "no id", "es")] * 50 + [(9, "again", "it")] * 4000
     df = spark.createDataFrame(rows, "doc long, text string, lang string")
     got = language.sample_of(df, 100)
-    assert got.filter("lang = 'de'").count() == 5 and got.filter("lang = 'en'").select("doc").distinct().count() == 100
-    least = sorted(r[0] for r in df.filter("lang = 'en'").selectExpr("xxhash64(doc)").distinct().collect())[:100]
-    assert sorted(r[0] for r in got.filter("lang = 'en'").selectExpr("xxhash64(doc)").distinct().collect()) == least
+    assert {r["lang"]: r["count"] for r in got.groupBy("lang").count().collect()} == {"de": 5, "en": 100, "fr": 100, "es": 1, "it": 1}
+    least = sorted(r[0] for r in df.filter("lang = 'en'").selectExpr("xxhash64(doc, text)").distinct().collect())[:100]
+    assert sorted(r[0] for r in got.filter("lang = 'en'").selectExpr("xxhash64(doc, text)").collect()) == least
+    assert language.sample_of(df.limit(0), 100).count() == 0
+
+
+def test_rows_without_an_id_teach_nothing(spark):
+    rows = [(None, "das ist der text und die katze", "de"), (1, "the cat and the dog in the house", "en"), (2, "the man and the mouse", "en")]
+    learnt = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [x[0] for x in learnt] == ["en"]
 
 
 def test_language_edges(spark, docs, no_docs):
@@ -142,6 +150,24 @@ def test_main_text(source, want):
     assert html.main_text(source) == want
 
 
+@pytest.mark.parametrize("inside, kept", [
+    (f'<a href="x"><div><h3>Other story</h3><p>{PROSE} Card.</p></div></a>', []),
+    (f'<div class="recipe-menu"><p>{PROSE} Menu.</p></div>', ["Menu."]),
+    (f'<section class="related-work"><p>{PROSE} Earlier.</p></section>', ["Earlier."]),
+    (f'<div class="discussion"><p>{PROSE} Discussed.</p></div>', ["Discussed."]),
+    (f'<div class="comments"><p>{PROSE} Comment.</p></div>', []),
+    (f'<ol class="comment-list"><li class="comment-body">{PROSE} Comment.</li></ol>', []),
+    ('<div class="share-buttons"><p>Share this</p></div>', []),
+    ('<div class="recipe-share"><p>Share it</p></div>', []),
+    (f'<p>{PROSE} where <math><mi>x</mi></math> is <svg><title>t</title><text>y</text></svg>.</p>', ["where x is y."]),
+    (f'<p>{PROSE}<a href=x> open<p>{PROSE} after.', ["open", "after."]),
+])
+def test_names_and_links_inside_an_article(inside, kept):
+    got = html.main_text(page(f"<article><p>{PROSE} First.</p>{inside}<p>{PROSE} Last.</p></article>"))
+    assert [line.removeprefix(PROSE).strip() for line in got.split("\n")] == ["First.", *kept, "Last."]
+
+
+
 def test_stop_words_decide_unmarked_blocks():
     words = " ".join(f"xq{i}" for i in range(80))
     assert html.main_text(page(f"<div><p>{words}</p></div><div><p>{PROSE}</p></div>")) == PROSE

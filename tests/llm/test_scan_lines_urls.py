@@ -51,6 +51,18 @@ def test_ownership_separates_copied_from_owned(spark):
     assert got[9]["spans"] == "random:4:32" == got[9]["live_spans"] and got[9]["n_hex"] == 0
 
 
+def test_repositories_and_owners_count_apart(spark):
+    many, owned = "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c", "1f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4d"
+    rows = [(i, f"x {many} y", f"owner{i}", "monorepo") for i in range(4)] + [(10 + i, f"k {owned} e", "me", f"repo{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    cands = spark.createDataFrame([("v", "a", "r"), ("v", "a", "r"), ("v", "a", None), ("v", None, "r"), ("w", "b", "r")], "value_hash string, owner string, repo string")
+    assert {tuple(r) for r in secrets.ownership(cands).select("value_hash", "n_owners", "n_repos", "times").collect()} == {("v", 2, 3, 4), ("w", 1, 1, 1)}
+    got = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secrets.scan_secrets(df, repository="repo", max_repositories=4).collect()}
+    assert all(got[i] == (1, 0) for i in range(4)) and all(got[10 + i] == (1, 0) for i in range(6))
+    got = {r["doc_id"]: r["n_example"] for r in secrets.scan_secrets(df, repository="repo").collect()}
+    assert all(got[i] == 1 for i in range(4)) and all(got[10 + i] == 0 for i in range(6))
+
+
 def brute_extra(text):
     """Spans of vendor, PEM and random values, by walking over the text instead of the scan's own patterns."""
     spans = []
