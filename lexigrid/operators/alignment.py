@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from lexigrid.functions import text as T
 from lexigrid.functions.vocab import MAX_CONTEXT, NEVER_SPLIT
+from lexigrid.operators.lengths import align_lengths
 
 LINES = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
 END = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s|\Z)")
@@ -43,58 +43,6 @@ def _put(out, line, begin, end, offset):
         out.append((body, offset + begin + left, offset + begin + left + len(body)))
 
 
-# Gale and Church (1993): characters of one language for each of the other, variance per character, and priors.
-RATIO, VARIANCE = 1.0, 6.8
-PRIORS = {(1, 1): 0.89, (1, 0): 0.0099, (0, 1): 0.0099, (2, 1): 0.089, (1, 2): 0.089, (2, 2): 0.011}
-
-
-def _cost(a: int, b: int, prior: float) -> float:
-    if a == b == 0:
-        return -math.log(prior)
-    mean = (a + b / RATIO) / 2
-    delta = (b - a * RATIO) / math.sqrt(max(mean, 1e-9) * VARIANCE)
-    tail = math.erfc(abs(delta) / math.sqrt(2))
-    return -math.log(max(tail, 1e-300)) - math.log(prior)
-
-
-def align_lengths(src: list[int], hyp: list[int]) -> list[tuple[int, int]]:
-    """Links (i, j) of the cheapest alignment; sentences without a counterpart get none.
-
-    Three rows of costs are held at a time, and one byte a cell for the way back.
-    """
-    n, m = len(src), len(hyp)
-    moves = list(PRIORS.items())
-    a, b = [0, *_running(src)], [0, *_running(hyp)]
-    rows: list[list[float]] = []
-    ways = []
-    for i in range(n + 1):
-        row, way = [math.inf] * (m + 1), bytearray(m + 1)
-        rows = [*rows[-2:], row]
-        for j in range(m + 1):
-            if i == j == 0:
-                row[0] = 0.0
-                continue
-            for k, ((di, dj), prior) in enumerate(moves):
-                if di <= i and dj <= j and rows[-1 - di][j - dj] < math.inf:
-                    c = rows[-1 - di][j - dj] + _cost(a[i] - a[i - di], b[j] - b[j - dj], prior)
-                    if c < row[j]:
-                        row[j], way[j] = c, k
-        ways.append(way)
-    links, i, j = [], n, m
-    while i or j:
-        di, dj = moves[ways[i][j]][0]
-        links += [(x, y) for x in range(i - di, i) for y in range(j - dj, j)][::-1]
-        i, j = i - di, j - dj
-    return links[::-1]
-
-
-def _running(values):
-    total = 0
-    for v in values:
-        total += v
-        yield total
-
-
 def group_links(links: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
     """Beads: a new one begins where both indices differ from the link before."""
     beads: list[list[tuple[int, int]]] = []

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
+from lexigrid.operators import metrics
+from lexigrid.operators.durable import cut
 
 
 def last_per_span(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -29,10 +31,21 @@ BIN = 1024
 
 def in_span(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str = "span_start", end: str = "span_end") -> DataFrame:
     """Each point with every half-open span of its group that holds it. Both meet by bins of the document, not all with all."""
-    bin_of = lambda c: F.floor(F.col(c) / BIN)
-    binned = spans.filter(F.col(start) < F.col(end)).withColumn("__bin", F.explode(F.sequence(bin_of(start), F.floor((F.col(end) - 1) / BIN))))
-    met = points.withColumn("__bin", bin_of(at)).join(binned, [*by, "__bin"])
-    return met.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__bin")
+    return points.withColumn("__bin", F.floor(F.col(at) / BIN)).join(binned(spans, start, end), [*by, "__bin"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__bin")
+
+
+def binned(spans: DataFrame, start: str = "span_start", end: str = "span_end") -> DataFrame:
+    """Spans with ``__bin``, a row for each bin that they reach into."""
+    return spans.filter(F.col(start) < F.col(end)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor((F.col(end) - 1) / BIN))))
+
+
+def in_span_or_not(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str = "span_start", end: str = "span_end") -> DataFrame:
+    """As ``in_span``, but a point that no span of its group holds stays too, facing null."""
+    wide = binned(spans, start, end).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__bin").alias("__span_bin"), *[c for c in spans.columns if c not in by])
+    same = (F.floor(F.col(at) / BIN) == F.col("__span_bin")) & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
+    for c in by:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    return points.join(wide, same, "left").drop("__span_bin", *[f"__{c}" for c in by])
 
 
 def outside(rows: DataFrame, held: DataFrame, row_id: str) -> DataFrame:
@@ -46,7 +59,7 @@ def bead_offsets(beads: DataFrame, doc: str, index: str, text: str, out: str) ->
     return beads.withColumn(out, F.coalesce(F.sum(F.length(text)).over(before), F.lit(0)))
 
 
-def nearest_bead(entities: DataFrame, beads: DataFrame, doc: str, entity_id: str, text: str, start: str, bead_text: str, index: str, offset: str) -> DataFrame:
+def nearest_bead(entities: DataFrame, beads: DataFrame, doc: str, text: str, start: str, bead_text: str, index: str, offset: str) -> DataFrame:
     """Every entity with non-blank text and the bead that holds its text, the nearest by offset; null where none does.
 
     The document is the equi-key, and each distinct text of a document is looked up in its beads once. Beads and entities of a text are then
@@ -54,7 +67,7 @@ def nearest_bead(entities: DataFrame, beads: DataFrame, doc: str, entity_id: str
     all pairs. The first bead wins ties and stands in where the entity's start is no number.
     """
     mine = entities.filter(T.strip(F.col(text)) != "")
-    keyed = mine.select(entity_id, F.col(doc).alias("__doc"), T.strip(F.col(text)).alias("__what"), F.greatest(F.coalesce(F.col(start).try_cast("int"), F.lit(-1)), F.lit(-1)).alias("__pos"))
+    keyed = mine.select(F.struct(*mine.columns).alias("__row"), F.col(doc).alias("__doc"), T.strip(F.col(text)).alias("__what"), F.greatest(F.coalesce(F.col(start).try_cast("int"), F.lit(-1)), F.lit(-1)).alias("__pos"))
     there = beads.select(F.col(doc).alias("__doc"), F.col(bead_text).alias("__text"), F.col(index).alias("__bead"), F.col(offset).alias("__pos"))
     held = keyed.select("__doc", "__what").distinct().join(there, "__doc").filter(F.contains("__text", "__what")).groupBy("__doc", "__what", "__pos").agg(F.min("__bead").alias("__bead"))
     both = held.withColumn("__kind", F.lit(0)).unionByName(keyed.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
@@ -64,8 +77,7 @@ def nearest_bead(entities: DataFrame, beads: DataFrame, doc: str, entity_id: str
     after = F.last(place, ignorenulls=True).over(group.orderBy(F.col("__pos").desc(), F.col("__kind").desc()))
     near = both.withColumn("__before", before).withColumn("__after", after).filter("__kind = 1")
     further = F.col("__before").isNull() | (F.col("__after.at") - F.col("__pos") < F.col("__pos") - F.col("__before.at"))
-    best = near.select(entity_id, F.when(further, F.col("__after.bead")).otherwise(F.col("__before.bead")).alias("bead_idx"))
-    return mine.join(best, entity_id, "left")
+    return near.select("__row.*", F.when(further, F.col("__after.bead")).otherwise(F.col("__before.bead")).alias("bead_idx"))
 
 
 def match_cascade(src: DataFrame, hyp: DataFrame, scope: list[str], passes: list[tuple[str, str]], order: str = "id") -> DataFrame:
@@ -92,32 +104,71 @@ def match_cascade(src: DataFrame, hyp: DataFrame, scope: list[str], passes: list
     return pairs.select(*scope, "src_id", "hyp_id", F.coalesce("__kind", F.lit("none")).alias("match_type"))
 
 
-def greedy_pairs(candidates: DataFrame, scope: list[str], score: str = "score", i: str = "i", j: str = "j") -> DataFrame:
-    """One-to-one pairs taken by falling score, then i, then j; (scope, i, j, score).
+#: A scope of up to so many candidates is walked through in one task; larger ones are taken apart in rounds first.
+WALKED = 200_000
 
-    A scope is a bead or a document; its candidates are folded inside one expression.
-    """
-    item = F.struct(F.col(score).cast("double").alias("sc"), F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j"))
-    empty = F.expr("named_struct('mi', cast(map() as map<bigint,boolean>), 'mj', cast(map() as map<bigint,boolean>), 'p', cast(array() as array<struct<sc:double,i:bigint,j:bigint>>))")
 
-    def step(s, c):
-        taken = F.map_contains_key(s["mi"], c["i"]) | F.map_contains_key(s["mj"], c["j"])
-        more = F.struct(
-            F.map_concat(s["mi"], F.create_map(c["i"], F.lit(True))).alias("mi"),
-            F.map_concat(s["mj"], F.create_map(c["j"], F.lit(True))).alias("mj"),
-            F.array_append(s["p"], F.struct(c["sc"].alias("sc"), c["i"].alias("i"), c["j"].alias("j"))).alias("p"),
-        )
-        return F.when(taken, s).otherwise(more)
+def greedy_pairs(candidates: DataFrame, scope: list[str], score: str = "score", i: str = "i", j: str = "j", most: int = WALKED) -> DataFrame:
+    """One-to-one pairs taken by falling score, then i, then j; (scope, i, j, score).
 
-    folded = candidates.groupBy(*scope).agg(F.sort_array(F.collect_list(item), asc=False).alias("c")).select(*scope, F.explode(F.aggregate("c", empty, step, lambda s: s["p"])).alias("m"))
-    return folded.select(*scope, F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.sc").alias("score"))
+    Scopes are sorted and walked through as a stream that remembers only what is taken. Of a scope with more than ``most``
+    candidates, each round takes all pairs that are the best of both their ends: nothing that comes before them in the order could
+    ever take one of the two, so that they are what the walk would take. What shares an end with them goes, until the scope is
+    small enough to be walked. A round is a job over the large scopes alone, whose rows are spread by scope and end.
+    """
+    rows = cut(candidates.select(*scope, F.col(score).cast("double").alias("score"), F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j")))
+    taken, walked = [], []
+    while True:
+        large = rows.groupBy(*scope).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).drop("__n")
+        if large.isEmpty():
+            break
+        walked.append(rows.join(large, scope, "left_anti"))
+        marked = cut(best_of_both(rows.join(large, scope, "left_semi"), scope))
+        taken.append(marked.filter("__best").select(*scope, "i", "j", "score"))
+        rows = marked.filter("NOT __gone").drop("__best", "__gone")
+    order = [*scope, F.col("score").desc(), F.col("i").desc(), F.col("j").desc()]
+    stream = metrics.unioned([*walked, rows]).repartition(*scope).sortWithinPartitions(*order)
+    return metrics.unioned([stream.mapInArrow(walk(scope), rows.schema).select(*scope, "i", "j", "score"), *taken])
+
+
+def best_of_both(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """Candidates with ``__best``, whether each is the first of all that share its i and of all that share its j, and ``__gone``,
+    whether it shares an end with one that is."""
+    by_i, by_j = Window.partitionBy(*scope, "i"), Window.partitionBy(*scope, "j")
+    own = F.struct("score", "i", "j")
+    first = rows.withColumn("__of_i", F.max(own).over(by_i)).withColumn("__of_j", F.max(own).over(by_j))
+    first = first.withColumn("__best", (F.col("__of_i") == own) & (F.col("__of_j") == own)).drop("__of_i", "__of_j")
+    return first.withColumn("__gone", F.max("__best").over(by_j)).withColumn("__gone", F.max("__gone").over(by_i))
+
+
+def walk(scope: list[str]):
+    """Batches sorted by scope and order to the candidates that find both their ends free."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        here, used_i, used_j = None, set(), set()
+        for batch in batches:
+            kept = []
+            scopes = zip(*[batch.column(c).to_pylist() for c in scope])
+            for row, (key, a, b) in enumerate(zip(scopes, batch.column("i").to_pylist(), batch.column("j").to_pylist())):
+                if key != here:
+                    here, used_i, used_j = key, set(), set()
+                if a not in used_i and b not in used_j:
+                    used_i.add(a)
+                    used_j.add(b)
+                    kept.append(row)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run
 
 
 def with_singletons(pairs: DataFrame, src: DataFrame, hyp: DataFrame, scope: list[str]) -> DataFrame:
     """Pairs and, facing null with score 0, everything that found none. Rows have ``i`` and ``j``."""
-    a = src.select(*scope, "i").join(pairs.select(*scope, "i"), [*scope, "i"], "left_anti")
-    b = hyp.select(*scope, "j").join(pairs.select(*scope, "j"), [*scope, "j"], "left_anti")
-    return pairs.unionByName(a.withColumn("score", F.lit(0.0)), allowMissingColumns=True).unionByName(b.withColumn("score", F.lit(0.0)), allowMissingColumns=True)
+    zero = F.lit(0.0)
+    left = src.select(*scope, "i").join(pairs, [*scope, "i"], "left").select(*scope, "i", "j", F.coalesce("score", zero).alias("score"))
+    alone = hyp.select(*scope, "j").join(pairs.select(*scope, "j"), [*scope, "j"], "left_anti")
+    return left.unionByName(alone.select(*scope, F.lit(None).cast("long").alias("i"), "j", zero.alias("score")))
 
 
 def band_pairs(entities: DataFrame, doc: str, relations: DataFrame, max_distance: int) -> DataFrame:

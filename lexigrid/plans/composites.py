@@ -9,6 +9,7 @@ from lexigrid.functions import backends as B
 from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
 from lexigrid.operators import matching
+from lexigrid.operators.durable import cut
 from lexigrid.plans import pipelines as P
 
 SCOPE = ["doc_id", "bead_idx"]
@@ -30,8 +31,13 @@ def left_over(beads: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
 
 def scored_rows(beads: DataFrame, rows: DataFrame, side: str) -> DataFrame:
     """The rows that count: those in beads, once for each bead; all of them where a document has no bead."""
-    whole = rows.join(beads.select("doc_id").distinct(), "doc_id", "left_anti")
-    return held_rows(beads, rows, side).select(*rows.columns).unionByName(whole)
+    spans = beads.select("doc_id", F.col(f"{side}_start").alias("span_start"), F.col(f"{side}_end").alias("span_end"))
+    aligned = beads.select("doc_id").distinct().withColumn("aligned", F.lit(True))
+    placed = matching.in_span_or_not(rows, spans, ["doc_id"], "s_start" if "s_start" in rows.columns else "start").join(aligned, "doc_id", "left")
+    held = F.col("span_start").isNotNull()
+    if "s_start" in rows.columns:
+        held = held & (F.col("o_start") >= F.col("span_start")) & (F.col("o_start") < F.col("span_end"))
+    return placed.filter(held | F.col("aligned").isNull()).select(*rows.columns)
 
 
 def prefixed(rows: DataFrame, prefix: str, *keys: str) -> DataFrame:
@@ -61,6 +67,7 @@ def aligned_entities(beads: DataFrame, src: DataFrame, hyp: DataFrame, enforce_l
     cui, label). Matches are made inside each bead; what no bead holds stands alone, with the bead's columns null. Documents
     need entities on both sides and a bead.
     """
+    beads, src, hyp = cut(beads), cut(src), cut(hyp)
     src, hyp = _both(src, hyp)
     a, b = held_rows(beads, src, "src"), held_rows(beads, hyp, "hyp")
     inside = P.entity_matches(a, b, SCOPE, enforce_label)
@@ -87,6 +94,7 @@ def aligned_relations(beads: DataFrame, src: DataFrame, hyp: DataFrame, src_link
     Relations inside a bead are matched by the entities that it holds; those in none are matched in their document, by all of its
     entities, with the bead's columns null. The hypothesis's argument texts are those of its entities, translated where they are.
     """
+    beads, src, hyp, src_linked, hyp_linked = map(cut, (beads, src, hyp, src_linked, hyp_linked))
     src_linked, hyp_linked = _both(src_linked, hyp_linked)
     docs = src_linked.select("doc_id").distinct()
     src, hyp = (rows.join(docs, "doc_id", "left_semi") for rows in (src, hyp))
@@ -111,10 +119,9 @@ def named_rows(files: DataFrame, rows: DataFrame, key: str = "filename", suffix:
     """Rows under the names of ``files(filename)``: by the exact name (with ``suffix``), or, for a file that has none, by its stem."""
     wanted = files.select(F.col("filename").alias("file")).distinct().withColumn("name", T.with_suffix(F.col("file"), suffix) if suffix else F.col("file"))
     wanted = wanted.withColumn("stem", F.regexp_replace("name", r"\.[^./]+\z", ""))
-    there = rows.select(F.col(key).alias("name")).distinct()
-    exact = wanted.join(there, "name", "left_semi")
-    stems = wanted.join(there, "name", "left_anti").join(there.withColumnRenamed("name", "stem"), "stem", "left_semi")
-    keys = exact.select("file", F.col("name").alias(key)).unionByName(stems.select("file", F.col("stem").alias(key)))
+    there = cut(rows.select(F.col(key).alias("name")).distinct())
+    found = wanted.join(there.withColumn("exact", F.lit(True)), "name", "left").join(there.select(F.col("name").alias("stem"), F.lit(True).alias("short")), "stem", "left")
+    keys = found.select("file", F.when(F.col("exact"), F.col("name")).when(F.col("short"), F.col("stem")).alias(key)).filter(F.col(key).isNotNull())
     return keys.join(rows, key).drop(key).withColumnRenamed("file", "filename")
 
 
@@ -124,9 +131,8 @@ def bead_entities(entities: DataFrame, beads: DataFrame, text: str) -> DataFrame
     Blank texts go. An entity's text is looked up once for each bead and distinct text of a document.
     """
     placed = matching.bead_offsets(beads, "filename", "bead_idx", text, "at")
-    keyed = entities.withColumn("id", F.struct("filename", "ent"))
-    found = matching.nearest_bead(keyed, placed, "filename", "id", "text", "start_span", text, "bead_idx", "at")
-    return found.withColumn("bead_idx", F.coalesce("bead_idx", F.lit(-1))).drop("id")
+    found = matching.nearest_bead(entities, placed, "filename", "text", "start_span", text, "bead_idx", "at")
+    return found.withColumn("bead_idx", F.coalesce("bead_idx", F.lit(-1)))
 
 
 def entity_match_rows(beads: DataFrame, src: DataFrame, hyp: DataFrame, encoder: B.Encoder, threshold: float = V.MATCH_THRESHOLD, same_label: bool = False, suffix: str | None = None, digits: int | None = None) -> DataFrame:
@@ -136,9 +142,10 @@ def entity_match_rows(beads: DataFrame, src: DataFrame, hyp: DataFrame, encoder:
     [, translated_text]). Entities go to beads by text and are matched inside each; those that no bead holds are matched among
     themselves, under a blank bead. What is compared is the translation where there is one.
     """
+    beads = cut(beads)
     files = beads.select("filename").distinct()
     shown = lambda df: df if "translated_text" in df.columns else df.withColumn("translated_text", F.lit(""))
-    a, b = bead_entities(named_rows(files, shown(src)), beads, "source"), bead_entities(named_rows(files, shown(hyp), suffix=suffix), beads, "hypothesis")
+    a, b = cut(bead_entities(named_rows(files, shown(src)), beads, "source")), cut(bead_entities(named_rows(files, shown(hyp), suffix=suffix), beads, "hypothesis"))
     keyed = lambda df, row: df.select("filename", "bead_idx", F.col("ent").alias(row), F.col("entity_label").alias("label"), T.preferred(F.col("translated_text"), F.col("text")).alias("text"))
     pairs = P.cross_lingual_matches(keyed(a, "i"), keyed(b, "j"), encoder, threshold, same_label, digits)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

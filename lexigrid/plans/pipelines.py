@@ -9,6 +9,7 @@ from lexigrid.functions import backends as B
 from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
 from lexigrid.operators import alignment, matching, metrics
+from lexigrid.operators.durable import cut
 from lexigrid.sources import readers
 
 DOC_METRICS = ["characters", "characters_no_spaces", "lines", "sentences", "words_regex", "tokens_whitespace", "avg_words_per_sentence"]
@@ -300,6 +301,7 @@ def concept_scores(src: DataFrame, hyp: DataFrame, scorer: B.SimilarityScorer, s
     def covered(a, b, prefix):
         return text_cover(a, b, scorer, threshold).select("doc_id", *[r5(F.col(k)).alias(f"{prefix}_{k}") for k in three])
 
+    src, hyp, src_relations, hyp_relations = (None if x is None else cut(x) for x in (src, hyp, src_relations, hyp_relations))
     both = lambda a, b: a.select("doc_id").distinct().join(b.select("doc_id"), "doc_id", "left_semi")
     docs = both(src, hyp)
     found = cui_scores(src, hyp)
@@ -326,12 +328,13 @@ def translation_scores(pairs: DataFrame, scorer: B.SimilarityScorer, encoder: B.
     r5 = lambda c: F.round(c, 5)
     n = lambda c: F.size(alignment.split_sentences(c))
     docs = whole.select("filename", r5("bs.p").alias("doc_bs_precision"), r5("bs.r").alias("doc_bs_recall"), r5("bs.f1").alias("doc_bs_f1"), F.col("bs.f1").alias("raw_f1"), r5("labse").alias("doc_labse"), n("source").alias("n_src"), n("hypothesis").alias("n_hyp"))
-    beads = alignment.align_documents(pairs)
+    beads = cut(alignment.align_documents(pairs))
     out = docs.join(sentence_scores(beads, scorer, encoder), "filename", "left")
     counted = lambda c: F.when(F.col("n_aligned_sentences").isNotNull(), F.col(c))
     out = out.withColumn("n_src_sentences", counted("n_src")).withColumn("n_hyp_sentences", counted("n_hyp"))
     if src_linked is not None and hyp_linked is not None:
         by_doc = beads.withColumnRenamed("filename", "doc_id")
+        src_linked, hyp_linked = cut(src_linked), cut(hyp_linked)
         ents = [composites.scored_rows(by_doc, rows, side) for side, rows in (("src", src_linked), ("hyp", hyp_linked))]
         rels = [None if rows is None else composites.scored_rows(by_doc, rows, side) for side, rows in (("src", src_relations), ("hyp", hyp_relations))]
         known = src_linked.select("doc_id").distinct().join(hyp_linked.select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "filename").withColumn("known", F.lit(True))

@@ -8,6 +8,7 @@ from lexigrid.functions import backends as B
 from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
 from lexigrid.operators import alignment, matching, metrics
+from lexigrid.plans import align_sql
 from lexigrid.plans import composites as C
 from lexigrid.plans import pipelines as P
 from lexigrid.plans import standins as S
@@ -426,7 +427,7 @@ SELECT g.doc_id, g.ent, g.text, m.bead_idx FROM g LEFT JOIN m ON m.doc_id = g.do
 def entity_to_bead_nearest(spark, sf):
     ents = S.mentions(spark, sf, "gold").withColumn("id", F.struct("doc_id", "ent")).withColumn("start_span", F.col("start").cast("string"))
     beads = matching.bead_offsets(S.beads(spark, sf), "doc_id", "bead_idx", "bead_text", "at")
-    return matching.nearest_bead(ents, beads, "doc_id", "id", "text", "start_span", "bead_text", "bead_idx", "at").select("doc_id", "ent", "text", "bead_idx")
+    return matching.nearest_bead(ents, beads, "doc_id", "text", "start_span", "bead_text", "bead_idx", "at").select("doc_id", "ent", "text", "bead_idx")
 
 
 @query(f"WITH {S.mentions_sql('gold', 'g')}, {S.beads_sql()} SELECT g.doc_id, g.ent, b.bead_idx FROM g JOIN beads b ON g.doc_id = b.doc_id AND g.start >= b.span_start AND g.start < b.span_end")
@@ -736,7 +737,23 @@ def relation_argmax(spark, sf):
     return matching.best_relation(scored, "doc_id", 0.4).select("doc_id", "s_ent", "o_ent", "relation", "score")
 
 
-@query()
+#: Contexts as ``alignment.context_bounds`` has them, over the stretches of each text.
+WINDOWED = f"""marked AS (SELECT doc_id, text, regexp_replace(text, '([.!?])(\\s+)|(\\n+)', '\\1\\2\\3' || chr(1), 'g') AS t FROM documents WHERE text <> ''),
+pieces AS (SELECT doc_id, unnest(list_filter(string_split(t, chr(1)), lambda x: x <> '')) AS x, generate_subscripts(list_filter(string_split(t, chr(1)), lambda x: x <> ''), 1) AS i FROM marked),
+spans AS (SELECT doc_id, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS lo, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS hi FROM pieces),
+placed AS (SELECT DISTINCT doc_id, least(a_start, b_start) AS low, greatest(a_end, b_end) AS high FROM cand),
+whole AS (SELECT p.doc_id, low, high, coalesce(min(s.lo) FILTER (WHERE s.lo <= low AND low < s.hi), low) AS x, coalesce(min(s.hi) FILTER (WHERE s.lo < high AND high <= s.hi), high) AS y FROM placed p LEFT JOIN spans s ON s.doc_id = p.doc_id GROUP BY p.doc_id, low, high),
+one AS (SELECT w.doc_id, low, high, y, coalesce(min(s.lo) FILTER (WHERE s.hi = x AND y - s.lo <= {V.MAX_CONTEXT} AND y - x < {V.MAX_CONTEXT}), x) AS b, y - x < {V.MAX_CONTEXT} AS grows FROM whole w LEFT JOIN spans s ON s.doc_id = w.doc_id GROUP BY w.doc_id, low, high, x, y),
+after AS (SELECT o.doc_id, low, high, b, grows, greatest(y, coalesce(max(s.hi) FILTER (WHERE grows AND s.lo >= y AND s.hi - b <= {V.MAX_CONTEXT}), y)) AS z FROM one o LEFT JOIN spans s ON s.doc_id = o.doc_id GROUP BY o.doc_id, low, high, b, grows, y),
+cuts AS (SELECT a.doc_id, low, high, z, least(b, coalesce(min(s.lo) FILTER (WHERE grows AND s.hi <= b AND z - s.lo <= {V.MAX_CONTEXT}), b)) AS v FROM after a LEFT JOIN spans s ON s.doc_id = a.doc_id GROUP BY a.doc_id, low, high, b, z, grows),
+ctx AS (SELECT c.doc_id, low, high, regexp_extract_all(lower(substr(d.text, CAST(v AS BIGINT) + 1, CAST(z - v AS BIGINT))), '[\\p{{L}}\\p{{N}}_]+') AS have FROM cuts c JOIN documents d ON d.doc_id = c.doc_id)"""
+
+
+@query(f"""WITH {CAND.replace("a.text AS st, b.text AS ot", "a.text AS st, b.text AS ot, a.label AS al, b.label AS bl, a.start AS a_start, a." + '"end"' + " AS a_end, b.start AS b_start, b." + '"end"' + " AS b_end")}, {WINDOWED},
+asked AS (SELECT cand.*, have, regexp_extract_all(lower(replace(replace(tpl, '{{subject}}', st), '{{object}}', ot)), '[\\p{{L}}\\p{{N}}_]+') AS want FROM cand JOIN ctx ON ctx.doc_id = cand.doc_id AND low = least(a_start, b_start) AND high = greatest(a_end, b_end)),
+scored AS (SELECT *, len(list_filter(want, lambda w: list_contains(have, w))) / len(want) AS score FROM asked),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a_start, a_end, b_start, b_end ORDER BY score DESC, s_ent, o_ent, seq) AS n FROM scored WHERE score >= 0.3)
+SELECT doc_id, st AS subject_text, al AS subject_label, a_start AS subject_start, a_end AS subject_end, relation, ot AS object_text, bl AS object_label, b_start AS object_start, b_end AS object_end, round(score, 4) AS score, 'en' AS lang FROM best WHERE n = 1""")
 def relations_extracted(spark, sf):
     texts = S.table(spark, sf, "documents").select("doc_id", "text")
     return P.extracted_relations(S.mentions(spark, sf, "gold"), texts, B.TokenEntailment(), threshold=0.3)
@@ -765,7 +782,7 @@ def sentence_spans(spark, sf):
     return d.select("doc_id", F.col("c.start").alias("start"), F.col("c.end").alias("end"))
 
 
-@query()
+@query(align_sql.BEADS_SQL)
 def gale_church_beads(spark, sf):
     return alignment.align_documents(S.pairs(spark, sf).withColumn("filename", F.concat_ws("#", "filename", "bead_idx")))
 

@@ -72,6 +72,26 @@ def test_band_pairs_against_brute_force(spark):
     assert sorted((r["doc"], r["s_ent"], r["o_ent"], r["seq"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("most", [1, 40, 10_000])
+def test_greedy_rounds_are_the_walk(spark, most):
+    rng = random.Random(most)
+    rows = [(g, rng.randint(0, 14), rng.randint(0, 14), rng.choice([0.5, 0.5, rng.random()])) for g in ("a", "b", "c") for _ in range(110)]
+    rows += [("d", i, i + d, 1.0 - (2 * i + d) / 1000) for i in range(20) for d in (0, 1)]  # a chain: each pair waits for the one before
+    rows = list({(g, i, j): s for g, i, j, s in rows}.items())
+    df = spark.createDataFrame([(g, i, j, s) for (g, i, j), s in rows], "g string, i long, j long, score double")
+    got = matching.greedy_pairs(df, ["g"], most=most).collect()
+    for g in "abcd":
+        assert sorted((r["score"], r["i"], r["j"]) for r in got if r["g"] == g) == brute_greedy([(s, i, j) for (x, i, j), s in rows if x == g])
+    assert matching.greedy_pairs(df.limit(0), ["g"], most=most).count() == 0
+
+
+def test_a_large_scope(spark):
+    df = spark.range(1_000_000).selectExpr("'g' AS g", "id % 1000 AS i", "(id div 1000 + id * 7) % 1000 AS j", "xxhash64(id) % 1000 / 1000 AS score")
+    got = matching.greedy_pairs(df, ["g"])
+    assert got.select("i").distinct().count() == got.count() > 900
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_best_relation_keeps_the_first_of_equals(spark):
     rows = [("d", 0, 1, 2, 3, 1, 2, 5, 0.9, "late"), ("d", 0, 1, 2, 3, 1, 2, 1, 0.9, "early"), ("d", 0, 1, 4, 5, 1, 3, 0, 0.1, "low")]
     df = spark.createDataFrame(rows, "doc string, s_start int, s_end int, o_start int, o_end int, s_ent int, o_ent int, seq int, score double, relation string")
@@ -82,7 +102,7 @@ def test_nearest_bead(spark):
     beads = spark.createDataFrame([("d", i, t) for i, t in enumerate(["flu a", "cold", "flu b"])], "doc string, bead int, t string")
     beads = matching.bead_offsets(beads, "doc", "bead", "t", "at")
     ents = spark.createDataFrame([(1, "d", "flu", "0"), (2, "d", "flu", "9"), (3, "d", "flu", "?"), (4, "d", "none", "1"), (5, "d", " ", "1"), (6, "d", "flu", "4")], "id int, doc string, text string, start string")
-    got = {r["id"]: r["bead_idx"] for r in matching.nearest_bead(ents, beads, "doc", "id", "text", "start", "t", "bead", "at").collect()}
+    got = {r["id"]: r["bead_idx"] for r in matching.nearest_bead(ents, beads, "doc", "text", "start", "t", "bead", "at").collect()}
     assert got == {1: 0, 2: 2, 3: 0, 4: None, 6: 0}
 
 
