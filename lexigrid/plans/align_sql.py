@@ -45,10 +45,10 @@ def _costs() -> str:
     """A table of the cost of each pair of lengths that a move may face."""
     return f"""
 spans AS (
-  SELECT filename, 0 AS side, i, d, sum(length(body)) AS w FROM (SELECT a.filename, a.i, d, b.body FROM s a, (VALUES (1), (2)) AS t(d), s b WHERE b.filename = a.filename AND b.i BETWEEN a.i - d + 1 AND a.i AND a.i >= d) GROUP BY ALL
-  UNION ALL SELECT filename, 1, i, d, sum(length(body)) FROM (SELECT a.filename, a.i, d, b.body FROM h a, (VALUES (1), (2)) AS t(d), h b WHERE b.filename = a.filename AND b.i BETWEEN a.i - d + 1 AND a.i AND a.i >= d) GROUP BY ALL),
+  SELECT filename, 0 AS side, i, d, sum(length(body)) AS w FROM (SELECT a.filename, a.i, d, b.body FROM src_sent a, (VALUES (1), (2)) AS t(d), src_sent b WHERE b.filename = a.filename AND b.i BETWEEN a.i - d + 1 AND a.i AND a.i >= d) GROUP BY ALL
+  UNION ALL SELECT filename, 1, i, d, sum(length(body)) FROM (SELECT a.filename, a.i, d, b.body FROM hyp_sent a, (VALUES (1), (2)) AS t(d), hyp_sent b WHERE b.filename = a.filename AND b.i BETWEEN a.i - d + 1 AND a.i AND a.i >= d) GROUP BY ALL),
 mv AS (SELECT * FROM (VALUES {", ".join(f"({k}, {di}, {dj}, {p})" for k, ((di, dj), p) in enumerate(L.PRIORS.items()))}) AS t(k, di, dj, prior)),
-sized AS (SELECT filename, (SELECT count(*) FROM s WHERE s.filename = f.filename) AS n, (SELECT count(*) FROM h WHERE h.filename = f.filename) AS m FROM f),
+sized AS (SELECT filename, (SELECT count(*) FROM src_sent s WHERE s.filename = f.filename) AS n, (SELECT count(*) FROM hyp_sent h WHERE h.filename = f.filename) AS m FROM f),
 faced AS (
   SELECT z.filename, r.i, c.j, k, di, dj, prior, coalesce(x.w, 0) AS a, coalesce(y.w, 0) AS b
   FROM sized z, LATERAL (SELECT unnest(range(0, n + 1)) AS i) r, LATERAL (SELECT unnest(range(0, m + 1)) AS j) c, mv
@@ -58,10 +58,10 @@ tails AS (SELECT a, b, CASE WHEN a = 0 AND b = 0 THEN 0 ELSE {LOG_TAIL} END AS t
 priced AS (SELECT filename, i, j, k, di, dj, CAST(floor((tail - ln(prior)) * {L.UNIT} + 0.5) AS BIGINT) AS cost FROM faced JOIN tails USING (a, b))"""
 
 
-BEADS_SQL = f"""
-WITH RECURSIVE {S.PAIRS}, f AS (SELECT filename || '#' || bead_idx AS filename, source, hypothesis FROM pairs),
-{sentences_sql('s', 'f', 'source')}, {sentences_sql('h', 'f', 'hypothesis')}, {_costs()},
-t AS (
+#: Tables up to ``spelt``, a row a bead, to be put behind WITH RECURSIVE; ``f`` has the pairs of texts.
+TABLES = f"""{S.PAIRS}, f AS (SELECT filename || '#' || bead_idx AS filename, source, hypothesis FROM pairs),
+{sentences_sql('src_sent', 'f', 'source')}, {sentences_sql('hyp_sent', 'f', 'hypothesis')}, {_costs()},
+trellis AS (
   SELECT filename, n, m, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST([] AS BIGINT[]) AS two, CAST([] AS BIGINT[]) AS one, CAST([0] AS BIGINT[]) AS row, CAST([0] AS BIGINT[]) AS way FROM sized
   UNION ALL
   SELECT filename, n, m, i, j, two, one, CASE WHEN j = 0 THEN [best] ELSE list_append(row, best) END, CASE WHEN j = 0 THEN [w] ELSE list_append(way, w) END
@@ -72,21 +72,23 @@ t AS (
       FROM (
         SELECT filename, n, m, CASE WHEN j < m THEN i ELSE i + 1 END AS i, CASE WHEN j < m THEN j + 1 ELSE 0 END AS j,
           CASE WHEN j < m THEN two ELSE one END AS two, CASE WHEN j < m THEN one ELSE row END AS one, CASE WHEN j < m THEN row ELSE CAST([] AS BIGINT[]) END AS row, CASE WHEN j < m THEN way ELSE CAST([] AS BIGINT[]) END AS way
-        FROM t WHERE i < n OR j < m) u
+        FROM trellis WHERE i < n OR j < m) u
       JOIN priced p ON p.filename = u.filename AND p.i = u.i AND p.j = u.j) u
     GROUP BY ALL) u),
-ways AS (SELECT filename, i, way FROM t WHERE j = m),
+ways AS (SELECT filename, i, way FROM trellis WHERE j = m),
 back AS (
   SELECT filename, n AS i, m AS j, CAST(NULL AS BIGINT) AS di, CAST(NULL AS BIGINT) AS dj, 0 AS step FROM sized
   UNION ALL
   SELECT b.filename, b.i - mv.di, b.j - mv.dj, mv.di, mv.dj, b.step + 1 FROM back b JOIN ways w ON w.filename = b.filename AND w.i = b.i JOIN mv ON mv.k = w.way[b.j + 1] WHERE b.i > 0 OR b.j > 0),
 spelt AS (
   SELECT filename, i + 1 + x AS i1, CASE WHEN di = 2 AND dj = 2 THEN i + 1 + x ELSE i + di END AS i2, j + 1 AS j1, j + dj AS j2
-  FROM back, LATERAL (SELECT unnest(range(0, CASE WHEN di = 2 AND dj = 2 THEN 2 ELSE 1 END)) AS x) WHERE di > 0 AND dj > 0)
-SELECT b.filename, CAST(row_number() OVER (PARTITION BY b.filename ORDER BY i1, j1) - 1 AS INTEGER) AS bead_idx,
-  (SELECT string_agg(body, ' ' ORDER BY i) FROM s WHERE s.filename = b.filename AND s.i BETWEEN i1 AND i2) AS source,
-  (SELECT string_agg(body, ' ' ORDER BY i) FROM h WHERE h.filename = b.filename AND h.i BETWEEN j1 AND j2) AS hypothesis,
-  (SELECT min(lo) FROM s WHERE s.filename = b.filename AND s.i = i1) AS src_start, (SELECT max(hi) FROM s WHERE s.filename = b.filename AND s.i = i2) AS src_end,
-  (SELECT min(lo) FROM h WHERE h.filename = b.filename AND h.i = j1) AS hyp_start, (SELECT max(hi) FROM h WHERE h.filename = b.filename AND h.i = j2) AS hyp_end
-FROM spelt b
-"""
+  FROM back, LATERAL (SELECT unnest(range(0, CASE WHEN di = 2 AND dj = 2 THEN 2 ELSE 1 END)) AS x) WHERE di > 0 AND dj > 0)"""
+
+BEADS = """SELECT b.filename, CAST(row_number() OVER (PARTITION BY b.filename ORDER BY i1, j1) - 1 AS INTEGER) AS bead_idx,
+  (SELECT string_agg(body, ' ' ORDER BY i) FROM src_sent s WHERE s.filename = b.filename AND s.i BETWEEN i1 AND i2) AS source,
+  (SELECT string_agg(body, ' ' ORDER BY i) FROM hyp_sent h WHERE h.filename = b.filename AND h.i BETWEEN j1 AND j2) AS hypothesis,
+  (SELECT min(lo) FROM src_sent s WHERE s.filename = b.filename AND s.i = i1) AS src_start, (SELECT max(hi) FROM src_sent s WHERE s.filename = b.filename AND s.i = i2) AS src_end,
+  (SELECT min(lo) FROM hyp_sent h WHERE h.filename = b.filename AND h.i = j1) AS hyp_start, (SELECT max(hi) FROM hyp_sent h WHERE h.filename = b.filename AND h.i = j2) AS hyp_end
+FROM spelt b"""
+
+BEADS_SQL = f"WITH RECURSIVE {TABLES} {BEADS}"

@@ -827,11 +827,54 @@ def doc_metric_means(spark, sf):
     return metrics.mean_scores(d, ["chars", "long_chars", "nothing"])
 
 
-@query()
+def _overlap_sql(name: str, rows: str) -> str:
+    """key, p, r, f1 of the word multisets of the texts c and r in ``rows``."""
+    words = lambda side, c: f"SELECT key, {side} AS side, unnest(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {name}_x"
+    return f"""{name}_x AS ({rows}), {name}_n AS (SELECT key, w, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM ({words(0, 'c')} UNION ALL {words(1, 'r')}) GROUP BY key, w),
+{name} AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM (
+  SELECT x.key, CASE WHEN sum(a) > 0 THEN sum(least(a, b)) / sum(a) ELSE 0.0 END AS p, CASE WHEN sum(b) > 0 THEN sum(least(a, b)) / sum(b) ELSE 0.0 END AS r FROM {name}_x x LEFT JOIN {name}_n n ON n.key = x.key GROUP BY x.key))"""
+
+
+def _alike_sql(a: str, b: str) -> str:
+    """Cosine of two texts' letters, as vectors of single precision."""
+    unit = lambda c: f"list_transform({_letters_sql(f'lower({c})')}, lambda x: CAST(CAST(x / greatest(sqrt(list_dot_product({_letters_sql(f'lower({c})')}, {_letters_sql(f'lower({c})')})), 1e-9) AS FLOAT) AS DOUBLE))"
+    return f"list_dot_product({unit(a)}, {unit(b)})"
+
+
+def _pair_entities_sql(t: str, side: str, text: str) -> str:
+    docs = f"{t}_d AS (SELECT filename AS doc_id, {text} AS text FROM f)"
+    held = lambda name, inside: f"{name}_in AS (SELECT x.* FROM {name} x JOIN bead b ON b.filename = x.doc_id AND {inside} UNION ALL SELECT * FROM {name} WHERE doc_id NOT IN (SELECT filename FROM bead))"
+    p = "src" if t == "s" else "hyp"
+    inside = lambda c: f"x.{c} >= b.{p}_start AND x.{c} < b.{p}_end"
+    return f"""{docs}, {S.mentions_sql(side, f'{t}_m', f'{t}_d')},
+{t} AS (SELECT doc_id, start, "end", text, label, CASE WHEN length(text) % 3 <> 0 THEN 'C' || ascii(substr(text, length(text), 1)) END AS cui FROM {t}_m),
+{t}r AS (SELECT doc_id, 'rel_' || length(text) AS relation, start AS s_start, o_start FROM (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS o_start FROM {t}_m) WHERE o_start IS NOT NULL),
+{held(t, inside('start'))}, {held(f'{t}r', inside('s_start') + ' AND ' + inside('o_start'))}"""
+
+
+@query(f"""WITH RECURSIVE {align_sql.TABLES}, bead AS MATERIALIZED ({align_sql.BEADS}), {_overlap_sql('db', "SELECT filename AS key, hypothesis AS c, source AS r FROM f")},
+{_overlap_sql('sb', "SELECT filename || '|' || bead_idx AS key, hypothesis AS c, source AS r FROM bead")},
+sent AS (SELECT filename, round(avg(p), 5) AS sent_bs_precision_mean, round(avg(r), 5) AS sent_bs_recall_mean, round(avg(f1), 5) AS sent_bs_f1_mean, round(avg(l), 5) AS sent_labse_mean, round(stddev_pop(l), 5) AS sent_labse_std,
+    round(avg(CASE WHEN l < {V.LOW_SIMILARITY} THEN 1.0 ELSE 0.0 END), 5) AS sent_labse_low_frac, count(*) AS n_aligned_sentences
+  FROM (SELECT filename, filename || '|' || bead_idx AS key, {_alike_sql('source', 'hypothesis')} AS l FROM bead) b JOIN sb ON sb.key = b.key GROUP BY filename),
+{_pair_entities_sql('s', 'gold', 'source')}, {_pair_entities_sql('h', 'pred', 'hypothesis')},
+linked AS (SELECT DISTINCT doc_id FROM s INTERSECT SELECT DISTINCT doc_id FROM h), known AS (SELECT DISTINCT doc_id FROM s_in INTERSECT SELECT DISTINCT doc_id FROM h_in), related AS (SELECT DISTINCT doc_id FROM sr_in INTERSECT SELECT DISTINCT doc_id FROM hr_in),
+cuis AS (SELECT doc_id, cui, 1 AS x, 0 AS y FROM s_in WHERE cui IS NOT NULL UNION ALL SELECT doc_id, cui, 0, 1 FROM h_in WHERE cui IS NOT NULL), {_told_sql('st', 'sr', 's')}, {_told_sql('ht', 'hr', 'h')},
+triples AS (SELECT doc_id, s_cui, relation, o_cui, 1 AS x, 0 AS y FROM st WHERE s_cui IS NOT NULL AND o_cui IS NOT NULL UNION ALL SELECT doc_id, s_cui, relation, o_cui, 0, 1 FROM ht WHERE s_cui IS NOT NULL AND o_cui IS NOT NULL),
+{_sets_sql('e', 'cuis', 'cui', 'known')}, {_sets_sql('tr', 'triples', 's_cui, relation, o_cui', 'related')}, {_cover_sql('em', 's_in', 'h_in', 'text')}, {_cover_sql('re', 'st', 'ht', 'words')},
+concept AS (SELECT e.doc_id, {_three_sql('e', 'kg_entity')}, e.n_src AS kg_n_src_entities, e.n_hyp AS kg_n_hyp_entities, {_three_sql('tr', 'kg_rel')}, tr.n_src AS kg_n_src_relations, tr.n_hyp AS kg_n_hyp_relations, {_three_sql('em', 'kg_embed')}, {_three_sql('re', 'kg_rel_embed')},
+    CASE WHEN e.p + e.r > 0 THEN 2 * e.p * e.r / (e.p + e.r) ELSE 0.0 END AS kg_f1
+  FROM e LEFT JOIN tr ON tr.doc_id = e.doc_id LEFT JOIN em ON em.doc_id = e.doc_id LEFT JOIN re ON re.doc_id = e.doc_id)
+SELECT f.filename AS file, round(db.p, 5) AS doc_bs_precision, round(db.r, 5) AS doc_bs_recall, round(db.f1, 5) AS doc_bs_f1, round({_alike_sql('f.source', 'f.hypothesis')}, 5) AS doc_labse,
+  sent.* EXCLUDE (filename), CASE WHEN n_aligned_sentences IS NOT NULL THEN sized.n END AS n_src_sentences, CASE WHEN n_aligned_sentences IS NOT NULL THEN sized.m END AS n_hyp_sentences,
+  {', '.join(f"CASE WHEN linked.doc_id IS NOT NULL THEN coalesce(concept.{c}, 0) END AS {c}" for c in V.EVAL_COLUMNS if c.startswith(('kg_entity', 'kg_n_src_e', 'kg_n_hyp_e')))},
+  {', '.join(f"concept.{c}" for c in V.EVAL_COLUMNS if c.startswith(('kg_rel', 'kg_embed', 'kg_n_src_r', 'kg_n_hyp_r')))},
+  CASE WHEN linked.doc_id IS NOT NULL THEN round(0.5 * coalesce(concept.kg_f1, 0) + 0.5 * db.f1, 5) END AS kg_bertscore_f1
+FROM f JOIN db ON db.key = f.filename JOIN sized ON sized.filename = f.filename LEFT JOIN sent ON sent.filename = f.filename LEFT JOIN linked ON linked.doc_id = f.filename LEFT JOIN concept ON concept.doc_id = f.filename""")
 def translation_evaluation(spark, sf):
     """All 31 columns; entities and relations of the sources and the hypotheses are linked by the lexicon."""
     ents = [S.pair_linked(spark, sf, side) for side in ("gold", "pred")]
-    return P.translation_scores(S.pair_rows(spark, sf), B.TokenOverlap(), B.HashedNgrams(), *ents, *map(S.neighbours, ents))
+    return P.translation_scores(S.pair_rows(spark, sf), B.TokenOverlap(), B.LetterCounts(), *ents, *map(S.neighbours, ents))
 
 
 @query("""WITH n AS (SELECT 'doc' || doc_id || '.txt' AS f, text FROM documents),

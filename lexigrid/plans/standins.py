@@ -47,13 +47,13 @@ def mentions(spark: SparkSession, sf: str, side: str) -> DataFrame:
     return found_tokens(table(spark, sf, "documents"), "doc_id", "text", side).withColumn("ent", F.col("start"))
 
 
-def mentions_sql(side: str, name: str) -> str:
+def mentions_sql(side: str, name: str, docs: str = "documents") -> str:
     column = 1 if side == "gold" else 2
     rows = ", ".join(f"('{r[0]}', '{r[column]}')" for r in LEXICON if r[column])
     return f"""{name} AS (
   SELECT t.doc_id, CAST(t.start AS BIGINT) AS start, CAST(t.start + length(t.tok) AS BIGINT) AS "end", t.tok AS text, x.label, CAST(t.start AS BIGINT) AS ent
   FROM (SELECT doc_id, tok, coalesce(sum(length(tok) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-        FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS tok, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents WHERE text IS NOT NULL)) t
+        FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS tok, generate_subscripts(string_split(text, ' '), 1) AS pos FROM {docs} WHERE text IS NOT NULL)) t
   JOIN (VALUES {rows}) AS x(tok, label) ON t.tok = x.tok)"""
 
 
