@@ -84,6 +84,16 @@ class TokenEntailment:
 class TokenOverlap:
     """Precision, recall and F1 of word multisets."""
 
+    def tokens(self, text: str) -> list[str]:
+        """The multiset as a set: words with how often each has been there before. F1 is that of these sets, so that
+        pairs below a threshold need not be scored."""
+        seen: Counter = Counter()
+        out = []
+        for w in WORDS.findall((text or "").lower()):
+            out.append(f"{w} {seen[w]}")
+            seen[w] += 1
+        return out
+
     def score(self, candidates: list[str], references: list[str]) -> list[tuple[float, float, float]]:
         out = []
         for c, r in zip(candidates, references):
@@ -151,6 +161,16 @@ def similarity(candidate: Column, reference: Column, scorer: SimilarityScorer) -
     return run(candidate, reference)
 
 
+def token_sets(text: Column, scorer) -> Column:
+    """The token sets of a scorer that has them."""
+
+    @pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([scorer.tokens(t) for t in texts], dtype=object)
+
+    return run(text)
+
+
 def each_or_blank(translator: Translator, texts: list[str]) -> list[str]:
     """Translations of a batch; where the service fails or gives another number of them, each text goes alone and a failing one is blank."""
     try:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lexigrid.functions import text as T
 from lexigrid.operators import metrics
 from lexigrid.operators.durable import cut
+from lexigrid.operators.nearest import top_candidates as top_candidates
+from lexigrid.operators.ranks import first_per as first_per
+from lexigrid.operators.ranks import top_per as top_per
 
 
 def last_per_span(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -15,16 +18,6 @@ def last_per_span(rows: DataFrame, keys: list[str], value: str, order: str) -> D
     return rows.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
-def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Whole rows, the first in order of each key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
-
-
-def top_per(rows: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
-    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("long"))
-
-
 #: Characters in a bin of a document, by which spans and the points in them meet.
 BIN = 1024
 
@@ -138,7 +131,7 @@ def best_of_both(rows: DataFrame, scope: list[str]) -> DataFrame:
     own = F.struct("score", "i", "j")
     first = rows.withColumn("__of_i", F.max(own).over(by_i)).withColumn("__of_j", F.max(own).over(by_j))
     first = first.withColumn("__best", (F.col("__of_i") == own) & (F.col("__of_j") == own)).drop("__of_i", "__of_j")
-    return first.withColumn("__gone", F.max("__best").over(by_j)).withColumn("__gone", F.max("__gone").over(by_i))
+    return first.withColumn("__gone", F.max("__best").over(by_j)).withColumn("__gone", F.col("__gone") | F.max("__best").over(by_i))
 
 
 def walk(scope: list[str]):
@@ -197,51 +190,6 @@ def best_relation(scored: DataFrame, doc: str, threshold: float) -> DataFrame:
     return first_per(scored.filter(F.col("score") >= threshold), keys, [F.col("score").desc(), "s_ent", "o_ent", "seq"])
 
 
-#: Vectors of one side in a cell of the comparison.
-CELL = 4096
-
-
-def top_candidates(queries: DataFrame, kb: DataFrame, k: int, threshold: float, by: list[str] | None = None, digits: int | None = None, cell: int = CELL) -> DataFrame:
-    """The k nearest names of each query by cosine, ranked, that reach the threshold.
-
-    ``queries(q, vec[, by])`` and ``kb(cui, name, vec[, by])``. Both sides are dealt out by hash into blocks of about ``cell`` vectors, as
-    many as their numbers ask for; each pair of blocks (of one type, with ``by``) is a task's cell: one product of two matrices, of which
-    each query keeps its k best before the cells meet. No side and no type has to fit in one task.
-    """
-    by = by or []
-    blocks = lambda df: max(1, -(-df.count() // cell))
-    n_left, n_right = blocks(queries), blocks(kb)
-    places = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    home = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = queries.select("q", F.col("vec").cast("array<double>").alias("vec"), *by).withColumn("__a", home(F.to_json(F.struct("q")), n_left)).withColumn("__b", places(n_right))
-    right = kb.select("cui", "name", F.col("vec").cast("array<double>").alias("vec"), *by).withColumn("__b", home(F.concat_ws("|", "cui", "name"), n_right)).withColumn("__a", places(n_left))
-    keys = [*by, "__a", "__b"]
-    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"q {kinds['q']}", "cui string", "name string", "score double"])
-
-    def cells(a, b):
-        import numpy as np
-        import pandas as pd
-
-        columns = [*by, "q", "cui", "name", "score"]
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=columns)
-        b = b.sort_values(["name", "cui"], kind="stable").reset_index(drop=True)
-        scores = np.stack(a["vec"].to_numpy()) @ np.stack(b["vec"].to_numpy()).T
-        if digits is not None:
-            scores = np.floor(np.abs(scores) * 10**digits + 0.5) / 10**digits * np.sign(scores)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), best.shape[1])
-        out = a.iloc[rows][[*by, "q"]].reset_index(drop=True)
-        picked = best.ravel()
-        out["cui"], out["name"], out["score"] = b["cui"].to_numpy()[picked], b["name"].to_numpy()[picked], scores[rows, picked]
-        return out[columns]
-
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cells, schema)
-    ranked = top_per(local.filter(F.col("score") >= threshold), ["q", *by], [F.col("score").desc(), "name", "cui"], k)
-    return ranked.select("q", *by, "cui", "name", "score", "rank")
-
-
 def wide_candidates(ranked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """umls_cui_1, umls_name_1, score_1, ...: k of each, blank where there are fewer."""
     pick = lambda c, n: F.coalesce(F.max(F.when(F.col("rank") == n, F.col(c))), F.lit(""))

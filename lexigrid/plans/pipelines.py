@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import backends as B
 from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
-from lexigrid.operators import alignment, matching, metrics
+from lexigrid.operators import alignment, matching, metrics, setjoin
 from lexigrid.operators.durable import cut
 from lexigrid.sources import readers
 
@@ -222,19 +222,31 @@ def cross_lingual_matches(src: DataFrame, hyp: DataFrame, encoder: B.Encoder, th
     """Q13: greedy one-to-one matches inside each (filename, bead_idx); what finds none stands alone.
 
     Rows have filename, bead_idx (null for those that no bead holds, which form a group of their
-    own), i or j, label and the text to compare. A text without a vector is never a candidate.
+    own), i or j, label and the text to compare. A text without a vector is never a candidate. Distinct texts of a group meet
+    without their vectors, each distinct pair of texts is scored once, and only rows of texts that are alike meet at all.
     """
     scope = ["filename", "bead_idx"]
     src, hyp = (df.withColumn("bead_idx", F.coalesce("bead_idx", F.lit(-1))) for df in (src, hyp))
-    texts = src.select("text").unionByName(hyp.select("text")).filter("text <> ''").distinct().withColumn("vec", B.encode(F.col("text"), encoder))
-    a = src.join(texts, "text").select(*scope, "i", F.lower("label").alias("la"), F.col("vec").alias("va"))
-    b = hyp.join(texts, "text").select(*scope, "j", F.lower("label").alias("lb"), F.col("vec").alias("vb"))
-    met = a.join(b, scope)
+    scored = alike_texts(src, hyp, scope, encoder, threshold, digits)
+    label = lambda df, c: df.withColumn(c, F.lower("label"))
+    met = label(src, "la").select(*scope, "i", F.col("text").alias("ta"), "la").join(scored, [*scope, "ta"])
+    met = met.join(label(hyp, "lb").select(*scope, "j", F.col("text").alias("tb"), "lb"), [*scope, "tb"])
     if same_label:
         met = met.filter("la = lb")
+    return matching.with_singletons(matching.greedy_pairs(met.select(*scope, "i", "j", "score"), scope), src, hyp, scope)
+
+
+def alike_texts(src: DataFrame, hyp: DataFrame, scope: list[str], encoder: B.Encoder, threshold: float, digits: int | None = None) -> DataFrame:
+    """(scope, ta, tb, score): the distinct pairs of texts of a scope that reach the threshold by cosine."""
+    side = lambda df, c: df.filter("text <> ''").select(*scope, F.col("text").alias(c)).distinct()
+    pairs = cut(side(src, "ta").join(side(hyp, "tb"), scope))
+    once = pairs.select("ta", "tb").distinct()
+    texts = once.select(F.explode(F.array("ta", "tb")).alias("text")).distinct()
+    vectors = cut(texts.withColumn("vec", B.encode(F.col("text"), encoder)))
+    of = lambda t, v: vectors.select(F.col("text").alias(t), F.col("vec").alias(v))
     score = T.cosine(F.col("va"), F.col("vb"))
-    scored = met.withColumn("score", score if digits is None else F.round(score, digits)).filter(F.col("score") >= threshold).select(*scope, "i", "j", "score")
-    return matching.with_singletons(matching.greedy_pairs(scored, scope), src, hyp, scope)
+    scored = once.join(of("ta", "va"), "ta").join(of("tb", "vb"), "tb").select("ta", "tb", (score if digits is None else F.round(score, digits)).alias("score"))
+    return pairs.join(scored.filter(F.col("score") >= threshold), ["ta", "tb"])
 
 
 def match_counts(matches: DataFrame) -> DataFrame:
@@ -260,7 +272,7 @@ def sentence_scores(beads: DataFrame, scorer: B.SimilarityScorer, encoder: B.Enc
     """Q14, sentences: means over each document's beads, the population deviation and the share of low ones."""
     scored = beads.withColumn("bs", B.similarity(F.col("hypothesis"), F.col("source"), scorer))
     scored = scored.withColumn("labse", T.cosine(B.encode(F.col("source"), encoder), B.encode(F.col("hypothesis"), encoder)))
-    mean = lambda c: F.round(F.avg(c), 5)
+    mean = lambda c: F.round(F.round(F.avg(c), 10), 5)  # whatever the order of the sum
     return scored.groupBy("filename").agg(
         mean("bs.p").alias("sent_bs_precision_mean"), mean("bs.r").alias("sent_bs_recall_mean"), mean("bs.f1").alias("sent_bs_f1_mean"),
         mean("labse").alias("sent_labse_mean"), F.round(F.stddev_pop("labse"), 5).alias("sent_labse_std"), mean((F.col("labse") < V.LOW_SIMILARITY).cast("double")).alias("sent_labse_low_frac"), F.count("*").alias("n_aligned_sentences"),
@@ -270,20 +282,37 @@ def sentence_scores(beads: DataFrame, scorer: B.SimilarityScorer, encoder: B.Enc
 def text_cover(src: DataFrame, hyp: DataFrame, scorer: B.SimilarityScorer, threshold: float = V.MATCH_THRESHOLD) -> DataFrame:
     """(doc_id, precision, recall, f1) of texts whose best score against the other side's reaches the threshold.
 
-    ``src`` and ``hyp`` are (doc_id, text) with repeats; each distinct pair of a document's texts is scored once. Documents
+    ``src`` and ``hyp`` are (doc_id, text) with repeats; each distinct pair of texts is scored once. Documents
     with texts on one side alone have no row.
     """
-    counted = lambda df, name, n: df.filter("text <> ''").groupBy("doc_id", F.col("text").alias(name)).agg(F.count("*").alias(n))
-    pairs = counted(src, "s", "n_s").join(counted(hyp, "h", "n_h"), "doc_id").withColumn("score", B.similarity(F.col("h"), F.col("s"), scorer)["f1"])
+    counted = lambda df, name, n: cut(df.filter("text <> ''").groupBy("doc_id", F.col("text").alias(name)).agg(F.count("*").alias(n)))
+    a, b = counted(src, "s", "n_s"), counted(hyp, "h", "n_h")
+    reached = cut(covered_pairs(a.select("doc_id", "s"), b.select("doc_id", "h"), scorer, threshold))
 
-    def share(name, n):
-        best = pairs.groupBy("doc_id", name, n).agg(F.max("score").alias("best"))
-        return best.groupBy("doc_id").agg((F.sum(F.when(F.col("best") >= threshold, F.col(n)).otherwise(0)) / F.sum(n)).alias("share"))
+    def share(rows, name, n):
+        hit = reached.select("doc_id", name).distinct().withColumn("hit", F.lit(True))
+        return rows.join(hit, ["doc_id", name], "left").groupBy("doc_id").agg((F.sum(F.when(F.col("hit"), F.col(n)).otherwise(0)) / F.sum(n)).alias("share"))
 
-    met = share("h", "n_h").withColumnRenamed("share", "precision").join(share("s", "n_s").withColumnRenamed("share", "recall"), "doc_id")
+    met = share(b, "h", "n_h").withColumnRenamed("share", "precision").join(share(a, "s", "n_s").withColumnRenamed("share", "recall"), "doc_id")
     return met.withColumn("f1", metrics.ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def covered_pairs(src: DataFrame, hyp: DataFrame, scorer: B.SimilarityScorer, threshold: float) -> DataFrame:
+    """Distinct (doc_id, s, h) of ``src(doc_id, s)`` and ``hyp(doc_id, h)`` whose F1 reaches the threshold.
+
+    Where the scorer tells the token sets that its F1 is that of, texts that share too few do not meet; another scorer's have to be
+    compared all with all of their document. A pair of texts that many documents have is scored once.
+    """
+    if hasattr(scorer, "tokens") and threshold > 0:
+        with_tokens = lambda df, c: df.join(cut(df.select(c).distinct().withColumn("tokens", B.token_sets(F.col(c), scorer))), c)
+        pairs = setjoin.overlap_candidates(with_tokens(src, "s"), with_tokens(hyp, "h"), ["doc_id"], "s", "h", threshold)
+    else:
+        pairs = src.join(hyp, "doc_id")
+    pairs = cut(pairs)
+    scored = pairs.select("s", "h").distinct().withColumn("score", B.similarity(F.col("h"), F.col("s"), scorer)["f1"])
+    return pairs.join(scored.filter(F.col("score") >= threshold).select("s", "h"), ["s", "h"], "left_semi")
+
+
 def concept_scores(src: DataFrame, hyp: DataFrame, scorer: B.SimilarityScorer, src_relations: DataFrame | None = None, hyp_relations: DataFrame | None = None, threshold: float = V.MATCH_THRESHOLD) -> DataFrame:
     """Q14, concepts: the kg_* columns and the unrounded kg_f1 of each document that has entities on both sides.
 

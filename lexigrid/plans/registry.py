@@ -854,7 +854,7 @@ def _pair_entities_sql(t: str, side: str, text: str) -> str:
 
 @query(f"""WITH RECURSIVE {align_sql.TABLES}, bead AS MATERIALIZED ({align_sql.BEADS}), {_overlap_sql('db', "SELECT filename AS key, hypothesis AS c, source AS r FROM f")},
 {_overlap_sql('sb', "SELECT filename || '|' || bead_idx AS key, hypothesis AS c, source AS r FROM bead")},
-sent AS (SELECT filename, round(avg(p), 5) AS sent_bs_precision_mean, round(avg(r), 5) AS sent_bs_recall_mean, round(avg(f1), 5) AS sent_bs_f1_mean, round(avg(l), 5) AS sent_labse_mean, round(stddev_pop(l), 5) AS sent_labse_std,
+sent AS (SELECT filename, round(round(avg(p), 10), 5) AS sent_bs_precision_mean, round(round(avg(r), 10), 5) AS sent_bs_recall_mean, round(round(avg(f1), 10), 5) AS sent_bs_f1_mean, round(round(avg(l), 10), 5) AS sent_labse_mean, round(stddev_pop(l), 5) AS sent_labse_std,
     round(avg(CASE WHEN l < {V.LOW_SIMILARITY} THEN 1.0 ELSE 0.0 END), 5) AS sent_labse_low_frac, count(*) AS n_aligned_sentences
   FROM (SELECT filename, filename || '|' || bead_idx AS key, {_alike_sql('source', 'hypothesis')} AS l FROM bead) b JOIN sb ON sb.key = b.key GROUP BY filename),
 {_pair_entities_sql('s', 'gold', 'source')}, {_pair_entities_sql('h', 'pred', 'hypothesis')},
