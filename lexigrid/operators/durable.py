@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in ``spark.checkpoint.dir``: its plan is a scan, and a lost executor costs a re-read.
-
-    Runs a job at once. Only where the session names no folder and all runs in one process (tests) a temporary one is set.
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` makes Spark delete what no DataFrame refers to any more.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; where it names none and all runs in one process (tests) a temporary one is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +18,18 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
         context.setCheckpointDir(where)
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own for files, which does not exist yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from a reliable checkpoint in ``spark.checkpoint.dir``: its plan is a scan, and a lost executor costs a re-read.
+
+    Runs a job at once. ``spark.cleaner.referenceTracking.cleanCheckpoints`` makes Spark delete what no DataFrame refers to any more.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -94,18 +94,21 @@ def shortest_1_per_category(spark, sf):
     return P.shortest(_lengths(spark, sf), 1)
 
 
-# markdown tables: a file for each brand, with a row broken across lines and a repeat
+# markdown tables: a file for each brand and PER_FILE keys, with a row broken across lines and a repeat
+
+#: Keys of parts in a stand-in file: more parts are more files, and none grows.
+PER_FILE = 500
 
 
 def _tables(spark, sf):
     part = S.table(spark, sf, "part")
     row = F.concat(F.lit("| "), "p_name", F.lit(" | "), "p_type", F.lit(" |\n| "), "p_name", F.lit(" | "), "p_brand", F.lit(" |\nof "), F.col("p_size").cast("string"), F.lit(" | x |"))
-    lines = part.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
+    lines = part.groupBy("p_brand", F.floor(F.col("p_partkey") / PER_FILE).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("rows"))
     head = "intro\n| English Term | Bulgarian Term | Justification |\n|---|:-:|---|\n"
-    return lines.select(F.concat("p_brand", F.lit(".txt")).alias("filename"), F.concat(F.lit(head), "rows").alias("text"))
+    return lines.select(F.concat("p_brand", F.lit("_"), "k", F.lit(".txt")).alias("filename"), F.concat(F.lit(head), "rows").alias("text"))
 
 
-MD = "rows AS (SELECT p_brand || '.txt' AS f, p_name, p_brand, p_size FROM part)"
+MD = f"rows AS (SELECT p_brand || '_' || p_partkey // {PER_FILE} || '.txt' AS f, p_name, p_brand, p_size FROM part)"
 
 
 @query(f"""WITH {MD}
@@ -114,22 +117,22 @@ def md_table_rows_4col(spark, sf):
     return P.combined_tables(_tables(spark, sf), ["English Term", "Bulgarian Term", "Justification", "Note"]).drop("row_no")
 
 
-def _names(spark, sf, n):
+def _names(spark, sf):
     rows = S.table(spark, sf, "part")
     line = F.concat(F.lit("|"), F.concat_ws("|", "p_name", "p_type", "p_brand"), F.lit("|"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("r")))), lambda x: x["r"]), "\n")
-    return rows.groupBy((F.col("p_partkey") % n).cast("string").alias("filename")).agg(text.alias("text"))
+    return rows.groupBy(F.floor(F.col("p_partkey") / PER_FILE).cast("string").alias("filename")).agg(text.alias("text"))
 
 
-@query("""SELECT CAST(p_partkey % 7 AS VARCHAR) AS "Source File", p_name AS "English Term", p_type AS "Bulgarian Term", p_brand AS "Justification" FROM part GROUP BY ALL""")
+@query(f"""SELECT CAST(p_partkey // {PER_FILE} AS VARCHAR) AS "Source File", p_name AS "English Term", p_type AS "Bulgarian Term", p_brand AS "Justification" FROM part GROUP BY ALL""")
 def md_table_rows_3col(spark, sf):
-    return P.combined_tables(_names(spark, sf, 7), ["English Term", "Bulgarian Term", "Justification"]).drop("row_no")
+    return P.combined_tables(_names(spark, sf), ["English Term", "Bulgarian Term", "Justification"]).drop("row_no")
 
 
-@query("""SELECT CAST(p_partkey % 7 AS VARCHAR) AS filename, p_name AS a, p_type AS b, p_brand AS c,
-  min(r) AS row_no FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 7 ORDER BY p_partkey) AS r FROM part) GROUP BY 1, 2, 3, 4""")
+@query(f"""SELECT CAST(p_partkey // {PER_FILE} AS VARCHAR) AS filename, p_name AS a, p_type AS b, p_brand AS c,
+  min(r) AS row_no FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey // {PER_FILE} ORDER BY p_partkey) AS r FROM part) GROUP BY 1, 2, 3, 4""")
 def dedup_ordered(spark, sf):
-    rows = P.combined_tables(_names(spark, sf, 7), ["a", "b", "c"])
+    rows = P.combined_tables(_names(spark, sf), ["a", "b", "c"])
     return rows.select(F.col("Source File").alias("filename"), "a", "b", "c", "row_no")
 
 
@@ -325,12 +328,12 @@ def _outputs(spark, sf):
     part = S.table(spark, sf, "part")
     block = F.concat(F.lit("*   **Concept 1:** "), "p_name", F.lit("\n    *   **Type:** "), "p_type", F.lit("\n    *   **ICD-10 CM Code:** "), F.when(F.col("p_size") % 2 == 0, "N/A").otherwise(F.col("p_size").cast("string")), F.lit("\n    *   **ATC Code:** old\n    *   **ATC Code:** A"), F.col("p_partkey").cast("string"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", block.alias("b")))), lambda x: x["b"]), "\n\n")
-    files = part.groupBy((F.col("p_partkey") % 5).alias("k")).agg(text.alias("text"))
+    files = part.groupBy(F.floor(F.col("p_partkey") / PER_FILE).alias("k")).agg(text.alias("text"))
     return files.select(F.concat(F.lit("cardio_heart failure_"), "k", F.lit("_modelx_NER.txt")).alias("source_file"), F.concat(F.lit("intro\n"), "text").alias("text"))
 
 
-LLM = """blocks AS (SELECT 'cardio_heart failure_' || (p_partkey % 5) || '_modelx_NER.txt' AS source_file, 'cardio' AS specialty, 'heart failure' AS condition, CAST(p_partkey % 5 AS VARCHAR) AS note_index, 'modelx' AS model,
-  row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) AS block, p_name AS concept, p_type AS type, '' AS fhir_mapping, CASE WHEN p_size % 2 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS icd10_code, 'A' || p_partkey AS atc_code, '' AS loinc_code, '' AS snomed_code FROM part)"""
+LLM = f"""blocks AS (SELECT 'cardio_heart failure_' || (p_partkey // {PER_FILE}) || '_modelx_NER.txt' AS source_file, 'cardio' AS specialty, 'heart failure' AS condition, CAST(p_partkey // {PER_FILE} AS VARCHAR) AS note_index, 'modelx' AS model,
+  row_number() OVER (PARTITION BY p_partkey // {PER_FILE} ORDER BY p_partkey) AS block, p_name AS concept, p_type AS type, '' AS fhir_mapping, CASE WHEN p_size % 2 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS icd10_code, 'A' || p_partkey AS atc_code, '' AS loinc_code, '' AS snomed_code FROM part)"""
 
 
 @query(f"WITH {LLM} SELECT * FROM blocks")
@@ -854,7 +857,7 @@ def _pair_entities_sql(t: str, side: str, text: str) -> str:
 
 @query(f"""WITH RECURSIVE {align_sql.TABLES}, bead AS MATERIALIZED ({align_sql.BEADS}), {_overlap_sql('db', "SELECT filename AS key, hypothesis AS c, source AS r FROM f")},
 {_overlap_sql('sb', "SELECT filename || '|' || bead_idx AS key, hypothesis AS c, source AS r FROM bead")},
-sent AS (SELECT filename, round(round(avg(p), 10), 5) AS sent_bs_precision_mean, round(round(avg(r), 10), 5) AS sent_bs_recall_mean, round(round(avg(f1), 10), 5) AS sent_bs_f1_mean, round(round(avg(l), 10), 5) AS sent_labse_mean, round(stddev_pop(l), 5) AS sent_labse_std,
+sent AS (SELECT filename, round(round(avg(p), 10) + 1e-9, 5) AS sent_bs_precision_mean, round(round(avg(r), 10) + 1e-9, 5) AS sent_bs_recall_mean, round(round(avg(f1), 10) + 1e-9, 5) AS sent_bs_f1_mean, round(round(avg(l), 10) + 1e-9, 5) AS sent_labse_mean, round(stddev_pop(l), 5) AS sent_labse_std,
     round(avg(CASE WHEN l < {V.LOW_SIMILARITY} THEN 1.0 ELSE 0.0 END), 5) AS sent_labse_low_frac, count(*) AS n_aligned_sentences
   FROM (SELECT filename, filename || '|' || bead_idx AS key, {_alike_sql('source', 'hypothesis')} AS l FROM bead) b JOIN sb ON sb.key = b.key GROUP BY filename),
 {_pair_entities_sql('s', 'gold', 'source')}, {_pair_entities_sql('h', 'pred', 'hypothesis')},

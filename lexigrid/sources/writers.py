@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Spark's writer would trim every field.
+AS_THEY_ARE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, order: list[str] | None = None, by: list[str] | None = None) -> None:
     """Tab-separated with a header; nulls are blank. ``by`` makes a folder for each value."""
     rows = df.select(*columns) if columns else df
     rows = rows.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rows.columns])
-    writer = (rows.sortWithinPartitions(*order) if order else rows).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "")
+    writer = (rows.sortWithinPartitions(*order) if order else rows).write.mode("overwrite").options(**AS_THEY_ARE).option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "")
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).csv(path)
+    (df.orderBy(*order) if order else df).write.mode("overwrite").options(**AS_THEY_ARE).option("header", True).option("escape", '"').csv(path)
 
 
 def write_text(df: DataFrame, path: str, text: str, by: list[str] | None = None) -> None:
@@ -51,8 +55,8 @@ def write_knowledge_base(kb: DataFrame, path: str) -> None:
     """``kb(label, cui, name)`` as a folder for each label, and ``kb_all`` with the distinct names of all; each in order of concept, then name."""
     named = kb.select(F.translate("label", " /", "__").alias("label"), "cui", "name")
     by_label = named.repartitionByRange("label", "cui", "name").sortWithinPartitions("label", "cui", "name")
-    by_label.write.mode("overwrite").option("sep", "\t").option("header", False).option("quote", '"').option("escape", '"').partitionBy("label").csv(f"{path}/labels")
-    kb.select("cui", "name").distinct().orderBy("cui", "name").write.mode("overwrite").option("sep", "\t").option("header", False).option("quote", '"').option("escape", '"').csv(f"{path}/kb_all")
+    by_label.write.mode("overwrite").options(**AS_THEY_ARE).option("sep", "\t").option("header", False).option("quote", '"').option("escape", '"').partitionBy("label").csv(f"{path}/labels")
+    kb.select("cui", "name").distinct().orderBy("cui", "name").write.mode("overwrite").options(**AS_THEY_ARE).option("sep", "\t").option("header", False).option("quote", '"').option("escape", '"').csv(f"{path}/kb_all")
 
 
 def write_cached(df: DataFrame, path: str, keys: tuple = ("encoder", "text"), by: list[str] | None = None) -> DataFrame:
