@@ -202,6 +202,35 @@ def test_verdicts(spark, url, rule, verdict):
     assert (row["rule"], row["verdict"]) == (rule, verdict)
 
 
+#: Urls as people have them, by whether they should be blocked.
+LABELLED = [(u, True) for u in (
+    "http://casino24.org/", "https://24casino.example.org/en/", "http://%63asino.example.org/", "http://x.org/%70orn/1", "https://adult-sex.example.org/", "http://free-bets.org/", "http://poker.example.org/bonus",
+    "http://x.org/slots/jackpot/free", "http://cheap-pills.example.org/", "http://x.org/torrents?q=cracked", "http://nude-teens.example.org/a", "http://payday-loans.example.org", "https://hentai.example.org/", "http://x.org/xxx/",
+    "http://win-bitcoin.example.org/", "http://gewinnspiel-gratis.example.org/", "http://apuestas-bonus.example.org/", "http://x.org/?tag=erotik", "http://rencontres-gratuit.example.org/", "http://keygen.example.org/crack",
+)] + [(u, False) for u in (
+    "http://x.org/adult-education", "http://x.org/sex-discrimination-act", "http://x.org/free-software/download/track", "http://essex.example.org/", "http://x.org/news/malware-report", "http://x.org/docs/anti-spam",
+    "http://x.org/wiki/Poker", "http://dating.example.org/about", "http://x.org/health/pharmacy", "http://x.org/win10/setup", "http://x.org/bitcoin/mining", "http://x.org/class/serial-port", "http://x.org/mortgage-rates", "http://x.org/track/2",
+    "http://analytics.example.org/tracking", "http://x.org/phishing-awareness-training", "http://x.org/nude-descending-a-staircase", "http://x.org/popup/api", "http://sussex.example.org/gambling-commission", "http://x.org/slot-machines-history", "http://x.org/a%zzb", "http://x.org/%e9t%e9",
+)]
+
+
+def test_precision_and_recall_on_labelled_urls():
+    machine = urls.automaton()
+
+    def blocked(url):
+        hard, mild, weight = urls.weighed(url, machine)
+        return bool(hard) or (mild >= urls.SOFT_HITS and weight >= urls.SOFT_LIMIT)
+
+    assert [u for u, bad in LABELLED if blocked(u) != bad] == []
+
+
+def test_a_term_counts_once_and_double_in_the_host():
+    machine = urls.automaton()
+    assert urls.weighed("http://free.x.org/free/free?poker", machine) == (0, 2, 4)
+    assert urls.weighed("http://x.org/FREE/xfree/free2", machine) == (0, 1, 1)
+    assert urls.weighed(None, machine) == urls.weighed("no scheme casino", machine) == (0, 0, 0)
+
+
 @pytest.mark.parametrize("name, view", [("op9_url_filter", "pages"), ("op10_line_dedup", "documents")])
 def test_queries_against_sql(spark, sf, name, view):
     con = duckdb.connect()
