@@ -35,8 +35,12 @@ def line_rows(df: DataFrame, doc: str, text: str, min_chars: int) -> DataFrame:
     return rows.select("doc", "text_hash", "n_lines", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
-def frequent_keys(rows: DataFrame, total: int) -> DataFrame:
-    """(h1, h2, times, shards, hot_docs, hot_keeper) of the hot keys: over one row in HOT, or over what a task can hold."""
+def frequent_keys(rows: DataFrame, total: int | None = None) -> DataFrame:
+    """(h1, h2, times, shards, hot_docs, hot_keeper) of the hot keys: over one row in HOT, or over what a task can hold.
+
+    ``total`` is the number of rows where it is known already.
+    """
+    total = rows.count() if total is None else total
     hot = hot_keys(rows, ["h1", "h2"], total, F.max("doc").alias("hot_keeper")).withColumn("shards", F.ceil(F.col("times") / key_limit(total)))
     hot = cut(hot, "lines-hot")
     flagged = join_found(rows, hot.select("h1", "h2", "times", F.lit(True).alias("hot")), ["h1", "h2"], "times", total)
@@ -44,13 +48,14 @@ def frequent_keys(rows: DataFrame, total: int) -> DataFrame:
     return hot.join(held.groupBy("h1", "h2").agg(F.count("*").alias("hot_docs")), ["h1", "h2"]).select("h1", "h2", "times", "shards", "hot_docs", "hot_keeper")
 
 
-def dropped_lines(rows: DataFrame, frequent: DataFrame, min_docs: int, total: int) -> DataFrame:
+def dropped_lines(rows: DataFrame, frequent: DataFrame, min_docs: int, total: int | None = None) -> DataFrame:
     """The rows of keys that at least ``min_docs`` documents hold, but those of the largest of the documents.
 
     One range exchange by key (and shard, for a frequent key) and one sort by (key, document from the largest, position) carry
     all of it: ``turn`` numbers a key's documents in that order, so the first occurrences have turn 1. A group of the windows
     has one key's rows, or one shard's of a frequent key: ``key_limit`` rows or a few more.
     """
+    total = rows.count() if total is None else total
     known = join_found(rows, frequent, ["h1", "h2"], "times", total)
     shard = F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc", "pos"), F.col("shards"))).cast("int")
     ranged = by_ranges(known.withColumn("shard", shard), ["h1", "h2", "shard"], total, RANGE_ROWS)
