@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.operators.durable import cut
+
 
 def ratio(top: Column, bottom: Column) -> Column:
     """0.0 where the denominator is 0."""
@@ -21,21 +23,45 @@ def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 def summary(df: DataFrame, metrics: list[str], digits: int = 2) -> DataFrame:
     """A row for each metric: count, mean, median, min, max, population std, quartiles by interpolation.
 
-    Values are counted first, map-side, so that what meets for a metric is its distinct values and not a value a row.
+    Values are counted first, map-side, so that what meets for a metric is its distinct values and not a value a row; and
+    even those meet in ranges alone, as many as there are shuffle partitions (``quantiles``).
     """
     values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-    counted = df.select(F.explode(values).alias("v")).select("v.*").groupBy("metric", "value").agg(F.count("*").alias("n"))
+    counted = cut(df.select(F.explode(values).alias("v")).select("v.*").groupBy("metric", "value").agg(F.count("*").alias("n")))
     rounded = lambda x: F.round(x, digits)
     n = F.when(F.col("value").isNull(), 0).otherwise(F.col("n"))
     total, mean = F.sum(n), F.sum(F.col("value") * n) / F.nullif(F.sum(n), F.lit(0))
-    quantile = lambda q: rounded(F.percentile("value", q, F.col("n")))
-    spread = F.sqrt(F.greatest(F.sum(F.col("value") * F.col("value") * n) / F.nullif(F.sum(n), F.lit(0)) - mean * mean, F.lit(0.0)))
-    found = counted.groupBy("metric").agg(
-        total.cast("long").alias("count"), rounded(mean).alias("mean"), quantile(0.5).alias("median"), F.min("value").alias("min"), F.max("value").alias("max"),
-        rounded(spread).alias("std"), quantile(0.25).alias("p25"), quantile(0.75).alias("p75"),
-    )
+    spread = F.when(F.sum(n) > 0, F.sqrt(F.greatest(F.sum(F.col("value") * F.col("value") * n) / F.nullif(F.sum(n), F.lit(0)) - mean * mean, F.lit(0.0))))
+    found = counted.groupBy("metric").agg(total.cast("long").alias("count"), rounded(mean).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), rounded(spread).alias("std"))
+    cuts = quantiles(counted, {"median": 0.5, "p25": 0.25, "p75": 0.75})
     named = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
-    return named.join(found, "metric", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+    met = named.join(found, "metric", "left").join(cuts, "metric", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+    return met.select("metric", "count", "mean", rounded(F.col("median")).alias("median"), "min", "max", "std", rounded(F.col("p25")).alias("p25"), rounded(F.col("p75")).alias("p75"))
+
+
+def quantiles(counted: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """metric and a column for each wanted share: exact quantiles, interpolated, of ``counted(metric, value, n)``.
+
+    Distinct values are sorted by ranges. How many rows stand before a range follows from one row a range; inside it running sums
+    give each value its ranks, and only values that hold a wanted rank go on.
+    """
+    ranged = cut(counted.filter("value IS NOT NULL").repartitionByRange("metric", "value").withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("metric", "__range").agg(F.sum("n").alias("__size"))
+    order = Window.partitionBy("metric").orderBy("__range")
+    before = F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.select("metric", "__range", before.alias("__before"), F.sum("__size").over(Window.partitionBy("metric")).alias("__all"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("metric", "__range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = ranged.withColumn("__in", inside).join(placed, ["metric", "__range"]).withColumn("__first", F.col("__before") + F.col("__in"))
+    has = lambda rank: (F.col("__first") <= rank) & (rank < F.col("__first") + F.col("n"))
+    ranks = {name: F.lit(q) * (F.col("__all") - 1) for name, q in wanted.items()}
+    kept = rows.filter(reduce(lambda a, b: a | b, [has(f(r)) for r in ranks.values() for f in (F.floor, F.ceil)]))
+    at = lambda rank: F.max(F.when(has(rank), F.col("value")))
+    columns = []
+    for name, rank in ranks.items():
+        columns += [at(F.floor(rank)).alias(f"__lo_{name}"), at(F.ceil(rank)).alias(f"__hi_{name}"), F.max(rank - F.floor(rank)).alias(f"__part_{name}")]
+    found = kept.groupBy("metric").agg(*columns)
+    between = lambda n: F.col(f"__lo_{n}") * (1 - F.col(f"__part_{n}")) + F.col(f"__hi_{n}") * F.col(f"__part_{n}")
+    return found.select("metric", *[between(n).alias(n) for n in wanted])
 
 
 def overlap(gold: DataFrame, pred: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
