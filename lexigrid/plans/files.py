@@ -11,7 +11,7 @@ from lexigrid.plans import pipelines as P
 from lexigrid.plans import standins as S
 from lexigrid.plans.registry import ORACLE as ORACLE
 from lexigrid.plans.registry import QUERIES as QUERIES
-from lexigrid.plans.registry import SIDES, STATS, _notes, _prf_sql, query
+from lexigrid.plans.registry import SIDES, STATS, _notes, _prf_sql, entity_linking, query
 from lexigrid.sources import document_files, readers, writers
 
 COLUMNS = ["filename", "entity_label", "entity_kind", "start_span", "end_span", "text"]
@@ -100,3 +100,11 @@ def ner_eval_files(spark, sf):
     pred = S.mentions(spark, sf, "pred").filter("doc_id % 3 <> 0").select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("filename"), *columns)
     scores = C.scored_files(gold, pred)
     return scores.select("kind", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(ORACLE["entity_linking"])
+def entity_linking_cached(spark, sf):
+    """Entity linking over vectors that another run has left in a cache."""
+    cache = ("letters", new_folder(spark, "vectors"))
+    entity_linking(spark, sf, cache)  # fills it as it is built
+    return entity_linking(spark, sf, cache)

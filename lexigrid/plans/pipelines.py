@@ -10,7 +10,7 @@ from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
 from lexigrid.operators import alignment, matching, metrics, setjoin
 from lexigrid.operators.durable import cut
-from lexigrid.sources import readers
+from lexigrid.sources import readers, vector_cache
 
 DOC_METRICS = ["characters", "characters_no_spaces", "lines", "sentences", "words_regex", "tokens_whitespace", "avg_words_per_sentence"]
 
@@ -117,15 +117,23 @@ def knowledge_base(concepts: DataFrame, types: DataFrame, labels: DataFrame, voc
     return typed.join(named, "cui").select("label", "cui", "name")
 
 
-def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: int = V.TOP_K, threshold: float = V.LINK_THRESHOLD, by_type: bool = True, known: dict[str, str] | None = None, translator: B.Translator | None = None, digits: int | None = None) -> DataFrame:
-    """Q9: entities with their ranked candidates. Each distinct text is expanded, translated and encoded once."""
+def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: int = V.TOP_K, threshold: float = V.LINK_THRESHOLD, by_type: bool = True, known: dict[str, str] | None = None, translator: B.Translator | None = None, digits: int | None = None, cache: tuple[str, str] | None = None) -> DataFrame:
+    """Q9: entities with their ranked candidates. Each distinct text is expanded, translated and encoded once.
+
+    ``cache`` is (the encoder's name, a folder): vectors that it holds are not encoded again.
+    """
+    def vectors_of(texts):
+        if cache is None:
+            return texts.withColumn("vec", B.encode(F.col("text"), encoder))
+        return vector_cache.cached_vectors(texts, encoder, *cache)
+
     asked = entities.select("text", F.col("entity_label").alias("label")).distinct().withColumn("asked", T.replace_known(F.col("text"), known or {}))
     if translator is not None:
         asked = asked.withColumn("asked", B.translate(F.col("asked"), translator))
-    vectors = asked.select("asked").distinct().withColumn("vec", B.encode(F.col("asked"), encoder))
+    vectors = vectors_of(asked.select(F.col("asked").alias("text")).distinct()).withColumnRenamed("text", "asked")
     queries = asked.join(vectors, "asked").withColumn("q", F.struct("text", "label"))
     names = kb.join(asked.select("label").distinct(), "label", "left_semi") if by_type else kb.select("cui", "name").distinct()
-    names = names.join(names.select("name").distinct().withColumn("vec", B.encode(F.col("name"), encoder)), "name")
+    names = names.join(vectors_of(names.select(F.col("name").alias("text")).distinct()).withColumnRenamed("text", "name"), "name")
     ranked = matching.top_candidates(queries.select("q", "label", "vec"), names, k, threshold, ["label"] if by_type else None, digits)
     lists = ranked.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "cui", "name", "score"))).alias("candidates"))
     lists = lists.select(F.col("q.text").alias("text"), F.col("q.label").alias("entity_label"), "candidates")

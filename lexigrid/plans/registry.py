@@ -495,7 +495,7 @@ def relation_match_cascade(spark, sf):
 
 
 #: The beads of documents as sentence alignment would give them, with gaps between.
-GAPPED = f"{S.beads_sql()}, gapped AS (SELECT doc_id, bead_idx, substr(bead_text, 1, 300) AS bead_text, span_start, least(span_end, span_start + 300) AS span_end FROM beads)"
+GAPPED = f"{S.beads_sql()}, gapped AS (SELECT doc_id, bead_idx, substr(bead_text, 1, 300) AS bead_text, span_start, least(span_end, span_start + 300) AS span_end FROM beads), gapped_h AS (SELECT doc_id, bead_idx, substr(bead_text, {S.SHIFT} + 1, 300 - {S.SHIFT}) AS bead_text, least(span_start + {S.SHIFT}, span_end, span_start + 300) AS span_start, least(span_end, span_start + 300) AS span_end FROM beads)"
 
 
 @query(f"WITH {RELS}, {GAPPED} SELECT s.doc_id, s.id FROM s WHERE NOT EXISTS (SELECT 1 FROM gapped b WHERE b.doc_id = s.doc_id AND s.start >= b.span_start AND s.start < b.span_end)")
@@ -508,7 +508,7 @@ def unaligned_entities(spark, sf):
 
 
 def _held_sql(t: str, inside: str) -> str:
-    return f"{t}_in AS (SELECT x.*, b.bead_idx FROM {t} x JOIN gapped b ON b.doc_id = x.doc_id AND {inside})"
+    return f"{t}_in AS (SELECT x.*, b.bead_idx FROM {t} x JOIN {'gapped_h' if t[0] == 'h' else 'gapped'} b ON b.doc_id = x.doc_id AND {inside})"
 
 
 ENTITY_IN = "x.start >= b.span_start AND x.start < b.span_end"
@@ -526,8 +526,8 @@ def _alone_sql(t: str, columns: str) -> str:
 
 @query(f"""WITH {RELS}, {GAPPED}, {HELD}, {BOTH}, {ENTITY_KEYS}, {_cascade_sql('a0', 'b0', 'inside')},
 met AS (SELECT {PARTED} FROM inside UNION ALL {_alone_sql('s', 'id, NULL')} UNION ALL {_alone_sql('h', 'NULL, id')})
-SELECT met.doc_id, met.bead_idx, length(g.bead_text) AS n_src, length(g.bead_text) AS n_hyp, match_type, src_id, s.cui AS src_cui, s.text AS src_text, hyp_id, h.cui AS hyp_cui, h.text AS hyp_text
-FROM met LEFT JOIN gapped g ON g.doc_id = met.doc_id AND g.bead_idx = met.bead_idx LEFT JOIN s ON s.id = met.src_id LEFT JOIN h ON h.id = met.hyp_id""")
+SELECT met.doc_id, met.bead_idx, length(g.bead_text) AS n_src, length(k.bead_text) AS n_hyp, match_type, src_id, s.cui AS src_cui, s.text AS src_text, hyp_id, h.cui AS hyp_cui, h.text AS hyp_text
+FROM met LEFT JOIN gapped g ON g.doc_id = met.doc_id AND g.bead_idx = met.bead_idx LEFT JOIN gapped_h k ON k.doc_id = met.doc_id AND k.bead_idx = met.bead_idx LEFT JOIN s ON s.id = met.src_id LEFT JOIN h ON h.id = met.hyp_id""")
 def document_alignment_entities(spark, sf):
     rows = C.aligned_entities(S.aligned_beads(spark, sf), S.linked(spark, sf, "gold"), S.linked(spark, sf, "pred"))
     return rows.select("doc_id", "bead_idx", F.length("bead_src").alias("n_src"), F.length("bead_hyp").alias("n_hyp"), "match_type", "src_id", "src_cui", "src_text", "hyp_id", "hyp_cui", "hyp_text")
@@ -679,26 +679,28 @@ def cross_lingual_matching(spark, sf):
     return rows.withColumn("score", F.round("score", 4))
 
 
-def _nearest_sql(n: str, row: str, t: str) -> str:
+def _nearest_sql(n: str, row: str, t: str, off: str) -> str:
     return f"""{n} AS (SELECT x.doc_id, coalesce(m.bead_idx, -1) AS bead_idx, x.ent AS {row}, x.label, x.text, x.start, x."end" FROM {t} x LEFT JOIN (
-  SELECT x.doc_id, x.ent, o.bead_idx, row_number() OVER (PARTITION BY x.doc_id, x.ent ORDER BY abs(o.o - x.start), o.bead_idx) AS n FROM {t} x JOIN off o ON o.doc_id = x.doc_id AND contains(o.bead_text, x.text)) m ON m.doc_id = x.doc_id AND m.ent = x.ent AND m.n = 1)"""
+  SELECT x.doc_id, x.ent, o.bead_idx, row_number() OVER (PARTITION BY x.doc_id, x.ent ORDER BY abs(o.o - x.start), o.bead_idx) AS n FROM {t} x JOIN {off} o ON o.doc_id = x.doc_id AND contains(o.bead_text, x.text)) m ON m.doc_id = x.doc_id AND m.ent = x.ent AND m.n = 1)"""
 
 
-NEAREST = f"off AS (SELECT *, coalesce(sum(length(bead_text)) OVER (PARTITION BY doc_id ORDER BY bead_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM beads), {_nearest_sql('a', 'i', 'g')}, {_nearest_sql('b', 'j', 'p')}"
+OFFSET = "coalesce(sum(length(bead_text)) OVER (PARTITION BY doc_id ORDER BY bead_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o"
+NEAREST = f"""off AS (SELECT *, {OFFSET} FROM beads), shifted AS (SELECT doc_id, bead_idx, substr(bead_text, {S.SHIFT} + 1) AS bead_text FROM beads), off_h AS (SELECT *, {OFFSET} FROM shifted),
+{_nearest_sql('a', 'i', 'g', 'off')}, {_nearest_sql('b', 'j', 'p', 'off_h')}"""
 
 
 @query(f"""WITH RECURSIVE {_greedy_from(_cross_sql(NEAREST, ''))},
 met AS (SELECT doc_id, bead_idx, i, j, score FROM pairs UNION ALL SELECT doc_id, bead_idx, i, NULL, 0.0 FROM a WHERE (doc_id, bead_idx, i) NOT IN (SELECT doc_id, bead_idx, i FROM pairs)
   UNION ALL SELECT doc_id, bead_idx, NULL, j, 0.0 FROM b WHERE (doc_id, bead_idx, j) NOT IN (SELECT doc_id, bead_idx, j FROM pairs))
-SELECT 'doc_' || met.doc_id || '.txt' AS filename, CASE WHEN met.bead_idx > 0 THEN CAST(met.bead_idx AS VARCHAR) ELSE '' END AS bead_idx, coalesce(t.bead_text, '') AS bead_src, coalesce(t.bead_text, '') AS bead_hyp,
+SELECT 'doc_' || met.doc_id || '.txt' AS filename, CASE WHEN met.bead_idx > 0 THEN CAST(met.bead_idx AS VARCHAR) ELSE '' END AS bead_idx, coalesce(t.bead_text, '') AS bead_src, coalesce(k.bead_text, '') AS bead_hyp,
   coalesce(a.label, '') AS src_entity_label, coalesce(CAST(a.start AS VARCHAR), '') AS src_start_span, coalesce(CAST(a."end" AS VARCHAR), '') AS src_end_span, coalesce(a.text, '') AS src_text,
   coalesce(b.label, '') AS hyp_entity_label, coalesce(CAST(b.start AS VARCHAR), '') AS hyp_start_span, coalesce(CAST(b."end" AS VARCHAR), '') AS hyp_end_span, coalesce(b.text, '') AS hyp_text, '' AS hyp_translated_text,
   CASE WHEN met.i IS NOT NULL AND met.j IS NOT NULL THEN printf('%.4f', met.score) ELSE '' END AS sapbert_similarity, CASE WHEN met.i IS NOT NULL AND met.j IS NOT NULL THEN 'sapbert' ELSE 'none' END AS match_type
-FROM met LEFT JOIN a ON a.doc_id = met.doc_id AND a.bead_idx = met.bead_idx AND a.i = met.i LEFT JOIN b ON b.doc_id = met.doc_id AND b.bead_idx = met.bead_idx AND b.j = met.j LEFT JOIN beads t ON t.doc_id = met.doc_id AND t.bead_idx = met.bead_idx""")
+FROM met LEFT JOIN a ON a.doc_id = met.doc_id AND a.bead_idx = met.bead_idx AND a.i = met.i LEFT JOIN b ON b.doc_id = met.doc_id AND b.bead_idx = met.bead_idx AND b.j = met.j LEFT JOIN beads t ON t.doc_id = met.doc_id AND t.bead_idx = met.bead_idx LEFT JOIN shifted k ON k.doc_id = met.doc_id AND k.bead_idx = met.bead_idx""")
 def entity_match_rows(spark, sf):
     """The match file of every document; predictions carry names without an extension."""
     name = lambda end: F.concat(F.lit("doc_"), "doc_id", F.lit(end)).alias("filename")
-    beads = S.beads(spark, sf).select(name(".txt"), "bead_idx", F.col("bead_text").alias("source"), F.col("bead_text").alias("hypothesis"))
+    beads = S.beads(spark, sf).select(name(".txt"), "bead_idx", F.col("bead_text").alias("source"), F.expr(f"substr(bead_text, {S.SHIFT} + 1)").alias("hypothesis"))
     side = lambda which, end: S.mentions(spark, sf, which).select(name(end), "ent", F.col("label").alias("entity_label"), F.col("start").cast("string").alias("start_span"), F.col("end").cast("string").alias("end_span"), "text")
     return C.entity_match_rows(beads, side("gold", ".txt"), side("pred", ""), B.LetterCounts(), digits=6)
 
@@ -914,12 +916,12 @@ q AS (SELECT text, label, {_letters_sql('text')} AS v FROM asked), n AS (SELECT
 scored AS (SELECT q.text, q.label, cui, name, round(list_dot_product(q.v, n.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(n.v, n.v)), 4) AS score FROM q JOIN n ON n.label = q.label),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY text, label ORDER BY score DESC, name, cui) AS rank FROM scored WHERE score >= 0.3)
 SELECT g.doc_id, g.ent, g.text, g.label AS entity_label, r.rank, r.cui, r.name, r.score FROM g LEFT JOIN ranked r ON r.text = g.text AND r.label = g.label AND r.rank <= 5""")
-def entity_linking(spark, sf):
+def entity_linking(spark, sf, cache=None):
     """Mentions against the part names of their label, both encoded by their letters; a row a candidate."""
     ents = S.mentions(spark, sf, "gold").withColumnRenamed("label", "entity_label")
     label = F.element_at(F.array(*map(F.lit, KB_LABELS)), (F.col("p_size") % len(KB_LABELS) + 1).cast("int"))
     kb = S.table(spark, sf, "part").select(F.concat(F.lit("C"), "p_partkey").alias("cui"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), label.alias("label"))
-    linked = P.linked_entities(ents, kb, B.LetterCounts(), threshold=0.3, digits=4)
+    linked = P.linked_entities(ents, kb, B.LetterCounts(), threshold=0.3, digits=4, cache=cache)
     return linked.select("doc_id", "ent", "text", "entity_label", F.explode_outer("candidates").alias("c")).select("doc_id", "ent", "text", "entity_label", "c.rank", "c.cui", "c.name", "c.score")
 
 

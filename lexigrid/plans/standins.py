@@ -84,11 +84,16 @@ def beads_sql(size: int = 400) -> str:
   FROM (SELECT doc_id, text, unnest(range(0, CAST((length(text) - 1) // {size} + 1 AS BIGINT))) AS b FROM documents WHERE length(text) > 0))"""
 
 
+#: Characters by which the hypothesis side of a stand-in bead begins later than its source side, so that swapped sides show.
+SHIFT = 50
+
+
 def aligned_beads(spark: SparkSession, sf: str) -> DataFrame:
-    """Beads as sentence alignment gives them, over the first 300 of every 400 characters of a document, alike on both sides."""
+    """Beads as sentence alignment gives them, over the first 300 of every 400 characters of a document; the hypothesis begins SHIFT later."""
     rows = beads(spark, sf).withColumn("end", F.least("span_end", F.col("span_start") + 300))
-    text = F.substring("bead_text", 1, 300)
-    return rows.select("doc_id", "bead_idx", text.alias("source"), text.alias("hypothesis"), F.col("span_start").alias("src_start"), F.col("end").alias("src_end"), F.col("span_start").alias("hyp_start"), F.col("end").alias("hyp_end"))
+    source, hypothesis = F.substring("bead_text", 1, 300), F.substring("bead_text", SHIFT + 1, 300 - SHIFT)
+    later = F.least(F.col("span_start") + SHIFT, F.col("end"))
+    return rows.select("doc_id", "bead_idx", source.alias("source"), hypothesis.alias("hypothesis"), F.col("span_start").alias("src_start"), F.col("end").alias("src_end"), later.alias("hyp_start"), F.col("end").alias("hyp_end"))
 
 
 def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
