@@ -27,6 +27,14 @@ def in_span(points: DataFrame, spans: DataFrame, by: list[str], at: str, start:
     return points.withColumn("__bin", F.floor(F.col(at) / BIN)).join(binned(spans, start, end), [*by, "__bin"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__bin")
 
 
+def starts_inside(start: str = "span_start", end: str = "span_end", at: tuple = ("s_start", "o_start")) -> Column:
+    """Whether all of the positions lie in a half-open span: a relation is where both its arguments begin."""
+    inside = F.lit(True)
+    for c in at:
+        inside = inside & (F.col(c) >= F.col(start)) & (F.col(c) < F.col(end))
+    return inside
+
+
 def binned(spans: DataFrame, start: str = "span_start", end: str = "span_end") -> DataFrame:
     """Spans with ``__bin``, a row for each bin that they reach into."""
     return spans.filter(F.col(start) < F.col(end)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor((F.col(end) - 1) / BIN))))

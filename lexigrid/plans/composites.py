@@ -21,7 +21,7 @@ def held_rows(beads: DataFrame, rows: DataFrame, side: str) -> DataFrame:
     if "s_start" not in rows.columns:
         return matching.in_span(rows, spans, ["doc_id"], "start").drop("span_start", "span_end")
     held = matching.in_span(rows, spans, ["doc_id"], "s_start")
-    return held.filter((F.col("o_start") >= F.col("span_start")) & (F.col("o_start") < F.col("span_end"))).drop("span_start", "span_end")
+    return held.filter(matching.starts_inside()).drop("span_start", "span_end")
 
 
 def left_over(beads: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def scored_rows(beads: DataFrame, rows: DataFrame, side: str) -> DataFrame:
     placed = matching.in_span_or_not(rows, spans, ["doc_id"], "s_start" if "s_start" in rows.columns else "start").join(aligned, "doc_id", "left")
     held = F.col("span_start").isNotNull()
     if "s_start" in rows.columns:
-        held = held & (F.col("o_start") >= F.col("span_start")) & (F.col("o_start") < F.col("span_end"))
+        held = held & matching.starts_inside()
     return placed.filter(held | F.col("aligned").isNull()).select(*rows.columns)
 
 

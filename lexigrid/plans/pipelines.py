@@ -52,6 +52,32 @@ def combined_tables(files: DataFrame, header: list[str]) -> DataFrame:
     return rows.select(F.col("filename").alias("Source File"), *[F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(header)], "row_no")
 
 
+def duplicates_removed(files: DataFrame, header: list[str]) -> DataFrame:
+    """(rows, kept, removed): how many rows the tables of all files have, and how many of them repeat one of their own file."""
+    rows = readers.markdown_rows(files, len(header), header[0].lower()).groupBy("filename", "cells").agg(F.count("*").alias("n"))
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("kept")).withColumn("removed", F.col("rows") - F.col("kept"))
+
+
+def translation_lookup(names: DataFrame, files: DataFrame, suffix: str = "_BGgpt") -> DataFrame:
+    """(filename, translation) of ``names(filename)``: the file with the suffix, else the one of the same name in ``files(filename, text)``.
+
+    A file that is there counts even if it is empty; a name without either is left out.
+    """
+    asked = names.select("filename").distinct().withColumn("first", T.with_suffix(F.col("filename"), suffix))
+    options = asked.select("filename", F.posexplode(F.array("first", "filename")).alias("turn", "name"))
+    found = options.join(files.select(F.col("filename").alias("name"), "text"), "name")
+    return found.groupBy("filename").agg(F.min_by("text", "turn").alias("translation"))
+
+
+def rows_under_either(names: DataFrame, rows: DataFrame, suffix: str = "_BGgpt", key: str = "doc_id") -> DataFrame:
+    """The rows of each of ``names(key)``, under its own name: those that stand under its name with the suffix, or, where none does,
+    those under its own. A group without rows falls through, whether its name is known or not."""
+    asked = names.select(key).distinct().withColumn("__first", T.with_suffix(F.col(key), suffix))
+    there = rows.select(F.col(key).alias("__first")).distinct().withColumn("__held", F.lit(True))
+    picked = asked.join(there, "__first", "left").select(F.col(key).alias("__name"), F.when(F.col("__held"), F.col("__first")).otherwise(F.col(key)).alias(key))
+    return picked.join(rows, key).drop(key).withColumnRenamed("__name", key).select(*rows.columns)
+
+
 def combined_runs(runs: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Q4: (plain, linked) entities of each run; plain ones count where the run has no linked file of the language."""
     parts = []

@@ -136,6 +136,13 @@ def dedup_ordered(spark, sf):
     return rows.select(F.col("Source File").alias("filename"), "a", "b", "c", "row_no")
 
 
+@query(f"""SELECT 2 * count(*) AS rows, count(DISTINCT (p_partkey // {PER_FILE}, p_name, p_type, p_brand)) AS kept, 2 * count(*) - count(DISTINCT (p_partkey // {PER_FILE}, p_name, p_type, p_brand)) AS removed FROM part""")
+def table_duplicates_removed(spark, sf):
+    """Every file's table twice over: repeats within a file go, those of other files stay."""
+    twice = _names(spark, sf).withColumn("text", F.concat_ws("\n", "text", "text"))
+    return P.duplicates_removed(twice, ["English Term", "Bulgarian Term", "Justification"])
+
+
 # NER runs
 
 
@@ -888,10 +895,20 @@ SELECT n.f AS filename, coalesce(a.text, b.text) AS translation FROM n LEFT JOIN
 def hyp_fallback_join(spark, sf):
     d = S.table(spark, sf, "documents")
     notes = d.select(F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("filename"))
-    there = d.filter("doc_id % 5 <> 0").select(F.concat(F.lit("doc"), "doc_id", F.when(F.col("doc_id") % 3 == 0, "_BGgpt").otherwise(""), F.lit(".txt")).alias("f"), F.concat(F.lit("T"), "doc_id").alias("text"))
-    named = notes.withColumn("first", T.with_suffix(F.col("filename"), "_BGgpt"))
-    met = named.join(there.select(F.col("f").alias("first"), F.col("text").alias("a")), "first", "left").join(there.select(F.col("f").alias("filename"), F.col("text").alias("b")), "filename", "left")
-    return met.select("filename", F.coalesce("a", "b").alias("translation")).filter("translation IS NOT NULL")
+    there = d.filter("doc_id % 5 <> 0").select(F.concat(F.lit("doc"), "doc_id", F.when(F.col("doc_id") % 3 == 0, "_BGgpt").otherwise(""), F.lit(".txt")).alias("filename"), F.concat(F.lit("T"), "doc_id").alias("text"))
+    return P.translation_lookup(notes, there)
+
+
+@query(f"""WITH {S.mentions_sql('pred', 'p')}, rows AS (SELECT 'd' || doc_id || CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND start % 2 = 0) THEN '_BGgpt' ELSE '' END || '.txt' AS doc_id, start, label FROM p),
+n AS (SELECT 'd' || doc_id || '.txt' AS doc_id, 'd' || doc_id || '_BGgpt.txt' AS suffixed FROM documents)
+SELECT n.doc_id, rows.start, rows.label FROM n JOIN rows ON rows.doc_id = CASE WHEN n.suffixed IN (SELECT doc_id FROM rows) THEN n.suffixed ELSE n.doc_id END""")
+def hyp_rows_fallback(spark, sf):
+    """Entities of translations, which stand under the suffixed name, under the own, or under both, of which the first counts."""
+    key, start = F.col("doc_id"), F.col("start")
+    suffixed = (key % 3 == 0) | ((key % 3 == 1) & (start % 2 == 0))
+    rows = S.mentions(spark, sf, "pred").select(F.concat(F.lit("d"), "doc_id", F.when(suffixed, "_BGgpt").otherwise(""), F.lit(".txt")).alias("doc_id"), "start", "label")
+    names = S.table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("doc_id"))
+    return P.rows_under_either(names, rows)
 
 
 @query(f"WITH {SIDES} SELECT DISTINCT text FROM (SELECT text FROM g UNION ALL SELECT text FROM p)")

@@ -49,7 +49,8 @@ def ner_runs(spark: SparkSession, root: str, prefix: str = "gliner_") -> DataFra
     """All runs below ``root``: a folder whose name has the prefix is a run, named by its folder; an error where there is none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tsv").load(root).select(_relative(root).alias("path"))
     found = files.select("path", F.substring_index("path", "/", 1).alias("run")).filter(F.col("run").startswith(prefix) & F.col("path").contains("/"))
-    runs = found.groupBy("run").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("run").collect()  # a row a run folder
+    files_of = lambda linked: F.sort_array(F.collect_list(F.when(T.is_linked_file(F.col("path")) == linked, F.col("path"))))
+    runs = found.groupBy("run").agg(files_of(False).alias("plain"), files_of(True).alias("linked")).orderBy("run").collect()  # a row a run folder
     if not runs:
         raise FileNotFoundError(f"No {prefix}* folders found in {root}")
     from lexigrid.plans.pipelines import combined_runs
@@ -57,7 +58,7 @@ def ner_runs(spark: SparkSession, root: str, prefix: str = "gliner_") -> DataFra
     base = root.rstrip("/")
     parts = []
     for r in runs:
-        split = {linked: [f"{base}/{p}" for p in r["paths"] if ("umls" in p.rsplit("/", 1)[-1].lower()) == linked] for linked in (False, True)}
+        split = {linked: [f"{base}/{p}" for p in r["linked" if linked else "plain"]] for linked in (False, True)}
         there = [ner_run(spark, paths, r["run"], linked) for linked, paths in split.items() if paths]
         plain = next((f for f, (linked, paths) in zip(there, [x for x in split.items() if x[1]]) if not linked), there[0].limit(0))
         with_concepts = next((f for f, (linked, paths) in zip(there, [x for x in split.items() if x[1]]) if linked), there[0].limit(0))
