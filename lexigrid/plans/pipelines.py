@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import backends as B
 from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
-from lexigrid.operators import alignment, matching, metrics, setjoin
+from lexigrid.operators import alignment, dictionary, matching, metrics, setjoin
 from lexigrid.operators.durable import cut
 from lexigrid.sources import readers, vector_cache
 
@@ -143,7 +143,14 @@ def knowledge_base(concepts: DataFrame, types: DataFrame, labels: DataFrame, voc
     return typed.join(named, "cui").select("label", "cui", "name")
 
 
-def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: int = V.TOP_K, threshold: float = V.LINK_THRESHOLD, by_type: bool = True, known: dict[str, str] | None = None, translator: B.Translator | None = None, digits: int | None = None, cache: tuple[str, str] | None = None) -> DataFrame:
+def expanded(df: DataFrame, text: str, out: str, known: dict[str, str] | DataFrame | None) -> DataFrame:
+    """``df`` with ``out``: ``text`` with known phrases replaced, out of a few in a dict or any number in a table (phrase, expansion)."""
+    if isinstance(known, DataFrame):
+        return dictionary.replace_from_table(df, text, known, out)
+    return df.withColumn(out, T.replace_known(F.col(text), known or {}))
+
+
+def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: int = V.TOP_K, threshold: float = V.LINK_THRESHOLD, by_type: bool = True, known: dict[str, str] | DataFrame | None = None, translator: B.Translator | None = None, digits: int | None = None, cache: tuple[str, str] | None = None) -> DataFrame:
     """Q9: entities with their ranked candidates. Each distinct text is expanded, translated and encoded once.
 
     ``cache`` is (the encoder's name, a folder): vectors that it holds are not encoded again.
@@ -153,7 +160,7 @@ def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: i
             return texts.withColumn("vec", B.encode(F.col("text"), encoder))
         return vector_cache.cached_vectors(texts, encoder, *cache)
 
-    asked = entities.select("text", F.col("entity_label").alias("label")).distinct().withColumn("asked", T.replace_known(F.col("text"), known or {}))
+    asked = expanded(entities.select("text", F.col("entity_label").alias("label")).distinct(), "text", "asked", known)
     if translator is not None:
         asked = asked.withColumn("asked", B.translate(F.col("asked"), translator))
     vectors = vectors_of(asked.select(F.col("asked").alias("text")).distinct()).withColumnRenamed("text", "asked")
@@ -166,11 +173,11 @@ def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: i
     return entities.join(lists, ["text", "entity_label"], "left")
 
 
-def translated_entities(entities: DataFrame, translator: B.Translator, known: dict[str, str] | None = None) -> DataFrame:
+def translated_entities(entities: DataFrame, translator: B.Translator, known: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Q10: all columns, expanded_text and translated_text; a distinct text is sent once."""
-    expanded = entities.withColumn("expanded_text", T.replace_known(F.col("text"), known or {}))
-    once = expanded.select("expanded_text").distinct().withColumn("translated_text", B.translate(F.col("expanded_text"), translator))
-    return expanded.join(once, "expanded_text", "left").select(*entities.columns, "expanded_text", "translated_text")
+    rows = expanded(entities, "text", "expanded_text", known)
+    once = rows.select("expanded_text").distinct().withColumn("translated_text", B.translate(F.col("expanded_text"), translator))
+    return rows.join(once, "expanded_text", "left").select(*entities.columns, "expanded_text", "translated_text")
 
 
 def translated_documents(docs: DataFrame, translator: B.Translator, text: str = "text") -> DataFrame:

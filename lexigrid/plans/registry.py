@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import backends as B
 from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
-from lexigrid.operators import alignment, matching, metrics
+from lexigrid.operators import alignment, dictionary, matching, metrics
 from lexigrid.plans import align_sql
 from lexigrid.plans import composites as C
 from lexigrid.plans import pipelines as P
@@ -225,6 +225,14 @@ def abbrev_replace_text(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", F.sha2(T.replace_known(F.col("text"), KNOWN), 256).alias("digest"))
 
 
+@query(_words_sql("CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KNOWN.items()) + " ELSE w END"))
+def abbrev_replace_table(spark, sf):
+    """The same replacements out of a table, which may be of any size."""
+    table = spark.createDataFrame(list(KNOWN.items()), "phrase string, expansion string")
+    docs = S.table(spark, sf, "documents").select("doc_id", "text")
+    return dictionary.replace_from_table(docs, "text", table, "new").select("doc_id", F.sha2("new", 256).alias("digest"))
+
+
 def _annotated(w: str) -> str:
     cases = " ".join(f"WHEN {w} = '{k}' THEN {w} || ' ({v})'" for k, v in KNOWN.items()) + " " + " ".join(f"WHEN upper({w}) = '{k}' THEN {w} || ' ({v})'" for k, v in KNOWN.items())
     return f"CASE {cases} ELSE {w} END"
