@@ -15,12 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import bound_batches, cut, table
+from lexigrid.llm.shared import BROADCAST_ROWS, bound_batches, cut, table
 
 #: Logarithm of the number of hash buckets: both multinomials are that long at any size of the corpus.
 LOG_BUCKETS = 18
-#: Labelled documents of each class, trusted and not, that are learnt from at most: those with the lowest hash of their id.
-LABELLED = 20_000
 #: How much the target's counts lean on the raw ones, in n-grams.
 LEAN = 1e4
 #: Fewer words, or a larger part of them in repeated windows, fail a document whatever its ratio.
@@ -127,17 +125,18 @@ def _judge(ratios, log_buckets: int):
     return judge
 
 
-def labelled_ids(labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """(id, good, held): at most ``most`` labelled ids of each class, a quarter of them held out by the crc32 of the id.
+def labelled_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, good, held): all labelled ids, or ``most`` of each class, a quarter of them held out by the crc32 of the id.
 
     Good is of quality and not toxic; an id whose rows disagree, or without an id or a label, is not labelled.
     """
     told = F.coalesce("quality", F.lit(-1))
     rows = labels.select(F.col("doc_id").cast("long").alias("id"), ((told == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"), (told == 0).alias("bad"))
     agreed = rows.filter("id IS NOT NULL").groupBy("id").agg(F.bool_and("good").alias("good"), F.bool_and("bad").alias("bad")).filter("good OR bad").drop("bad")
-    lowest = lambda good: agreed.filter("good" if good else "NOT good").orderBy(F.xxhash64("id"), "id").limit(most)
-    held = F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2
-    return lowest(True).unionByName(lowest(False)).withColumn("held", held)
+    if most is not None:
+        lowest = lambda good: agreed.filter("good" if good else "NOT good").orderBy(F.xxhash64("id"), "id").limit(most)
+        agreed = lowest(True).unionByName(lowest(False))
+    return agreed.withColumn("held", F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2)
 
 
 def threshold_of(scored: DataFrame, labelled: DataFrame) -> float:
@@ -147,7 +146,7 @@ def threshold_of(scored: DataFrame, labelled: DataFrame) -> float:
     class is missing, all pass.
     """
     place = F.floor(F.greatest(F.lit(-WIDEST), F.least(F.lit(WIDEST), F.col("ratio"))) / BIN).cast("int").alias("place")
-    held = scored.filter("NOT base_failed").join(F.broadcast(labelled.filter("held")), F.col("doc_id") == F.col("id"))
+    held = scored.filter("NOT base_failed").join(labelled.filter("held"), F.col("doc_id") == F.col("id"))
     rows = held.groupBy(place).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).collect()  # bins
     good, bad = sum(r["good"] for r in rows), sum(r["bad"] for r in rows)
     if not good or not bad:
@@ -162,18 +161,20 @@ def threshold_of(scored: DataFrame, labelled: DataFrame) -> float:
     return BIN * (first + below + 1) / 2 if below < first else BIN * first
 
 
-def quality(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", most: int = LABELLED, log_buckets: int = LOG_BUCKETS, lean: float = LEAN) -> DataFrame:
+def quality(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", most: int | None = None, log_buckets: int = LOG_BUCKETS, lean: float = LEAN) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept for each row of ``df``.
 
     Null text counts as empty, has ratio 0 and fails for its few words; null or repeated ids keep their rows apart; without
     labels of both classes the base rules alone decide; an empty table gives no rows; other columns are not read. Both
-    multinomials and all counts cover every row; labels teach through a bounded sample of ids, which is broadcast.
+    multinomials, all counts and the threshold cover every row and, unless ``most`` bounds them, every labelled id; labels meet
+    texts in a shuffle, by broadcast only while the trusted ones are counted and few.
     """
     spark = df.sparkSession
     bound_batches(spark)
     rows = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     labelled = cut(labelled_ids(labels, most), "quality-labels")
-    trusted = F.broadcast(labelled.filter("good AND NOT held").select(F.col("id"), F.lit(True).alias("trusted")))
+    trusted = labelled.filter("good AND NOT held").select(F.col("id"), F.lit(True).alias("trusted"))
+    trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_ROWS else trusted.hint("merge")
     marked = rows.join(trusted, F.col("doc_id") == F.col("id"), "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     sums = marked.mapInArrow(_tally(log_buckets), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     counts = np.zeros((2, 1 << log_buckets))

@@ -93,6 +93,12 @@ def test_labels_are_bounded_and_agree(spark):
     assert not {7, 8} & {r["id"] for r in got}
 
 
+def test_every_label_counts(spark):
+    labels = spark.range(90_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
+    got = quality.labelled_ids(labels).groupBy("good").count().collect()
+    assert {r["good"]: r["count"] for r in got} == {True: 45_000, False: 45_000}
+
+
 # --- spelling variants ---
 
 
