@@ -155,6 +155,8 @@ def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: i
 
     ``cache`` is (the encoder's name, a folder): vectors that it holds are not encoded again.
     """
+    entities = cut(entities)
+
     def vectors_of(texts):
         if cache is None:
             return texts.withColumn("vec", B.encode(F.col("text"), encoder))
@@ -163,6 +165,7 @@ def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: i
     asked = expanded(entities.select("text", F.col("entity_label").alias("label")).distinct(), "text", "asked", known)
     if translator is not None:
         asked = asked.withColumn("asked", B.translate(F.col("asked"), translator))
+    asked = cut(asked)
     vectors = vectors_of(asked.select(F.col("asked").alias("text")).distinct()).withColumnRenamed("text", "asked")
     queries = asked.join(vectors, "asked").withColumn("q", F.struct("text", "label"))
     names = kb.join(asked.select("label").distinct(), "label", "left_semi") if by_type else kb.select("cui", "name").distinct()

@@ -32,14 +32,43 @@ NOTES = "notes AS (SELECT lang || '_' || source || '_' || doc_id AS stem, coales
 
 
 def found_tokens(rows: DataFrame, key: str, text: str, side: str) -> DataFrame:
-    """(key, start, end, text, label): tokens of the lexicon in a text, with offsets; ``side`` is gold or pred."""
+    """(key, start, end, text, label): tokens of the lexicon in a text, with offsets in code points; ``side`` is gold or pred.
+
+    A text is split once. Expressions would do it anew for each filter that Spark derives from the rows they explode into.
+    """
     column = 1 if side == "gold" else 2
     known = {row[0]: row[column] for row in LEXICON if row[column]}
-    labels = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    # running starts: the lengths before each token and a space for each
-    starts = F.aggregate(F.split(text, " ", -1), F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,text:string>>))"), lambda s, t: F.struct((s["at"] + F.length(t) + 1).alias("at"), F.when(t.isin(*known), F.array_append(s["out"], F.struct(s["at"].alias("start"), t.alias("text")))).otherwise(s["out"]).alias("out")), lambda s: s["out"])
-    found = rows.filter(F.col(text).isNotNull()).select(key, F.explode(starts).alias("m"))
-    return found.select(key, F.col("m.start").cast("long").alias("start"), (F.col("m.start") + F.length("m.text")).cast("long").alias("end"), F.col("m.text").alias("text"), F.element_at(labels, F.col("m.text")).alias("label"))
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(_lookup(key, known), f"`{key}` {kind}, start bigint, `end` bigint, text string, label string")
+
+
+#: Texts whose tokens are held at once.
+TEXTS = 256
+
+
+def _lookup(key: str, known: dict[str, str]):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words, labels = pa.array(list(known)), pa.array(list(known.values()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(lo, TEXTS)
+                split = pc.split_pattern(batch.column(1), " ")
+                tokens, row = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+                ends = np.cumsum(pc.utf8_length(tokens).to_numpy().astype(np.int64) + 1)  # with a space after each
+                first = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())[:-1]])
+                base = np.concatenate([[0], ends])[first]  # where a row's text begins
+                which = pc.index_in(tokens, words)
+                at = np.flatnonzero(pc.is_valid(which).to_numpy(zero_copy_only=False))
+                found, which = tokens.take(pa.array(at)), which.take(pa.array(at))
+                end = ends[at] - 1 - base[row[at]]
+                start = end - pc.utf8_length(found).to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array(start), pa.array(end), found, labels.take(which)], [key, "start", "end", "text", "label"])
+
+    return run
 
 
 def mentions(spark: SparkSession, sf: str, side: str) -> DataFrame:
