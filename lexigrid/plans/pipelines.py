@@ -194,7 +194,7 @@ def extracted_relations(entities: DataFrame, texts: DataFrame, scorer: B.PairSco
     ``entities(doc_id, ent, start, end, label, text)`` and ``texts(doc_id, text)``. Hypotheses are in ``lang``, or, with a
     detector, in the language that it finds in each text. Output labels are those of the first entity on a span.
     """
-    spark = entities.sparkSession
+    spark, entities = entities.sparkSession, cut(entities)
     docs = texts.select("doc_id", F.col("text").alias("body"))
     docs = docs.withColumn("lang", F.lit(lang) if detector is None else B.detect_language(F.col("body"), detector))
     tables = {one: matching.relation_table(spark, V.RELATIONS, words).select("seq", "head", "middle", "tail").distinct().withColumn("lang", F.lit(one)) for one, words in V.TEMPLATES.items()}

@@ -17,11 +17,6 @@ def scans(df):
     return len(re.findall(r"FileScan", df._jdf.queryExecution().sparkPlan().toString()))
 
 
-@pytest.mark.parametrize("name, most", [("entity_linking", 0)])
-def test_mentions_are_looked_up_once(spark, sf, name, most):
-    assert scans(QUERIES[name](spark, sf)) <= most
-
-
 def test_a_text_is_split_once(spark, sf):
     for side in ("gold", "pred"):
         assert S.mentions(spark, sf, side)._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
@@ -32,3 +27,8 @@ def test_tokens_of_texts_with_odd_ends(spark):
     got = S.found_tokens(spark.createDataFrame(rows, "k int, text string").coalesce(1), "k", "text", "gold").collect()
     assert {tuple(r)[:4] for r in got} == {(1, 0, 4, "thon"), (1, 5, 9, "thon"), (2, 0, 3, "für"), (5, 2, 5, "für"), (5, 12, 15, "für"), (6, 1, 5, "thon"), (None, 0, 4, "thin")}
     assert len(got) == 7 and {r["label"] for r in got if r["text"] == "thin"} == {"medication"}
+
+
+@pytest.mark.parametrize("name, most", [("entity_linking", 0), ("relations_extracted", 5)])
+def test_mentions_are_looked_up_once(spark, sf, name, most):
+    assert scans(QUERIES[name](spark, sf)) <= most
