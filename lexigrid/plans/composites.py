@@ -145,7 +145,8 @@ def entity_match_rows(beads: DataFrame, src: DataFrame, hyp: DataFrame, encoder:
     beads = cut(beads)
     files = beads.select("filename").distinct()
     shown = lambda df: df if "translated_text" in df.columns else df.withColumn("translated_text", F.lit(""))
-    a, b = cut(bead_entities(named_rows(files, shown(src)), beads, "source")), cut(bead_entities(named_rows(files, shown(hyp), suffix=suffix), beads, "hypothesis"))
+    named = lambda df, end: cut(named_rows(files, cut(shown(df)), suffix=end))
+    a, b = cut(bead_entities(named(src, None), beads, "source")), cut(bead_entities(named(hyp, suffix), beads, "hypothesis"))
     keyed = lambda df, row: df.select("filename", "bead_idx", F.col("ent").alias(row), F.col("entity_label").alias("label"), T.preferred(F.col("translated_text"), F.col("text")).alias("text"))
     pairs = P.cross_lingual_matches(keyed(a, "i"), keyed(b, "j"), encoder, threshold, same_label, digits)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
