@@ -11,6 +11,9 @@ from lexigrid.operators.durable import cut
 #: A text is its runs of word characters and, one by one, all other characters: a whole-word match is a run of these units.
 UNIT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
 
+#: First units of phrases that are broadcast at most, and their bytes; of more the places are shuffled.
+HEADS, HEAD_BYTES = 100_000, 4 << 20
+
 
 def units(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(UNIT), F.lit(0))
@@ -36,19 +39,25 @@ def leftmost(batches):
 def matches(texts: DataFrame, table: DataFrame, template: str) -> DataFrame:
     """(__h1, __h2, at, n, put): what is replaced in each of ``texts(__h1, __h2, text)``, in units: the first from the left, of those at one place the longest.
 
-    A place meets only the phrases that begin with its unit, of which it first learns no more than their lengths; whole phrases meet as
-    text. A unit in a third of all places is one row of the phrases' first units, and few enough of these are broadcast by their size.
+    A place first meets the units that phrases begin with, as no more than its number and its unit; those are broadcast while they are
+    counted and few. Only places that one of them is at then get the units round them, in their text, and meet whole phrases.
     """
     put = F.lit(template)
     for name, value in (("{token}", F.col("phrase")), ("{expansion}", F.col("expansion"))):
         put = F.replace(put, F.lit(name), value)
     phrases = table.filter("phrase <> '' AND expansion IS NOT NULL").groupBy("phrase").agg(F.min("expansion").alias("expansion"))
     phrases = cut(phrases.select("phrase", units(F.col("phrase")).alias("u"), put.alias("put")).select("phrase", "put", F.get("u", F.lit(0)).alias("first"), F.size("u").alias("n")))
-    longest = phrases.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    longest, firsts, size = phrases.agg(F.coalesce(F.max("n"), F.lit(1)), F.count_distinct("first"), F.coalesce(F.sum(F.octet_length("first")), F.lit(0))).first()
     heads = phrases.groupBy("first").agg(F.collect_set("n").alias("lengths"))
-    places = texts.select("__h1", "__h2", units(F.col("text")).alias("u")).withColumn("u", F.transform("u", lambda x, i: F.struct(i.alias("at"), F.get("u", i - 1).alias("prev"), F.slice("u", i + 1, F.lit(longest + 1)).alias("next"))))
-    places = places.select("__h1", "__h2", F.explode("u").alias("p")).select("__h1", "__h2", "p.at", "p.prev", "p.next", F.get("p.next", F.lit(0)).alias("first"))
-    asked = places.join(heads, "first").select("__h1", "__h2", "at", "prev", "first", "next", F.explode("lengths").alias("n")).filter(F.size("next") >= F.col("n"))
+    if firsts <= HEADS and size <= HEAD_BYTES:
+        heads = F.broadcast(heads)
+    # the outer kind, as for the other Spark derives filters that look for all units once more each
+    places = texts.select("__h1", "__h2", F.posexplode_outer(units(F.col("text"))).alias("at", "first")).join(heads, "first")
+    spots = places.groupBy("__h1", "__h2").agg(F.collect_list(F.struct("at", "lengths")).alias("__spots"))
+    around = lambda u: F.transform("__spots", lambda s: F.struct(s["at"].alias("at"), F.get(u, s["at"] - 1).alias("prev"), F.slice(u, s["at"] + 1, F.lit(longest + 1)).alias("next"), s["lengths"].alias("lengths")))
+    met = texts.join(spots, ["__h1", "__h2"]).select("__h1", "__h2", F.explode_outer(T.let(units(F.col("text")), around)).alias("p"))
+    met = met.select("__h1", "__h2", "p.at", "p.prev", "p.next", F.get("p.next", F.lit(0)).alias("first"), "p.lengths")
+    asked = met.select("__h1", "__h2", "at", "prev", "first", "next", F.explode("lengths").alias("n")).filter(F.size("next") >= F.col("n"))
     # a phrase that begins or ends with another character than a word's must not touch a word there
     word = lambda c: F.coalesce(c.rlike(r"^[\p{L}\p{N}_]"), F.lit(False))
     last, after = F.get("next", F.col("n") - 1), F.get("next", F.col("n"))

@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from lexigrid.operators import dictionary
 from lexigrid.plans import standins as S
 from lexigrid.plans.files import QUERIES
 
@@ -32,3 +33,15 @@ def test_tokens_of_texts_with_odd_ends(spark):
 @pytest.mark.parametrize("name, most", [("entity_linking", 0), ("relations_extracted", 5)])
 def test_mentions_are_looked_up_once(spark, sf, name, most):
     assert scans(QUERIES[name](spark, sf)) <= most
+
+
+def test_few_first_units_are_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b, c"), (2, "c a b")], "id int, text string")
+    table = spark.createDataFrame([("a b", "x"), ("c", "y")], "phrase string, expansion string")
+    run = lambda: dictionary.replace_from_table(df, "text", table, "new")
+    joined = lambda out: "BroadcastHashJoin [first" in out._jdf.queryExecution().sparkPlan().toString()
+    few = run()
+    monkeypatch.setattr(dictionary, "HEADS", 0)
+    many = run()
+    assert joined(few) and not joined(many)
+    assert sorted(r["new"] for r in few.collect()) == sorted(r["new"] for r in many.collect()) == ["x, y", "y x"]
