@@ -8,6 +8,7 @@ from lexigrid.functions import backends as B
 from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
 from lexigrid.operators import alignment, dictionary, matching, metrics
+from lexigrid.operators.durable import cut
 from lexigrid.plans import align_sql
 from lexigrid.plans import composites as C
 from lexigrid.plans import pipelines as P
@@ -601,7 +602,7 @@ SELECT e.doc_id, {_three_sql('e', 'kg_entity')}, e.n_src AS kg_n_src_entities, e
 FROM e LEFT JOIN t ON t.doc_id = e.doc_id LEFT JOIN em ON em.doc_id = e.doc_id LEFT JOIN re ON re.doc_id = e.doc_id""")
 def concept_scores(spark, sf):
     """The 17 concept columns but the combined one, on what the beads hold; texts are compared by their words."""
-    beads = S.aligned_beads(spark, sf)
+    beads = cut(S.aligned_beads(spark, sf).drop("source", "hypothesis"))
     ents = [C.scored_rows(beads, S.linked(spark, sf, which), side) for which, side in (("gold", "src"), ("pred", "hyp"))]
     rels = [C.scored_rows(beads, S.relations(spark, sf, which), side) for which, side in (("gold", "src"), ("pred", "hyp"))]
     return P.concept_scores(*ents, B.TokenOverlap(), *rels).drop("kg_f1")
