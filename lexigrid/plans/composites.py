@@ -95,11 +95,12 @@ def aligned_relations(beads: DataFrame, src: DataFrame, hyp: DataFrame, src_link
     entities, with the bead's columns null. The hypothesis's argument texts are those of its entities, translated where they are.
     """
     beads, src, hyp, src_linked, hyp_linked = map(cut, (beads, src, hyp, src_linked, hyp_linked))
+    spans = cut(beads.drop("source", "hypothesis"))  # what places rows does not read the texts
     src_linked, hyp_linked = _both(src_linked, hyp_linked)
     docs = src_linked.select("doc_id").distinct()
     src, hyp = (rows.join(docs, "doc_id", "left_semi") for rows in (src, hyp))
-    a, b = held_rows(beads, src, "src"), held_rows(beads, hyp, "hyp")
-    a_ents, b_ents = held_rows(beads, src_linked, "src"), held_rows(beads, hyp_linked, "hyp")
+    a, b = cut(held_rows(spans, src, "src")), cut(held_rows(spans, hyp, "hyp"))
+    a_ents, b_ents = cut(held_rows(spans, src_linked, "src")), cut(held_rows(spans, hyp_linked, "hyp"))
 
     def matched(left, right, left_ents, right_ents, by):
         pairs = P.relation_matches(left, right, left_ents, right_ents, by, tuple(by))
@@ -107,7 +108,7 @@ def aligned_relations(beads: DataFrame, src: DataFrame, hyp: DataFrame, src_link
         return pairs.join(x, [*by, "src_id"], "left").join(y, [*by, "hyp_id"], "left")
 
     inside = _bead_texts(matched(a, b, a_ents, b_ents, SCOPE), beads)
-    every = inside.unionByName(matched(left_over(beads, src, a), left_over(beads, hyp, b), src_linked, hyp_linked, ["doc_id"]), allowMissingColumns=True)
+    every = inside.unionByName(matched(left_over(spans, src, a), left_over(spans, hyp, b), src_linked, hyp_linked, ["doc_id"]), allowMissingColumns=True)
     kind = F.col("match_type")
     named = every.withColumn("subject_match_type", kind).withColumn("object_match_type", kind).withColumn("relation_match_type", F.when(kind == "none", kind).otherwise("text"))
     front = [*SCOPE, "bead_src", "bead_hyp", "subject_match_type", "object_match_type", "relation_match_type"]
