@@ -270,7 +270,7 @@ def cross_lingual_matches(src: DataFrame, hyp: DataFrame, encoder: B.Encoder, th
     without their vectors, each distinct pair of texts is scored once, and only rows of texts that are alike meet at all.
     """
     scope = ["filename", "bead_idx"]
-    src, hyp = (df.withColumn("bead_idx", F.coalesce("bead_idx", F.lit(-1))) for df in (src, hyp))
+    src, hyp = (cut(df.withColumn("bead_idx", F.coalesce("bead_idx", F.lit(-1)))) for df in (src, hyp))
     scored = alike_texts(src, hyp, scope, encoder, threshold, digits)
     label = lambda df, c: df.withColumn(c, F.lower("label"))
     met = label(src, "la").select(*scope, "i", F.col("text").alias("ta"), "la").join(scored, [*scope, "ta"])

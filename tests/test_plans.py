@@ -18,6 +18,11 @@ def scans(df):
     return len(re.findall(r"FileScan", df._jdf.queryExecution().sparkPlan().toString()))
 
 
+@pytest.mark.parametrize("name, most", [("entity_linking", 0), ("relations_extracted", 5), ("cross_lingual_matching", 0), ("entity_match_rows", 0)])
+def test_mentions_are_looked_up_once(spark, sf, name, most):
+    assert scans(QUERIES[name](spark, sf)) <= most
+
+
 def test_a_text_is_split_once(spark, sf):
     for side in ("gold", "pred"):
         assert S.mentions(spark, sf, side)._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
@@ -30,11 +35,6 @@ def test_tokens_of_texts_with_odd_ends(spark):
     assert len(got) == 7 and {r["label"] for r in got if r["text"] == "thin"} == {"medication"}
 
 
-@pytest.mark.parametrize("name, most", [("entity_linking", 0), ("relations_extracted", 5)])
-def test_mentions_are_looked_up_once(spark, sf, name, most):
-    assert scans(QUERIES[name](spark, sf)) <= most
-
-
 def test_few_first_units_are_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b, c"), (2, "c a b")], "id int, text string")
     table = spark.createDataFrame([("a b", "x"), ("c", "y")], "phrase string, expansion string")
