@@ -33,3 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows and bytes of a batch on its way to a Python worker: the worker's memory depends on them and not on the size of a partition.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to the above, unless they are lower; Spark has them for a session alone."""
+    for key, most, default in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, None)):
+        now = spark.conf.get(key, default)
+        if now is not None and not (now.rstrip("bB").isdigit() and 0 < int(now.rstrip("bB")) <= most):
+            spark.conf.set(key, str(most))

@@ -9,7 +9,7 @@ from lexigrid.functions import backends as B
 from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
 from lexigrid.operators import alignment, dictionary, matching, metrics, setjoin
-from lexigrid.operators.durable import cut
+from lexigrid.operators.durable import bound_batches, cut
 from lexigrid.sources import readers, vector_cache
 
 DOC_METRICS = ["characters", "characters_no_spaces", "lines", "sentences", "words_regex", "tokens_whitespace", "avg_words_per_sentence"]
@@ -397,6 +397,7 @@ def translation_scores(pairs: DataFrame, scorer: B.SimilarityScorer, encoder: B.
     """
     from lexigrid.plans import composites
 
+    bound_batches(pairs.sparkSession)
     whole = pairs.withColumn("bs", B.similarity(F.col("hypothesis"), F.col("source"), scorer)).withColumn("labse", T.cosine(B.encode(F.col("source"), encoder), B.encode(F.col("hypothesis"), encoder)))
     r5 = lambda c: F.round(c, 5)
     n = lambda c: F.size(alignment.split_sentences(c))

@@ -3,6 +3,7 @@ import re
 import pytest
 
 from lexigrid.operators import dictionary
+from lexigrid.operators.durable import BATCH_ROWS, bound_batches
 from lexigrid.plans import standins as S
 from lexigrid.plans.files import QUERIES
 
@@ -45,3 +46,15 @@ def test_few_first_units_are_broadcast(spark, monkeypatch):
     many = run()
     assert joined(few) and not joined(many)
     assert sorted(r["new"] for r in few.collect()) == sorted(r["new"] for r in many.collect()) == ["x, y", "y x"]
+
+
+def test_batches_are_bounded_where_they_are_not_lower(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for now, then in (("10000", str(BATCH_ROWS)), ("0", str(BATCH_ROWS)), ("7", "7")):
+            spark.conf.set(key, now)
+            bound_batches(spark)
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)
