@@ -37,7 +37,10 @@ def found_tokens(rows: DataFrame, key: str, text: str, side: str) -> DataFrame:
     A text is split once. Expressions would do it anew for each filter that Spark derives from the rows they explode into.
     """
     column = 1 if side == "gold" else 2
-    known = {row[0]: row[column] for row in LEXICON if row[column]}
+    return looked_up(rows, key, text, {row[0]: row[column] for row in LEXICON if row[column]})
+
+
+def looked_up(rows: DataFrame, key: str, text: str, known: dict[str, str]) -> DataFrame:
     kind = rows.schema[key].dataType.simpleString()
     return rows.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(_lookup(key, known), f"`{key}` {kind}, start bigint, `end` bigint, text string, label string")
 
@@ -76,6 +79,14 @@ def mentions(spark: SparkSession, sf: str, side: str) -> DataFrame:
     return found_tokens(table(spark, sf, "documents"), "doc_id", "text", side).withColumn("ent", F.col("start"))
 
 
+def sided_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, start, end, text, source, label): the mentions of both sides, gold and pred, from one look-up of the texts."""
+    kinds = [(row[0], side, row[column]) for row in LEXICON for side, column in (("gold", 1), ("pred", 2)) if row[column]]
+    told = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(kind, ("text", "source", "label"))]) for kind in kinds])))
+    found = looked_up(table(spark, sf, "documents"), "doc_id", "text", {row[0]: row[0] for row in LEXICON}).drop("label")
+    return found.join(F.broadcast(told), "text")
+
+
 def mentions_sql(side: str, name: str, docs: str = "documents") -> str:
     column = 1 if side == "gold" else 2
     rows = ", ".join(f"('{r[0]}', '{r[column]}')" for r in LEXICON if r[column])

@@ -52,3 +52,30 @@ def test_an_attempt_without_a_message_leaves_nothing(tmp_path):
 def test_names_stay_below_the_folder(name):
     with pytest.raises(ValueError):
         D.checked_name(name)
+
+
+def test_tasks_move_and_read_the_files(spark, tmp_path, monkeypatch):
+    """The driver neither moves a file nor lists the folder, and small files are not one task's."""
+    path = str(tmp_path / "out")
+    monkeypatch.setattr(D, "ThreadPoolExecutor", None)
+    df = spark.createDataFrame([(f"{'sub/' if i % 2 else ''}f{i}.tsv", n, 'a\r"b"' if n else None) for i in range(40) for n in (1, 0)], "filename string, n int, text string")
+    names = D.write_documents(df, path, order=["n"])
+    assert names.rdd.getNumPartitions() > 1 and sorted(r[0] for r in names.collect()) == sorted(f"{'sub/' if i % 2 else ''}f{i}.tsv" for i in range(40))
+    assert sorted(os.listdir(path)) == sorted([f"f{i}.tsv" for i in range(0, 40, 2)] + ["sub"])
+    lines = D.document_lines(names, path)
+    assert "FileScan" not in lines._jdf.queryExecution().sparkPlan().toString()
+    got = sorted(tuple(r) for r in lines.collect())
+    assert len(got) == 120 and got[:3] == [("f0.tsv", 0, "n\ttext"), ("f0.tsv", 1, "0\t"), ("f0.tsv", 2, '1\t"a\r""b"""')]
+
+
+def test_a_move_that_runs_again_finds_what_was_moved(tmp_path):
+    path = str(tmp_path / "out")
+    store, _ = D.file_system(path)
+    message = D.FileWriter({"path": path}, ["filename", "n"], True).write(iter([("a", 1), ("b", 2), ("c/d", 3)]))
+    first = D.moved(store, path, message.folder)
+    assert next(first) == "a"  # the task is lost here
+    first.close()
+    assert list(D.moved(store, path, message.folder)) == ["a", "b", "c/d"]
+    os.remove(f"{path}/b")
+    with pytest.raises(OSError):
+        list(D.moved(store, path, message.folder))
