@@ -65,7 +65,7 @@ class LetterCounts:
     """Unit vectors of how often each of a to z stands in a text."""
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        counts = np.array([[(t or "").lower().count(chr(97 + k)) for k in range(26)] for t in texts], dtype=np.float64).reshape(-1, 26)
+        counts = np.array([[t.count(chr(97 + k)) for k in range(26)] for t in ((t or "").lower() for t in texts)], dtype=np.float64).reshape(-1, 26)
         norms = np.linalg.norm(counts, axis=1, keepdims=True)
         return counts / np.where(norms > 0, norms, 1)
 

@@ -35,6 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a task whose time goes by rows.
+TASK_ROWS = 20_000
+
+
+def dealt(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """``df`` in as many partitions as at most ``n`` rows ask for. Spark merges no partitions of a given number; else it would by their
+    bytes, and small rows that Python works on would be one task's."""
+    return df.repartition(max(1, -(-n // TASK_ROWS)), *columns)
+
+
 #: Rows and bytes of a batch on its way to a Python worker: the worker's memory depends on them and not on the size of a partition.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 

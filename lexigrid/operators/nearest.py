@@ -4,6 +4,8 @@ The vectors of the base go to the nearest of some centres, and by their angle to
 query can score in a block is bounded by its own angle to the block's centre: from a vector between two angles to the centre it is at
 least as far as it is from that ring. A query first meets the blocks with the highest bounds, as many as it takes to hold k vectors. Its
 k-th best score then, or the threshold, is what the bound of every other block has to reach for the two to meet at all.
+
+A few queries are fewer than the centres that a vector would be placed by: they go to all tasks, and the base stays where it is.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.operators import metrics
-from lexigrid.operators.durable import cut
+from lexigrid.operators.durable import TASK_ROWS, cut, dealt
 from lexigrid.operators.ranks import top_per
 
 #: Vectors of one side in a cell of the comparison, on average at most; blocks in all, beyond which they grow instead.
 CELL, MOST_BLOCKS = 4096, 65_536
 #: Centres at most, and the width of a ring in radians. Both bound what goes to the driver and to every task.
 CENTRES, RING = 1024, 0.1
+#: Queries that all tasks get at most.
+FEW = 256
 #: What a bound may be off by in floating point.
 SLACK = 1e-6
 
@@ -50,6 +54,8 @@ def blocks_of(kb: DataFrame, by: list[str], cell: int = CELL) -> tuple[np.ndarra
     """(centres, kb with its block, blocks): the centres are the vectors with the lowest hashes of their names; ``blocks`` has a row
     a block (by, BLOCK, n, near, far, short, long): its vectors' least and largest angle to the centre, and lengths."""
     n = kb.count()
+    if kb.rdd.getNumPartitions() * TASK_ROWS < n:
+        kb = dealt(kb, n, "cui", "name")
     cell = max(cell, -(-n // MOST_BLOCKS))
     some = kb.orderBy(F.xxhash64("cui", "name"), "name", "cui").limit(max(1, min(CENTRES, -(-n // cell)))).select("vec").toPandas()
     centres = unit(matrix(some["vec"]))[0] if len(some) else np.zeros((0, 1))
@@ -59,9 +65,9 @@ def blocks_of(kb: DataFrame, by: list[str], cell: int = CELL) -> tuple[np.ndarra
         for pdf in frames:
             if len(pdf):
                 m, norms = unit(matrix(pdf["vec"]))
-                at = angles(m, centres)
-                home = at.argmin(axis=1)
-                near = at[np.arange(len(pdf)), home]
+                at = m @ centres.T
+                home = at.argmax(axis=1)
+                near = np.arccos(np.clip(at[np.arange(len(pdf)), home], -1.0, 1.0))
                 yield pdf.assign(__centre=home.astype(np.int32), __angle=near, __norm=norms)[[*columns, "__centre", "__angle", "__norm"]]
 
     placed = kb.select(*columns).mapInPandas(place, f"{typed(kb, columns)}, __centre int, __angle double, __norm double")
@@ -114,6 +120,50 @@ def visits(queries: DataFrame, by: list[str], centres: np.ndarray, blocks: pd.Da
     return rows.mapInPandas(plan, f"{typed(queries, columns)}, " + ", ".join(f"{c} int" for c in BLOCK))
 
 
+def best(a: pd.DataFrame, b: pd.DataFrame, k: int, digits: int | None) -> tuple[np.ndarray, pd.DataFrame]:
+    """(rows of ``a``, as many rows of ``b`` with their score): the k best of ``b`` for each of ``a``; of equal scores the first by name, then cui."""
+    scores = matrix(a["vec"]) @ matrix(b["vec"]).T
+    if digits is not None:
+        scores = np.floor(np.abs(scores) * 10**digits + 0.5) / 10**digits * np.sign(scores)
+    if len(b) > k:  # all that reach the k-th score, and of its equals the first by name
+        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        reach = np.flatnonzero((scores >= kth).any(axis=0))
+        reach = reach[b.iloc[reach][["name", "cui"]].reset_index(drop=True).sort_values(["name", "cui"], kind="stable").index.to_numpy()]
+        b, scores = b.iloc[reach], scores[:, reach]
+        inside = scores > kth
+        equal = scores == kth
+        inside |= equal & (np.cumsum(equal, axis=1) <= k - inside.sum(axis=1, keepdims=True))
+    else:
+        inside = np.ones(scores.shape, dtype=bool)
+    rows, picked = np.nonzero(inside)
+    return rows, b.iloc[picked][["cui", "name"]].reset_index(drop=True).assign(score=scores[rows, picked])
+
+
+def scanned(few: pd.DataFrame, kb: DataFrame, by: list[str], k: int, digits: int | None) -> DataFrame:
+    """(__i, cui, name, score): the k best of every stretch of TASK_ROWS rows of the base for each of ``few(__i, vec, by)``."""
+    columns = [*by, "cui", "name", "vec"]
+
+    def stretch(frames):
+        pdf = pd.concat(frames, ignore_index=True)
+        for own, a in few.groupby(by, dropna=True) if by else [((), few)]:
+            b = pdf[(pdf[by] == list(own)).all(axis=1)] if by else pdf
+            if len(a) and len(b):
+                rows, found = best(a, b, k, digits)
+                yield found.assign(__i=a["__i"].to_numpy()[rows])[["__i", "cui", "name", "score"]]
+
+    def scan(frames):
+        held, n = [], 0
+        for pdf in frames:
+            held, n = [*held, pdf], n + len(pdf)
+            if n >= TASK_ROWS:
+                yield from stretch(held)
+                held, n = [], 0
+        if n:
+            yield from stretch(held)
+
+    return kb.select(*columns).mapInPandas(scan, "__i long, cui string, name string, score double")
+
+
 def compared(met: DataFrame, kb: DataFrame, by: list[str], k: int, digits: int | None, cell: int) -> DataFrame:
     """(q, by, cui, name, score): of each query and block that meet, the k best. A block's queries are dealt out as well, ``cell`` a task."""
     sizes = met.groupBy(*by, *BLOCK).agg(F.ceil(F.count("*") / cell).alias("__groups"))
@@ -124,21 +174,8 @@ def compared(met: DataFrame, kb: DataFrame, by: list[str], k: int, digits: int |
     def cells(a, b):
         if a.empty or b.empty:
             return pd.DataFrame(columns=columns)
-        b = b.sort_values(["name", "cui"], kind="stable").reset_index(drop=True)
-        scores = matrix(a["vec"]) @ matrix(b["vec"]).T
-        if digits is not None:
-            scores = np.floor(np.abs(scores) * 10**digits + 0.5) / 10**digits * np.sign(scores)
-        if len(b) > k:  # all that reach the k-th score, and of its equals the first by name
-            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            inside = scores > kth
-            equal = scores == kth
-            inside |= equal & (np.cumsum(equal, axis=1) <= k - inside.sum(axis=1, keepdims=True))
-        else:
-            inside = np.ones(scores.shape, dtype=bool)
-        rows, picked = np.nonzero(inside)
-        out = a.iloc[rows][[*by, "q"]].reset_index(drop=True)
-        out["cui"], out["name"], out["score"] = b["cui"].to_numpy()[picked], b["name"].to_numpy()[picked], scores[rows, picked]
-        return out[columns]
+        rows, found = best(a, b, k, digits)
+        return pd.concat([a.iloc[rows][[*by, "q"]].reset_index(drop=True), found], axis=1)[columns]
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cells, f"{typed(met, [*by, 'q'])}, cui string, name string, score double")
 
@@ -149,11 +186,16 @@ def top_candidates(queries: DataFrame, kb: DataFrame, k: int, threshold: float,
     """
     by = by or []
     vec = F.col("vec").cast("array<double>").alias("vec")
-    queries = cut(queries.select("q", vec, *by))
-    kb = cut(kb.select(*by, "cui", "name", vec))
+    queries = cut(queries.select("q", vec, *by).withColumn("__i", F.monotonically_increasing_id()))
+    kb, order = kb.select(*by, "cui", "name", vec), [F.col("score").desc(), "name", "cui"]
+    few = queries.select("__i", "vec", *by).limit(FEW + 1).toPandas()
+    if len(few) <= FEW:
+        found = top_per(scanned(few, kb, by, k, digits).filter(F.col("score") >= threshold), ["__i"], order, k)
+        return found.join(F.broadcast(queries.select("__i", "q", *by)), "__i").select("q", *by, "cui", "name", "score", "rank")
+    kb = cut(kb)
     centres, dealt, blocks = blocks_of(kb, by, cell)
     slack = 0.5 * 10.0**-digits if digits is not None else 0.0
-    rank = lambda rows: top_per(rows.filter(F.col("score") >= threshold), ["q", *by], [F.col("score").desc(), "name", "cui"], k)
+    rank = lambda rows: top_per(rows.filter(F.col("score") >= threshold), ["q", *by], order, k)
     local = compared(visits(queries, by, centres, blocks, k, threshold, slack=slack), dealt, by, k, digits, cell)
     if not len(blocks) or (blocks.groupby(by).size().max() if by else len(blocks)) == 1:
         return rank(local).select("q", *by, "cui", "name", "score", "rank")

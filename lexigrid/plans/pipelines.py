@@ -9,7 +9,8 @@ from lexigrid.functions import backends as B
 from lexigrid.functions import text as T
 from lexigrid.functions import vocab as V
 from lexigrid.operators import alignment, dictionary, matching, metrics, setjoin
-from lexigrid.operators.durable import bound_batches, cut
+from lexigrid.operators.durable import bound_batches, cut, dealt
+from lexigrid.operators.ranks import top_per
 from lexigrid.sources import readers, vector_cache
 
 DOC_METRICS = ["characters", "characters_no_spaces", "lines", "sentences", "words_regex", "tokens_whitespace", "avg_words_per_sentence"]
@@ -150,30 +151,42 @@ def expanded(df: DataFrame, text: str, out: str, known: dict[str, str] | DataFra
     return df.withColumn(out, T.replace_known(F.col(text), known or {}))
 
 
+#: Asked texts whose candidates are broadcast at most.
+FEW_ASKED = 10_000
+
+
 def linked_entities(entities: DataFrame, kb: DataFrame, encoder: B.Encoder, k: int = V.TOP_K, threshold: float = V.LINK_THRESHOLD, by_type: bool = True, known: dict[str, str] | DataFrame | None = None, translator: B.Translator | None = None, digits: int | None = None, cache: tuple[str, str] | None = None) -> DataFrame:
     """Q9: entities with their ranked candidates. Each distinct text is expanded, translated and encoded once.
 
+    A name has one vector, so names are searched and then stand for their concepts, of which the first ``k`` alone can be among the best.
+
     ``cache`` is (the encoder's name, a folder): vectors that it holds are not encoded again.
     """
     entities = cut(entities)
 
-    def vectors_of(texts):
+    def vectors_of(texts, n):
         if cache is None:
-            return texts.withColumn("vec", B.encode(F.col("text"), encoder))
+            return dealt(texts, n, "text").distinct().withColumn("vec", B.encode(F.col("text"), encoder))
         return vector_cache.cached_vectors(texts, encoder, *cache)
 
     asked = expanded(entities.select("text", F.col("entity_label").alias("label")).distinct(), "text", "asked", known)
     if translator is not None:
         asked = asked.withColumn("asked", B.translate(F.col("asked"), translator))
     asked = cut(asked)
-    vectors = vectors_of(asked.select(F.col("asked").alias("text")).distinct()).withColumnRenamed("text", "asked")
+    n_asked, keys = asked.count(), ["label", "name"] if by_type else ["name"]
+    vectors = vectors_of(asked.select(F.col("asked").alias("text")), n_asked).withColumnRenamed("text", "asked")
     queries = asked.join(vectors, "asked").withColumn("q", F.struct("text", "label"))
-    names = kb.join(asked.select("label").distinct(), "label", "left_semi") if by_type else kb.select("cui", "name").distinct()
-    names = names.join(vectors_of(names.select(F.col("name").alias("text")).distinct()).withColumnRenamed("text", "name"), "name")
-    ranked = matching.top_candidates(queries.select("q", "label", "vec"), names, k, threshold, ["label"] if by_type else None, digits)
+    rows = kb.join(asked.select("label").distinct(), "label", "left_semi") if by_type else kb.select("cui", "name").distinct()
+    rows = cut(top_per(rows.select(*keys, "cui"), keys, ["cui"], k, "nth"))
+    names = rows.filter("nth = 1").drop("nth")
+    n = names.count()
+    names = dealt(names, n, "name").join(vectors_of(names.select(F.col("name").alias("text")), n).withColumnRenamed("text", "name"), "name")
+    few = F.broadcast if n_asked <= FEW_ASKED else lambda df: df
+    found = cut(matching.top_candidates(queries.select("q", "label", "vec"), names, k, threshold, ["label"] if by_type else None, digits))
+    ranked = top_per(rows.drop("nth").join(few(found.drop("cui", "rank")), keys), ["q"], [F.col("score").desc(), "name", "cui"], k)
     lists = ranked.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "cui", "name", "score"))).alias("candidates"))
     lists = lists.select(F.col("q.text").alias("text"), F.col("q.label").alias("entity_label"), "candidates")
-    return entities.join(lists, ["text", "entity_label"], "left")
+    return entities.join(few(lists), ["text", "entity_label"], "left")
 
 
 def translated_entities(entities: DataFrame, translator: B.Translator, known: dict[str, str] | DataFrame | None = None) -> DataFrame:
